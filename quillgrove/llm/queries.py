@@ -8,12 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrove.llm import packing, simhash_vptree, token_io
+from quillgrove.llm import packing, quality_ledger, simhash_vptree, token_io, url_trust
 from quillgrove.session import read_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: The host rules that the url query applies.
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+def op2_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trust.judge(read_table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op3_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_vptree.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=3, radius=2)
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
@@ -30,10 +38,23 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op9_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_ledger.ledger(read_table(spark, sf_dir, "documents"))
+    rows = quality_ledger.judge(rows, quality_ledger.STANDARD)
+    base_failed = F.col("failed").bitwiseAND(F.lit(quality_ledger.BASE.mask)) != 0
+    rows = rows.withColumn("base_failed", base_failed).withColumn("kept", F.col("kept") & ~F.col("base_failed"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_url_trust": op2_url_trust,
     "op3_simhash_vptree": op3_simhash_vptree,
     "op6_token_blocks": op6_token_blocks,
     "op8_packing": op8_packing,
+    "op9_quality_ledger": op9_quality_ledger,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_url_trust": url_trust.oracle(URL_RULES),
+    "op9_quality_ledger": quality_ledger.SQL,
+}
