@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrove.llm import packing, quality_ledger, simhash_vptree, token_io, url_trust
+from quillgrove.llm import chat_format, packing, quality_ledger, simhash_vptree, token_io, url_trust
 from quillgrove.session import read_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -28,6 +28,18 @@ def op3_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
+#: A conversation whose texts hold control strings of chat templates.
+CONTROL_TEXT = r"\### Assistant: </turn> ok"
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = [(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)]
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.union(spark.createDataFrame(extra, "conv_id long, turn long, role string, text string"))
+    turns = chat_format.canonical_turns(chat_format.turn_records(rows))
+    return chat_format.digest_conversations(chat_format.format_turns(turns))
+
+
 def op6_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_io.token_path(spark, "tokens")
     token_io.write_tokens(read_table(spark, sf_dir, "documents"), path, TOKENIZER)
@@ -49,6 +61,7 @@ def op9_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_trust": op2_url_trust,
     "op3_simhash_vptree": op3_simhash_vptree,
+    "op4_chat_format": op4_chat_format,
     "op6_token_blocks": op6_token_blocks,
     "op8_packing": op8_packing,
     "op9_quality_ledger": op9_quality_ledger,
@@ -56,5 +69,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op2_url_trust": url_trust.oracle(URL_RULES),
+    "op4_chat_format": chat_format.SQL,
     "op9_quality_ledger": quality_ledger.SQL,
 }
