@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrove.llm import chat_format, packing, quality_ledger, simhash_vptree, token_io, url_trust
+from quillgrove.llm import chat_format, packing, quality_ledger, simhash_vptree, token_io, toxicity, url_trust
 from quillgrove.session import read_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -40,6 +40,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest_conversations(chat_format.format_turns(turns))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predict(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op6_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_io.token_path(spark, "tokens")
     token_io.write_tokens(read_table(spark, sf_dir, "documents"), path, TOKENIZER)
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_trust": op2_url_trust,
     "op3_simhash_vptree": op3_simhash_vptree,
     "op4_chat_format": op4_chat_format,
+    "op5_toxicity": op5_toxicity,
     "op6_token_blocks": op6_token_blocks,
     "op8_packing": op8_packing,
     "op9_quality_ledger": op9_quality_ledger,
