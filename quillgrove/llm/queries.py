@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrove.llm import chat_format, packing, quality_ledger, simhash_vptree, token_io, toxicity, url_trust
+from quillgrove.llm import chat_format, decontamination, line_dedup, packing, quality_ledger, simhash_vptree, token_io, toxicity, url_trust
 from quillgrove.session import read_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -50,6 +50,11 @@ def op6_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_io.token_digests(spark, path)
 
 
+def op7_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(read_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "removed_lines", F.length("text").cast("long").alias("n_chars_left"), "text")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -62,14 +67,20 @@ def op9_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
 
+def op10_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_trust": op2_url_trust,
     "op3_simhash_vptree": op3_simhash_vptree,
     "op4_chat_format": op4_chat_format,
     "op5_toxicity": op5_toxicity,
     "op6_token_blocks": op6_token_blocks,
+    "op7_line_chunks": op7_line_chunks,
     "op8_packing": op8_packing,
     "op9_quality_ledger": op9_quality_ledger,
+    "op10_template_windows": op10_template_windows,
 }
 
 SQL: dict[str, str] = {
