@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from quillgrove.llm.token_cache import END_ID, encoder
 from quillgrove.session import shared_dir
 
-BLOCK = 256
+BLOCK = 1 << 8
 #: Fixed values of Simple-8b: how many ids of how many bits, by selector.
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 WIDTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
@@ -36,7 +36,12 @@ SCHEMA = "part int, doc_id long, local_start long, n_tokens long, offsets binary
 IDS_AT_ONCE = 1 << 20
 
 
+_SHORT_BITS = np.array([i.bit_length() for i in range(1 << 16)], np.uint8)
+
+
 def _bit_lengths(values: np.ndarray) -> np.ndarray:
+    if not len(values) or values.max() < 1 << 16:
+        return _SHORT_BITS[values]
     bits = np.zeros(len(values), np.int64)
     for shift in (32, 16, 8, 4, 2, 1):
         high = values >> np.uint64(bits.dtype.type(shift)) != 0
@@ -63,7 +68,7 @@ def pack(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     length = np.full(total, BLOCK, np.int64)
     length[np.cumsum(blocks)[sizes > 0] - 1] = (sizes - (blocks - 1) * BLOCK)[sizes > 0]
     grid = np.zeros((total, BLOCK + 60), np.uint64)
-    grid[place // BLOCK, place % BLOCK] = values
+    grid.reshape(-1)[place + (place >> 8) * 60] = values  # rows are BLOCK + 60 long
     bits = _bit_lengths(grid.reshape(-1)).reshape(grid.shape).astype(np.uint8)
 
     # widest[s] at i: the bits that the COUNTS[s] values from i on need
@@ -75,34 +80,34 @@ def pack(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
             grown = most.copy()
             grown[:, :-step] = np.maximum(most[:, :-step], most[:, step:])
             reach, most = reach + step, grown
-        choice[most[:, :BLOCK] <= WIDTHS[s]] = s
+        np.copyto(choice, np.uint8(s), where=most[:, :BLOCK] <= np.uint8(WIDTHS[s]))
 
+    # all blocks step from word to word together: where each word starts, then what it holds
     position, active = np.zeros(total, np.int64), np.arange(total)
-    rounds: list[tuple[np.ndarray, np.ndarray]] = []
+    ids_of = np.append(COUNTS, [1, 1])
+    starts: list[np.ndarray] = []
+    flat_choice, width = choice.reshape(-1), grid.shape[1]
     while len(active):
-        at = position[active]
-        selector = choice[active, at].astype(np.int64)
-        word = np.zeros(len(active), np.uint64)
-        for s in np.unique(selector):
-            mine = np.nonzero(selector == s)[0]
-            rows, columns = active[mine], at[mine]
-            if s == ESCAPE:
-                word[mine] = np.uint64(ESCAPE << 60)
-                continue
-            one = np.full(len(mine), int(s) << 60, np.uint64)
-            for k in range(COUNTS[s]):
-                one |= grid[rows, columns + k] << np.uint64(k * WIDTHS[s])
-            word[mine] = one
-        rounds.append((active, word))
-        escaped = selector == ESCAPE
-        if escaped.any():
-            rounds.append((active[escaped], grid[active[escaped], at[escaped]]))
-        position[active] += np.where(escaped, 1, COUNTS[np.minimum(selector, 13)])
+        at = active * BLOCK + position[active]
+        starts.append(at)
+        position[active] += ids_of[flat_choice[at]]
         active = active[position[active] < length[active]]
-    owner = np.concatenate([r for r, _ in rounds])
-    words = np.concatenate([w for _, w in rounds])
-    order = np.argsort(owner, kind="stable")  # rounds are in order within a block
-    return words[order], np.bincount(owner, minlength=total), blocks
+    start = np.sort(np.concatenate(starts))
+    selector = flat_choice[start].astype(np.int64)
+    block = start // BLOCK
+    cell = block * width + start % BLOCK
+    values, word = grid.reshape(-1), selector.astype(np.uint64) << np.uint64(60)
+    for s in range(len(COUNTS)):
+        mine = np.nonzero(selector == s)[0]
+        one, where = word[mine], cell[mine]
+        for k in range(COUNTS[s]):
+            one |= values[where + k] << np.uint64(k * WIDTHS[s])
+        word[mine] = one
+    escaped = np.nonzero(selector == ESCAPE)[0]
+    if len(escaped):
+        word = np.insert(word, escaped + 1, values[cell[escaped]])
+        block = np.insert(block, escaped + 1, block[escaped])
+    return word, np.bincount(block, minlength=total), blocks
 
 
 def unpack(words: np.ndarray, block_words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -124,11 +129,16 @@ def unpack(words: np.ndarray, block_words: np.ndarray, lengths: np.ndarray) -> n
     stop = (begins + lengths)[block]
     out = np.zeros(int(lengths.sum()), np.uint64)
     out[start[raw]] = words[raw]
+    whole = start + counts <= stop  # only a block's last word may hold fewer ids than it has room for
     for s in range(len(COUNTS)):
-        mine = np.nonzero((selector == s) & ~raw)[0]
+        mine = np.nonzero((selector == s) & ~raw & whole)[0]
+        ends = np.nonzero((selector == s) & ~raw & ~whole)[0]
         mask = np.uint64((1 << int(WIDTHS[s])) - 1)
+        at, word = start[mine], words[mine]
         for k in range(COUNTS[s]):
-            fits = mine[start[mine] + k < stop[mine]]
+            out[at + k] = word & mask
+            word >>= np.uint64(WIDTHS[s])
+            fits = ends[start[ends] + k < stop[ends]] if len(ends) else ends
             out[start[fits] + k] = words[fits] >> np.uint64(k * WIDTHS[s]) & mask
     return out
 
