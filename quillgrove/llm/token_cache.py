@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 
 END_ID = 0
 #: Distinct pieces that a worker remembers; beyond this it starts afresh.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 1_200_000
 #: A space before white space, before a control or format character, or at the
 #: end starts no piece of its own.
 _UNSAFE = re.compile(r" (?:[\s\x00-\x1f\x7f-\xa0 ᠎ -‏ -  ⁠　﻿]|$)")
