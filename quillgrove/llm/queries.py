@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrove.llm import chat_format, decontamination, line_dedup, packing, quality_ledger, simhash_vptree, token_io, toxicity, url_trust
+from quillgrove.llm import chat_format, decontamination, html_template, line_dedup, packing, quality_ledger, simhash_vptree, token_io, toxicity, url_trust
 from quillgrove.session import read_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extract_text(read_table(spark, sf_dir, "pages"))
+
+
 #: The host rules that the url query applies.
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
@@ -72,6 +76,7 @@ def op10_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_template": op1_html_template,
     "op2_url_trust": op2_url_trust,
     "op3_simhash_vptree": op3_simhash_vptree,
     "op4_chat_format": op4_chat_format,
