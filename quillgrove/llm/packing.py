@@ -233,5 +233,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN)
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, grain: int = GRAIN) -> DataFrame:
     """Pieces of all documents with the sequence and offset of each."""
-    placed = pack_pieces(cut_pieces(docs, tokenizer_path, capacity), capacity, grain)
+    # written first: the range sort looks at its input twice
+    pieces = materialize(cut_pieces(docs, tokenizer_path, capacity), "pack-pieces")
+    placed = pack_pieces(pieces, capacity, grain)
     return placed.withColumn("length", F.col("length").cast("long"))
