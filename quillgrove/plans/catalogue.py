@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from quillgrove.plans import conversation_queries, document_queries, dynamics_queries, event_queries, recall_queries, vector_queries
+from quillgrove.plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
+_MODULES = (recall_queries, dynamics_queries, event_queries, conversation_queries, vector_queries, document_queries)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {name: f for m in _MODULES for name, f in m.query.queries.items()}
+SQL: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.query.sql.items()}
