@@ -100,11 +100,16 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _fit(text: np.ndarray, feature: np.ndarray, label: np.ndarray, weight: np.ndarray) -> Model:
-    """Ratios, then logistic regression by gradient steps with momentum and scaling."""
+def _fit(texts: list[np.ndarray], label: np.ndarray, weight: np.ndarray) -> Model:
+    """Ratios, then logistic regression by gradient steps with momentum and scaling.
+
+    ``texts``: the distinct features of each; only those chosen are laid out for the fit.
+    """
     size = 1 << BITS
-    positive = np.bincount(feature[label[text] == 1], minlength=size)
-    negative = np.bincount(feature[label[text] == 0], minlength=size)
+    counts = np.zeros((2, size), np.int64)
+    for features, k in zip(texts, label, strict=True):
+        counts[k, features] += 1
+    positive, negative = counts[1], counts[0]
     p, q = positive + SMOOTHING, negative + SMOOTHING
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     # common to the classes' totals: what a feature of equal shares of texts would have
@@ -115,8 +120,9 @@ def _fit(text: np.ndarray, feature: np.ndarray, label: np.ndarray, weight: np.nd
     chosen = chosen[ratio[chosen] != 0]
     number = np.full(size, -1)
     number[chosen] = np.arange(len(chosen))
-    inside = number[feature] >= 0
-    row, column = text[inside], number[feature[inside]]
+    columns = [number[features] for features in texts]
+    columns = [c[c >= 0] for c in columns]
+    row, column = np.repeat(np.arange(len(texts)), list(map(len, columns))), np.concatenate(columns)
     value = ratio[chosen][column]
     w, b = np.zeros(len(chosen)), float(np.log(weight[label == 1].sum() / weight[label == 0].sum()))
     m, v, mb, vb, total = w * 0, w * 0, 0.0, 0.0, weight.sum()
@@ -167,9 +173,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
         if not label:
             return
         label = np.array(label)
-        text = np.repeat(np.arange(len(label)), [len(x) for x in features])
         share = np.array([totals[0] / max(1, (label == 0).sum()), totals[1] / max(1, (label == 1).sum())])
-        model = _fit(text, np.concatenate(features).astype(np.int64), label, share[label])
+        model = _fit(features, label, share[label])
         active = np.nonzero(model.table)[0]
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.append(active, -1)), pa.array(np.append(model.table[active], model.intercept))], ["feature", "weight"]
