@@ -177,12 +177,14 @@ def main_text(page: str | None, classes: list[list[str]] | None) -> str:
     walker = Walker()
     blocks: tuple[list[str], list[str], list[str]] = ([], [], [])  # in no main element, in a hinted one, in the main one
     now: list[str] = []
-    level = 0
+    level, fills = 0, False
 
     def end() -> None:
-        if now and (block := " ".join(html_module.unescape("".join(now)).split())):
+        nonlocal fills
+        if fills and (block := " ".join(html_module.unescape("".join(now)).split())):
             blocks[level].append(block)
         now.clear()
+        fills = False
 
     for kind, name, words in page_tokens(page):
         if kind == "text":
@@ -191,9 +193,10 @@ def main_text(page: str | None, classes: list[list[str]] | None) -> str:
             if walker.main != level:
                 end()
                 level = walker.main
-            # text of the template itself fills no slot; inside the main element every text is the article's
-            if walker.main == 2 or not fixed or not name.strip() or token_key(kind, name, words, walker.stack[-1][0] if walker.stack else "") not in fixed:
-                now.append(name)
+            now.append(name)
+            # a block of the template's own text alone fills no slot; inside the main element every text is the article's
+            place = walker.stack[-1][0] if walker.stack else ""
+            fills = fills or walker.main == 2 or not fixed or bool(name.strip()) and token_key(kind, name, words, place) not in fixed
             continue
         if name not in INLINE:
             end()
