@@ -77,9 +77,9 @@ def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping:
 
 
 def reverse(edges: DataFrame) -> DataFrame:
-    """Links the other way, with shares of the incoming links."""
-    total = edges.groupBy("dst").agg(F.sum("share").alias("total"))
-    return edges.join(total, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), (F.col("share") / F.col("total")).alias("share"))
+    """Links the other way; each keeps its share of the linking host's links, so distrust is the
+    damped chance that a walk along a host's links meets a blocked seed."""
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "share")
 
 
 def host_scores(ruled: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ h AS (SELECT host, avg(CASE WHEN ruling = 'allow' THEN 1.0 ELSE 0.0 END) AS allo
 l AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, '{anchor}', 1)), '{UPPER}', '{LOWER}') AS dst FROM r WHERE host <> ''),
 c AS (SELECT src, dst, count(*) AS n FROM l WHERE src <> dst GROUP BY src, dst),
 e AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM c),
-back AS (SELECT dst AS src, src AS dst, share / sum(share) OVER (PARTITION BY dst) AS share FROM e),
+back AS (SELECT dst AS src, src AS dst, share FROM e),
 {", ".join(steps)},
 s AS (SELECT host FROM distrust{rounds} d LEFT JOIN trust{rounds} t USING (host) WHERE d.score >= {distrust} AND d.score > coalesce(t.score, 0))
 SELECT page_id, host, path, rule, coalesce(ruling, CASE WHEN host IN (SELECT host FROM s) THEN 'block' END, 'allow') AS verdict FROM r
