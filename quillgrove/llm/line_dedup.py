@@ -112,9 +112,10 @@ def remove_chunks(docs: DataFrame, repeated: DataFrame, divisor: int = DIVISOR,
     names = docs.columns
     fields = [T.StructField("text", T.StringType()) if f.name == "text" else f for f in docs.schema.fields]
     out = T.StructType([*fields, T.StructField("removed_lines", T.LongType())])
-    marks = repeated.groupBy("id").agg(F.collect_list(F.struct("number", "hash")).alias("_marks"))
-    joined = docs.withColumns({"text": F.col("text").cast("string"), "_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))})
-    joined = joined.join(marks.withColumnRenamed("id", "_id"), "_id", "left").select(*names, "_marks")
+    own = "_" * max(map(len, names))  # a prefix that no column of the documents has
+    marks = repeated.groupBy(F.col("id").alias(own + "id")).agg(F.collect_list(F.struct("number", "hash")).alias(own + "marks"))
+    joined = docs.withColumns({"text": F.col("text").cast("string"), own + "id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))})
+    joined = joined.join(marks, own + "id", "left").select(*names, own + "marks")
     at_text, at_chars = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
