@@ -97,11 +97,12 @@ def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, long_words: int = L
 
     keyed = _keyed(docs)
     found = materialize(keyed.mapInArrow(list_chunks, "id long, number int, hash long"), "line-chunks")
-    again = found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    again = materialize(found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "line-again")
     wanted = found.join(again, "hash").groupBy("id").agg(F.collect_set("hash").alias("wanted"))
     texts = keyed.join(wanted, "id").mapInArrow(cut_texts, "id long, number int, hash long, raw binary")
     texts = materialize(texts, "line-texts")
-    firsts = texts.groupBy("hash", "raw").agg(F.min(F.struct("id", "number")).alias("first"))
+    # a table of its own, so that both sides of the join are shuffled for it and a hot chunk's side can be split
+    firsts = materialize(texts.groupBy("hash", "raw").agg(F.min(F.struct("id", "number")).alias("first")), "line-firsts")
     later = texts.join(firsts, ["hash", "raw"]).where(F.struct("id", "number") != F.col("first"))
     return later.select("id", "number", "hash").distinct()
 
