@@ -158,3 +158,38 @@ def test_collections_logs_and_snapshots(spark, tmp_path):
     assert files.read_snapshot(spark, str(tmp_path / "s"), 1).count() == 1
     listed = files.scan_files(spark, str(tmp_path), "*.json", max_bytes=30).collect()
     assert {r.extension for r in listed} == {"json"} and sum(r.preview is None for r in listed) == 1
+
+
+def test_entities_repeats_and_bullets():
+    from quillgrove.operators import signals as S
+
+    assert S.entities_of("The Anna Rossi went. Then Rome was far from Anna Rossi") == {"Anna Rossi": 2}
+    assert S.entities_of(None) == {}
+    assert S.cut_repeats("a\nb\nc\nb\nc\nd") == "a\nb\nc" and S.cut_repeats("a\nb") == "a\nb"
+    assert S.distinct_bullets("- One\n* one two\n1. Three\ntext") == ["One", "Three"]
+
+
+def test_due_dates():
+    from datetime import datetime
+
+    from quillgrove.operators.temporal import due_date
+
+    now = datetime(2024, 1, 2, 11, 0)  # a Tuesday
+    assert due_date("domani alle 10:30", now) == (datetime(2024, 1, 3, 10, 30), None, None)
+    assert due_date("martedì", now) == (datetime(2024, 1, 9, 9, 0), None, None)
+    assert due_date("ogni 3 ore", now) == (datetime(2024, 1, 2, 14, 0), 3, "hours")
+    assert due_date("", now) is None and due_date(None, now) is None
+
+
+def test_layouts_keep_null_zero_and_absent_apart(spark):
+    from quillgrove.operators.records import normalise
+
+    rows = [
+        '{"id": "a", "activation": 0, "accessCount": 0, "orbital": {"activation_score": 0.5}}', '{"id": "b", "activation": null, "orbital": {"activation_score": 0.5}, "tags": null}',
+        '{"id": "c", "orbital": {"activation_score": 0.5}, "content": {"text": "t"}, "text": "no"}', '{"id": "d", "content": "plain", "text": "no"}', "not json",
+    ]
+    out = {r.id: r for r in normalise(spark.createDataFrame([(r,) for r in rows], "record string")).collect()}
+    assert (out["a"].layout, out["a"].activation, out["a"].access_count) == ("hybrid", 0.0, 0)
+    assert out["b"].activation is None and out["b"].has_activation and out["b"].tags is None
+    assert (out["c"].layout, out["c"].text, out["c"].activation) == ("nested", "t", 0.5)
+    assert (out["d"].layout, out["d"].text) == ("unknown", "plain") and out[None].layout == "unknown"
