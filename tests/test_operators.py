@@ -163,7 +163,7 @@ def test_collections_logs_and_snapshots(spark, tmp_path):
 def test_entities_repeats_and_bullets():
     from quillgrove.operators import signals as S
 
-    assert S.entities_of("The Anna Rossi went. Then Rome was far from Anna Rossi") == {"Anna Rossi": 2}
+    assert S.entities_of("The Anna Rossi went. Then Rome was far from Anna Rossi") == {"Anna Rossi": 2, "Rome": 1}
     assert S.entities_of(None) == {}
     assert S.cut_repeats("a\nb\nc\nb\nc\nd") == "a\nb\nc" and S.cut_repeats("a\nb") == "a\nb"
     assert S.distinct_bullets("- One\n* one two\n1. Three\ntext") == ["One", "Three"]
