@@ -28,6 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgrove.llm.worker import held
+
 WINDOW = 8
 #: Windows hold at least so many tokens that aren't placeholders.
 MIN_WORDS = 4
@@ -37,7 +39,7 @@ CONSISTENCY = 0.8
 #: The benchmark is sent to the tasks up to this many characters of text.
 MAX_SENT_CHARS = 32_000_000
 #: Words remembered by a worker.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 
 NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,/:]*%?")
 NUMBER_UNIT = re.compile(r"([+-]?[$€£]?\d[\d.,/:]*)([A-Za-z]{1,6})")
@@ -241,7 +243,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, max_sent_chars: int = MA
     sent = docs.sparkSession.sparkContext.broadcast(_index(items))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
+        words = held("words", _Words)
         for batch in batches:
             found = [(d, *m) for d, x in zip(*(c.to_pylist() for c in batch.columns), strict=True) for m in sent.value.matches(x, words)]
             yield _rows(found)
@@ -292,7 +294,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_sent_chars: int = M
     at_id = docs.columns.index("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
+        words = held("words", _Words)
         for batch in batches:
             texts, ids = batch.column(at).to_pylist(), batch.column(at_id).to_pylist()
             clean = [d is None or not sent.value.matches(x, words) for d, x in zip(ids, texts, strict=True)]

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillgrove.llm.worker import release
 from quillgrove.session import materialize
 
 #: One line in so many ends a chunk, on average.
@@ -76,6 +77,7 @@ def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, long_words: int = L
     """``id, number, hash`` of every chunk to remove: it equals an earlier one byte by byte."""
 
     def list_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             ids, numbers, hashes = [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgrove.llm.worker import release
 from quillgrove.operators.components import connected_components
 from quillgrove.session import materialize
 
@@ -113,6 +114,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, views: int = 0, keep: int =
     """``doc_id, fp`` (a signed 64-bit pattern): one row a document, or one a view."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).cast(pa.binary())
             if views:

@@ -15,6 +15,8 @@ from itertools import chain
 import numpy as np
 from tokenizers import Tokenizer
 
+from quillgrove.llm.worker import held
+
 END_ID = 0
 #: Distinct pieces that a worker remembers; beyond this it starts afresh.
 CACHE_PIECES = 1_200_000
@@ -109,11 +111,6 @@ def _pieces(text: str) -> list[str]:
     return [x for x in out if x]
 
 
-_encoders: dict[str, PieceEncoder] = {}
-
-
 def encoder(path: str) -> PieceEncoder:
     """The encoder of this Python worker for a tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    return held(f"encoder {path}", lambda: PieceEncoder(path))

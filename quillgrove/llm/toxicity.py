@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillgrove.llm.token_io import groups_by_size
+from quillgrove.llm.worker import release
 from quillgrove.session import materialize
 
 NGRAMS = (4, 5, 6)
@@ -154,6 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     chosen = [known.where(F.col("toxic") == k).orderBy(order).limit(per_class) for k in (0, 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             text, feature = text_features(batch.column(0).to_pylist())
             ends = np.cumsum(np.bincount(text, minlength=len(batch)))
@@ -166,6 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     rows = materialize(texts.mapInArrow(run, "toxic int, features binary"), "toxic-features")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         label, features = [], []
         for batch in batches:
             label += batch.column(0).to_pylist()
@@ -199,6 +202,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         where, weights, intercept = sent.value
         table = np.zeros(1 << BITS)
         table[where] = weights
