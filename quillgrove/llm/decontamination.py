@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrove.llm.worker import held
+from quillgrove.llm.worker import held, small_batches
 
 WINDOW = 8
 #: Windows hold at least so many tokens that aren't placeholders.
@@ -222,6 +222,7 @@ def _rows(found: list[tuple]) -> pa.RecordBatch:
 
 
 def _sides(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("item_text"))
     return texts, items.where("item_id is not null")

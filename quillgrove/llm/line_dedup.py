@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgrove.llm.worker import release
+from quillgrove.llm.worker import release, small_batches
 from quillgrove.session import materialize
 
 #: One line in so many ends a chunk, on average.
@@ -97,6 +97,7 @@ def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, long_words: int = L
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["id", "number", "hash", "raw"])
 
+    small_batches(docs.sparkSession)
     keyed = _keyed(docs)
     found = materialize(keyed.mapInArrow(list_chunks, "id long, number int, hash long"), "line-chunks")
     again = materialize(found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "line-again")

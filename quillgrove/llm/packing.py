@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from quillgrove.llm.token_cache import encoder
 from quillgrove.llm.token_io import groups_by_size, with_end
+from quillgrove.llm.worker import small_batches
 from quillgrove.session import materialize
 
 CAPACITY = 1024
@@ -62,6 +63,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -
                     ["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
                 )
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrove.llm.worker import release
+from quillgrove.llm.worker import release, small_batches
 from quillgrove.operators.components import connected_components
 from quillgrove.session import materialize
 
@@ -125,6 +125,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, views: int = 0, keep: int =
                 fps = np.fromiter((simhash(words_of(x.as_py()), shingle) for x in texts), np.uint64, len(batch))
             yield pa.RecordBatch.from_arrays([ids, pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillgrove.llm.token_io import groups_by_size
-from quillgrove.llm.worker import release
+from quillgrove.llm.worker import release, small_batches
 from quillgrove.session import materialize
 
 NGRAMS = (4, 5, 6)
@@ -42,7 +42,7 @@ L2 = 1e-4
 STEPS = 300
 THRESHOLD = 0.3
 #: Bytes hashed at a time.
-SPAN = 1 << 21
+SPAN = 1 << 19
 GAP = b" " + b"\0" * max(NGRAMS) + b" "
 
 # letters in lower case; ASCII punctuation and white space as one kind of gap
@@ -101,31 +101,27 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _fit(texts: list[np.ndarray], label: np.ndarray, weight: np.ndarray) -> Model:
-    """Ratios, then logistic regression by gradient steps with momentum and scaling.
-
-    ``texts``: the distinct features of each; only those chosen are laid out for the fit.
-    """
-    size = 1 << BITS
-    counts = np.zeros((2, size), np.int64)
-    for features, k in zip(texts, label, strict=True):
-        counts[k, features] += 1
-    positive, negative = counts[1], counts[0]
-    p, q = positive + SMOOTHING, negative + SMOOTHING
+def _choose(counts: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features to fit and their ratios, from ``counts[class, feature]`` and each class's number of texts."""
+    p, q = counts[1] + SMOOTHING, counts[0] + SMOOTHING
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     # common to the classes' totals: what a feature of equal shares of texts would have
-    ratio -= np.log((label == 1).sum() / p.sum()) - np.log((label == 0).sum() / q.sum())
+    ratio -= np.log(texts[1] / p.sum()) - np.log(texts[0] / q.sum())
     errors = np.abs(ratio) / np.sqrt(1 / p + 1 / q)
     ratio[errors < MIN_ERRORS] = 0
     chosen = np.sort(np.argsort(-errors, kind="stable")[:MAX_FEATURES])
     chosen = chosen[ratio[chosen] != 0]
-    number = np.full(size, -1)
-    number[chosen] = np.arange(len(chosen))
-    columns = [number[features] for features in texts]
-    columns = [c[c >= 0] for c in columns]
-    row, column = np.repeat(np.arange(len(texts)), list(map(len, columns))), np.concatenate(columns)
-    value = ratio[chosen][column]
-    w, b = np.zeros(len(chosen)), float(np.log(weight[label == 1].sum() / weight[label == 0].sum()))
+    return chosen, ratio[chosen]
+
+
+def _fit(columns: list[np.ndarray], ratio: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and intercept: logistic regression by gradient steps with momentum and scaling.
+
+    ``columns``: which of the chosen features each text has; their values are the ratios.
+    """
+    row, column = np.repeat(np.arange(len(columns)), list(map(len, columns))), np.concatenate(columns)
+    value = ratio[column]
+    w, b = np.zeros(len(ratio)), float(np.log(weight[label == 1].sum() / weight[label == 0].sum()))
     m, v, mb, vb, total = w * 0, w * 0, 0.0, 0.0, weight.sum()
     for step in range(1, STEPS + 1):
         z = b + np.bincount(row, weights=w[column] * value, minlength=len(label))
@@ -137,14 +133,14 @@ def _fit(texts: list[np.ndarray], label: np.ndarray, weight: np.ndarray) -> Mode
         rate = 0.05 if step < STEPS * 2 // 3 else 0.01
         w -= rate * (m / scale) / (np.sqrt(v / late) + 1e-8)
         b -= rate * (mb / scale) / (np.sqrt(vb / late) + 1e-8)
-    table = np.zeros(size)
-    table[chosen] = w * ratio[chosen]
-    table[np.abs(table) < 1e-3] = 0
-    return Model(table, b)
+    out = w * ratio
+    out[np.abs(out) < 1e-3] = 0
+    return out, b
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Fit on labelled rows that aren't held out."""
+    small_batches(docs.sparkSession)
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     totals = {int(r["toxic"] > 0): r["n"] for r in known.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
@@ -167,24 +163,45 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
     texts = docs.join(F.broadcast(sample), "doc_id").select(F.col("text").cast("string"), "toxic")
     rows = materialize(texts.mapInArrow(run, "toxic int, features binary"), "toxic-features")
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        counts, texts = np.zeros((2, 1 << BITS), np.int32), np.zeros(2, np.int64)
+        for batch in batches:
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                counts[k, np.frombuffer(x.as_buffer(), "<u4")] += 1
+                texts[k] += 1
+        if texts.all():
+            chosen, ratio = _choose(counts, texts)
+            head = [np.array([-1, -2]), chosen], [texts.astype(float), ratio]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in head], ["feature", "weight"])
+
+    # one task at a time reads the bounded sample, a batch after the other; its result is at most MAX_FEATURES numbers
+    one = rows.coalesce(1)
+    picked = {r.feature: r.weight for r in one.mapInArrow(count, "feature long, weight double").collect()}
+    if not picked:
+        share = totals[1] / (totals[0] + totals[1])
+        return Model(np.zeros(1 << BITS), float(np.log(share / (1 - share))))
+    sizes = np.array([picked.pop(-1), picked.pop(-2)])
+    features = np.array(sorted(picked), np.int64)
+    ratios = np.array([picked[f] for f in features])
+    per_text = np.array([totals[0], totals[1]]) / sizes
+
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
-        label, features = [], []
+        number = np.full(1 << BITS, -1, np.int32)
+        number[features] = np.arange(len(features))
+        label, columns = [], []
         for batch in batches:
-            label += batch.column(0).to_pylist()
-            features += [np.frombuffer(x, "<u4") for x in batch.column(1).to_pylist()]
-        if not label:
-            return
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held = number[np.frombuffer(x.as_buffer(), "<u4")]
+                label.append(k)
+                columns.append(held[held >= 0])
         label = np.array(label)
-        share = np.array([totals[0] / max(1, (label == 0).sum()), totals[1] / max(1, (label == 1).sum())])
-        model = _fit(features, label, share[label])
-        active = np.nonzero(model.table)[0]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(active, -1)), pa.array(np.append(model.table[active], model.intercept))], ["feature", "weight"]
-        )
-
-    # one task holds the bounded sample; its result is at most MAX_FEATURES numbers
-    fitted = rows.coalesce(1).mapInArrow(fit, "feature long, weight double").collect()
+        weights, intercept = _fit(columns, ratios, label, per_text[label])
+        active = np.nonzero(weights)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(features[active], -1)), pa.array(np.append(weights[active], intercept))], ["feature", "weight"])
+
+    fitted = one.mapInArrow(fit, "feature long, weight double").collect()
     table, intercept = np.zeros(1 << BITS), 0.0
     for r in fitted:
         if r.feature < 0:
@@ -197,6 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``score`` (one that they have is replaced), from the whole text alone."""
     docs = docs.drop("score")
+    small_batches(docs.sparkSession)
     active = np.nonzero(model.table)[0]
     sent = docs.sparkSession.sparkContext.broadcast((active.astype(np.int32), model.table[active], model.intercept))
     names = docs.columns
