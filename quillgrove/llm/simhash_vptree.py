@@ -19,6 +19,7 @@ no member has an id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -294,16 +295,76 @@ def confirm_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, similarity:
     return sides.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
 
 
+def _near_keys(words: list[bytes], size: int, tables: int, rows: int) -> np.ndarray:
+    """One key per table: the least hashes of ``rows`` permutations, mixed; texts of similarity s share it with s ** rows."""
+    odd = np.arange(1, tables * rows + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4E) + np.uint64(1)
+    least = np.full(tables * rows, np.iinfo(np.uint64).max)
+    for block in shingle_hashes(words, size):
+        for at in range(0, len(block), 4096):
+            mixed = block[at : at + 4096, None] * odd
+            mixed ^= mixed >> np.uint64(31)
+            mixed *= odd[::-1]
+            least = np.minimum(least, mixed.min(axis=0))
+    key = np.arange(tables, dtype=np.uint64)
+    for part in least.reshape(tables, rows).T:
+        key = (key ^ part) * np.uint64(0x9FB21C651E98DF25)
+        key ^= key >> np.uint64(29)
+    return key
+
+
+def near_buckets(texts: DataFrame, shingle: int, tables: int, rows: int) -> DataFrame:
+    """``bucket, key``: for every text one bucket a table, those with one member left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            found = [_near_keys(words_of(x.as_py()), shingle, tables, rows) for x in batch.column(1)]
+            keys = batch.column(0).take(pa.array(np.repeat(np.arange(len(batch)), tables)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(found, np.uint64).reshape(-1).view(np.int64)), keys], ["bucket", "key"])
+
+    all_rows = materialize(texts.select("key", "text").mapInArrow(run, "bucket long, key long"), "dup-near")
+    shared = all_rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
+    return materialize(all_rows.join(shared, "bucket"), "dup-near-shared")
+
+
+def _star_round(left: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Compare a bucket's members with one of them: (links, members that it doesn't confirm).
+
+    Each bucket has an order of its own, so a member meets other heads in other buckets.
+    """
+    turn = F.struct(F.xxhash64("bucket", "key").alias("turn"), "key")
+    heads = left.groupBy("bucket").agg(F.min(turn).alias("first")).select("bucket", F.col("first.key").alias("head"))
+    stars = left.join(heads, "bucket").where("key <> head")
+    pairs = stars.select(F.least("head", "key").alias("a"), F.greatest("head", "key").alias("b")).distinct()
+    links = materialize(confirm_pairs(pairs, texts, shingle, similarity), "dup-links")
+    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    found = both.select(F.col("a").alias("head"), F.col("b").alias("key"))
+    return links, materialize(stars.join(found, ["head", "key"], "left_anti").select("bucket", "key"), "dup-left")
+
+
+def _open_pairs(buckets: DataFrame, links: DataFrame) -> DataFrame:
+    """``a, b``: pairs of a bucket that the links don't connect yet."""
+    classes = connected_components(links, "a", "b").withColumnRenamed("node", "key")
+    rows = buckets.join(classes, "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("class"))
+    several = rows.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("bucket")
+    rows = materialize(rows.join(several, "bucket"), "dup-open")
+    ours, theirs = (rows.select("bucket", F.col("key").alias(k), F.col("class").alias(f"class_{k}")) for k in ("a", "b"))
+    return ours.join(theirs, "bucket").where("class_a < class_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def verified_duplicates(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, views: int = 8, keep: int = 3, radius: int = 2, rounds: int = 6
+    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, views: int = 8, keep: int = 3, radius: int = 2, tables: int = 32, rows: int = 8
 ) -> DataFrame:
     """``doc_id, class_id``: documents linked by word-shingle similarity.
 
     Rows with the same text form one node (its key is the text's hash).  Nodes
     whose view fingerprints link share a bucket; the texts of a bucket are
-    compared with one head, and those that the head doesn't confirm form stars of
-    their own in the next round.  What is left after ``rounds`` is compared in
-    full.  A node without any doc_id stays a class of its own.
+    compared with two heads, one after the other.  Buckets that these don't
+    explain hold texts that only share a passage: all their members, also those
+    that a head confirmed, go to narrower buckets (``tables`` keys of ``rows``
+    least hashes).  Those have three heads; then only pairs that the links so far
+    don't connect are compared, so no member of a class is held against its others.
+    A node without any doc_id stays a class of its own.
     """
     keyed = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
@@ -319,24 +380,19 @@ def verified_duplicates(
     left = materialize(buckets.join(shared, "bucket"), "dup-buckets")
     wanted = nodes.join(left.select("key").distinct(), "key", "left_semi").select("key", F.col("first_id").alias("doc_id"))
     texts = materialize(keyed.join(wanted, ["key", "doc_id"], "left_semi").select("key", "text"), "dup-texts")
-    confirmed = []
-    for _ in range(rounds):
-        heads = left.groupBy("bucket").agg(F.min("key").alias("head"))
-        stars = left.join(heads, "bucket").where("key <> head")
-        pairs = stars.select(F.col("head").alias("a"), F.col("key").alias("b")).distinct()
-        good = materialize(confirm_pairs(pairs, texts, shingle, similarity), "dup-links")
-        confirmed.append(good)
-        found = good.select(F.col("a").alias("head"), F.col("b").alias("key"))
-        left = materialize(stars.join(found, ["head", "key"], "left_anti").select("bucket", "key"), "dup-left")
-        if left.isEmpty():
-            break
-    else:
-        other = left.withColumnRenamed("key", "b")
-        pairs = left.withColumnRenamed("key", "a").join(other, "bucket").where("a < b").select("a", "b").distinct()
+    confirmed, wide = [], left
+    for _ in range(2):
+        links, left = _star_round(left, texts, shingle, similarity)
+        confirmed.append(links)
+    if not left.isEmpty():
+        open_keys = wide.join(left.select("bucket").distinct(), "bucket", "left_semi").select("key").distinct()
+        near = left = near_buckets(texts.join(open_keys, "key", "left_semi"), shingle, tables, rows)
+        for _ in range(3):
+            links, left = _star_round(left, texts, shingle, similarity)
+            confirmed.append(links)
+        pairs = _open_pairs(near, reduce(DataFrame.union, confirmed))
         confirmed.append(materialize(confirm_pairs(pairs, texts, shingle, similarity), "dup-links"))
-    links = confirmed[0]
-    for more in confirmed[1:]:
-        links = links.union(more)
+    links = reduce(DataFrame.union, confirmed)
     classes = connected_components(links, "a", "b").withColumnRenamed("node", "key")
     rooted = nodes.join(classes, "key", "left").withColumn("root", F.coalesce("component", "key"))
     names = rooted.groupBy("root").agg(F.min("first_id").alias("class_id"))
