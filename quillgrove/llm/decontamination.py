@@ -4,7 +4,9 @@ Words become tokens: numbers, units and names turn into typed placeholders (a ru
 of names into one), other words are lower-cased without the punctuation around
 them.  Windows of tokens are hashed; a document that holds at least half of an
 item's windows, and whose slots replace the item's values consistently (one value
-for each, and back), contains the item, verbatim or with other parameters.
+for each, and back), contains the item, verbatim or with other parameters.  Both
+are judged for each occurrence of the item in the document and for all of its
+windows together (a copy in another order); one that passes is enough.
 
 The items' windows are sent to the tasks if the benchmark's text is below a checked
 size; each document is then judged where it lies, without a shuffle.  Beyond that,
@@ -124,6 +126,35 @@ def window_hashes(t: Template, size: int) -> tuple[np.ndarray, np.ndarray]:
     return enough, h[enough]
 
 
+def occurrences(item_at: np.ndarray, doc_at: np.ndarray) -> list[np.ndarray]:
+    """The matches of an item's windows by place in the document, as row numbers of each place.
+
+    Places are found twice.  As runs of nearly equal diagonals, where the distance
+    to the next stays below a window.  And in reading order: a match goes on with the
+    open place if its item position lies ahead, best on the same diagonal (so text in
+    between may be of any length), and opens the next place if none does.
+    """
+    diagonal = doc_at - item_at
+    order = np.argsort(diagonal, kind="stable")
+    found = np.split(order, np.nonzero(np.diff(diagonal[order]) >= WINDOW)[0] + 1)
+    order = np.lexsort((item_at, doc_at))
+    place: list[int] = []
+    last_item, last_doc = -1, -1
+    for rows in np.split(order, np.nonzero(np.diff(doc_at[order]))[0] + 1):
+        at, here = item_at[rows], int(doc_at[rows[0]])
+        ahead = np.nonzero(at > last_item)[0]
+        same = np.nonzero(at == last_item + here - last_doc)[0]
+        if len(ahead):
+            pick = same[0] if len(same) else ahead[0]
+        else:
+            found.append(np.array(place, np.int64))
+            place, pick = [], 0
+        place.append(int(rows[pick]))
+        last_item, last_doc = int(at[pick]), here
+    found.append(np.array(place, np.int64))
+    return found
+
+
 def item_window(t: Template) -> int:
     """How long this item's windows are: short items are one window."""
     n = len(t.hashes)
@@ -184,13 +215,24 @@ class Index:
         items, item_at, doc_at, spans = map(np.concatenate, (items, item_at, doc_at, spans))
         out = []
         for i in np.unique(items):
-            mine = items == i
-            matched = len(np.unique(item_at[mine]))
-            if matched < COVERAGE * self.totals[i]:
+            mine = np.nonzero(items == i)[0]
+            if len(np.unique(item_at[mine])) < COVERAGE * self.totals[i]:
                 continue
-            share, changed = self._slots(self.templates[i], t, item_at[mine], doc_at[mine], spans[mine])
-            if share >= CONSISTENCY:
-                out.append((self.ids[i], int(self.totals[i]), matched, share, changed))
+            passed = []
+            for part in occurrences(item_at[mine], doc_at[mine]):
+                rows = mine[part]
+                matched = len(np.unique(item_at[rows]))
+                if matched >= COVERAGE * self.totals[i]:
+                    share, changed = self._slots(self.templates[i], t, item_at[rows], doc_at[rows], spans[rows])
+                    if share >= CONSISTENCY:
+                        passed.append((matched, share, not changed))
+            if not passed:
+                share, changed = self._slots(self.templates[i], t, item_at[mine], doc_at[mine], spans[mine])
+                if share >= CONSISTENCY:
+                    passed.append((len(np.unique(item_at[mine])), share, not changed))
+            if passed:
+                matched, share, same = max(passed)
+                out.append((self.ids[i], int(self.totals[i]), matched, share, not same))
         return out
 
     @staticmethod

@@ -443,6 +443,23 @@ def test_op10_slots_must_agree(spark):
     assert decontamination.contaminated(docs(spark, [item.replace("5", "8")]), bench(spark, [item])).count() == 1
 
 
+OTHER = ITEMS[0].replace("Rome", "Oslo").replace("240", "310").replace("35", "77").replace("Pisa", "Bergen").replace("Turin", "Malmo").replace("at 9", "at 7").replace("4 hours", "6 hours")
+THIRD = ITEMS[0].replace("Rome", "Bonn").replace("240", "88").replace("35", "21").replace("Pisa", "Ulm").replace("Turin", "Graz").replace("at 9", "at 5").replace("4 hours", "3 hours")
+
+
+@pytest.mark.parametrize("limit", [decontamination.MAX_SENT_CHARS, -1])
+def test_op10_judges_every_occurrence_by_itself(spark, limit):
+    filler = " and so it goes on with plain words " * 3
+    words = OTHER.split()
+    broken = " ".join(words[:14]) + filler + " ".join(words[14:])
+    texts = [ITEMS[0] + filler + OTHER, OTHER + filler + ITEMS[0], OTHER + filler + THIRD, ITEMS[0] + " " + OTHER + " " + THIRD, broken + filler + THIRD, filler]
+    found = decontamination.contaminated(docs(spark, texts), bench(spark, [ITEMS[0], OTHER]), limit).collect()
+    got = {(r.doc_id, r.item_id): r.other_values for r in found}
+    want = {(0, 0): False, (0, 1): False, (1, 0): False, (1, 1): False, (2, 0): True, (2, 1): False, (3, 0): False, (3, 1): False, (4, 0): True}
+    assert {k: v for k, v in got.items() if k != (4, 1)} == want and (4, 1) in got
+    assert {r.doc_id for r in decontamination.decontaminate(docs(spark, texts), bench(spark), limit).collect()} == {5}
+
+
 def test_op10_equals_plain_search(spark, small):
     c = connect(small)
     items = [(i, " ".join(t.split())) for i, t in c.execute("SELECT item_id, text FROM benchmark").fetchall()]
