@@ -12,9 +12,13 @@ The items' windows are sent to the tasks if the benchmark's text is below a chec
 size; each document is then judged where it lies, without a shuffle.  Beyond that,
 window hashes of both sides are joined and the candidate pairs verified.
 
+Items most of whose windows hold too few words besides placeholders (numbers, lists
+of names) are also looked for as they are: windows of their own words and values,
+half of them in one document.  Such a find has no slots: its consistency is 1.
+
 Defined results: null, empty and blank texts contain nothing; items of fewer than
-``MIN_TOKENS`` tokens (or with too few words besides placeholders) can't be told
-from ordinary text and never match; rows with a null id aren't reported;
+``MIN_TOKENS`` words can't be told from ordinary text and never match; rows with a
+null id aren't reported;
 repeated rows report a pair once; empty tables give no pairs.
 """
 
@@ -71,25 +75,26 @@ def canonical(word: str) -> list[tuple[int, str]]:
 
 
 class _Words(dict):
-    """word -> number; its tokens' kinds, hashes and values by number."""
+    """word -> number; its tokens' kinds, values and hashes by number."""
 
     def __init__(self):
         super().__init__()
-        self.tokens: list[list[tuple[int, str]]] = []
+        self.tokens: list[list[tuple[int, str, int]]] = []
 
     def __missing__(self, word: str) -> int:
         self[word] = number = len(self.tokens)
-        self.tokens.append(canonical(word))
+        self.tokens.append([(k, v, xxhash.xxh64_intdigest(v)) for k, v in canonical(word)])
         return number
 
 
 @dataclass
 class Template:
-    """Tokens of a text: kind and hash of each, and the values in its slots."""
+    """Tokens of a text: kind and hash of each, and the values in its slots; the hashes of all words as they are."""
 
     kinds: np.ndarray
     hashes: np.ndarray
     values: list[str]
+    exact: np.ndarray
 
 
 _HASH_OF_KIND = {NUM: 0x6E756D, UNIT: 0x756E6974, NAME: 0x6E616D65}
@@ -99,28 +104,33 @@ def template(text: str | None, words: _Words) -> Template:
     if len(words) > CACHE_WORDS:
         words.clear()
         words.tokens.clear()
-    kinds, values = [], []
+    kinds, values, hashes, exact = [], [], [], []
     for number in map(words.__getitem__, (text or "").split()):
-        for kind, value in words.tokens[number]:
+        for kind, value, h in words.tokens[number]:
+            exact.append(h)
             if kind == NAME and kinds and kinds[-1] == NAME:
                 values[-1] += " " + value
             else:
                 kinds.append(kind)
                 values.append(value)
-    digest = xxhash.xxh64_intdigest
-    hashes = [digest(v) if k == WORD else _HASH_OF_KIND[k] for k, v in zip(kinds, values, strict=True)]
-    return Template(np.array(kinds, np.int8), np.array(hashes, np.uint64), values)
+                hashes.append(h if kind == WORD else _HASH_OF_KIND[kind])
+    return Template(np.array(kinds, np.int8), np.array(hashes, np.uint64), values, np.array(exact, np.uint64))
+
+
+def _rolled(hashes: np.ndarray, size: int, seed: int) -> np.ndarray:
+    n = len(hashes) - size + 1
+    h = np.full(max(n, 0), seed, np.uint64)
+    for k in range(size if n > 0 else 0):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + hashes[k : k + n]
+        h ^= h >> np.uint64(29)
+    return h
 
 
 def window_hashes(t: Template, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(position, hash) of the windows that hold enough words."""
-    n = len(t.hashes) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = np.full(n, size, np.uint64)
-    for k in range(size):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + t.hashes[k : k + n]
-        h ^= h >> np.uint64(29)
+    h = _rolled(t.hashes, size, size)
+    if not len(h):
+        return np.zeros(0, np.int64), h
     words = np.cumsum(np.concatenate([[0], t.kinds == WORD]))
     enough = np.nonzero(words[size:] - words[:-size] >= min(MIN_WORDS, size - 1))[0]
     return enough, h[enough]
@@ -161,6 +171,19 @@ def item_window(t: Template) -> int:
     return 0 if n < MIN_TOKENS else min(WINDOW, n)
 
 
+def exact_windows(t: Template, size: int) -> np.ndarray:
+    """Hashes of all windows of the words as they are."""
+    return _rolled(t.exact, size, 1 << 32 | size)
+
+
+def exact_window(t: Template) -> int:
+    """How long an item's windows of words as they are; 0 if its template tells enough or it is too short."""
+    n, size = len(t.exact), item_window(t)
+    told = len(window_hashes(t, size)[1]) if size else 0
+    all_windows = len(t.hashes) - size + 1 if size else 1
+    return 0 if n < MIN_TOKENS or told >= COVERAGE * all_windows else min(WINDOW, n)
+
+
 @dataclass
 class Index:
     """All items' windows, sorted by hash."""
@@ -173,6 +196,8 @@ class Index:
     item: np.ndarray = None
     position: np.ndarray = None
     mask: np.ndarray = None
+    exact: dict[int, dict[int, list[int]]] = field(default_factory=dict)  # size -> hash -> items
+    exact_items: list[tuple[int, int]] = field(default_factory=list)  # (item_id, windows)
 
     @staticmethod
     def build(items: list[tuple[int, str | None]]) -> Index:
@@ -185,6 +210,11 @@ class Index:
                 sizes.add(item_window(t))
                 hashes.append(h), position.append(at), item.append(np.full(len(h), len(self.ids)))
                 self.ids.append(item_id), self.templates.append(t)
+            if size := exact_window(t):
+                own = set(exact_windows(t, size).tolist())
+                for h in own:
+                    self.exact.setdefault(size, {}).setdefault(h, []).append(len(self.exact_items))
+                self.exact_items.append((item_id, len(own)))
         self.totals = np.array([len(h) for h in hashes], np.int64)
         self.sizes = sorted(sizes)
         flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
@@ -199,6 +229,22 @@ class Index:
     def matches(self, text: str | None, words: _Words) -> list[tuple[int, int, int, float, bool]]:
         """(item_id, windows, matched, consistency, with other values) of the items a text contains."""
         t = template(text, words)
+        out = self._template_matches(t)
+        if self.exact:
+            known = {m[0] for m in out}
+            out += [m for m in self._exact_matches(t) if m[0] not in known]
+        return out
+
+    def _exact_matches(self, t: Template) -> list[tuple[int, int, int, float, bool]]:
+        hits: dict[int, int] = {}
+        for size, table in self.exact.items():
+            for h in table.keys() & set(exact_windows(t, size).tolist()):
+                for i in table[h]:
+                    hits[i] = hits.get(i, 0) + 1
+        found = ((*self.exact_items[i], n) for i, n in sorted(hits.items()))
+        return [(item_id, total, n, 1.0, False) for item_id, total, n in found if n >= COVERAGE * total]
+
+    def _template_matches(self, t: Template) -> list[tuple[int, int, int, float, bool]]:
         items, item_at, doc_at, spans = [], [], [], []
         for size in self.sizes:
             at, h = window_hashes(t, size)
@@ -298,25 +344,34 @@ def _joined(texts: DataFrame, items: DataFrame) -> DataFrame:
     """The same by a join of window hashes, for benchmarks of any size."""
     sizes = list(range(MIN_TOKENS, WINDOW + 1))
 
+    def exact_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, found = _Words(), set()
+        for batch in batches:
+            found |= {exact_window(template(x, words)) for x in batch.column(1).to_pylist()}
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(found - {0}), pa.int32())], ["size"])
+
+    as_they_are = sorted(r.size for r in items.mapInArrow(exact_sizes, "size int").distinct().collect())
+
     def windows(own: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = _Words()
             for batch in batches:
-                ids, hashes = [], []
+                ids, hashes, exact = [], [], []
                 for i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     t = template(text, words)
-                    for size in [item_window(t)] if own else sizes:
-                        for h in np.unique(window_hashes(t, size)[1]) if size else ():
-                            ids.append(i), hashes.append(int(h) - (1 << 63))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64())], ["id", "h"])
+                    found = [(h, False) for size in ([item_window(t)] if own else sizes) if size for h in np.unique(window_hashes(t, size)[1])]
+                    found += [(h, True) for size in ([exact_window(t)] if own else as_they_are) if size for h in np.unique(exact_windows(t, size))]
+                    for h, as_is in found:
+                        ids.append(i), hashes.append(int(h) - (1 << 63)), exact.append(as_is)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(exact, pa.bool_())], ["id", "h", "exact"])
 
         return run
 
-    ours = items.mapInArrow(windows(True), "id long, h long").withColumnRenamed("id", "item_id")
-    theirs = texts.mapInArrow(windows(False), "id long, h long").withColumnRenamed("id", "doc_id")
-    pairs = theirs.join(ours, "h").groupBy("doc_id", "item_id").agg(F.count("*").alias("n"))
-    needed = ours.groupBy("item_id").agg(F.count("*").alias("total"))
-    likely = pairs.join(needed, "item_id").where(F.col("n") >= F.col("total") * COVERAGE / 2).select("doc_id", "item_id")
+    ours = items.mapInArrow(windows(True), "id long, h long, exact boolean").withColumnRenamed("id", "item_id")
+    theirs = texts.mapInArrow(windows(False), "id long, h long, exact boolean").withColumnRenamed("id", "doc_id")
+    pairs = theirs.join(ours, ["h", "exact"]).groupBy("doc_id", "item_id", "exact").agg(F.count("*").alias("n"))
+    needed = ours.groupBy("item_id", "exact").agg(F.count("*").alias("total"))
+    likely = pairs.join(needed, ["item_id", "exact"]).where(F.col("n") >= F.col("total") * COVERAGE / 2).select("doc_id", "item_id").distinct()
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()

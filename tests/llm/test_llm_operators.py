@@ -460,6 +460,16 @@ def test_op10_judges_every_occurrence_by_itself(spark, limit):
     assert {r.doc_id for r in decontamination.decontaminate(docs(spark, texts), bench(spark), limit).collect()} == {5}
 
 
+@pytest.mark.parametrize("limit", [decontamination.MAX_SENT_CHARS, -1])
+def test_op10_finds_copies_of_items_with_few_words(spark, limit):
+    items = ["Compute 12, 7, 45, 3 by 8, 19, 4", "Anna Berg, Carl Dahl, Emma Falk, Gustav Holm 3, 5, 7", "17 23 31 42 58 61", *ITEMS]
+    filler = "some plain words that belong to no question at all and go on for a while "
+    texts = [filler + x + " " + filler for x in items[:3]] + ["With " + items[1], "Compute 11, 9, 44, 2 by 6, 15, 8", "17 23 31 42 58 60", filler, None]
+    got = {(r.doc_id, r.item_id, r.consistency, r.other_values) for r in decontamination.contaminated(docs(spark, texts), bench(spark, items), limit).collect()}
+    assert got == {(0, 0, 1.0, False), (1, 1, 1.0, False), (2, 2, 1.0, False), (3, 1, 1.0, False)}
+    assert {r.doc_id for r in decontamination.decontaminate(docs(spark, texts), bench(spark, items), limit).collect()} == {4, 5, 6, 7}
+
+
 def test_op10_equals_plain_search(spark, small):
     c = connect(small)
     items = [(i, " ".join(t.split())) for i, t in c.execute("SELECT item_id, text FROM benchmark").fetchall()]
