@@ -40,6 +40,8 @@ TREE_SAMPLE = 1 << 15
 #: Fingerprints aimed at per leaf of that tree.
 LEAF_SIZE = 16_384
 LOCAL_LEAF = 48
+#: All open pairs of a bucket of so many members are compared; larger ones go to narrower buckets.
+SMALL_BUCKET = 64
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -327,8 +329,8 @@ def near_buckets(texts: DataFrame, shingle: int, tables: int, rows: int) -> Data
     return materialize(all_rows.join(shared, "bucket"), "dup-near-shared")
 
 
-def _star_round(left: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Compare a bucket's members with one of them: (links, members that it doesn't confirm).
+def _star_round(left: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Compare a bucket's members with one of them: (links, members that it doesn't confirm, pairs compared).
 
     Each bucket has an order of its own, so a member meets other heads in other buckets.
     """
@@ -336,18 +338,23 @@ def _star_round(left: DataFrame, texts: DataFrame, shingle: int, similarity: flo
     heads = left.groupBy("bucket").agg(F.min(turn).alias("first")).select("bucket", F.col("first.key").alias("head"))
     stars = left.join(heads, "bucket").where("key <> head")
     pairs = stars.select(F.least("head", "key").alias("a"), F.greatest("head", "key").alias("b")).distinct()
+    pairs = materialize(pairs, "dup-compared")
     links = materialize(confirm_pairs(pairs, texts, shingle, similarity), "dup-links")
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     found = both.select(F.col("a").alias("head"), F.col("b").alias("key"))
-    return links, materialize(stars.join(found, ["head", "key"], "left_anti").select("bucket", "key"), "dup-left")
+    return links, materialize(stars.join(found, ["head", "key"], "left_anti").select("bucket", "key"), "dup-left"), pairs
 
 
-def _open_pairs(buckets: DataFrame, links: DataFrame) -> DataFrame:
-    """``a, b``: pairs of a bucket that the links don't connect yet."""
+def _open_rows(buckets: DataFrame, links: DataFrame) -> DataFrame:
+    """``bucket, key, class`` of the buckets that hold more than one class of the links."""
     classes = connected_components(links, "a", "b").withColumnRenamed("node", "key")
     rows = buckets.join(classes, "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("class"))
     several = rows.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("bucket")
-    rows = materialize(rows.join(several, "bucket"), "dup-open")
+    return materialize(rows.join(several, "bucket"), "dup-open")
+
+
+def _open_pairs(rows: DataFrame) -> DataFrame:
+    """``a, b``: pairs of a bucket that the links don't connect yet."""
     ours, theirs = (rows.select("bucket", F.col("key").alias(k), F.col("class").alias(f"class_{k}")) for k in ("a", "b"))
     return ours.join(theirs, "bucket").where("class_a < class_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
@@ -359,8 +366,10 @@ def verified_duplicates(
 
     Rows with the same text form one node (its key is the text's hash).  Nodes
     whose view fingerprints link share a bucket; the texts of a bucket are
-    compared with two heads, one after the other.  Buckets that these don't
-    explain hold texts that only share a passage: all their members, also those
+    compared with two heads, one after the other.  A bucket whose members each
+    met a head may still hold several classes: up to ``SMALL_BUCKET`` members its
+    pairs that weren't compared yet are.  Larger ones, and buckets that the heads
+    don't explain, hold texts that only share a passage: all their members, also those
     that a head confirmed, go to narrower buckets (``tables`` keys of ``rows``
     least hashes).  Those have three heads; then only pairs that the links so far
     don't connect are compared, so no member of a class is held against its others.
@@ -381,16 +390,26 @@ def verified_duplicates(
     wanted = nodes.join(left.select("key").distinct(), "key", "left_semi").select("key", F.col("first_id").alias("doc_id"))
     texts = materialize(keyed.join(wanted, ["key", "doc_id"], "left_semi").select("key", "text"), "dup-texts")
     confirmed, wide = [], left
+    compared = []
     for _ in range(2):
-        links, left = _star_round(left, texts, shingle, similarity)
-        confirmed.append(links)
-    if not left.isEmpty():
-        open_keys = wide.join(left.select("bucket").distinct(), "bucket", "left_semi").select("key").distinct()
+        links, left, pairs = _star_round(left, texts, shingle, similarity)
+        confirmed.append(links), compared.append(pairs)
+    # the only pair of a bucket of two has been compared
+    met = shared.where("size > 2").join(left.select("bucket").distinct(), "bucket", "left_anti")
+    met = _open_rows(wide.join(met.select("bucket"), "bucket"), reduce(DataFrame.union, confirmed))
+    sizes = met.groupBy("bucket").agg(F.count("*").alias("size"))
+    few = met.join(sizes.where(F.col("size") <= SMALL_BUCKET).select("bucket"), "bucket")
+    pairs = _open_pairs(few).join(reduce(DataFrame.union, compared), ["a", "b"], "left_anti")
+    confirmed.append(materialize(confirm_pairs(pairs, texts, shingle, similarity), "dup-links"))
+    open_buckets = left.select("bucket").union(sizes.where(F.col("size") > SMALL_BUCKET).select("bucket")).distinct()
+    open_buckets = materialize(open_buckets, "dup-open-buckets")
+    if not open_buckets.isEmpty():
+        open_keys = wide.join(open_buckets, "bucket", "left_semi").select("key").distinct()
         near = left = near_buckets(texts.join(open_keys, "key", "left_semi"), shingle, tables, rows)
         for _ in range(3):
-            links, left = _star_round(left, texts, shingle, similarity)
+            links, left, _ = _star_round(left, texts, shingle, similarity)
             confirmed.append(links)
-        pairs = _open_pairs(near, reduce(DataFrame.union, confirmed))
+        pairs = _open_pairs(_open_rows(near, reduce(DataFrame.union, confirmed)))
         confirmed.append(materialize(confirm_pairs(pairs, texts, shingle, similarity), "dup-links"))
     links = reduce(DataFrame.union, confirmed)
     classes = connected_components(links, "a", "b").withColumnRenamed("node", "key")

@@ -201,6 +201,20 @@ def test_shingle_classes_equal_brute_force(spark):
     assert len(simhash_vptree.verified_duplicates(odd_docs(spark)).collect()) == 9
 
 
+@pytest.mark.parametrize("copies", [2, 3])
+def test_shingle_classes_hold_copies_that_only_the_original_links(spark, copies, monkeypatch):
+    first = [[f"o{g}w{i}" for i in range(100)] for g in range(8)]
+    texts = []
+    for words in first:  # each copy at 86 / 106 to the original, two copies at 76 / 116
+        texts.append(" ".join(words))
+        texts += [" ".join(f"x{c}" if i in (10 + 20 * c, 20 + 20 * c) else w for i, w in enumerate(words)) for c in range(copies)]
+    # one bucket for each original with its copies, whatever their prints
+    views = lambda rows, *_: rows.select("doc_id", F.xxhash64(F.regexp_extract("text", "o[0-9]+w", 0)).alias("fp"))
+    monkeypatch.setattr(simhash_vptree, "fingerprints", views)
+    got = {r.doc_id: r.class_id for r in simhash_vptree.verified_duplicates(docs(spark, texts)).collect()}
+    assert got == {i: i - i % (copies + 1) for i in range(len(texts))}
+
+
 # ---------------------------------------------------------------- 4
 
 
