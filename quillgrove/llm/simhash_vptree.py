@@ -7,8 +7,8 @@
                   the radius (triangle bound).  Each leaf searches a local tree
                   and reports the links as stars, never as all pairs of a group.
 ``near_duplicates``  one row per document with its class id.
-``verified_duplicates``  the same for similarity of shingle sets: fingerprints of
-                  min-wise views propose links, the texts confirm them.
+
+``similar_texts`` builds on it for similarity of whole shingle sets.
 
 Defined results: a null or blank text has fingerprint zero; repeated rows and
 rows with the same doc_id are rows of their own that share a class; empty tables
@@ -19,7 +19,6 @@ no member has an id.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -40,8 +39,6 @@ TREE_SAMPLE = 1 << 15
 #: Fingerprints aimed at per leaf of that tree.
 LEAF_SIZE = 16_384
 LOCAL_LEAF = 48
-#: All open pairs of a bucket of so many members are compared; larger ones go to narrower buckets.
-SMALL_BUCKET = 64
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -129,7 +126,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3, views: int = 0, keep: int =
             yield pa.RecordBatch.from_arrays([ids, pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    kind = docs.schema["doc_id"].dataType.simpleString()  # a number, or whatever else names a text
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 # ---------------------------------------------------------------- the shared tree
@@ -268,151 +266,10 @@ def similar_pairs(distinct: DataFrame, radius: int = 2, leaf_size: int = LEAF_SI
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, leaf_size: int = LEAF_SIZE) -> DataFrame:
     """``doc_id, fp, component_id``: exact classes of fingerprints within ``radius``."""
-    prints = materialize(fingerprints(docs, shingle), "simhash")
+    prints = materialize(fingerprints(docs.withColumn("doc_id", F.col("doc_id").cast("long")), shingle), "simhash")
     firsts = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-firsts")
     linked = connected_components(similar_pairs(firsts, radius, leaf_size), "a", "b")
     rooted = firsts.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
     names = rooted.where("component is not null").groupBy("root").agg(F.min("first_id").alias("class_id"))
     named = rooted.join(names, "root", "left").select("fp", F.coalesce("class_id", "first_id").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def _word_shingles(text: str | None, size: int) -> set[int]:
-    return {int(h) for block in shingle_hashes(words_of(text), size) for h in block}
-
-
-def confirm_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The rows ``a, b`` whose texts' shingle sets have at least this Jaccard similarity."""
-    sides = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
-    sides = sides.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = _word_shingles(x.as_py(), shingle), _word_shingles(y.as_py(), shingle)
-                keep.append(len(p & q) >= similarity * len(p | q))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return sides.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
-
-
-def _near_keys(words: list[bytes], size: int, tables: int, rows: int) -> np.ndarray:
-    """One key per table: the least hashes of ``rows`` permutations, mixed; texts of similarity s share it with s ** rows."""
-    odd = np.arange(1, tables * rows + 1, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4E) + np.uint64(1)
-    least = np.full(tables * rows, np.iinfo(np.uint64).max)
-    for block in shingle_hashes(words, size):
-        for at in range(0, len(block), 4096):
-            mixed = block[at : at + 4096, None] * odd
-            mixed ^= mixed >> np.uint64(31)
-            mixed *= odd[::-1]
-            least = np.minimum(least, mixed.min(axis=0))
-    key = np.arange(tables, dtype=np.uint64)
-    for part in least.reshape(tables, rows).T:
-        key = (key ^ part) * np.uint64(0x9FB21C651E98DF25)
-        key ^= key >> np.uint64(29)
-    return key
-
-
-def near_buckets(texts: DataFrame, shingle: int, tables: int, rows: int) -> DataFrame:
-    """``bucket, key``: for every text one bucket a table, those with one member left out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        for batch in batches:
-            found = [_near_keys(words_of(x.as_py()), shingle, tables, rows) for x in batch.column(1)]
-            keys = batch.column(0).take(pa.array(np.repeat(np.arange(len(batch)), tables)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(found, np.uint64).reshape(-1).view(np.int64)), keys], ["bucket", "key"])
-
-    all_rows = materialize(texts.select("key", "text").mapInArrow(run, "bucket long, key long"), "dup-near")
-    shared = all_rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    return materialize(all_rows.join(shared, "bucket"), "dup-near-shared")
-
-
-def _star_round(left: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Compare a bucket's members with one of them: (links, members that it doesn't confirm, pairs compared).
-
-    Each bucket has an order of its own, so a member meets other heads in other buckets.
-    """
-    turn = F.struct(F.xxhash64("bucket", "key").alias("turn"), "key")
-    heads = left.groupBy("bucket").agg(F.min(turn).alias("first")).select("bucket", F.col("first.key").alias("head"))
-    stars = left.join(heads, "bucket").where("key <> head")
-    pairs = stars.select(F.least("head", "key").alias("a"), F.greatest("head", "key").alias("b")).distinct()
-    pairs = materialize(pairs, "dup-compared")
-    links = materialize(confirm_pairs(pairs, texts, shingle, similarity), "dup-links")
-    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    found = both.select(F.col("a").alias("head"), F.col("b").alias("key"))
-    return links, materialize(stars.join(found, ["head", "key"], "left_anti").select("bucket", "key"), "dup-left"), pairs
-
-
-def _open_rows(buckets: DataFrame, links: DataFrame) -> DataFrame:
-    """``bucket, key, class`` of the buckets that hold more than one class of the links."""
-    classes = connected_components(links, "a", "b").withColumnRenamed("node", "key")
-    rows = buckets.join(classes, "key", "left").select("bucket", "key", F.coalesce("component", "key").alias("class"))
-    several = rows.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("bucket")
-    return materialize(rows.join(several, "bucket"), "dup-open")
-
-
-def _open_pairs(rows: DataFrame) -> DataFrame:
-    """``a, b``: pairs of a bucket that the links don't connect yet."""
-    ours, theirs = (rows.select("bucket", F.col("key").alias(k), F.col("class").alias(f"class_{k}")) for k in ("a", "b"))
-    return ours.join(theirs, "bucket").where("class_a < class_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def verified_duplicates(
-    docs: DataFrame, shingle: int = 5, similarity: float = 0.8, views: int = 8, keep: int = 3, radius: int = 2, tables: int = 32, rows: int = 8
-) -> DataFrame:
-    """``doc_id, class_id``: documents linked by word-shingle similarity.
-
-    Rows with the same text form one node (its key is the text's hash).  Nodes
-    whose view fingerprints link share a bucket; the texts of a bucket are
-    compared with two heads, one after the other.  A bucket whose members each
-    met a head may still hold several classes: up to ``SMALL_BUCKET`` members its
-    pairs that weren't compared yet are.  Larger ones, and buckets that the heads
-    don't explain, hold texts that only share a passage: all their members, also those
-    that a head confirmed, go to narrower buckets (``tables`` keys of ``rows``
-    least hashes).  Those have three heads; then only pairs that the links so far
-    don't connect are compared, so no member of a class is held against its others.
-    A node without any doc_id stays a class of its own.
-    """
-    keyed = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    ).withColumn("key", F.xxhash64("text"))
-    ids = materialize(keyed.select("doc_id", "key"), "dup-ids")
-    nodes = ids.groupBy("key").agg(F.min("doc_id").alias("first_id"))
-    viewed = fingerprints(keyed.select(F.col("key").alias("doc_id"), "text"), shingle, views, keep)
-    prints = materialize(viewed.withColumnRenamed("doc_id", "key").distinct(), "dup-views")
-    linked = connected_components(similar_pairs(prints.select("fp").distinct(), radius), "a", "b")
-    buckets = prints.join(linked.withColumnRenamed("node", "fp"), "fp", "left")
-    buckets = buckets.select("key", F.coalesce("component", "fp").alias("bucket")).distinct()
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    left = materialize(buckets.join(shared, "bucket"), "dup-buckets")
-    wanted = nodes.join(left.select("key").distinct(), "key", "left_semi").select("key", F.col("first_id").alias("doc_id"))
-    texts = materialize(keyed.join(wanted, ["key", "doc_id"], "left_semi").select("key", "text"), "dup-texts")
-    confirmed, wide = [], left
-    compared = []
-    for _ in range(2):
-        links, left, pairs = _star_round(left, texts, shingle, similarity)
-        confirmed.append(links), compared.append(pairs)
-    # the only pair of a bucket of two has been compared
-    met = shared.where("size > 2").join(left.select("bucket").distinct(), "bucket", "left_anti")
-    met = _open_rows(wide.join(met.select("bucket"), "bucket"), reduce(DataFrame.union, confirmed))
-    sizes = met.groupBy("bucket").agg(F.count("*").alias("size"))
-    few = met.join(sizes.where(F.col("size") <= SMALL_BUCKET).select("bucket"), "bucket")
-    pairs = _open_pairs(few).join(reduce(DataFrame.union, compared), ["a", "b"], "left_anti")
-    confirmed.append(materialize(confirm_pairs(pairs, texts, shingle, similarity), "dup-links"))
-    open_buckets = left.select("bucket").union(sizes.where(F.col("size") > SMALL_BUCKET).select("bucket")).distinct()
-    open_buckets = materialize(open_buckets, "dup-open-buckets")
-    if not open_buckets.isEmpty():
-        open_keys = wide.join(open_buckets, "bucket", "left_semi").select("key").distinct()
-        near = left = near_buckets(texts.join(open_keys, "key", "left_semi"), shingle, tables, rows)
-        for _ in range(3):
-            links, left, _ = _star_round(left, texts, shingle, similarity)
-            confirmed.append(links)
-        pairs = _open_pairs(_open_rows(near, reduce(DataFrame.union, confirmed)))
-        confirmed.append(materialize(confirm_pairs(pairs, texts, shingle, similarity), "dup-links"))
-    links = reduce(DataFrame.union, confirmed)
-    classes = connected_components(links, "a", "b").withColumnRenamed("node", "key")
-    rooted = nodes.join(classes, "key", "left").withColumn("root", F.coalesce("component", "key"))
-    names = rooted.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    return ids.join(rooted.join(names, "root").select("key", "class_id"), "key").select("doc_id", "class_id")

@@ -23,6 +23,7 @@ from quillgrove.llm import (
     line_dedup,
     packing,
     quality_ledger,
+    similar_texts,
     simhash_vptree,
     token_cache,
     token_io,
@@ -196,9 +197,9 @@ def test_shingle_classes_equal_brute_force(spark):
     for _ in texts:
         for i, j in links:
             label[i] = label[j] = min(label[i], label[j])
-    got = {r.doc_id: r.class_id for r in simhash_vptree.verified_duplicates(docs(spark, texts)).collect()}
+    got = {r.doc_id: r.class_id for r in similar_texts.verified_duplicates(docs(spark, texts)).collect()}
     assert sum(got[i] != label[i] for i in got) <= 1  # the min-wise views miss a borderline pair in hundreds
-    assert len(simhash_vptree.verified_duplicates(odd_docs(spark)).collect()) == 9
+    assert len(similar_texts.verified_duplicates(odd_docs(spark)).collect()) == 9
 
 
 @pytest.mark.parametrize("copies", [2, 3])
@@ -210,11 +211,73 @@ def test_shingle_classes_hold_copies_that_only_the_original_links(spark, copies,
         texts += [" ".join(f"x{c}" if i in (10 + 20 * c, 20 + 20 * c) else w for i, w in enumerate(words)) for c in range(copies)]
     # one bucket for each original with its copies, whatever their prints
     views = lambda rows, *_: rows.select("doc_id", F.xxhash64(F.regexp_extract("text", "o[0-9]+w", 0)).alias("fp"))
-    monkeypatch.setattr(simhash_vptree, "fingerprints", views)
-    got = {r.doc_id: r.class_id for r in simhash_vptree.verified_duplicates(docs(spark, texts)).collect()}
+    monkeypatch.setattr(similar_texts, "fingerprints", views)
+    got = {r.doc_id: r.class_id for r in similar_texts.verified_duplicates(docs(spark, texts)).collect()}
     assert got == {i: i - i % (copies + 1) for i in range(len(texts))}
 
 
+def brute_classes(texts, similarity=0.8):
+    """Class of each text by its smallest number: all pairs of five-word shingle sets, then whatever they connect."""
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in texts]
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j])]
+    label, before = list(range(len(texts))), None
+    while label != before:
+        before = list(label)
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    return label
+
+
+def test_similar_sets_share_a_first_difference():
+    rng, checked = random.Random(8), 0
+    for _ in range(4000):
+        head = set(range(rng.choice([20, 60, 100])))
+
+        def variant():
+            out = {e for e in head if rng.random() < rng.choice([0.8, 0.9, 0.97, 1.0])}
+            return out | {1000 + rng.randrange(40) for _ in range(rng.choice([0, 2, 6, 15]))}
+
+        x = variant()
+        y = (x if rng.random() < 0.5 else variant()) ^ {rng.randrange(1040) for _ in range(rng.choice([1, 3, 8]))}
+        (x_linked, _, a), (y_linked, _, b) = (
+            similar_texts.first_differences(np.array(sorted(v), np.uint64), np.array(sorted(head), np.uint64), 0.8) for v in (x, y)
+        )
+        if len(x & y) >= 0.8 * len(x | y) and not (x_linked and y_linked):
+            checked += 1
+            assert set(a.tolist()) & set(b.tolist())
+    assert checked > 300
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_one_bucket_gives_the_classes_of_all_pairs(spark, seed, monkeypatch):
+    """Groups of copies just above and below the similarity, chains, a passage that all share, in one bucket."""
+    rng = random.Random(seed)
+    passage, texts = [f"p{i}" for i in range(40)], []
+    for g in range(6):
+        words = passage + [f"g{g}w{i}" for i in range(60 + 30 * g)]
+        for _ in range(25):
+            copy = list(words)
+            for _ in range(rng.choice([0, 1, 2, 3, 4, 6, 9])):
+                at = rng.randrange(len(copy))
+                kind = rng.random()
+                copy[at : at + 1] = [] if kind < 0.3 else [f"x{rng.randint(0, 30)}"] if kind < 0.8 else [copy[at], f"y{rng.randint(0, 9)}"]
+            texts.append(" ".join(copy[: len(copy) - rng.choice([0, 0, 0, 20, 25, 40])]))
+    monkeypatch.setattr(similar_texts, "fingerprints", lambda rows, *_: rows.select("doc_id", F.lit(7).cast("long").alias("fp")))
+    got = {r.doc_id: r.class_id for r in similar_texts.verified_duplicates(docs(spark, texts)).collect()}
+    want = brute_classes([t for t in texts])
+    assert [got[i] for i in range(len(texts))] == want and len(set(want)) > 6
+
+
+def test_duplicates_are_judged_by_row(spark):
+    long = " ".join(f"v{i}" for i in range(100))
+    rows = [(7, long), (7, "another text with the same id as it"), (3, long + " end"), (3, long + " end"), (None, long + " fin"), (None, "no id but words"), (9, None), (10, "")]
+    got = similar_texts.drop_duplicates(spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("clash")))
+    assert got.columns == ["doc_id", "text", "key"]
+    want = [(None, "no id but words"), (3, long + " end"), (7, "another text with the same id as it"), (9, None)]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+    assert similar_texts.drop_duplicates(empty(spark)).count() == 0
+
+
 # ---------------------------------------------------------------- 4
 
 
