@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrove.llm import decontamination, line_dedup, packing, simhash_vptree, toxicity
+from quillgrove.llm import decontamination, line_dedup, packing, similar_texts, toxicity
 from quillgrove.session import materialize, read_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -36,9 +36,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each class of texts with five-word shingles at least 0.8 similar."""
-    classes = simhash_vptree.verified_duplicates(docs, shingle=5, similarity=0.8)
-    others = classes.where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
+    return similar_texts.drop_duplicates(docs.select(*COLUMNS), shingle=5, similarity=0.8)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
