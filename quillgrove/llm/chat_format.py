@@ -29,7 +29,7 @@ from typing import Any
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OPEN, ROLE_END, CLOSE = '<turn role="', '">', "</turn>\n"
@@ -58,31 +58,45 @@ class Mapping:
     ``turns``: in order, (role, path of the text), or for a list of messages
     (path of the role, path of the text) below ``each``.  ``skip_empty`` leaves out
     turns whose text is absent or empty, for optional fields such as an
-    instruction's input.
+    instruction's input.  A record may lack the ``optional`` paths, and have
+    ``ignored`` ones that hold no turn.  ``roles`` renames the layout's own roles.
     """
 
     name: str
     turns: tuple[tuple[str, str], ...]
     each: str = ""
     skip_empty: bool = False
+    optional: tuple[str, ...] = ()
+    ignored: tuple[str, ...] = ()
+    roles: tuple[tuple[str, str], ...] = ()
 
     def paths(self) -> set[str]:
         if self.each:
             return {f"{self.each}[].{p}" for turn in self.turns for p in turn}
         return {p for _, p in self.turns}
 
+    def prints(self) -> set[int]:
+        """The fingerprints of all layouts that the mapping reads: every choice of the paths that may be absent or added."""
+        free = [*self.optional, *self.ignored]
+        found = {fingerprint({self.each})} if self.each else set()  # no messages
+        for choice in range(1 << len(free)):
+            picked = {p for i, p in enumerate(free) if choice >> i & 1}
+            found.add(fingerprint(self.paths() - set(self.optional) | picked))
+        return found
 
-#: Names of roles in the layouts' own vocabularies.
-ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+
+#: Names of roles in the vocabularies of chat layouts.
+ROLES = (("human", "user"), ("prompter", "user"), ("gpt", "assistant"), ("bot", "assistant"), ("model", "assistant"))
+_EXTRA = ("messages[].name", "messages[].weight", "id", "source")
 
 MAPPINGS = [
     Mapping("turn", (("role", "text"),), each="turns"),
-    Mapping("messages", (("role", "content"),), each="messages"),
-    Mapping("conversations", (("from", "value"),), each="conversations"),
-    Mapping("prompt", (("user", "prompt"), ("assistant", "completion"))),
-    Mapping("prompt_response", (("system", "system"), ("user", "prompt"), ("assistant", "response")), skip_empty=True),
-    Mapping("instruction", (("user", "instruction"), ("user", "input"), ("assistant", "output")), skip_empty=True),
-    Mapping("question", (("user", "data.question"), ("assistant", "data.answer"))),
+    Mapping("messages", (("role", "content"),), each="messages", ignored=_EXTRA, roles=ROLES),
+    Mapping("conversations", (("from", "value"),), each="conversations", ignored=("conversations[].weight", "id", "source"), roles=ROLES),
+    Mapping("prompt", (("user", "prompt"), ("assistant", "completion")), ignored=("id", "source")),
+    Mapping("prompt_response", (("system", "system"), ("user", "prompt"), ("assistant", "response")), skip_empty=True, optional=("system",), ignored=("id", "source")),
+    Mapping("instruction", (("user", "instruction"), ("user", "input"), ("assistant", "output")), skip_empty=True, optional=("input",), ignored=("id", "source")),
+    Mapping("question", (("user", "data.question"), ("assistant", "data.answer")), ignored=("id", "source")),
 ]
 
 
@@ -101,13 +115,14 @@ def extract(record: dict, mapping: Mapping) -> list[tuple[str, str]]:
     if mapping.each:
         items = _at(record, mapping.each) or []
         found = [(_text(_at(x, role)), _text(_at(x, text))) for x in items for role, text in mapping.turns]
-        return [(ROLES.get(role, role), text) for role, text in found]
+        names = dict(mapping.roles)
+        return [(names.get(role, role), text) for role, text in found]
     found = [(role, _text(_at(record, path))) for role, path in mapping.turns]
     return [x for x in found if x[1] or not mapping.skip_empty]
 
 
-def _read(records: DataFrame, mappings: list[Mapping], known: bool) -> DataFrame:
-    by_print = {fingerprint(m.paths()): m for m in mappings}
+def _read(records: DataFrame, mappings: list[Mapping], known: bool, strict: bool = False) -> DataFrame:
+    by_print = {p: m for m in reversed(mappings) for p in m.prints()}  # the first mapping of a layout counts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,6 +135,8 @@ def _read(records: DataFrame, mappings: list[Mapping], known: bool) -> DataFrame
                 mapping = by_print.get(fingerprint(layout_paths(record)))
                 if mapping and known:
                     rows += [(conv, position, i, *turn) for i, turn in enumerate(extract(record, mapping))]
+                elif strict and not mapping:
+                    raise ValueError(f"no mapping for the record of {conv} at {position}: {sorted(layout_paths(record))}")
                 elif not mapping and not known:
                     rows.append((conv, position, 0, ",".join(sorted(layout_paths(record))), raw))
             yield pa.RecordBatch.from_pylist(
@@ -131,9 +148,12 @@ def _read(records: DataFrame, mappings: list[Mapping], known: bool) -> DataFrame
     return source.mapInArrow(run, "conv_id long, position long, part long, role string, text string")
 
 
-def canonical_turns(records: DataFrame, mappings: list[Mapping] = MAPPINGS) -> DataFrame:
-    """``conv_id, position, part, role, text`` from rows ``conv_id, position, record`` (JSON)."""
-    return _read(records, mappings, known=True)
+def canonical_turns(records: DataFrame, mappings: list[Mapping] = MAPPINGS, strict: bool = False) -> DataFrame:
+    """``conv_id, position, part, role, text`` from rows ``conv_id, position, record`` (JSON).
+
+    ``strict``: a record of an undeclared layout fails the job; else :func:`unmapped` has it.
+    """
+    return _read(records, mappings, known=True, strict=strict)
 
 
 def unmapped(records: DataFrame, mappings: list[Mapping] = MAPPINGS) -> DataFrame:
@@ -143,10 +163,22 @@ def unmapped(records: DataFrame, mappings: list[Mapping] = MAPPINGS) -> DataFram
 
 
 def turn_records(rows: DataFrame) -> DataFrame:
-    """Rows ``conv_id, turn, role, text`` as JSON records of one turn each."""
-    turn = F.struct(F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    record = F.to_json(F.struct(F.array(turn).alias("turns")), {"ignoreNullFields": "false"})
-    return rows.select("conv_id", F.col("turn").alias("position"), record.alias("record"))
+    """Rows ``conv_id, turn, role, text`` as JSON records of one turn each.
+
+    Records come in three layouts, by the conversation's id: turns, messages, and
+    from/value pairs with their own names for roles.  Roles that such a layout would
+    rename, and rows without id, come as turns.
+    """
+    role, text = F.col("role").cast("string"), F.col("text").cast("string")
+
+    def one(each: str, *fields: Column) -> Column:
+        return F.to_json(F.struct(F.array(F.struct(*fields)).alias(each)), {"ignoreNullFields": "false"})
+
+    kind = F.when(role.isin("system", "user", "assistant"), F.pmod(F.col("conv_id").cast("long"), F.lit(3)))
+    name = F.when(role == "user", "human").when(role == "assistant", "gpt").otherwise(role)
+    record = F.when(kind == 1, one("messages", role.alias("role"), text.alias("content")))
+    record = record.when(kind == 2, one("conversations", name.alias("from"), text.alias("value")))
+    return rows.select("conv_id", F.col("turn").alias("position"), record.otherwise(one("turns", role.alias("role"), text.alias("text"))).alias("record"))
 
 
 def escape(text: str) -> str:

@@ -8,9 +8,12 @@ for each, and back), contains the item, verbatim or with other parameters.  Both
 are judged for each occurrence of the item in the document and for all of its
 windows together (a copy in another order); one that passes is enough.
 
-The items' windows are sent to the tasks if the benchmark's text is below a checked
-size; each document is then judged where it lies, without a shuffle.  Beyond that,
-window hashes of both sides are joined and the candidate pairs verified.
+Texts and items are keyed by what they say, so repeated rows are judged once and
+every row gets its own text's result, whatever its id.  The items' windows are set in a
+bitmap of fixed size; a text's windows that it lacks are in no item and stay where they
+are.  The others are joined with the items' windows: first only with the rarest of an
+item that a text with enough of them can't do without, then, for the pairs so found,
+with all.  Pairs with enough are verified on both texts.
 
 Items most of whose windows hold too few words besides placeholders (numbers, lists
 of names) are also looked for as they are: windows of their own words and values,
@@ -18,23 +21,27 @@ half of them in one document.  Such a find has no slots: its consistency is 1.
 
 Defined results: null, empty and blank texts contain nothing; items of fewer than
 ``MIN_TOKENS`` words can't be told from ordinary text and never match; rows with a
-null id aren't reported;
-repeated rows report a pair once; empty tables give no pairs.
+null id aren't reported as pairs, but ``decontaminate`` drops a row whose text holds an
+item whatever the ids are; repeated rows report a pair once; of rows that share an id
+each is judged by its text; empty tables give no pairs.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quillgrove.llm.similar_texts import text_key
 from quillgrove.llm.worker import held, small_batches
+from quillgrove.session import materialize
 
 WINDOW = 8
 #: Windows hold at least so many tokens that aren't placeholders.
@@ -42,8 +49,10 @@ MIN_WORDS = 4
 MIN_TOKENS = 6
 COVERAGE = 0.5
 CONSISTENCY = 0.8
-#: The benchmark is sent to the tasks up to this many characters of text.
-MAX_SENT_CHARS = 32_000_000
+#: The bitmap of the items' window hashes has 2 ** BITMAP bits (2 MB), however many they are.
+BITMAP = 24
+#: Items that a task remembers while it verifies pairs.
+KEPT_ITEMS = 256
 #: Words remembered by a worker.
 CACHE_WORDS = 200_000
 
@@ -75,17 +84,28 @@ def canonical(word: str) -> list[tuple[int, str]]:
 
 
 class _Words(dict):
-    """word -> number; its tokens' kinds, values and hashes by number."""
+    """word -> number; the tokens of word i are ``start[i] : start[i] + size[i]`` of kinds, hashes and values."""
 
     def __init__(self):
         super().__init__()
-        self.tokens: list[list[tuple[int, str, int]]] = []
+        self.start, self.size, self.kinds, self.hashes, self.values = [], [], [], [], []
+        self._arrays = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int8, np.uint64))
 
     def __missing__(self, word: str) -> int:
-        self[word] = number = len(self.tokens)
-        self.tokens.append([(k, v, xxhash.xxh64_intdigest(v)) for k, v in canonical(word)])
+        self[word] = number = len(self.start)
+        tokens = canonical(word)
+        self.start.append(len(self.kinds)), self.size.append(len(tokens))
+        for kind, value in tokens:
+            self.kinds.append(kind), self.values.append(value), self.hashes.append(xxhash.xxh64_intdigest(value))
         return number
 
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        """start, size, kinds and hashes as arrays."""
+        lists = (self.start, self.size, self.kinds, self.hashes)
+        if len(self._arrays[0]) < len(self.start):
+            self._arrays = tuple(np.concatenate([x, np.array(y[len(x) :], x.dtype)]) for x, y in zip(self._arrays, lists, strict=True))
+        return self._arrays
+
 
 @dataclass
 class Template:
@@ -97,24 +117,38 @@ class Template:
     exact: np.ndarray
 
 
-_HASH_OF_KIND = {NUM: 0x6E756D, UNIT: 0x756E6974, NAME: 0x6E616D65}
+_HASH_OF_KIND = np.array([0, 0x6E756D, 0x756E6974, 0x6E616D65], np.uint64)
 
 
-def template(text: str | None, words: _Words) -> Template:
+def templates(texts: list[str | None], words: _Words, with_values: bool = False) -> list[Template]:
+    """The templates of several texts; their values only where they are asked for."""
     if len(words) > CACHE_WORDS:
+        words.__init__()
         words.clear()
-        words.tokens.clear()
-    kinds, values, hashes, exact = [], [], [], []
-    for number in map(words.__getitem__, (text or "").split()):
-        for kind, value, h in words.tokens[number]:
-            exact.append(h)
-            if kind == NAME and kinds and kinds[-1] == NAME:
-                values[-1] += " " + value
-            else:
-                kinds.append(kind)
-                values.append(value)
-                hashes.append(h if kind == WORD else _HASH_OF_KIND[kind])
-    return Template(np.array(kinds, np.int8), np.array(hashes, np.uint64), values, np.array(exact, np.uint64))
+    numbers = [list(map(words.__getitem__, (x or "").split())) for x in texts]
+    start, size, kinds, hashes = words.arrays()
+    out = []
+    for mine in numbers:
+        mine = np.array(mine, np.int64)
+        n = size[mine]
+        at = np.repeat(start[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        kind, exact = kinds[at], hashes[at]
+        joins = np.zeros(len(at), bool)  # a name that goes on
+        joins[1:] = (kind[1:] == NAME) & (kind[:-1] == NAME)
+        values: list[str] = []
+        if with_values:
+            for i, more in zip(at.tolist(), joins.tolist(), strict=True):
+                if more:
+                    values[-1] += " " + words.values[i]
+                else:
+                    values.append(words.values[i])
+        kind = kind[~joins]
+        out.append(Template(kind, np.where(kind == WORD, exact[~joins], _HASH_OF_KIND[kind]), values, exact))
+    return out
+
+
+def template(text: str | None, words: _Words) -> Template:
+    return templates([text], words, with_values=True)[0]
 
 
 def _rolled(hashes: np.ndarray, size: int, seed: int) -> np.ndarray:
@@ -185,217 +219,198 @@ def exact_window(t: Template) -> int:
 
 
 @dataclass
-class Index:
-    """All items' windows, sorted by hash."""
-
-    ids: list[int] = field(default_factory=list)
-    templates: list[Template] = field(default_factory=list)
-    totals: np.ndarray = None
-    sizes: list[int] = None
-    hashes: np.ndarray = None
-    item: np.ndarray = None
-    position: np.ndarray = None
-    mask: np.ndarray = None
-    exact: dict[int, dict[int, list[int]]] = field(default_factory=dict)  # size -> hash -> items
-    exact_items: list[tuple[int, int]] = field(default_factory=list)  # (item_id, windows)
+class Item:
+    """An item's template with its windows: (position, hash) of template windows, hashes of windows as they are."""
+
+    template: Template
+    size: int
+    at: np.ndarray
+    hashes: np.ndarray
+    exact_size: int
+    exact: np.ndarray
 
     @staticmethod
-    def build(items: list[tuple[int, str | None]]) -> Index:
-        words, self = _Words(), Index()
-        hashes, item, position, sizes = [], [], [], set()
-        for item_id, text in items:
-            t = template(text, words)
-            at, h = window_hashes(t, item_window(t)) if item_window(t) else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-            if len(h):
-                sizes.add(item_window(t))
-                hashes.append(h), position.append(at), item.append(np.full(len(h), len(self.ids)))
-                self.ids.append(item_id), self.templates.append(t)
-            if size := exact_window(t):
-                own = set(exact_windows(t, size).tolist())
-                for h in own:
-                    self.exact.setdefault(size, {}).setdefault(h, []).append(len(self.exact_items))
-                self.exact_items.append((item_id, len(own)))
-        self.totals = np.array([len(h) for h in hashes], np.int64)
-        self.sizes = sorted(sizes)
-        flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        order = np.argsort(flat, kind="stable")
-        self.hashes = flat[order]
-        self.item = np.concatenate(item)[order] if item else np.zeros(0, np.int64)
-        self.position = np.concatenate(position)[order] if item else np.zeros(0, np.int64)
-        self.mask = np.zeros(1 << 20, bool)  # says fast of most windows that they are in no item
-        self.mask[self.hashes & np.uint64((1 << 20) - 1)] = True
-        return self
-
-    def matches(self, text: str | None, words: _Words) -> list[tuple[int, int, int, float, bool]]:
-        """(item_id, windows, matched, consistency, with other values) of the items a text contains."""
+    def of(text: str | None, words: _Words) -> Item:
         t = template(text, words)
-        out = self._template_matches(t)
-        if self.exact:
-            known = {m[0] for m in out}
-            out += [m for m in self._exact_matches(t) if m[0] not in known]
-        return out
-
-    def _exact_matches(self, t: Template) -> list[tuple[int, int, int, float, bool]]:
-        hits: dict[int, int] = {}
-        for size, table in self.exact.items():
-            for h in table.keys() & set(exact_windows(t, size).tolist()):
-                for i in table[h]:
-                    hits[i] = hits.get(i, 0) + 1
-        found = ((*self.exact_items[i], n) for i, n in sorted(hits.items()))
-        return [(item_id, total, n, 1.0, False) for item_id, total, n in found if n >= COVERAGE * total]
-
-    def _template_matches(self, t: Template) -> list[tuple[int, int, int, float, bool]]:
-        items, item_at, doc_at, spans = [], [], [], []
-        for size in self.sizes:
-            at, h = window_hashes(t, size)
-            near = self.mask[h & np.uint64((1 << 20) - 1)]
-            at, h = at[near], h[near]
-            low, high = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
-            n = high - low
-            if not n.any():
-                continue
-            rows = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            items.append(self.item[rows]), item_at.append(self.position[rows]), doc_at.append(np.repeat(at, n)), spans.append(np.full(len(rows), size))
-        if not items:
-            return []
-        items, item_at, doc_at, spans = map(np.concatenate, (items, item_at, doc_at, spans))
-        out = []
-        for i in np.unique(items):
-            mine = np.nonzero(items == i)[0]
-            if len(np.unique(item_at[mine])) < COVERAGE * self.totals[i]:
-                continue
-            passed = []
-            for part in occurrences(item_at[mine], doc_at[mine]):
-                rows = mine[part]
-                matched = len(np.unique(item_at[rows]))
-                if matched >= COVERAGE * self.totals[i]:
-                    share, changed = self._slots(self.templates[i], t, item_at[rows], doc_at[rows], spans[rows])
-                    if share >= CONSISTENCY:
-                        passed.append((matched, share, not changed))
-            if not passed:
-                share, changed = self._slots(self.templates[i], t, item_at[mine], doc_at[mine], spans[mine])
-                if share >= CONSISTENCY:
-                    passed.append((len(np.unique(item_at[mine])), share, not changed))
-            if passed:
-                matched, share, same = max(passed)
-                out.append((self.ids[i], int(self.totals[i]), matched, share, not same))
-        return out
+        size, exact_size = item_window(t), exact_window(t)
+        at, hashes = window_hashes(t, size) if size else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        return Item(t, size, at, hashes, exact_size, np.unique(exact_windows(t, exact_size)) if exact_size else hashes[:0])
 
-    @staticmethod
-    def _slots(item: Template, doc: Template, item_at: np.ndarray, doc_at: np.ndarray, spans: np.ndarray) -> tuple[float, bool]:
-        """What share of the aligned slots agrees with the commonest replacement, both ways."""
-        pairs = {(a + k, b + k) for a, b, n in zip(item_at, doc_at, spans, strict=True) for k in range(n)}
-        slots = [(int(item.kinds[a]), item.values[a], doc.values[b]) for a, b in pairs if item.kinds[a] != WORD]
-        if not slots:
-            return 1.0, False
-        forth: dict[tuple, dict[str, int]] = {}
-        back: dict[tuple, dict[str, int]] = {}
-        for kind, x, y in slots:
-            forth.setdefault((kind, x), {}).setdefault(y, 0)
-            forth[kind, x][y] += 1
-            back.setdefault((kind, y), {}).setdefault(x, 0)
-            back[kind, y][x] += 1
-        agreed = min(sum(max(c.values()) for c in side.values()) for side in (forth, back))
-        return agreed / len(slots), any(x != y for _, x, y in slots)
 
+def match(item: Item, doc: Template) -> tuple[int, int, float, bool] | None:
+    """(windows, matched, consistency, with other values) if ``doc`` holds the item."""
+    found = _template_match(item, doc) if len(item.at) else None
+    if not found and item.exact_size:
+        n = len(np.intersect1d(item.exact, exact_windows(doc, item.exact_size)))
+        found = (len(item.exact), n, 1.0, False) if n >= COVERAGE * len(item.exact) else None
+    return found
 
-PAIRS = "doc_id long, item_id long, n_windows long, matched long, consistency double, other_values boolean"
 
+def _template_match(item: Item, doc: Template) -> tuple[int, int, float, bool] | None:
+    total = len(item.at)
+    at, h = window_hashes(doc, item.size)
+    held_here = np.isin(h, item.hashes)
+    at, h = at[held_here], h[held_here]
+    order = np.argsort(item.hashes, kind="stable")
+    low, high = (np.searchsorted(item.hashes[order], h, side) for side in ("left", "right"))
+    n = high - low
+    rows = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    item_at, doc_at = item.at[order[rows]], np.repeat(at, n)
+    if not len(item_at) or len(np.unique(item_at)) < COVERAGE * total:
+        return None
 
-def _rows(found: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
-    names = ["doc_id", "item_id", "n_windows", "matched", "consistency", "other_values"]
-    columns = zip(*found, strict=True) if found else [[]] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
+    def judged(parts: list[np.ndarray]) -> list[tuple[int, float, bool]]:
+        out = []
+        for part in parts:
+            matched = len(np.unique(item_at[part]))
+            if matched >= COVERAGE * total:
+                share, changed = _slots(item.template, doc, item_at[part], doc_at[part], item.size)
+                if share >= CONSISTENCY:
+                    out.append((matched, share, not changed))
+        return out
 
-def _sides(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    small_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string").alias("item_text"))
-    return texts, items.where("item_id is not null")
+    passed = judged(occurrences(item_at, doc_at)) or judged([np.arange(len(item_at))])
+    if not passed:
+        return None
+    matched, share, same = max(passed)
+    return total, matched, share, not same
+
+
+def _slots(item: Template, doc: Template, item_at: np.ndarray, doc_at: np.ndarray, span: int) -> tuple[float, bool]:
+    """What share of the aligned slots agrees with the commonest replacement, both ways."""
+    pairs = {(a + k, b + k) for a, b in zip(item_at.tolist(), doc_at.tolist(), strict=True) for k in range(span)}
+    slots = [(int(item.kinds[a]), item.values[a], doc.values[b]) for a, b in pairs if item.kinds[a] != WORD]
+    if not slots:
+        return 1.0, False
+    forth: dict[tuple, dict[str, int]] = {}
+    back: dict[tuple, dict[str, int]] = {}
+    for kind, x, y in slots:
+        forth.setdefault((kind, x), {}).setdefault(y, 0)
+        forth[kind, x][y] += 1
+        back.setdefault((kind, y), {}).setdefault(x, 0)
+        back[kind, y][x] += 1
+    agreed = min(sum(max(c.values()) for c in side.values()) for side in (forth, back))
+    return agreed / len(slots), any(x != y for _, x, y in slots)
 
 
-def _is_small(items: DataFrame, most: int) -> bool:
-    return (items.agg(F.sum(F.length("item_text"))).first()[0] or 0) <= most
+PAIRS = "doc_id long, item_id long, n_windows long, matched long, consistency double, other_values boolean"
 
 
-def _index(items: DataFrame) -> Index:
-    return Index.build(sorted({(r.item_id, r.item_text or "") for r in items.collect()}))
+_WINDOWS = "item_key binary, kind boolean, size int, h long, n long, total long"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, max_sent_chars: int = MAX_SENT_CHARS) -> DataFrame:
-    """The pairs of document and item (``PAIRS``)."""
-    texts, items = _sides(docs, benchmark)
-    if not _is_small(items, max_sent_chars):
-        return _joined(texts, items)
-    sent = docs.sparkSession.sparkContext.broadcast(_index(items))
+def _item_windows(items: DataFrame) -> DataFrame:
+    """``item_key, kind, size, h, n, total``: the distinct windows of every item text; kind: as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = held("words", _Words)
+        words = _Words()
         for batch in batches:
-            found = [(d, *m) for d, x in zip(*(c.to_pylist() for c in batch.columns), strict=True) for m in sent.value.matches(x, words)]
-            yield _rows(found)
+            rows = []
+            for key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                item = Item.of(text, words)
+                for as_is, size, hashes in ((False, item.size, item.hashes), (True, item.exact_size, item.exact)):
+                    found, times = np.unique(hashes, return_counts=True)
+                    rows += [(key, as_is, size, h, n, len(hashes)) for h, n in zip(found.view(np.int64).tolist(), times.tolist(), strict=True)]
+            kinds = (pa.binary(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            columns = zip(*rows, strict=True) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in _WINDOWS.split(", ")])
 
-    return texts.mapInArrow(run, PAIRS).distinct()
+    return materialize(items.select("item_key", "item_text").mapInArrow(run, _WINDOWS), "item-windows")
 
 
-def _joined(texts: DataFrame, items: DataFrame) -> DataFrame:
-    """The same by a join of window hashes, for benchmarks of any size."""
-    sizes = list(range(MIN_TOKENS, WINDOW + 1))
-
-    def exact_sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, found = _Words(), set()
-        for batch in batches:
-            found |= {exact_window(template(x, words)) for x in batch.column(1).to_pylist()}
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(found - {0}), pa.int32())], ["size"])
-
-    as_they_are = sorted(r.size for r in items.mapInArrow(exact_sizes, "size int").distinct().collect())
-
-    def windows(own: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            words = _Words()
-            for batch in batches:
-                ids, hashes, exact = [], [], []
-                for i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    t = template(text, words)
-                    found = [(h, False) for size in ([item_window(t)] if own else sizes) if size for h in np.unique(window_hashes(t, size)[1])]
-                    found += [(h, True) for size in ([exact_window(t)] if own else as_they_are) if size for h in np.unique(exact_windows(t, size))]
-                    for h, as_is in found:
-                        ids.append(i), hashes.append(int(h) - (1 << 63)), exact.append(as_is)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(exact, pa.bool_())], ["id", "h", "exact"])
-
-        return run
-
-    ours = items.mapInArrow(windows(True), "id long, h long, exact boolean").withColumnRenamed("id", "item_id")
-    theirs = texts.mapInArrow(windows(False), "id long, h long, exact boolean").withColumnRenamed("id", "doc_id")
-    pairs = theirs.join(ours, ["h", "exact"]).groupBy("doc_id", "item_id", "exact").agg(F.count("*").alias("n"))
-    needed = ours.groupBy("item_id", "exact").agg(F.count("*").alias("total"))
-    likely = pairs.join(needed, ["item_id", "exact"]).where(F.col("n") >= F.col("total") * COVERAGE / 2).select("doc_id", "item_id").distinct()
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
-        for batch in batches:
-            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            yield _rows([(d, *m) for d, i, x, y in rows for m in Index.build([(i, y)]).matches(x, words)])
+def _bitmap(windows: DataFrame) -> np.ndarray:
+    """The bitmap of the windows' hashes: whatever their number, at most 2 ** (BITMAP - 6) longs reach the driver."""
+    bit = F.col("h").bitwiseAND(F.lit((1 << BITMAP) - 1))
+    place = F.shiftright(bit, 6)
+    words = windows.groupBy(place.alias("place")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (BITMAP - 6), np.uint64)
+    out[words["place"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return out
 
-    both = likely.join(texts, "doc_id").join(items, "item_id").select("doc_id", "item_id", "text", "item_text")
-    return both.mapInArrow(verify, PAIRS).distinct()
 
+def _text_hits(texts: DataFrame, sizes: list[tuple[bool, int]], bitmap: np.ndarray) -> DataFrame:
+    """``text_key, h``: the windows of the texts that the bitmap has, each once a text."""
+    sent = texts.sparkSession.sparkContext.broadcast(bitmap)
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, max_sent_chars: int = MAX_SENT_CHARS) -> DataFrame:
-    """``docs`` without those that contain an item."""
-    texts, items = _sides(docs, benchmark)
-    if not _is_small(items, max_sent_chars):
-        return docs.join(_joined(texts, items).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
-    sent, at = docs.sparkSession.sparkContext.broadcast(_index(items)), docs.columns.index("text")
-    at_id = docs.columns.index("doc_id")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, bits = held("words", _Words), sent.value
+        for batch in batches:
+            counts, hits = [], [np.zeros(0, np.uint64)]
+            for t in templates(batch.column(1).to_pylist(), words):
+                mine = []
+                for as_is, size in sizes:
+                    h = exact_windows(t, size) if as_is else window_hashes(t, size)[1]
+                    cut = h & np.uint64((1 << BITMAP) - 1)
+                    mine.append(h[(bits[cut >> np.uint64(6)] >> (cut & np.uint64(63))) & np.uint64(1) == 1])
+                mine = np.unique(np.concatenate(mine))
+                counts.append(len(mine)), hits.append(mine)
+            keys = batch.column(0).take(pa.array(np.repeat(np.arange(len(batch)), counts)))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate(hits).view(np.int64))], ["text_key", "h"])
+
+    return materialize(texts.mapInArrow(run, "text_key binary, h long").distinct(), "text-hits")
+
+
+def _keyed(df: DataFrame, name: str) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return df.withColumns({f"{name}_text": text, f"{name}_key": text_key(text)})
+
+
+_FOUND = "text_key binary, item_key binary, n_windows long, matched long, consistency double, other_values boolean"
+
+
+def _leaks(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """``_FOUND`` for the distinct texts (``text_key, text_text``) that hold distinct items (``item_key, item_text``)."""
+    small_batches(texts.sparkSession)
+    items = materialize(items.select("item_key", "item_text").dropDuplicates(["item_key"]), "items")
+    windows = _item_windows(items)
+    sizes = sorted((r.kind, r.size) for r in windows.select("kind", "size").distinct().collect())
+    texts = texts.select("text_key", "text_text")
+    if not sizes:
+        return texts.sparkSession.createDataFrame([], _FOUND)
+    hits = _text_hits(texts, sizes, _bitmap(windows))
+    # a text with the needed windows has one of the rarest: the rest of an item's isn't enough
+    shared_by = windows.groupBy("h").agg(F.count("*").alias("items"))
+    before = Window.partitionBy("item_key", "kind").orderBy("items", "h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = windows.join(shared_by, "h").withColumn("rest", F.col("total") - F.sum("n").over(before) + F.col("n"))
+    needed = ranked.where(F.col("rest") >= F.col("total") * COVERAGE).select("item_key", "kind", "h")
+    likely = materialize(hits.join(needed, "h").select("text_key", "item_key", "kind").distinct(), "likely-leaks")
+    counted = likely.join(windows, ["item_key", "kind"]).join(hits, ["text_key", "h"]).groupBy("text_key", "item_key", "kind")
+    enough = counted.agg(F.sum("n").alias("n"), F.max("total").alias("total")).where(F.col("n") >= F.col("total") * COVERAGE)
+    pairs = materialize(enough.select("text_key", "item_key").distinct(), "leak-pairs")
+    held_texts = texts.join(pairs.select("text_key").distinct(), "text_key", "left_semi").dropDuplicates(["text_key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = held("words", _Words)
+        words, known = _Words(), {}
         for batch in batches:
-            texts, ids = batch.column(at).to_pylist(), batch.column(at_id).to_pylist()
-            clean = [d is None or not sent.value.matches(x, words) for d, x in zip(ids, texts, strict=True)]
-            yield batch.filter(pa.array(clean, pa.bool_()))
+            rows = []
+            for text_id, item_id, text, item_text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if item_id not in known:
+                    if len(known) >= KEPT_ITEMS:
+                        known.clear()
+                    known[item_id] = Item.of(item_text, words)
+                if found := match(known[item_id], template(text, words)):
+                    rows.append((text_id, item_id, *found))
+            kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+            columns = zip(*rows, strict=True) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in _FOUND.split(", ")])
+
+    both = pairs.join(held_texts, "text_key").join(items, "item_key").select("text_key", "item_key", "text_text", "item_text")
+    return materialize(both.mapInArrow(run, _FOUND), "leaks")
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The pairs of document and item (``PAIRS``)."""
+    texts = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text").where("doc_id is not null")
+    items = _keyed(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), "item").where("item_id is not null")
+    found = _leaks(texts, items)
+    pairs = texts.select("doc_id", "text_key").join(found, "text_key").join(items.select("item_id", "item_key"), "item_key")
+    return pairs.select("doc_id", "item_id", "n_windows", "matched", "consistency", "other_values").distinct()
 
-    return docs.mapInArrow(run, docs.schema)
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without those that contain an item."""
+    leaks = _leaks(_keyed(docs.select("text"), "text"), _keyed(benchmark.select("text"), "item"))
+    gone = leaks.select(F.col("text_key").alias("_text_key")).distinct()
+    keyed = docs.withColumn("_text_key", text_key(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return keyed.join(gone, "_text_key", "left_anti").select(*docs.columns)

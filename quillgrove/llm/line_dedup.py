@@ -13,7 +13,7 @@ documents share reaches a task as one row per task.
 
 Defined results: a null text stays null, an empty one empty; rows of equal doc_id
 and text are one document, of which neither loses to the other; null doc_ids
-count as the smallest; other columns pass through, ``n_chars`` is set anew where
+count as the smallest, texts of one id in order of their hashes; other columns pass through, ``n_chars`` is set anew where
 the table has it; an empty table gives no rows.
 """
 
@@ -33,8 +33,6 @@ from quillgrove.session import materialize
 
 #: One line in so many ends a chunk, on average.
 DIVISOR = 3
-#: A chunk has at most so many lines, for runs of lines whose hash never ends one.
-MAX_LINES = 64
 LONG_WORDS = 50
 NO_ID = -(1 << 63)
 
@@ -51,7 +49,7 @@ def chunk_bounds(lines: list[bytes], divisor: int = DIVISOR, long_words: int = L
         if long and i > start:
             bounds.append((start, i))
             start = i
-        if long or ends[i] or i + 1 - start == MAX_LINES:
+        if long or ends[i]:
             bounds.append((start, i + 1))
             start = i + 1
     if start < len(lines):
@@ -70,44 +68,49 @@ def chunks_of(text: str | None, divisor: int, long_words: int) -> Iterator[tuple
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
 
 
 def repeated_chunks(docs: DataFrame, divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> DataFrame:
-    """``id, number, hash`` of every chunk to remove: it equals an earlier one byte by byte."""
+    """``id, key, number, hash`` of every chunk to remove: it equals an earlier one byte by byte.
+
+    A row is named by its id and its text's hash: rows without id, or of one id, are told apart.
+    """
 
     def list_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for batch in batches:
-            ids, numbers, hashes = [], [], []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            row, numbers, hashes = [], [], []
+            for i, text in enumerate(batch.column(2).to_pylist()):
                 for number, _, h, _, _ in chunks_of(text, divisor, long_words):
-                    ids.append(i), numbers.append(number), hashes.append(h)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(hashes, pa.int64())], ["id", "number", "hash"])
+                    row.append(i), numbers.append(number), hashes.append(h)
+            names = [batch.column(c).take(pa.array(row, pa.int64())) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*names, pa.array(numbers, pa.int32()), pa.array(hashes, pa.int64())], ["id", "key", "number", "hash"])
 
     def cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [])
-            for i, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows: tuple[list, ...] = ([], [], [], [], [])
+            for i, key, text, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 wanted = set(wanted)
                 for number, raw, h, _, _ in chunks_of(text, divisor, long_words):
                     if h in wanted:
-                        for column, value in zip(rows, (i, number, h, raw), strict=True):
+                        for column, value in zip(rows, (i, key, number, h, raw), strict=True):
                             column.append(value)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["id", "number", "hash", "raw"])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], ["id", "key", "number", "hash", "raw"])
 
     small_batches(docs.sparkSession)
     keyed = _keyed(docs)
-    found = materialize(keyed.mapInArrow(list_chunks, "id long, number int, hash long"), "line-chunks")
+    found = materialize(keyed.mapInArrow(list_chunks, "id long, key long, number int, hash long"), "line-chunks")
     again = materialize(found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "line-again")
-    wanted = found.join(again, "hash").groupBy("id").agg(F.collect_set("hash").alias("wanted"))
-    texts = keyed.join(wanted, "id").mapInArrow(cut_texts, "id long, number int, hash long, raw binary")
+    wanted = found.join(again, "hash").groupBy("id", "key").agg(F.collect_set("hash").alias("wanted"))
+    texts = keyed.join(wanted, ["id", "key"]).mapInArrow(cut_texts, "id long, key long, number int, hash long, raw binary")
     texts = materialize(texts, "line-texts")
     # a table of its own, so that both sides of the join are shuffled for it and a hot chunk's side can be split
-    firsts = materialize(texts.groupBy("hash", "raw").agg(F.min(F.struct("id", "number")).alias("first")), "line-firsts")
-    later = texts.join(firsts, ["hash", "raw"]).where(F.struct("id", "number") != F.col("first"))
-    return later.select("id", "number", "hash").distinct()
+    firsts = materialize(texts.groupBy("hash", "raw").agg(F.min(F.struct("id", "key", "number")).alias("first")), "line-firsts")
+    later = texts.join(firsts, ["hash", "raw"]).where(F.struct("id", "key", "number") != F.col("first"))
+    return later.select("id", "key", "number", "hash").distinct()
 
 
 def remove_chunks(docs: DataFrame, repeated: DataFrame, divisor: int = DIVISOR, long_words: int = LONG_WORDS) -> DataFrame:
@@ -117,9 +120,9 @@ def remove_chunks(docs: DataFrame, repeated: DataFrame, divisor: int = DIVISOR,
     fields = [T.StructField("text", T.StringType()) if f.name == "text" else f for f in docs.schema.fields]
     out = T.StructType([*fields, T.StructField("removed_lines", T.LongType())])
     own = "_" * max(map(len, names))  # a prefix that no column of the documents has
-    marks = repeated.groupBy(F.col("id").alias(own + "id")).agg(F.collect_list(F.struct("number", "hash")).alias(own + "marks"))
-    joined = docs.withColumns({"text": F.col("text").cast("string"), own + "id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))})
-    joined = joined.join(marks, own + "id", "left").select(*names, own + "marks")
+    marks = repeated.groupBy(F.col("id").alias(own + "id"), F.col("key").alias(own + "key")).agg(F.collect_list(F.struct("number", "hash")).alias(own + "marks"))
+    joined = docs.withColumns({"text": F.col("text").cast("string"), own + "id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), own + "key": F.xxhash64(F.col("text").cast("string"))})
+    joined = joined.join(marks, [own + "id", own + "key"], "left").select(*names, own + "marks")
     at_text, at_chars = names.index("text"), names.index("n_chars") if "n_chars" in names else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 """Quality rules as a ledger: every rule is evaluated once, policies come after.
 
 ``ledger``     measurements of each text and one bit per failed rule.
+``store``      writes the ledger once, for any number of policies.
 ``judge``      verdicts of a versioned policy (the rules it counts, as a mask).
 ``ablations``  what each rule of each policy rejects, and rejects alone, from one
                aggregation of the bits.
@@ -19,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgrove.session import materialize
+
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
@@ -99,6 +102,11 @@ def ledger(docs: DataFrame) -> DataFrame:
     return measure(docs).selectExpr("*", f"{bits} AS failed")
 
 
+def store(docs: DataFrame) -> DataFrame:
+    """The ledger of ``docs``, written to the shared folder."""
+    return materialize(ledger(docs), "ledger")
+
+
 def judge(rows: DataFrame, policy: Policy, column: str = "kept") -> DataFrame:
     """A boolean column: no rule of the policy failed."""
     return rows.withColumn(column, F.col("failed").bitwiseAND(F.lit(policy.mask)) == 0)
@@ -152,3 +160,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
         + 8 * (2 * n_dup_lines > n_lines)::BIGINT + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 15 * n_words)::BIGINT)::BIGINT AS failed
 FROM a
 """
+
+
+def _ablation_sql(policies: list[Policy]) -> str:
+    rows = [
+        f"SELECT '{p.version}' AS version, '{name}' AS rule, coalesce(sum((failed & {p.mask} & {1 << k} <> 0)::BIGINT), 0)::BIGINT AS n_failed, "
+        f"coalesce(sum((failed & {p.mask} = {1 << k})::BIGINT), 0)::BIGINT AS n_failed_alone FROM ledger"
+        for p in policies
+        for k, (name, _) in enumerate(RULES)
+        if name in p.rules
+    ]
+    return f"WITH ledger AS MATERIALIZED ({SQL}) " + " UNION ALL ".join(rows)
+
+
+ABLATION_SQL = _ablation_sql([BASE, STANDARD])

@@ -40,7 +40,7 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = [(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)]
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     rows = rows.union(spark.createDataFrame(extra, "conv_id long, turn long, role string, text string"))
-    turns = chat_format.canonical_turns(chat_format.turn_records(rows))
+    turns = chat_format.canonical_turns(chat_format.turn_records(rows), strict=True)
     return chat_format.digest_conversations(chat_format.format_turns(turns))
 
 
@@ -64,13 +64,19 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality_ledger.ledger(read_table(spark, sf_dir, "documents"))
+    rows = quality_ledger.store(read_table(spark, sf_dir, "documents"))
     rows = quality_ledger.judge(rows, quality_ledger.STANDARD)
     base_failed = F.col("failed").bitwiseAND(F.lit(quality_ledger.BASE.mask)) != 0
     rows = rows.withColumn("base_failed", base_failed).withColumn("kept", F.col("kept") & ~F.col("base_failed"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of two policies rejects, and rejects alone, from a stored ledger."""
+    rows = quality_ledger.store(read_table(spark, sf_dir, "documents"))
+    return quality_ledger.ablations(rows, [quality_ledger.BASE, quality_ledger.STANDARD])
+
+
 def op10_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -86,10 +92,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_quality_ledger": op9_quality_ledger,
     "op10_template_windows": op10_template_windows,
+    "quality_ablations": quality_ablations,
 }
 
 SQL: dict[str, str] = {
     "op2_url_trust": url_trust.oracle(URL_RULES),
     "op4_chat_format": chat_format.SQL,
     "op9_quality_ledger": quality_ledger.SQL,
+    "quality_ablations": quality_ledger.ABLATION_SQL,
 }

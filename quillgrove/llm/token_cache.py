@@ -3,7 +3,9 @@
 A byte-level BPE tokenizer starts a new pre-token at every space that precedes a
 non-space, whatever stands around it.  So a text is cut there, and each distinct
 piece is encoded once per Python worker; the ids of a text are those of its
-pieces, joined.  ``encode`` gives exactly what the library gives for whole texts.
+pieces, joined.  Added tokens (such as an end of text) that a text spells out are cut
+out first, as the library does.  ``encode`` gives exactly what the library gives for
+whole texts.
 """
 
 from __future__ import annotations
@@ -32,11 +34,17 @@ class PieceEncoder(dict):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = {x.content: i for i, x in self.tokenizer.get_added_tokens_decoder().items()}
+        # the longest of those that begin at one place
+        spelled = "|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))
+        self.cut_added = re.compile(f"({spelled})").split if spelled else None
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.id_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for written, number in vocabulary.items():  # byte-level: one character a byte
             self.id_bytes[number] = len(written)
+        for written, number in self.added.items():
+            self.id_bytes[number] = len(written.encode())
+        self.joins = not any(" " in x for x in self.added)  # pieces laid end to end spell no added token
         self._reset()
 
     def _reset(self) -> None:
@@ -59,8 +67,8 @@ class PieceEncoder(dict):
         for at in range(0, len(self.fresh), 8192):
             part = self.fresh[at : at + 8192]
             # pieces that begin with a space follow each other; the others start a string each
-            heads = [i for i, x in enumerate(part) if x[0] != " "]
-            order = [i for i, x in enumerate(part) if x[0] == " "] + heads
+            heads = [i for i, x in enumerate(part) if x[0] != " " or not self.joins]
+            order = [i for i, x in enumerate(part) if x[0] == " " and self.joins] + heads
             strings = ["".join(part[i] for i in order[: len(part) - len(heads)])] + [part[i] for i in heads]
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
             new = np.fromiter(chain.from_iterable(ids), np.int32, sum(map(len, ids)))
@@ -79,7 +87,7 @@ class PieceEncoder(dict):
         """Ids of all the texts, one after another as int32, and how many each has (null: none)."""
         if len(self) > CACHE_PIECES:
             self._reset()
-        cut = [_pieces(x) if x else [] for x in texts]
+        cut = [self._cut(x) if x else [] for x in texts]
         counts = np.fromiter(map(len, cut), np.int64, len(cut))
         numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
         self._learn()
@@ -90,6 +98,12 @@ class PieceEncoder(dict):
         edges = ends[np.concatenate([[0], np.cumsum(counts)])]
         return self.flat[where], np.diff(edges)
 
+    def _cut(self, text: str) -> list[str]:
+        parts = self.cut_added(text) if self.cut_added else [text]
+        if len(parts) == 1:
+            return _pieces(text)
+        return [y for x in parts if x for y in ([x] if x in self.added else _pieces(x))]
+
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_all([text])[0]
 

@@ -191,7 +191,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str) -> None:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first())
+    # rows without id, or of one id, are many: their texts' hashes deal them out
+    dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     dealt.mapInArrow(run, SCHEMA).write.parquet(path)
 

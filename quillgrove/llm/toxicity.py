@@ -5,19 +5,21 @@ by its naive Bayes log-count ratio, and a logistic regression is fitted on the
 scaled features (NB-SVM with a logistic loss).  Ratios and weights multiply into
 one table of ``2 ** BITS`` numbers, which is all that scoring needs.
 
-``train``  fits on at most ``per_class`` labelled texts of each class, those with
-           the smallest hashes of their ids; whole texts, never prefixes.
+``train``  fits on at most ``per_class`` labelled ids of each class, those with the
+           smallest hashes, one text each; whole texts, never prefixes.  That bound
+           is what one task holds: the ratios and the fit are its work alone.
 ``score``  scores every text; its cost is a few vector operations per byte.
 
 Defined results: a null, empty or blank text has the intercept's score; repeated
-rows score alike; a doc_id labelled twice counts as toxic if any label says so;
+rows score alike; of several texts of a labelled id the first in order is learned; a
+doc_id labelled twice counts as toxic if any label says so;
 null labels are ignored; without labelled texts of both classes every score is the
 share of toxic labels (0 without labels).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,12 +36,13 @@ NGRAMS = (4, 5, 6)
 BITS = 20
 #: Labelled texts of each class that the fit uses, at most.
 PER_CLASS = 4_000
-#: A feature is fitted if its ratio is so many standard errors from none; at most so many are.
+#: A feature is fitted if its ratio is so many standard errors from none.
 MIN_ERRORS = 4.5
-MAX_FEATURES = 1 << 14
 SMOOTHING = 1.0
 L2 = 1e-4
-STEPS = 300
+#: Steps of the fit, at most, and the gradient at which it ends.
+STEPS = 120
+FLAT = 1e-6
 THRESHOLD = 0.3
 #: Bytes hashed at a time.
 SPAN = 1 << 19
@@ -109,33 +112,61 @@ def _choose(counts: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     ratio -= np.log(texts[1] / p.sum()) - np.log(texts[0] / q.sum())
     errors = np.abs(ratio) / np.sqrt(1 / p + 1 / q)
     ratio[errors < MIN_ERRORS] = 0
-    chosen = np.sort(np.argsort(-errors, kind="stable")[:MAX_FEATURES])
-    chosen = chosen[ratio[chosen] != 0]
+    chosen = np.nonzero(ratio)[0]
     return chosen, ratio[chosen]
 
 
+def _descend(value_and_slope: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray) -> np.ndarray:
+    """A minimum of a smooth convex function by limited-memory quasi-Newton steps."""
+    f, g = value_and_slope(x)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(STEPS):
+        if np.abs(g).max() < FLAT:
+            break
+        way, kept = g.copy(), []
+        for s, y in reversed(steps):
+            a = (s @ way) / (s @ y)
+            way -= a * y
+            kept.append(a)
+        if steps:
+            s, y = steps[-1]
+            way *= (s @ y) / (y @ y)
+        for (s, y), a in zip(steps, reversed(kept), strict=True):
+            way += s * (a - (y @ way) / (s @ y))
+        slope, length = g @ way, 1.0 if steps else 1.0 / max(1.0, float(np.abs(g).sum()))
+        while True:
+            there = x - length * way
+            f_there, g_there = value_and_slope(there)
+            if f_there <= f - 1e-4 * length * slope or length < 1e-10:
+                break
+            length /= 2
+        s, y = there - x, g_there - g
+        x, f, g = there, f_there, g_there
+        if s @ y > 1e-12:
+            steps = [*steps[-9:], (s, y)]
+    return x
+
+
 def _fit(columns: list[np.ndarray], ratio: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and intercept: logistic regression by gradient steps with momentum and scaling.
+    """What each feature adds, and the intercept: logistic regression on features that have their ratio as value.
 
-    ``columns``: which of the chosen features each text has; their values are the ratios.
+    ``columns``: which of the chosen features each text has.
     """
-    row, column = np.repeat(np.arange(len(columns)), list(map(len, columns))), np.concatenate(columns)
-    value = ratio[column]
-    w, b = np.zeros(len(ratio)), float(np.log(weight[label == 1].sum() / weight[label == 0].sum()))
-    m, v, mb, vb, total = w * 0, w * 0, 0.0, 0.0, weight.sum()
-    for step in range(1, STEPS + 1):
-        z = b + np.bincount(row, weights=w[column] * value, minlength=len(label))
-        error = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - label) / total
-        g, gb = np.bincount(column, weights=error[row] * value, minlength=len(w)) + L2 * w, error.sum()
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
-        scale, late = 1 - 0.9**step, 1 - 0.99**step
-        rate = 0.05 if step < STEPS * 2 // 3 else 0.01
-        w -= rate * (m / scale) / (np.sqrt(v / late) + 1e-8)
-        b -= rate * (mb / scale) / (np.sqrt(vb / late) + 1e-8)
-    out = w * ratio
+    row, column = np.repeat(np.arange(len(columns), dtype=np.int32), list(map(len, columns))), np.concatenate(columns)
+    weight = weight / weight.sum()
+
+    def value_and_slope(x: np.ndarray) -> tuple[float, np.ndarray]:
+        z = x[-1] + np.bincount(row, weights=(x[:-1] * ratio)[column], minlength=len(label))
+        error = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - label)
+        slope = np.bincount(column, weights=error[row], minlength=len(ratio)) * ratio + L2 * x[:-1]
+        loss = weight @ (np.logaddexp(0, z) - label * z) + L2 / 2 * (x[:-1] @ x[:-1])
+        return float(loss), np.append(slope, error.sum())
+
+    start = np.append(np.zeros(len(ratio)), np.log(weight[label == 1].sum() / weight[label == 0].sum()))
+    x = _descend(value_and_slope, start)
+    out = x[:-1] * ratio
     out[np.abs(out) < 1e-3] = 0
-    return out, b
+    return out, float(x[-1])
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
@@ -160,7 +191,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
 
     # at most 2 * per_class rows of ids: a proven bound for the broadcast
     sample = materialize(chosen[0].union(chosen[1]), "toxic-sample")
-    texts = docs.join(F.broadcast(sample), "doc_id").select(F.col("text").cast("string"), "toxic")
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
     rows = materialize(texts.mapInArrow(run, "toxic int, features binary"), "toxic-features")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Mod
             head = [np.array([-1, -2]), chosen], [texts.astype(float), ratio]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in head], ["feature", "weight"])
 
-    # one task at a time reads the bounded sample, a batch after the other; its result is at most MAX_FEATURES numbers
+    # one task at a time reads the bounded sample, a batch after the other; its result is at most 2 ** BITS numbers
     one = rows.coalesce(1)
     picked = {r.feature: r.weight for r in one.mapInArrow(count, "feature long, weight double").collect()}
     if not picked:

@@ -3,11 +3,19 @@
 ``split_url``    host and path.
 ``judge_by_rules``  the longest rule that fits.
 ``host_edges``   links between hosts, from the pages' anchors.
-``propagate``    personalised PageRank from seeds, as rounds of join and sum.
+``propagate``    personalised PageRank from seeds, as rounds of join and sum until it settles.
 ``host_scores``  trust from hosts with allowed pages along the links, distrust from
                  hosts with blocked pages against them.
 ``judge``        the rule's verdict, else the host's.
 
+Scores are linear in the seeds, so dividing these by their sum would only divide the
+scores; they are given in units of a host that no link reaches and all of whose pages a
+rule decided, so a threshold means the same whatever the number of seeds.  On reversed
+links each keeps its share of the linking host's links: were a blocked host's distrust
+divided among those that link to it, the members of a large link farm would escape by
+their number.  Links without a host lead to the page's own and count as none;
+what hosts without links hold isn't passed on.
+
 Only DataFrame functions.  A seed weighs the share of its host's pages that a rule
 decided, so a host with a few blocked pages isn't distrusted as a whole.
 
@@ -25,7 +33,11 @@ from quillgrove.session import discard, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DAMPING = 0.85
-ROUNDS = 8
+#: Rounds end when no host's score changes by more than this share of it (of a whole seed's, if it is
+#: below one), which is measured every ``STRETCH`` rounds.
+TOLERANCE = 1e-3
+STRETCH = 6
+MOST_ROUNDS = 300
 #: A host is blocked at this distrust or more, if it exceeds its trust.
 DISTRUST = 0.5
 ANCHOR_HOST = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
@@ -64,21 +76,24 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return counted.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("share"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """``host, score``: each round a host's score is its seed plus damped shares of those that link to it."""
-    score = seeds
-    for i in range(rounds):
+    before = score = seeds
+    for i in range(1, MOST_ROUNDS + 1):
         flow = edges.join(score, edges.src == score.host).select(F.col("dst").alias("host"), (F.col("share") * F.col("score") * damping).alias("score"))
-        after = flow.union(seeds).groupBy("host").agg(F.sum("score").alias("score"))
-        if i % 4 == 3:
-            after = materialize(after, "trust")
-        score = after
-    return score
+        score = flow.union(seeds).groupBy("host").agg(F.sum("score").alias("score"))
+        if i % STRETCH == 0:
+            score = materialize(score, "trust")
+            both = score.select("host", "score", F.col("score").alias("change")).union(before.select("host", F.lit(0.0), -F.col("score")))
+            moved = both.groupBy("host").agg((F.abs(F.sum("change")) / F.greatest(F.lit(1.0), F.sum("score"))).alias("change"))
+            if (moved.agg(F.max("change")).first()[0] or 0) < tolerance:
+                return score
+            before = score
+    raise RuntimeError(f"scores did not settle in {MOST_ROUNDS} rounds")
 
 
 def reverse(edges: DataFrame) -> DataFrame:
-    """Links the other way; each keeps its share of the linking host's links, so distrust is the
-    damped chance that a walk along a host's links meets a blocked seed."""
+    """Links the other way, each with its share of the linking host's links."""
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "share")
 
 
@@ -111,8 +126,9 @@ def judge(pages: DataFrame, rules: dict[str, str], distrust: float = DISTRUST) -
     return joined.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
 
 
-def oracle(rules: dict[str, str], rounds: int = ROUNDS, damping: float = DAMPING, distrust: float = DISTRUST) -> str:
+def oracle(rules: dict[str, str], damping: float = DAMPING, distrust: float = DISTRUST) -> str:
     """DuckDB SQL for :func:`judge`, with the rounds written out."""
+    rounds = 8 * STRETCH
 
     def case(values: dict[str, str]) -> str:
         arms = []
@@ -124,22 +140,22 @@ def oracle(rules: dict[str, str], rounds: int = ROUNDS, damping: float = DAMPING
     anchor = ANCHOR_HOST.replace("'", "''")
     steps = []
     for kind, edge in (("trust", "e"), ("distrust", "back")):
-        steps.append(f"{kind}0 AS (SELECT host, {'allowed' if kind == 'trust' else 'blocked'} AS score FROM h WHERE score > 0)")
+        steps.append(f"{kind}0 AS MATERIALIZED (SELECT host, {'allowed' if kind == 'trust' else 'blocked'} AS score FROM h WHERE score > 0)")
         for i in range(rounds):
             steps.append(
-                f"{kind}{i + 1} AS (SELECT host, sum(score) AS score FROM (SELECT {edge}.dst AS host, {edge}.share * s.score * {damping} AS score "
+                f"{kind}{i + 1} AS MATERIALIZED (SELECT host, sum(score) AS score FROM (SELECT {edge}.dst AS host, {edge}.share * s.score * {damping} AS score "
                 f"FROM {edge} JOIN {kind}{i} s ON {edge}.src = s.host UNION ALL SELECT host, score FROM {kind}0) GROUP BY host)"
             )
     return f"""
 WITH u AS (SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 1), '{UPPER}', '{LOWER}') AS host,
                   regexp_extract(coalesce(url, ''), '://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
 r AS (SELECT *, {case({r: r for r in rules})} AS rule, {case(rules)} AS ruling FROM u),
-h AS (SELECT host, avg(CASE WHEN ruling = 'allow' THEN 1.0 ELSE 0.0 END) AS allowed, avg(CASE WHEN ruling = 'block' THEN 1.0 ELSE 0.0 END) AS blocked
+h AS MATERIALIZED (SELECT host, avg(CASE WHEN ruling = 'allow' THEN 1.0 ELSE 0.0 END) AS allowed, avg(CASE WHEN ruling = 'block' THEN 1.0 ELSE 0.0 END) AS blocked
       FROM r WHERE host <> '' GROUP BY host),
 l AS (SELECT host AS src, translate(unnest(regexp_extract_all(html, '{anchor}', 1)), '{UPPER}', '{LOWER}') AS dst FROM r WHERE host <> ''),
 c AS (SELECT src, dst, count(*) AS n FROM l WHERE src <> dst GROUP BY src, dst),
-e AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM c),
-back AS (SELECT dst AS src, src AS dst, share FROM e),
+e AS MATERIALIZED (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS share FROM c),
+back AS MATERIALIZED (SELECT dst AS src, src AS dst, share FROM e),
 {", ".join(steps)},
 s AS (SELECT host FROM distrust{rounds} d LEFT JOIN trust{rounds} t USING (host) WHERE d.score >= {distrust} AND d.score > coalesce(t.score, 0))
 SELECT page_id, host, path, rule, coalesce(ruling, CASE WHEN host IN (SELECT host FROM s) THEN 'block' END, 'allow') AS verdict FROM r

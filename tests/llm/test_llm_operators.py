@@ -81,7 +81,41 @@ def test_op1_slots_of_a_page_without_article(spark):
     out = {r.page_id: r.text for r in html_template.extract_text(rows).collect()}
     assert out[3] == "Text & 3\nmore of it 3"  # the greeting is the template's own text
     templates = html_template.host_templates(url_trust.split_url(rows)).collect()
-    assert len(templates) == 1 and any("/div" in c for c in templates[0].classes)
+    assert len(templates) == 1 and any("/div" in c.tokens for c in templates[0].classes)
+
+
+WORDS = "lorem ipsum dolor sit amet tempor labore magna aliqua veniam quis nostrud".split()
+
+
+def test_op1_template_tells_menu_from_text_without_names(spark):
+    """Elements and classes that say nothing: menus, notices and footers, of fixed and of varying text, are told by the slots."""
+    rng = random.Random(3)
+    say = lambda n: " ".join(rng.choices(WORDS, k=n))
+    rows, want = [], {}
+    for i in range(12):
+        title, paragraphs = f"T{i} {say(5)}", [f"P{i}{k} {say(60)}" for k in range(rng.randint(1, 4))]
+        menu = "".join(f'<li><a href="/{say(1)}">{say(2)}</a></li>' for _ in range(rng.randint(2, 6)))
+        page = (
+            f'<html><body><div class="u1"><ul>{menu}</ul></div><div class="u2">{say(4)} {i}</div><div class="u3"><h1>{title}</h1>'
+            f'<div class="u4">We use small files</div><div class="u5">{"".join(f"<p>{x}</p>" for x in paragraphs)}</div>'
+            f'<div class="u6"><a href="/x">{say(3)}</a> <a href="/y">{say(3)}</a></div></div><div class="u7">All rights {2000 + i % 3}</div></body></html>'
+        )
+        rows.append((i, f"http://plain.org/{i}", page))
+        want[i] = "\n".join([title, *paragraphs])
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("clash"))
+    out = {r.page_id: (r.text, r.by_template) for r in html_template.extract_text(table).collect()}
+    assert out == {i: (t, True) for i, t in want.items()}
+    alone = {r.page_id: (r.text, r.by_template) for r in html_template.extract_text(table.limit(1)).collect()}
+    assert alone[0][0] != want[0] and not alone[0][1]  # one page of a host has no template
+
+
+def test_op1_slots_overrule_names(spark):
+    """A wrapper whose class sounds like noise holds the text; a named article wins over a long list of comments' peers."""
+    body = " ".join(WORDS * 3)
+    pages = [(i, f"http://w.org/{i}", f'<body><div class="header-content"><p>{i} {body}</p></div><div class="foot">{i}</div></body>') for i in range(6)]
+    pages += [(10 + i, f"http://v.org/{i}", f'<body><article><p>{i} {body}</p></article><div class="z"><p>{i} {body} {body}</p></div></body>') for i in range(6)]
+    out = {r.page_id: r.text for r in html_template.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert all(out[i] == f"{i} {body}" and out[10 + i] == f"{i} {body}" for i in range(6))
 
 
 def test_op1_classes_share_vectors_and_joined_path_is_the_same(spark, small, monkeypatch):
@@ -121,6 +155,14 @@ def test_op2_distrust_runs_against_links_and_trust_along_them(spark, tmp_path):
     assert url_trust.judge(rows.limit(0), rules).count() == 0
 
 
+def test_op2_scores_settle_and_do_not_depend_on_the_number_of_seeds(spark):
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0), ("c", "d", 1.0), ("d", "e", 0.5)], "src string, dst string, share double")
+    one = url_trust.propagate(spark.createDataFrame([("a", 1.0)], "host string, score double"), edges)
+    assert {r.host: round(r.score, 1) for r in one.collect()} == {"a": 3.6, "b": 3.1}
+    two = url_trust.propagate(spark.createDataFrame([("a", 1.0), ("c", 0.5)], "host string, score double"), edges)
+    assert {r.host: round(r.score, 1) for r in two.collect()} == {"a": 3.6, "b": 3.1, "c": 0.5, "d": 0.4, "e": 0.2}
+
+
 # ---------------------------------------------------------------- 3
 
 
@@ -323,6 +365,45 @@ def test_op5_learns_and_holds_out(spark):
     assert all((r.score >= 0.3) == (r.doc_id % 5 == 0) == bool(r.predicted) for r in out if r.held_out)
 
 
+def test_op5_ratios_and_scores_equal_plain_counts(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(["lorem", "Ipsum,", "dolor!", "été", "sit"], k=12) + (["vilegrub"] if i % 3 == 0 else [])) for i in range(300)]
+    texts[7] = "ab"
+
+    def grams(text):
+        raw = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or chr(c).isalnum() else 32 for c in text.encode())
+        padded = toxicity.GAP + raw + toxicity.GAP
+        found = set()
+        for n in toxicity.NGRAMS:
+            for at in range(len(toxicity.GAP) + len(raw)):
+                h = 0x9E3779B1 * n & 0xFFFFFFFF
+                for c in padded[at : at + n]:
+                    h = (h * 0x01000193 + c) & 0xFFFFFFFF
+                h ^= h >> 15
+                found.add((h * 0x85EBCA6B & 0xFFFFFFFF) >> 32 - toxicity.BITS)
+        return found
+
+    label = [int(i % 3 == 0) for i in range(300)]
+    used = [i for i in range(300) if zlib.crc32(str(i).encode()) % 4 != 2]
+    counts = [Counter(g for i in used if label[i] == k for g in grams(texts[i])) for k in (0, 1)]
+    sums = [sum(c.values()) + (1 << toxicity.BITS) for c in counts]
+    n = [sum(label[i] == k for i in used) for k in (0, 1)]
+    ratio = {g: np.log((counts[1][g] + 1) / n[1]) - np.log((counts[0][g] + 1) / n[0]) for g in counts[0] | counts[1]}
+    far = {g for g, r in ratio.items() if abs(r) >= 4.5 * np.sqrt(1 / (counts[1][g] + 1) + 1 / (counts[0][g] + 1))}
+    table = docs(spark, texts).union(docs(spark, ["other text of the same id"] * 5, 3))
+    model = toxicity.train(table, spark.createDataFrame(list(enumerate(label)), "doc_id long, toxic int"))
+    held = np.zeros((2, 1 << toxicity.BITS), np.int64)
+    for k in (0, 1):
+        held[k, list(counts[k])] = list(counts[k].values())
+    chosen, ratios = toxicity._choose(held, np.array(n, float))
+    assert set(chosen.tolist()) == far and all(abs(ratio[g] - r) < 1e-9 for g, r in zip(chosen.tolist(), ratios, strict=True)) and all(sums)
+    assert set(np.nonzero(model.table)[0].tolist()) <= far and len(far) > 10
+    got = {r.doc_id: r.score for r in toxicity.score(docs(spark, texts), model).collect()}
+    for i in range(300):
+        z = model.intercept + sum(model.table[g] for g in grams(texts[i]))
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_op5_odd_rows(spark):
     labels = spark.createDataFrame([(1, 1), (2, None), (None, 1), (4, 0), (4, 1), (5, 0)], "doc_id long, toxic int")
     out = toxicity.predict(odd_docs(spark), labels).collect()
@@ -337,7 +418,6 @@ def test_op5_odd_rows(spark):
 @pytest.fixture(scope="module")
 def plain():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
 
 
@@ -501,15 +581,14 @@ def bench(spark, items=ITEMS):
     return spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
 
 
-@pytest.mark.parametrize("limit", [decontamination.MAX_SENT_CHARS, -1])
-def test_op10_catches_other_parameters_and_needs_consistency(spark, limit):
+def test_op10_catches_other_parameters_and_needs_consistency(spark):
     filler = "some plain words that belong to no question at all and go on for a while "
     again = ITEMS[0].replace("Rome", "Oslo").replace("240", "310").replace("35", "77").replace("Pisa", "Bergen City")
     mixed = "Nothing of it. A train leaves for the hills with many riders and then it rains for 3 hours"
     texts = [filler + ITEMS[0] + " " + filler, filler + again, mixed, filler, ITEMS[1] + " " + filler, None, ""]
-    got = {(r.doc_id, r.item_id): r.other_values for r in decontamination.contaminated(docs(spark, texts), bench(spark), limit).collect()}
+    got = {(r.doc_id, r.item_id): r.other_values for r in decontamination.contaminated(docs(spark, texts), bench(spark)).collect()}
     assert got == {(0, 0): False, (1, 0): True}
-    kept = {r.doc_id for r in decontamination.decontaminate(docs(spark, texts), bench(spark), limit).collect()}
+    kept = {r.doc_id for r in decontamination.decontaminate(docs(spark, texts), bench(spark)).collect()}
     assert kept == {2, 3, 4, 5, 6}
 
 
@@ -524,27 +603,46 @@ OTHER = ITEMS[0].replace("Rome", "Oslo").replace("240", "310").replace("35", "77
 THIRD = ITEMS[0].replace("Rome", "Bonn").replace("240", "88").replace("35", "21").replace("Pisa", "Ulm").replace("Turin", "Graz").replace("at 9", "at 5").replace("4 hours", "3 hours")
 
 
-@pytest.mark.parametrize("limit", [decontamination.MAX_SENT_CHARS, -1])
-def test_op10_judges_every_occurrence_by_itself(spark, limit):
+def test_op10_judges_every_occurrence_by_itself(spark):
     filler = " and so it goes on with plain words " * 3
     words = OTHER.split()
     broken = " ".join(words[:14]) + filler + " ".join(words[14:])
     texts = [ITEMS[0] + filler + OTHER, OTHER + filler + ITEMS[0], OTHER + filler + THIRD, ITEMS[0] + " " + OTHER + " " + THIRD, broken + filler + THIRD, filler]
-    found = decontamination.contaminated(docs(spark, texts), bench(spark, [ITEMS[0], OTHER]), limit).collect()
+    found = decontamination.contaminated(docs(spark, texts), bench(spark, [ITEMS[0], OTHER])).collect()
     got = {(r.doc_id, r.item_id): r.other_values for r in found}
     want = {(0, 0): False, (0, 1): False, (1, 0): False, (1, 1): False, (2, 0): True, (2, 1): False, (3, 0): False, (3, 1): False, (4, 0): True}
     assert {k: v for k, v in got.items() if k != (4, 1)} == want and (4, 1) in got
-    assert {r.doc_id for r in decontamination.decontaminate(docs(spark, texts), bench(spark), limit).collect()} == {5}
+    assert {r.doc_id for r in decontamination.decontaminate(docs(spark, texts), bench(spark)).collect()} == {5}
 
 
-@pytest.mark.parametrize("limit", [decontamination.MAX_SENT_CHARS, -1])
-def test_op10_finds_copies_of_items_with_few_words(spark, limit):
+def test_op10_finds_copies_of_items_with_few_words(spark):
     items = ["Compute 12, 7, 45, 3 by 8, 19, 4", "Anna Berg, Carl Dahl, Emma Falk, Gustav Holm 3, 5, 7", "17 23 31 42 58 61", *ITEMS]
     filler = "some plain words that belong to no question at all and go on for a while "
     texts = [filler + x + " " + filler for x in items[:3]] + ["With " + items[1], "Compute 11, 9, 44, 2 by 6, 15, 8", "17 23 31 42 58 60", filler, None]
-    got = {(r.doc_id, r.item_id, r.consistency, r.other_values) for r in decontamination.contaminated(docs(spark, texts), bench(spark, items), limit).collect()}
+    got = {(r.doc_id, r.item_id, r.consistency, r.other_values) for r in decontamination.contaminated(docs(spark, texts), bench(spark, items)).collect()}
     assert got == {(0, 0, 1.0, False), (1, 1, 1.0, False), (2, 2, 1.0, False), (3, 1, 1.0, False)}
-    assert {r.doc_id for r in decontamination.decontaminate(docs(spark, texts), bench(spark, items), limit).collect()} == {4, 5, 6, 7}
+    assert {r.doc_id for r in decontamination.decontaminate(docs(spark, texts), bench(spark, items)).collect()} == {4, 5, 6, 7}
+
+
+def test_op10_bitmap_size_changes_nothing(spark, monkeypatch):
+    """Repeated windows, repeated and null ids; a full bitmap lets every window through."""
+    chorus = "row the boat down the stream and sing the song again with all of them "
+    items = [chorus * 3 + "until 5 boats have passed", *ITEMS, chorus + "while 3 birds sit on the roof of the mill"]
+    filler = "some plain words that belong to no question at all and go on for a while "
+    rows = [(1, filler + items[0]), (1, filler), (None, items[1] + " " + filler), (None, None), (2, items[3].replace("3", "9")), (2, items[3].replace("3", "9")), (3, chorus)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    answers = []
+    for bits in (24, 6):
+        monkeypatch.setattr(decontamination, "BITMAP", bits)
+        pairs = sorted(tuple(r) for r in decontamination.contaminated(table, bench(spark, items)).collect())
+        kept = sorted(((r.doc_id, r.text) for r in decontamination.decontaminate(table, bench(spark, items)).collect()), key=str)
+        answers.append((pairs, kept))
+    assert answers[0] == answers[1]
+    pairs, kept = answers[0]
+    words = decontamination._Words()
+    want = {(d, i) for d, t in rows if d for i, item in enumerate(items) if decontamination.match(decontamination.Item.of(item, words), decontamination.template(t, words))}
+    assert {(p[0], p[1]) for p in pairs} == want and {(1, 0), (2, 3)} <= want
+    assert (1, filler) in kept and (None, None) in kept and not any(d == 2 or t and "train" in t for d, t in kept)
 
 
 def test_op10_equals_plain_search(spark, small):
