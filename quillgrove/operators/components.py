@@ -8,7 +8,7 @@ one that adaptive execution can split.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillgrove.session import discard, materialize
@@ -27,6 +27,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return pulled.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a table, and their number and sum of hashes, taken while they are written."""
+    seen = Observation()
+    table = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), "edges")
+    return table, (seen.get["n"], seen.get["sum"])
+
+
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 40) -> DataFrame:
     """``(node, component)`` for every node of an edge; component = smallest node id.
 
@@ -35,21 +42,16 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 40)
     left and fall back to the node's own id.
     """
     u, v = F.col(a), F.col(b)
-    now = materialize(
-        edges.where(u.isNotNull() & v.isNotNull() & (u != v))
-        .select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
-        .distinct(),
-        "edges",
-    )
-    seen = None
+    start = edges.where(u.isNotNull() & v.isNotNull() & (u != v)).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
+    now, mark = _written(start.distinct())
     for _ in range(max_rounds):
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen or mark[0] == 0:
+        if mark[0] == 0:
             break
-        seen = mark
-        after = materialize(_small_star(_large_star(now)), "edges")
+        after, next_mark = _written(_small_star(_large_star(now)))
         discard(now)
-        now = after
+        now, settled, mark = after, mark == next_mark, next_mark
+        if settled:
+            break
     else:
         raise RuntimeError(f"connected components did not settle in {max_rounds} rounds")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
