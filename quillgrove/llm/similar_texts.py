@@ -8,18 +8,20 @@
 SimHashes of min-wise views, linked by the vantage-point search, propose buckets of
 texts; every link is confirmed on the whole texts.  Inside a bucket no pairs are listed.
 Its members are compared with a head, those that it doesn't confirm with a second.
-Where a bucket still holds several classes, a head becomes the vantage point of a
-search by Jaccard distance:
+Where a bucket still holds several classes, most of its members share a passage at most:
+they are dealt to narrow buckets by least hashes (``tables`` keys of ``rows`` each), which
+get two heads as well.  Where one of those holds several classes, its head becomes the
+vantage point of an exact search by Jaccard distance:
 
 * A member is written as its difference from the head.  If x isn't linked to the head
   and y is similar to x, the triangle bound makes x and y share a part of their
   differences, so only members that share one of the first elements of theirs (as
-  many as the bound demands) are compared, and only those in different classes.
+  many as the bound demands; those that the head lacks, which are rare, come first) are
+  compared, and only those in different classes.
 * Members at similarity below ``MIDDLE`` can only be similar to members below
   ``MIDDLE + 1 - similarity``: those form the far side, which gets a head of its own.
 
-What is still far from ``HEADS`` heads shares a passage at most; it is dealt to narrow
-buckets by least hashes, searched the same way, and the last rest is compared as it is.
+What is far from ``HEADS`` heads of a narrow bucket is compared as it is.
 
 Defined results: rows with the same text form one node; null counts as an empty text;
 a null doc_id names a class only if no member has an id; repeated rows share a class;
@@ -29,7 +31,6 @@ empty tables give empty results.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,7 @@ from quillgrove.session import discard, materialize
 
 #: Members less similar to a head than this go to its far side.
 MIDDLE = 0.5
-#: Heads that a bucket gets, one after the other, before its rest goes to narrow buckets.
+#: Vantage points that a narrow bucket gets, one after the other.
 HEADS = 3
 #: A bucket's rows are dealt to so many keys where they meet its head.
 SALTS = 16
@@ -70,26 +71,28 @@ def shared_count(x: np.ndarray, y: np.ndarray) -> int:
     return len(np.intersect1d(x, y, assume_unique=True))
 
 
-def first_differences(x: np.ndarray, head: np.ndarray, similarity: float) -> tuple[bool, float, np.ndarray]:
-    """(linked to the head, similarity to it, the elements that a partner must share one of).
+def first_differences(x: np.ndarray, head: np.ndarray, similarity: float) -> tuple[bool, float, np.ndarray, np.ndarray]:
+    """(linked to the head, similarity to it, elements to be found by, further elements to ask with).
 
     With s the similarity, c = (1 - s) / (1 + s) and D the difference of a set from the
     head h, x and y are similar if they differ in at most c (|x| + |y|) elements, so
     they share at least (|Dx| + |Dy| - c (|x| + |y|)) / 2 elements of their
-    differences.  For x not linked to h, and any y, this is at least
-    (|Dx| - c (|x| + |h|)) / (1 + c), and at least 1; for y linked to h, and x not, it
-    exceeds (|Dy| - c (|y| - |h|)) / 2.  Two sets that share k elements share one of the
-    first |D| - k + 1 of each in one order: here elements that h lacks, then those that it has.
+    differences.  For any x, and y not linked to h, this exceeds
+    (|Dx| - c (|x| - |h|)) / 2.  For x not linked to h, and any y, it is at least
+    (|Dx| - c (|x| + |h|)) / (1 + c), and at least 1.  Two sets that share k elements
+    share one of the first |D| - k + 1 of each in one order: here elements that h lacks,
+    which tell members apart, then those that it has.
+
+    So two members that aren't linked to h share one of their elements to be found by, and
+    one that isn't linked asks with further ones for those that are.
     """
     new, gone = np.setdiff1d(x, head, assume_unique=True), np.setdiff1d(head, x, assume_unique=True)
     shared, n = len(x) - len(new), len(new) + len(gone)
     linked, c = is_similar(shared, len(x), len(head), similarity), (1 - similarity) / (1 + similarity)
-    if linked:
-        least = int(np.floor((n - c * (len(x) - len(head))) / 2 - 1e-9)) + 1
-    else:
-        least = int(np.ceil((n - c * (len(x) + len(head))) / (1 + c) - 1e-9))
-    first = np.concatenate([new, gone])[: max(0, n - max(1, least) + 1)]
-    return linked, shared / max(1, shared + n), first
+    order = np.concatenate([new, gone])
+    found_by = max(0, n - int(np.floor((n - c * (len(x) - len(head))) / 2 - 1e-9)))
+    asks = found_by if linked else max(0, n - max(1, int(np.ceil((n - c * (len(x) + len(head))) / (1 + c) - 1e-9))) + 1)
+    return linked, shared / max(1, shared + n), order[:found_by], order[found_by:asks]
 
 
 def confirm_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -168,7 +171,7 @@ def _with_head(rows: DataFrame, order: Column) -> DataFrame:
 def _star_round(left: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """Compare a bucket's members with its head: (links, members that it doesn't confirm).
 
-    The head is the member of the largest buckets in all, which is closest to what they
+    The head is the member whose prints most texts have, which is closest to what they
     have in common; buckets of one group of copies so agree on it.
     """
     stars = materialize(_with_head(left, -F.col("weight")), "dup-stars")
@@ -178,10 +181,18 @@ def _star_round(left: DataFrame, texts: DataFrame, shingle: int, similarity: flo
     return links, materialize(stars.join(found, ["head", "key"], "left_anti").drop("head"), "dup-left")
 
 
-def _open_rows(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """``rows`` with their ``class`` by the links so far: those of buckets that hold several."""
-    classes = connected_components(links, "a", "b").withColumnRenamed("node", "key")
-    named = rows.drop("class").join(classes, "key", "left").withColumn("class", F.coalesce("component", "key")).drop("component")
+def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``key, class`` after these links: only classes that they connect are looked at."""
+    ends = links.join(classes.select(F.col("key").alias("a"), F.col("class").alias("class_a")), "a")
+    ends = ends.join(classes.select(F.col("key").alias("b"), F.col("class").alias("class_b")), "b")
+    joined = connected_components(ends.select("class_a", "class_b"), "class_a", "class_b")
+    after = classes.join(joined.withColumnRenamed("node", "class"), "class", "left")
+    return materialize(after.select("key", F.coalesce("component", "class").alias("class")), "dup-classes")
+
+
+def _open_rows(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``rows`` with their ``class``: those of buckets that hold several."""
+    named = rows.drop("class").join(classes, "key")
     several = named.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("bucket")
     return materialize(named.join(several, "bucket"), "dup-open")
 
@@ -196,30 +207,34 @@ def _vantage_round(rows: DataFrame, texts: DataFrame, shingle: int, similarity:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads: dict[bytes, np.ndarray] = {}
         for batch in batches:
-            linked, near, far, first = [], [], [], []
+            linked, near, far, first, more = [], [], [], [], []
             for h, x, y in zip(batch.column("head"), batch.column("text"), batch.column("head_text"), strict=True):
-                is_linked, alike, elements = first_differences(shingle_set(x.as_py(), shingle), _head_set(heads, h.as_py(), y.as_py(), shingle), similarity)
+                is_linked, alike, found_by, asks = first_differences(shingle_set(x.as_py(), shingle), _head_set(heads, h.as_py(), y.as_py(), shingle), similarity)
                 linked.append(is_linked), near.append(alike >= MIDDLE), far.append(alike <= far_below + 1e-9)
-                first.append(elements.view(np.int64) if alike >= MIDDLE else elements[:0].view(np.int64))
-            flags = [pa.array(x, pa.bool_()) for x in (linked, near, far)]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in carried), *flags, pa.array(first, pa.list_(pa.int64()))],
-                [*carried, "linked", "near", "far", "first"],
-            )
+                for out, elements in ((first, found_by), (more, asks)):
+                    out.append(elements.view(np.int64) if alike >= MIDDLE else elements[:0].view(np.int64))
+            made = [*(pa.array(x, pa.bool_()) for x in (linked, near, far)), *(pa.array(x, pa.list_(pa.int64())) for x in (first, more))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *made], [*carried, "linked", "near", "far", "first", "more"])
 
     wanted = sides.select("bucket", "key", "class", "weight", "head", "head_class", "text", "head_text")
-    kinds = "bucket long, key binary, class binary, weight long, head binary, head_class binary, linked boolean, near boolean, far boolean, first array<long>"
+    kinds = "bucket long, key binary, class binary, weight long, head binary, head_class binary, linked boolean, near boolean, far boolean, first array<long>, more array<long>"
     read = materialize(wanted.mapInArrow(run, kinds), "dup-differences")
     links = read.where("linked").select(F.col("head").alias("a"), F.col("key").alias("b"))
-    # classes by these links too: whatever the head confirms is of its class
-    parts = read.where("near").select("bucket", "key", F.when(F.col("linked"), F.col("head_class")).otherwise(F.col("class")).alias("class"), F.explode("first").alias("element"))
-    sizes = parts.groupBy("bucket", "element", "class").agg(F.count("*").alias("n"))
-    common = sizes.groupBy("bucket", "element").agg(F.max_by("class", F.struct("n", "class")).alias("common"), F.count("*").alias("classes")).where("classes > 1")
-    shared = materialize(parts.join(common.drop("classes"), ["bucket", "element"]), "dup-elements")
+    # whatever the head confirms is of its class
+    is_of = F.when(F.col("linked"), F.col("head_class")).otherwise(F.col("class")).alias("class")
+    near = read.where("near").select("bucket", "key", is_of, "linked", "first", "more")
+    parts = near.select("bucket", "key", "class", "linked", F.explode("first").alias("element"))
+    several = parts.groupBy("bucket", "element").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max("linked").alias("has_linked"))
+    # of an element's classes the commonest is asked by the others
+    mixed = parts.join(several.where("low < high").select("bucket", "element"), ["bucket", "element"])
+    sizes = mixed.groupBy("bucket", "element", "class").agg(F.count("*").alias("n"))
+    common = sizes.groupBy("bucket", "element").agg(F.max_by("class", F.struct("n", "class")).alias("common"))
+    shared = materialize(mixed.join(common, ["bucket", "element"]), "dup-elements")
     asks = shared.where("class <> common").select("bucket", "element", F.col("key").alias("x"), F.col("class").alias("class_x"))
-    pairs = asks.join(shared, ["bucket", "element"]).where("class_x <> class")
-    pairs = pairs.select(F.least("x", "key").alias("a"), F.greatest("x", "key").alias("b")).distinct()
-    found = confirm_pairs(pairs, texts, shingle, similarity)
+    further = near.select("bucket", F.col("key").alias("x"), F.col("class").alias("class_x"), F.explode("more").alias("element"))
+    found_by = parts.where("linked").join(several.where("has_linked").select("bucket", "element"), ["bucket", "element"])
+    pairs = [a.join(b, ["bucket", "element"]).where("class_x <> class").select(F.least("x", "key").alias("a"), F.greatest("x", "key").alias("b")) for a, b in ((asks, shared), (further, found_by))]
+    found = confirm_pairs(materialize(pairs[0].union(pairs[1]).distinct(), "dup-pairs"), texts, shingle, similarity)
     far = read.where("far").select(F.xxhash64("bucket", "head").alias("bucket"), "key", "class", "weight", "near")
     apart = far.where("not near").select("bucket").distinct()
     return materialize(links.union(found), "dup-links"), materialize(far.join(apart, "bucket", "left_semi").drop("near"), "dup-far")
@@ -231,20 +246,25 @@ def _open_pairs(rows: DataFrame) -> DataFrame:
     return ours.join(theirs, "bucket").where("class_a < class_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _search(rows: DataFrame, texts: DataFrame, links: list[DataFrame], shingle: int, similarity: float) -> DataFrame:
-    """Adds to ``links`` those of the buckets' members; returns what is far from all heads of its bucket, by class."""
-    left = rows
+def _star_rounds(rows: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(classes after two heads a bucket, rows of the buckets that hold several classes still)."""
+    left, links = rows, []
     for _ in range(2):
         found, left = _star_round(left, texts, shingle, similarity)
         links.append(found)
-    rows = _open_rows(rows, reduce(DataFrame.union, links))
+    classes = _merged(classes, links[0].union(links[1]))
+    return classes, _open_rows(rows, classes)
+
+
+def _vantage_rounds(rows: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The classes after all links inside the buckets."""
     for _ in range(HEADS):
         if rows.isEmpty():
-            break
+            return classes
         found, far = _vantage_round(rows, texts, shingle, similarity)
-        links.append(found)
-        rows = _open_rows(far, reduce(DataFrame.union, links))
-    return rows
+        classes = _merged(classes, found)
+        rows = _open_rows(far, classes)
+    return _merged(classes, materialize(confirm_pairs(_open_pairs(rows), texts, shingle, similarity), "dup-links"))
 
 
 def text_classes(
@@ -263,20 +283,22 @@ def text_classes(
     buckets = materialize(buckets.select("key", F.coalesce("component", "fp").alias("bucket")).distinct(), "dup-buckets")
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = buckets.join(sizes, "bucket")
-    weights = members.groupBy("key").agg(F.sum("size").alias("weight"))
+    # how many texts have the same prints: most for what a group of copies has in common
+    popular = prints.groupBy("fp").agg(F.count("*").alias("times"))
+    weights = prints.join(members.select("key").distinct(), "key", "left_semi").join(popular, "fp").groupBy("key").agg(F.sum("times").alias("weight"))
+    weights = materialize(weights, "dup-weights")
     members = materialize(members.select("bucket", "key").join(weights, "key"), "dup-members")
     wanted = nodes.join(weights, "key", "left_semi").select(F.col("key").alias("wanted"), "first_id")
     texts = keyed.join(wanted, (F.col("key") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
     texts = materialize(texts.select("key", "text").dropDuplicates(["key"]), "dup-texts")
-    links: list[DataFrame] = []
-    rest = _search(members, texts, links, shingle, similarity)
+    classes = materialize(weights.select("key", F.col("key").alias("class")), "dup-classes")
+    classes, rest = _star_rounds(members, classes, texts, shingle, similarity)
     if not rest.isEmpty():
         asked = rest.select("key", "weight").distinct()
         narrow = near_buckets(texts.join(asked, "key", "left_semi"), shingle, tables, rows).join(asked, "key")
-        rest = _search(narrow, texts, links, shingle, similarity)
-        links.append(materialize(confirm_pairs(_open_pairs(rest), texts, shingle, similarity), "dup-links"))
-    classes = connected_components(reduce(DataFrame.union, links), "a", "b").withColumnRenamed("node", "key")
-    rooted = nodes.join(classes, "key", "left").withColumn("root", F.coalesce("component", "key"))
+        classes, rest = _star_rounds(narrow, classes, texts, shingle, similarity)
+        classes = _vantage_rounds(rest, classes, texts, shingle, similarity)
+    rooted = nodes.join(classes, "key", "left").withColumn("root", F.coalesce("class", "key"))
     first = F.struct(F.col("first_id").isNull().alias("none"), "first_id", "key")
     names = rooted.groupBy("root").agg(F.min(first).alias("first"))
     named = rooted.join(names, "root").select("key", F.col("first.first_id").alias("class_id"), F.col("first.key").alias("class_key"))
