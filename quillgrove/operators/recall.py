@@ -30,8 +30,10 @@ def base_score(text_match: Column, activation: Column) -> Column:
 
 def score_texts(rows: DataFrame, query: str) -> DataFrame:
     """Adds ``text_match`` and ``base``; one pass over the text, no shuffle."""
-    match = X.token_share(X.normalised(F.col("text")), X.query_tokens(query))
-    return rows.withColumn("text_match", match).withColumn("base", base_score(F.col("text_match"), F.col("activation")))
+    # a projection of its own, so the text is normalised once and not once a token
+    rows = rows.withColumn("_normal", X.normalised(F.col("text")))
+    scored = rows.withColumn("text_match", X.token_share(F.col("_normal"), X.query_tokens(query))).drop("_normal")
+    return scored.withColumn("base", base_score(F.col("text_match"), F.col("activation")))
 
 
 def link_boost(scored: DataFrame, links: DataFrame, factor: float = 0.25, cap: float = 0.25) -> DataFrame:
@@ -77,12 +79,13 @@ def route(results: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     rank = F.when(F.col("tier") == "core", 0).when(F.col("tier") == "warm", 1).otherwise(2)
     order = [F.desc("score"), rank, F.col("id")]
     by_id = results.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy(*order)))
+    same_id = by_id.where("_n > 1").select("id", F.col("id").alias("kept_id"), F.lit("duplicate_id").alias("reason"))
     unique = by_id.where("_n = 1").drop("_n")
     by_text = unique.withColumns(
         {"_n": F.row_number().over(Window.partitionBy("content_hash").orderBy(*order)), "kept_id": F.first("id").over(Window.partitionBy("content_hash").orderBy(*order))}
     )
     suppressed = by_text.where("_n > 1").select("id", "kept_id", F.lit("duplicate_content").alias("reason"))
-    return top(by_text.where("_n = 1").drop("_n", "kept_id"), limit, *order), suppressed
+    return top(by_text.where("_n = 1").drop("_n", "kept_id"), limit, *order), same_id.union(suppressed)
 
 
 def uncovered(results: DataFrame, covers: DataFrame) -> DataFrame:
@@ -101,6 +104,5 @@ def packed_context(ranked: DataFrame, max_chars: int = 4000, max_items: int = 6)
 def index_search(rows: DataFrame, query: str) -> DataFrame:
     """``id, score``: how many query words (repeats count) the record's token index holds."""
     words = [t for t in X.query_tokens(query, ()) if len(t) > 3]
-    tokens = X.index_tokens(F.col("text"))
-    score = sum((F.when(F.array_contains(tokens, w), 1).otherwise(0) for w in words), F.lit(0))
-    return rows.select("id", score.cast("long").alias("score")).where("score > 0")
+    score = sum((F.when(F.array_contains("_tokens", w), 1).otherwise(0) for w in words), F.lit(0))
+    return rows.select("id", X.index_tokens(F.col("text")).alias("_tokens")).select("id", score.cast("long").alias("score")).where("score > 0")

@@ -8,11 +8,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrove.functions import activation as A
 from quillgrove.functions import text as X
+from quillgrove.session import materialize
 
 
 def concept_echo(rows: DataFrame, query: str, concepts: list[str], noise: list[str] = ()) -> DataFrame:
@@ -62,41 +64,60 @@ def repeated_groups(rows: DataFrame, pairs: DataFrame, least: int = 3, days: int
     return whole.withColumn("span", span).where((F.col("n") >= least) & (F.col("span") < days)).select("a", "n", "span")
 
 
-def split_clusters(rows: DataFrame, key: str, threshold: float = 0.6, least: int = 3, largest: int = 4096) -> DataFrame:
+def split_clusters(rows: DataFrame, key: str, threshold: float = 0.6, least: int = 3) -> DataFrame:
     """``key, id, part``: a cluster's rows in order of id join the first part they are on average similar enough to.
 
-    A cluster that gives one part only stays whole (part 0), as do clusters over ``largest`` rows.
+    Parts under ``least`` rows are dropped; a cluster that gives one part only stays
+    whole (part 0).  A sorted stream: a task holds a sum per part, never a cluster's rows.
     """
-    sizes = rows.groupBy(key).agg(F.count("*").alias("_n"))
-    joined = rows.join(sizes, key)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", ignore_index=True)
-        units = np.stack(pdf["unit"].to_numpy())
-        sums: list[np.ndarray] = []
-        members: list[list[int]] = []
-        for i, u in enumerate(units):
-            for part, s in enumerate(sums):
-                if u @ s / len(members[part]) > threshold:
-                    sums[part] = s + u
-                    members[part].append(i)
-                    break
-            else:
-                sums.append(u.copy())
-                members.append([i])
-        good = [m for m in members if len(m) >= least]
-        parts = good if len(good) > 1 else [list(range(len(pdf)))]
-        return pd.DataFrame([(pdf[key][i], pdf["id"][i], p) for p, m in enumerate(parts) for i in m], columns=[key, "id", "part"])
-
     kind = rows.schema[key].dataType.simpleString()
-    small = joined.where(F.col("_n") <= largest).groupBy(key).applyInPandas(solve, f"{key} {kind}, id long, part long")
-    return small.unionByName(joined.where(F.col("_n") > largest).select(key, "id", F.lit(0).cast("long").alias("part")))
-
 
-def round_robin(rows: DataFrame, turn: int, size: int) -> DataFrame:
-    """The ids that a maintenance pass number ``turn`` visits: batches in a fixed pseudo-random order, each id once a cycle."""
-    batches = max(1, -(-rows.count() // size))
-    return rows.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == turn % batches)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, started, sums, counts = None, False, [], []
+        for batch in batches:
+            parts = []
+            for k, unit in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if not started or k != now:
+                    now, started, sums, counts = k, True, [], []
+                u = np.array(unit)
+                part = next((p for p, s in enumerate(sums) if u @ s / counts[p] > threshold), len(sums))
+                if part == len(sums):
+                    sums.append(np.zeros(len(u)))
+                    counts.append(0)
+                sums[part] += u
+                counts[part] += 1
+                parts.append(part)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.int64())], [key, "id", "_part"])
+
+    stream = rows.select(key, "id", "unit").repartition(F.col(key)).sortWithinPartitions(key, "id")
+    dealt = materialize(stream.mapInArrow(run, f"{key} {kind}, id long, _part long"), "cluster-parts")
+    good = dealt.groupBy(key, "_part").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(key, "_part")
+    several = good.groupBy(key).agg(F.count("*").alias("_k")).where("_k > 1").select(key)
+    part = F.row_number().over(Window.partitionBy(key).orderBy("_part")) - 1
+    numbered = good.join(several, key).withColumn("part", part.cast("long"))
+    split = dealt.join(numbered, [key, "_part"]).select(key, "id", "part")
+    return split.union(dealt.join(several, key, "left_anti").select(key, "id", F.lit(0).cast("long").alias("part")))
+
+
+def round_robin(rows: DataFrame, offset: int, size: int) -> tuple[DataFrame, int]:
+    """(the next ``size`` rows in order of id from a cursor's offset on, going round at the end; the next offset).
+
+    Places come from a count per range of ids, so no task sees all rows.
+    """
+    total = rows.count()
+    if not total:
+        return rows, 0
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = rows.repartitionByRange(n, "id").sortWithinPartitions("id").withColumn("_part", F.spark_partition_id())
+    ranged = materialize(ranged, "cursor-ranges")
+    within = ranged.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy("id")) - 1)
+    before, bases = 0, []
+    for r in ranged.groupBy("_part").count().orderBy("_part").collect():  # one row a task
+        bases.append((r["_part"], before))
+        before += r["count"]
+    places = within.join(F.broadcast(rows.sparkSession.createDataFrame(bases, "_part int, _base long")), "_part")
+    place = F.pmod(F.col("_base") + F.col("_n") - F.lit(offset), F.lit(total))
+    return places.where(place < size).drop("_part", "_n", "_base"), (offset + min(size, total)) % total
 
 
 def dominant(shares: Column, neutral: float = 0.2, near: float = 0.06) -> Column:

@@ -73,22 +73,28 @@ def similar_pairs(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def neighbours(rows: DataFrame, queries: DataFrame, k: int, least: float = -1.0) -> DataFrame:
-    """The k nearest rows of each query row (itself left out), queries in blocks against all rows."""
-    ask = _blocks(queries)
-    every = F.broadcast(ask.select(F.col("ids").alias("qids"), F.col("flat").alias("qflat"))) if ask.count() <= 8 else ask.select(F.col("ids").alias("qids"), F.col("flat").alias("qflat"))
-    joined = _blocks(rows).select("ids", "flat", F.lit(1).alias("one")).join(every.withColumn("one", F.lit(1)), "one")
+    """The k nearest rows of each query row (itself left out): blocks of queries against blocks of rows.
+
+    A task holds two blocks; each pair of blocks gives at most k rows a query, which are merged by query.
+    """
+    ask, against = materialize(_blocks(queries), "query-blocks"), materialize(_blocks(rows), "vector-blocks")
+    n = against.agg(F.max("block")).first()[0]
+    if n is None:
+        return rows.sparkSession.createDataFrame([], "id long, other long, score double, nth int")
+    left = ask.select(F.col("ids").alias("qids"), F.col("flat").alias("qflat"), F.explode(F.sequence(F.lit(0), F.lit(n))).alias("block"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 a, q = np.array(row["ids"]), np.array(row["qids"])
                 scores = np.array(row["qflat"]).reshape(len(q), -1) @ np.array(row["flat"]).reshape(len(a), -1).T
-                for i in range(len(q)):
-                    order = np.lexsort((a, -scores[i]))[: k + 1]
-                    order = order[(a[order] != q[i]) & (scores[i][order] >= least)][:k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), q[i])), pa.array(a[order]), pa.array(scores[i][order])], ["id", "other", "score"])
+                scores[(q[:, None] == a[None, :]) | (scores < least)] = -np.inf
+                order = np.lexsort((np.broadcast_to(a, scores.shape), -scores), axis=1)[:, :k]
+                best = np.take_along_axis(scores, order, axis=1)
+                i, j = np.nonzero(best > -np.inf)
+                yield pa.RecordBatch.from_arrays([pa.array(q[i]), pa.array(a[order[i, j]]), pa.array(best[i, j])], ["id", "other", "score"])
 
-    found = joined.mapInArrow(search, "id long, other long, score double")
+    found = left.join(against, "block").select("ids", "flat", "qids", "qflat").mapInArrow(search, "id long, other long, score double")
     nth = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))
     return found.withColumn("nth", nth).where(F.col("nth") <= k)
 
@@ -143,63 +149,81 @@ def isolation(rows: DataFrame, key: str) -> DataFrame:
     return other.select(key, F.when(F.col("n") < 2, 1.0).otherwise(1 - (F.col("s") - 1) / (F.col("n") - 1)).alias("isolation"))
 
 
-def _complete_link(ids: np.ndarray, units: np.ndarray, threshold: float) -> np.ndarray:
-    """Greedy in order of id: a row joins the first cluster all of whose members are similar enough."""
-    name, free = np.full(len(ids), -1, np.int64), np.ones(len(ids), bool)
-    similar = units @ units.T >= threshold - 1e-12
-    for i in range(len(ids)):
-        if not free[i]:
+#: A component of more links than this is deferred whole: what one task compares is bounded.
+MOST_LINKS = 4_000_000
+
+
+def _complete_link(a: np.ndarray, b: np.ndarray) -> dict[int, int]:
+    """id -> first member of its cluster, from the links of a component, greedy in order of id.
+
+    A row joins the first cluster all of whose members it is linked to.
+    """
+    both, other = np.concatenate([a, b]), np.concatenate([b, a])
+    order = np.lexsort((other, both))
+    both, other = both[order], other[order]
+    ids, start = np.unique(both, return_index=True)
+    linked = dict(zip(ids.tolist(), np.split(other, start[1:]), strict=True))
+    name: dict[int, int] = {}
+    for i in ids.tolist():
+        if i in name:
             continue
-        fits, free[i], name[i] = similar[i] & free, False, ids[i]
-        for j in np.nonzero(fits)[0]:
-            if j > i and fits[j]:
-                name[j], free[j] = ids[i], False
-                fits &= similar[j]
+        name[i] = i
+        fits = linked[i][linked[i] > i]
+        while len(fits):
+            j, fits = int(fits[0]), fits[1:]
+            if j not in name:
+                name[j] = i
+                fits = np.intersect1d(fits, linked[j], assume_unique=True)
     return name
 
 
-def complete_link_clusters(rows: DataFrame, pairs: DataFrame, threshold: float, least: int = 3, largest: int = 4096) -> DataFrame:
+def complete_link_clusters(rows: DataFrame, pairs: DataFrame, threshold: float, least: int = 3, most_links: int = MOST_LINKS, largest: int | None = None) -> DataFrame:
     """``id, component, cluster, status``: complete-link clusters within each component.
 
-    A cluster never spans components, so each is solved for itself; components over
-    ``largest`` rows are deferred whole, never cut.
+    A cluster never spans components, so each is solved from its own links at or above
+    the threshold; components over ``most_links`` (or over ``largest`` rows, if
+    given) are deferred whole, never cut.
     """
-    placed = components(rows, pairs)
-    sizes = placed.groupBy("component").agg(F.count("*").alias("size"))
-    joined = placed.join(sizes, "component").join(rows.select("id", "unit"), "id")
-    alone = joined.where((F.col("size") < least) | (F.col("size") > largest)).select(
-        "id", "component", F.lit(None).cast("long").alias("cluster"), F.when(F.col("size") > largest, "DEFERRED_DENSE_COMPONENT").otherwise("UNCLUSTERED").alias("status")
-    )
+    similar = pairs.where(F.col("score") >= threshold - 1e-12).select("a", "b")
+    placed = materialize(components(rows, similar), "placed")
+    edges = similar.join(placed.withColumnRenamed("id", "a"), "a")
+    sizes = edges.groupBy("component").agg(F.count("*").alias("links"))
+    if largest is not None:
+        sizes = sizes.join(placed.groupBy("component").agg(F.count("*").alias("rows")), "component").withColumn("links", F.when(F.col("rows") > largest, most_links + 1).otherwise(F.col("links")))
+    dense = sizes.where(F.col("links") > most_links).select("component", F.lit(True).alias("dense"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", ignore_index=True)
-        name = _complete_link(pdf["id"].to_numpy(), np.stack(pdf["unit"].to_numpy()), threshold)
-        size = pd.Series(name).map(pd.Series(name).value_counts())
-        good = size >= least
-        return pd.DataFrame({"id": pdf["id"], "component": pdf["component"], "cluster": pd.Series(name).where(good).astype("Int64"), "status": np.where(good, "CLUSTERED", "UNCLUSTERED")})
+        name = _complete_link(pdf["a"].to_numpy(), pdf["b"].to_numpy())
+        return pd.DataFrame({"id": list(name), "cluster": list(name.values())})
 
-    schema = "id long, component long, cluster long, status string"
-    solved = joined.where(F.col("size").between(least, largest)).groupBy("component").applyInPandas(solve, schema)
-    return solved.unionByName(alone)
+    fit = edges.join(sizes.where(F.col("links") <= most_links).select("component"), "component")
+    solved = materialize(fit.groupBy("component").applyInPandas(solve, "id long, cluster long"), "complete-link")
+    good = solved.join(solved.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("cluster"), "cluster")
+    status = F.when(F.col("dense"), "DEFERRED_DENSE_COMPONENT").when(F.col("cluster").isNotNull(), "CLUSTERED").otherwise("UNCLUSTERED")
+    return placed.join(dense, "component", "left").join(good, "id", "left").select("id", "component", "cluster", status.alias("status"))
 
 
 def leader_clusters(rows: DataFrame, pairs: DataFrame, threshold: float, least: int = 3) -> DataFrame:
     """``id, leader``: in order of id, the first row not taken leads and takes its similar rows (strictly above).
 
-    Leaders and followers share a component, so each component is solved for itself.
+    Rounds of joins: a row leads as soon as no undecided row of a smaller id is similar
+    to it, and whatever is similar to a leader of a smaller id follows.  So no group
+    meets in one task.
     """
-    placed = components(rows, pairs).join(rows.select("id", "unit"), "id")
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", ignore_index=True)
-        ids, units = pdf["id"].to_numpy(), np.stack(pdf["unit"].to_numpy())
-        leader = np.full(len(ids), -1, np.int64)
-        for i in range(len(ids)):
-            if leader[i] < 0:
-                taken = (leader < 0) & (units @ units[i] > threshold)
-                taken[i] = True
-                leader[taken] = ids[i]
-        out = pd.DataFrame({"id": ids, "leader": leader})
-        return out[out["leader"].map(out["leader"].value_counts()) >= least]
-
-    return placed.groupBy("component").applyInPandas(solve, "id long, leader long")
+    edges = pairs.where(F.col("score") > threshold).select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
+    edges = left = materialize(edges, "leader-edges")
+    open_rows = rows.select("id")
+    led = None
+    while True:
+        lead = materialize(open_rows.join(left.select(F.col("hi").alias("id")).distinct(), "id", "left_anti"), "leaders")
+        led = lead if led is None else led.union(lead)
+        taken = left.join(lead.withColumnRenamed("id", "lo"), "lo").select(F.col("hi").alias("id"))
+        done = materialize(lead.union(taken).distinct(), "leader-done")
+        open_rows = materialize(open_rows.join(done, "id", "left_anti"), "leader-open")
+        if open_rows.isEmpty():
+            break
+        still = lambda df, end: df.join(done.withColumnRenamed("id", end), end, "left_anti")
+        left = materialize(still(still(left, "lo"), "hi"), "leader-edges")
+    follows = edges.join(led.withColumnRenamed("id", "lo"), "lo").groupBy(F.col("hi").alias("id")).agg(F.min("lo").alias("leader"))
+    named = follows.join(led, "id", "left_anti").union(led.select("id", F.col("id").alias("leader")))
+    return named.join(named.groupBy("leader").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("leader"), "leader").select("id", "leader")

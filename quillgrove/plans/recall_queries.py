@@ -93,7 +93,7 @@ def router_merge_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     f"""WITH {MEM}, {_RESULTS}, a AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {_ORDER}) AS n FROM res),
 b AS (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY {_ORDER}) AS m, first_value(id) OVER (PARTITION BY content_hash ORDER BY {_ORDER}) AS kept_id FROM a WHERE n = 1)
-SELECT id, kept_id, 'duplicate_content' AS reason FROM b WHERE m > 1"""
+SELECT id, kept_id, 'duplicate_content' AS reason FROM b WHERE m > 1 UNION ALL SELECT id, id, 'duplicate_id' FROM a WHERE n > 1"""
 )
 def router_suppressed(spark: SparkSession, sf: str) -> DataFrame:
     return R.route(_results(spark, sf), 40)[1]
@@ -107,11 +107,11 @@ def source_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {MEM}, ranked AS (SELECT id, text, row_number() OVER (ORDER BY activation DESC, id) AS rank FROM mem WHERE n_chars < 1500),
+    f"""WITH {MEM}, ranked AS (SELECT id, text, row_number() OVER (ORDER BY activation DESC, id) AS rank FROM mem),
 r AS (SELECT id, rank, sum(length(text)) OVER (ORDER BY rank) AS running FROM ranked WHERE rank <= 6) SELECT id, rank::BIGINT AS rank, running::BIGINT AS running FROM r WHERE running <= 4000"""
 )
 def bounded_context(spark: SparkSession, sf: str) -> DataFrame:
-    head = R.top(memories(spark, sf).where("n_chars < 1500"), 6, F.desc("activation"), F.col("id"))
+    head = R.top(memories(spark, sf), 6, F.desc("activation"), F.col("id"))
     from pyspark.sql import Window
 
     ranked = head.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("activation"), "id")).cast("long"))
@@ -218,12 +218,11 @@ def link_type_counts(spark: SparkSession, sf: str) -> DataFrame:
 SELECT user_id, n, total, coalesce(n - lag(n) OVER (ORDER BY user_id), 0)::BIGINT AS n_change, coalesce(round(total - lag(total) OVER (ORDER BY user_id), 6), 0) AS total_change FROM d"""
 )
 def trends(spark: SparkSession, sf: str) -> DataFrame:
-    """Changes between consecutive snapshots (here: users in order); the window is over one row per snapshot."""
-    from pyspark.sql import Window
-
+    """Changes between consecutive snapshots (here: users, numbered without gaps): each joins the one before it."""
     snapshots = memories(spark, sf).groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("activation"), 6).alias("total"))
-    before = Window.orderBy("user_id")
-    return snapshots.withColumns({"n_change": F.coalesce(F.col("n") - F.lag("n").over(before), F.lit(0)), "total_change": F.coalesce(F.round(F.col("total") - F.lag("total").over(before), 6), F.lit(0.0))})
+    before = snapshots.select((F.col("user_id") + 1).alias("user_id"), F.col("n").alias("n_before"), F.col("total").alias("total_before"))
+    change = lambda c: F.coalesce(F.col(c) - F.col(f"{c}_before"), F.lit(0))
+    return snapshots.join(before, "user_id", "left").select("user_id", "n", "total", change("n").alias("n_change"), F.round(change("total"), 6).alias("total_change"))
 
 
 _TIER = """CASE WHEN memory_kind = 'super_memory' AND storage_tier = 'core' THEN 'core|super_core' WHEN memory_kind = 'super_memory' THEN '|super_not_core'

@@ -30,12 +30,12 @@ def concept_echo(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH a AS (SELECT doc_id AS id, split_part(text, '.', 1) AS title, substring(text, 1, 400) AS abstract, CASE WHEN doc_id % 13 <> 0 THEN 1990 + doc_id % 40 END AS year FROM documents)
+    """WITH a AS (SELECT doc_id AS id, split_part(text, '.', 1) AS title, text AS abstract, CASE WHEN doc_id % 13 <> 0 THEN 1990 + doc_id % 40 END AS year FROM documents)
 SELECT id, coalesce(year, 0) AS year FROM (SELECT * FROM a WHERE (title ILIKE '%the%' OR abstract ILIKE '%the%') AND (title ILIKE '%ation%' OR abstract ILIKE '%ation%') AND (year IS NULL OR year >= 2005) ORDER BY year DESC NULLS LAST, id LIMIT 30)"""
 )
 def article_search(spark: SparkSession, sf: str) -> DataFrame:
     rows = read_table(spark, sf, "documents").select(
-        F.col("doc_id").alias("id"), F.split_part("text", F.lit("."), F.lit(1)).alias("title"), F.substring("text", 1, 400).alias("abstract"), F.when(F.col("doc_id") % 13 != 0, F.col("doc_id") % 40 + 1990).alias("year")
+        F.col("doc_id").alias("id"), F.split_part("text", F.lit("."), F.lit(1)).alias("title"), F.col("text").alias("abstract"), F.when(F.col("doc_id") % 13 != 0, F.col("doc_id") % 40 + 1990).alias("year")
     )
     return S.search_articles(rows, ["the", "ation"], 2005, 30).select("id", F.coalesce("year", F.lit(0)).alias("year"))
 
@@ -85,12 +85,12 @@ def invalid_results(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {MEM}, {LINK}, cold AS (SELECT id FROM mem WHERE id % 2 = 0), e AS (SELECT source_id, target_id, weight, unnest([source_id, target_id]) AS id FROM link),
+    f"""WITH {MEM}, {LINK}, cold AS (SELECT id FROM mem WHERE activation < 0.3 AND idle_days > 30), e AS (SELECT source_id, target_id, weight, unnest([source_id, target_id]) AS id FROM link),
 n AS (SELECT source_id, target_id, row_number() OVER (PARTITION BY id ORDER BY weight DESC, source_id, target_id) AS k FROM e JOIN cold USING (id))
 SELECT source_id, target_id FROM link l WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.k > 1 AND n.source_id = l.source_id AND n.target_id = l.target_id)"""
 )
 def cold_link_pruning(spark: SparkSession, sf: str) -> DataFrame:
-    cold = memories(spark, sf).where("id % 2 = 0")
+    cold = memories(spark, sf).where("activation < 0.3 AND idle_days > 30")
     return S.prune_cold_links(links(spark, sf), cold, 1).select("source_id", "target_id")
 
 
@@ -120,6 +120,6 @@ def entities(spark: SparkSession, sf: str) -> DataFrame:
     return S.entities(memories(spark, sf))
 
 
-@query()
+@query("SELECT doc_id AS id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS n, count(*) OVER () AS total FROM documents) WHERE (n - 150 + total) % total < 80")
 def maintenance_batch(spark: SparkSession, sf: str) -> DataFrame:
-    return S.round_robin(memories(spark, sf).select("id"), 3, 200)
+    return S.round_robin(memories(spark, sf).select("id"), 150, 80)[0]

@@ -1,8 +1,9 @@
 """Session helpers: where intermediate tables go, and how lineage is cut.
 
 Everything durable goes below the folder named by ``spark.checkpoint.dir``,
-which the cluster shares between driver and executors.  Only where that
-setting is absent (tests, notebooks) is a temporary folder chosen.
+which the cluster shares between driver and executors.  Where that setting is
+absent, a local session (tests, notebooks) gets a temporary folder; any other
+is refused, as its executors would each write to a folder of their own.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="quillgrove-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
