@@ -17,7 +17,8 @@ vantage point of an exact search by Jaccard distance:
   and y is similar to x, the triangle bound makes x and y share a part of their
   differences, so only members that share one of the first elements of theirs (as
   many as the bound demands; those that the head lacks, which are rare, come first) are
-  compared, and only those in different classes.
+  compared, only those in different classes, and only where what follows the element in
+  both differences leaves room for all that they would share.
 * Members at similarity below ``MIDDLE`` can only be similar to members below
   ``MIDDLE + 1 - similarity``: those form the far side, which gets a head of its own.
 
@@ -207,33 +208,45 @@ def _vantage_round(rows: DataFrame, texts: DataFrame, shingle: int, similarity:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heads: dict[bytes, np.ndarray] = {}
         for batch in batches:
-            linked, near, far, first, more = [], [], [], [], []
+            linked, near, far, first, more, sizes, differing = [], [], [], [], [], [], []
             for h, x, y in zip(batch.column("head"), batch.column("text"), batch.column("head_text"), strict=True):
-                is_linked, alike, found_by, asks = first_differences(shingle_set(x.as_py(), shingle), _head_set(heads, h.as_py(), y.as_py(), shingle), similarity)
+                x_set, h_set = shingle_set(x.as_py(), shingle), _head_set(heads, h.as_py(), y.as_py(), shingle)
+                is_linked, alike, found_by, asks = first_differences(x_set, h_set, similarity)
+                sizes.append(len(x_set)), differing.append(len(x_set) + len(h_set) - 2 * shared_count(x_set, h_set))
                 linked.append(is_linked), near.append(alike >= MIDDLE), far.append(alike <= far_below + 1e-9)
                 for out, elements in ((first, found_by), (more, asks)):
                     out.append(elements.view(np.int64) if alike >= MIDDLE else elements[:0].view(np.int64))
-            made = [*(pa.array(x, pa.bool_()) for x in (linked, near, far)), *(pa.array(x, pa.list_(pa.int64())) for x in (first, more))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *made], [*carried, "linked", "near", "far", "first", "more"])
+            made = [*(pa.array(x, pa.bool_()) for x in (linked, near, far)), *(pa.array(x, pa.list_(pa.int64())) for x in (first, more)), *(pa.array(x, pa.int64()) for x in (sizes, differing))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *made], [*carried, "linked", "near", "far", "first", "more", "size", "differing"])
 
     wanted = sides.select("bucket", "key", "class", "weight", "head", "head_class", "text", "head_text")
-    kinds = "bucket long, key binary, class binary, weight long, head binary, head_class binary, linked boolean, near boolean, far boolean, first array<long>, more array<long>"
+    kinds = "bucket long, key binary, class binary, weight long, head binary, head_class binary, linked boolean, near boolean, far boolean, first array<long>, more array<long>, size long, differing long"
     read = materialize(wanted.mapInArrow(run, kinds), "dup-differences")
     links = read.where("linked").select(F.col("head").alias("a"), F.col("key").alias("b"))
     # whatever the head confirms is of its class
     is_of = F.when(F.col("linked"), F.col("head_class")).otherwise(F.col("class")).alias("class")
-    near = read.where("near").select("bucket", "key", is_of, "linked", "first", "more")
-    parts = near.select("bucket", "key", "class", "linked", F.explode("first").alias("element"))
+    kept = ["bucket", "key", "class", "linked", "size", "differing"]
+    near = read.where("near").select("bucket", "key", is_of, "linked", "size", "differing", "first", "more")
+    parts = near.select(*kept, F.posexplode("first").alias("at", "element"))
     several = parts.groupBy("bucket", "element").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max("linked").alias("has_linked"))
     # of an element's classes the commonest is asked by the others
     mixed = parts.join(several.where("low < high").select("bucket", "element"), ["bucket", "element"])
-    sizes = mixed.groupBy("bucket", "element", "class").agg(F.count("*").alias("n"))
-    common = sizes.groupBy("bucket", "element").agg(F.max_by("class", F.struct("n", "class")).alias("common"))
+    counts = mixed.groupBy("bucket", "element", "class").agg(F.count("*").alias("n"))
+    common = counts.groupBy("bucket", "element").agg(F.max_by("class", F.struct("n", "class")).alias("common"))
     shared = materialize(mixed.join(common, ["bucket", "element"]), "dup-elements")
-    asks = shared.where("class <> common").select("bucket", "element", F.col("key").alias("x"), F.col("class").alias("class_x"))
-    further = near.select("bucket", F.col("key").alias("x"), F.col("class").alias("class_x"), F.explode("more").alias("element"))
+
+    def asking(rows: DataFrame) -> DataFrame:
+        return rows.select("bucket", "element", F.col("key").alias("x"), *(F.col(c).alias(f"{c}_x") for c in ("class", "size", "differing", "at")))
+
+    further = near.select(*kept, F.size("first").alias("before"), F.posexplode("more").alias("at", "element")).withColumn("at", F.col("at") + F.col("before"))
     found_by = parts.where("linked").join(several.where("has_linked").select("bucket", "element"), ["bucket", "element"])
-    pairs = [a.join(b, ["bucket", "element"]).where("class_x <> class").select(F.least("x", "key").alias("a"), F.greatest("x", "key").alias("b")) for a, b in ((asks, shared), (further, found_by))]
+    # what is left of both differences from the first shared element on must hold all that similar sets share
+    needed = (F.col("differing_x") + F.col("differing") - (1 - similarity) / (1 + similarity) * (F.col("size_x") + F.col("size"))) / 2
+    room = F.least(F.col("differing_x") - F.col("at_x"), F.col("differing") - F.col("at"))
+    pairs = [
+        a.join(b, ["bucket", "element"]).where((F.col("class_x") != F.col("class")) & (room >= needed - 1e-9)).select(F.least("x", "key").alias("a"), F.greatest("x", "key").alias("b"))
+        for a, b in ((asking(shared.where("class <> common")), shared), (asking(further), found_by))
+    ]
     found = confirm_pairs(materialize(pairs[0].union(pairs[1]).distinct(), "dup-pairs"), texts, shingle, similarity)
     far = read.where("far").select(F.xxhash64("bucket", "head").alias("bucket"), "key", "class", "weight", "near")
     apart = far.where("not near").select("bucket").distinct()
