@@ -18,7 +18,8 @@ vantage point of an exact search by Jaccard distance:
   differences, so only members that share one of the first elements of theirs (as
   many as the bound demands; those that the head lacks, which are rare, come first) are
   compared, only those in different classes, and only where what follows the element in
-  both differences leaves room for all that they would share.
+  both differences leaves room for all that they would share; a pair is made once, in its
+  first common bucket at the first element that it shares.
 * Members at similarity below ``MIDDLE`` can only be similar to members below
   ``MIDDLE + 1 - similarity``: those form the far side, which gets a head of its own.
 
@@ -47,6 +48,8 @@ from quillgrove.session import discard, materialize
 MIDDLE = 0.5
 #: Vantage points that a narrow bucket gets, one after the other.
 HEADS = 3
+#: First shared elements that a row carries to make a pair once; beyond them a pair may be made at several elements.
+SEEN = 64
 #: A bucket's rows are dealt to so many keys where they meet its head.
 SALTS = 16
 #: Shingle sets of heads that a task remembers.
@@ -233,19 +236,32 @@ def _vantage_round(rows: DataFrame, texts: DataFrame, shingle: int, similarity:
     mixed = parts.join(several.where("low < high").select("bucket", "element"), ["bucket", "element"])
     counts = mixed.groupBy("bucket", "element", "class").agg(F.count("*").alias("n"))
     common = counts.groupBy("bucket", "element").agg(F.max_by("class", F.struct("n", "class")).alias("common"))
-    shared = materialize(mixed.join(common, ["bucket", "element"]), "dup-elements")
+    # a pair is made in the first bucket it shares (at most one a table): the search is exact in each
+    buckets = read.groupBy("key").agg(F.collect_set("bucket").alias("buckets"))
+    ordered = F.sort_array(F.collect_list(F.struct("at", "element")))
+    seen = mixed.groupBy("bucket", "key").agg(F.slice(ordered, 1, SEEN)["element"].alias("seen"))
+    shared = mixed.join(common, ["bucket", "element"]).join(seen, ["bucket", "key"]).join(buckets, "key")
+    shared = materialize(shared, "dup-elements")
 
-    def asking(rows: DataFrame) -> DataFrame:
-        return rows.select("bucket", "element", F.col("key").alias("x"), *(F.col(c).alias(f"{c}_x") for c in ("class", "size", "differing", "at")))
+    def asking(rows: DataFrame, *more: str) -> DataFrame:
+        return rows.select("bucket", "element", F.col("key").alias("x"), *(F.col(c).alias(f"{c}_x") for c in ("class", "size", "differing", "at", *more)))
 
     further = near.select(*kept, F.size("first").alias("before"), F.posexplode("more").alias("at", "element")).withColumn("at", F.col("at") + F.col("before"))
     found_by = parts.where("linked").join(several.where("has_linked").select("bucket", "element"), ["bucket", "element"])
     # what is left of both differences from the first shared element on must hold all that similar sets share
     needed = (F.col("differing_x") + F.col("differing") - (1 - similarity) / (1 + similarity) * (F.col("size_x") + F.col("size"))) / 2
     room = F.least(F.col("differing_x") - F.col("at_x"), F.col("differing") - F.col("at"))
+    possible = (F.col("class_x") != F.col("class")) & (room >= needed - 1e-9)
+    # both differences have one order, so the first element that both lists hold is the first that they share
+    first_shared = F.coalesce(F.get(F.array_intersect("seen_x", "seen"), F.lit(0)), F.col("element")) == F.col("element")
+    first_bucket = F.array_min(F.array_intersect("buckets_x", "buckets")) == F.col("bucket")
+    asked_once = (F.col("class") == F.col("common")) | (F.col("x") < F.col("key"))
     pairs = [
-        a.join(b, ["bucket", "element"]).where((F.col("class_x") != F.col("class")) & (room >= needed - 1e-9)).select(F.least("x", "key").alias("a"), F.greatest("x", "key").alias("b"))
-        for a, b in ((asking(shared.where("class <> common")), shared), (asking(further), found_by))
+        a.join(b, ["bucket", "element"]).where(once).select(F.least("x", "key").alias("a"), F.greatest("x", "key").alias("b"))
+        for a, b, once in (
+            (asking(shared.where("class <> common"), "seen", "buckets"), shared, possible & asked_once & first_bucket & first_shared),
+            (asking(further), found_by, possible),
+        )
     ]
     found = confirm_pairs(materialize(pairs[0].union(pairs[1]).distinct(), "dup-pairs"), texts, shingle, similarity)
     far = read.where("far").select(F.xxhash64("bucket", "head").alias("bucket"), "key", "class", "weight", "near")
