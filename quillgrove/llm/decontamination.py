@@ -31,6 +31,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -120,18 +121,28 @@ class Template:
 _HASH_OF_KIND = np.array([0, 0x6E756D, 0x756E6974, 0x6E616D65], np.uint64)
 
 
-def templates(texts: list[str | None], words: _Words, with_values: bool = False) -> list[Template]:
-    """The templates of several texts; their values only where they are asked for."""
+def _numbered(texts: list[str | None], words: _Words) -> list[list[int]]:
+    """The numbers of each text's words; a full memory of words is emptied first."""
     if len(words) > CACHE_WORDS:
         words.__init__()
         words.clear()
-    numbers = [list(map(words.__getitem__, (x or "").split())) for x in texts]
-    start, size, kinds, hashes = words.arrays()
+    return [list(map(words.__getitem__, (x or "").split())) for x in texts]
+
+
+def _tokens_of(numbers: np.ndarray, words: _Words) -> tuple[np.ndarray, np.ndarray]:
+    """(token, word position) of every token of these words, in order."""
+    start, size, _, _ = words.arrays()
+    n = size[numbers]
+    return np.repeat(start[numbers] - np.cumsum(n) + n, n) + np.arange(n.sum()), np.repeat(np.arange(len(numbers)), n)
+
+
+def templates(texts: list[str | None], words: _Words, with_values: bool = False) -> list[Template]:
+    """The templates of several texts; their values only where they are asked for."""
+    numbers = _numbered(texts, words)
+    _, _, kinds, hashes = words.arrays()
     out = []
     for mine in numbers:
-        mine = np.array(mine, np.int64)
-        n = size[mine]
-        at = np.repeat(start[mine] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        at, _ = _tokens_of(np.array(mine, np.int64), words)
         kind, exact = kinds[at], hashes[at]
         joins = np.zeros(len(at), bool)  # a name that goes on
         joins[1:] = (kind[1:] == NAME) & (kind[:-1] == NAME)
@@ -147,6 +158,31 @@ def templates(texts: list[str | None], words: _Words, with_values: bool = False)
     return out
 
 
+def batch_windows(texts: list[str | None], words: _Words, sizes: list[tuple[bool, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text position, hash) of all windows of several texts, for every (as they are, size).
+
+    The texts stand one after the other in one array; windows that reach into the next are left out.
+    """
+    numbers = _numbered(texts, words)
+    _, _, kinds, hashes = words.arrays()
+    at, word = _tokens_of(np.fromiter(chain.from_iterable(numbers), np.int64), words)
+    text = np.repeat(np.arange(len(texts)), [len(x) for x in numbers])[word]
+    kind, exact = kinds[at], hashes[at]
+    joins = np.zeros(len(at), bool)
+    joins[1:] = (kind[1:] == NAME) & (kind[:-1] == NAME) & (text[1:] == text[:-1])
+    kind, of_kind = kind[~joins], text[~joins]
+    template = Template(kind, np.where(kind == WORD, exact[~joins], _HASH_OF_KIND[kind]), [], exact)
+    for as_is, size in sizes:
+        owner = text if as_is else of_kind
+        if as_is:
+            h = exact_windows(template, size)
+            first = np.arange(len(h))
+        else:
+            first, h = window_hashes(template, size)
+        inside = owner[first] == owner[first + size - 1]
+        yield owner[first[inside]], h[inside]
+
+
 def template(text: str | None, words: _Words) -> Template:
     return templates([text], words, with_values=True)[0]
 
@@ -336,17 +372,18 @@ def _text_hits(texts: DataFrame, sizes: list[tuple[bool, int]], bitmap: np.ndarr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, bits = held("words", _Words), sent.value
         for batch in batches:
-            counts, hits = [], [np.zeros(0, np.uint64)]
-            for t in templates(batch.column(1).to_pylist(), words):
-                mine = []
-                for as_is, size in sizes:
-                    h = exact_windows(t, size) if as_is else window_hashes(t, size)[1]
-                    cut = h & np.uint64((1 << BITMAP) - 1)
-                    mine.append(h[(bits[cut >> np.uint64(6)] >> (cut & np.uint64(63))) & np.uint64(1) == 1])
-                mine = np.unique(np.concatenate(mine))
-                counts.append(len(mine)), hits.append(mine)
-            keys = batch.column(0).take(pa.array(np.repeat(np.arange(len(batch)), counts)))
-            yield pa.RecordBatch.from_arrays([keys, pa.array(np.concatenate(hits).view(np.int64))], ["text_key", "h"])
+            owners, hits = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for owner, h in batch_windows(batch.column(1).to_pylist(), words, sizes):
+                cut = h & np.uint64((1 << BITMAP) - 1)
+                held_here = (bits[cut >> np.uint64(6)] >> (cut & np.uint64(63))) & np.uint64(1) == 1
+                owners.append(owner[held_here]), hits.append(h[held_here])
+            owner, h = np.concatenate(owners), np.concatenate(hits)
+            order = np.lexsort((h, owner))
+            owner, h = owner[order], h[order]
+            again = np.zeros(len(h), bool)
+            again[1:] = (h[1:] == h[:-1]) & (owner[1:] == owner[:-1])
+            keys = batch.column(0).take(pa.array(owner[~again]))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(h[~again].view(np.int64))], ["text_key", "h"])
 
     return materialize(texts.mapInArrow(run, "text_key binary, h long").distinct(), "text-hits")
 

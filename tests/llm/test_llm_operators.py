@@ -683,3 +683,17 @@ def test_pipeline_stage_by_stage(spark, small):
     packed = P.STAGES[-1][1](spark, docs_now, small)
     assert packed.select("doc_id").distinct().count() == docs_now.count()
     assert isinstance(packed.schema["sequence_id"].dataType, T.LongType)
+
+
+def test_op10_windows_of_a_batch_equal_those_of_each_text():
+    from quillgrove.llm import decontamination as D
+
+    texts = [None, "", "one", "Anna Bell walks 3 km to the Old Mill at 5 pm with Carl", "... !", "Old Mill", "Old Mill at the end of a long green road by the sea " * 40, "12 13 14 15 16 17 18 19"]
+    words, sizes = D._Words(), [(False, 6), (False, 8), (True, 6), (True, 8)]
+    found = dict(zip(sizes, D.batch_windows(texts, words, sizes), strict=True))
+    for i, t in enumerate(D.templates(texts, words)):
+        for as_is, size in sizes:
+            alone = D.exact_windows(t, size) if as_is else D.window_hashes(t, size)[1]
+            owner, h = found[as_is, size]
+            assert h[owner == i].tolist() == alone.tolist()
+    assert all(len(h) == 0 for _, h in D.batch_windows([], words, sizes))
