@@ -33,24 +33,68 @@ def time_ago(age_ms: Column) -> Column:
     )
 
 
-def temporal_intent(text: Column) -> Column:
-    """What a sentence says of time; the first rule that fits wins."""
-    rules = [(r"\?\s*$", "question"), (r"\b(done|finished|completed|arrived)\b", "completed"), (r"\b(yesterday|ago|was|were|last)\b", "past"),
-             (r"\b(tomorrow|will|next|going to)\b", "future"), (r"\b(now|today|is|are|currently)\b", "current")]
-    out = F.lit("generic")
-    for pattern, name in reversed(rules):
-        out = F.when(F.rlike(F.lower(text), F.lit(pattern)), name).otherwise(out)
-    return out
+# fixed values: what statements in the language of the records say of time, after lower-casing and without accents
+QUESTION = [
+    "ti ricordi", "ricordi", "sai se", "puoi dirmi", "mi dici", "secondo te", "che ne pensi", "posso farti una domanda", "la domanda e", "la domanda vera e",
+    "devo ancora", "dobbiamo ancora", "sono ancora", "siamo ancora", "e ancora", "quando", "dove", "cosa", "come", "perche", "quanto", "quale", "quali", "chi",
+]
+COMPLETED = [
+    "ho finito", "abbiamo finito", "siamo tornati", "sono tornato", "siamo rientrati", "sono rientrato", "e passato", "sta meglio", "risolto", "ho chiamato",
+    "abbiamo chiamato", "ho sentito", "abbiamo sentito", "ho parlato", "abbiamo parlato", "sono andato", "siamo andati", "appuntamento fatto", "viaggio finito",
+]
+PAST = ["ieri", "due giorni fa", "la settimana scorsa", "ho visto", "sono stato", "sono stata", "ho fatto", "abbiamo fatto"]
+FUTURE = ["domani", "devo", "dobbiamo", "andremo", "faremo", "partiremo", "sto per", "ho da"]
+CURRENT = ["ora", "adesso", "oggi", "sto", "sta", "siamo", "sono qui", "siamo qui", "ha la"]
+SUMMARY = ["non devi piu", "non e piu", "hai gia detto", "sei gia tornato", "sei gia tornata", "e gia stato fatto", "hai appena detto"]
+DONE = ["tornato", "tornata", "rientrato", "rientrata", "fatto", "finito"]
+ALREADY = ["sei gia", "siete gia", "e gia"]
+
+
+def plain(text: Column) -> Column:
+    """Lower case without accents of the Latin letters that the records use; null is empty."""
+    return F.translate(F.lower(F.coalesce(text, F.lit(""))), "àáâãäåèéêëìíîïòóôõöùúûüýÿçñ", "aaaaaaeeeeiiiiooooouuuuyycn")
+
+
+def phrase_pattern(phrases: list[str]) -> str:
+    """A pattern of whole words that finds any of the phrases, whatever white space stands inside."""
+    return r"\b(" + "|".join(x.replace(" ", r"\s+") for x in phrases) + r")\b"
+
+
+def temporal_intent(text: Column, role: Column | None = None) -> Column:
+    """query, completed_event, past_event, future_intent, current_state or generic: the first rule that fits.
+
+    What an assistant says of summaries or of the future is no statement of its own;
+    null and empty texts are generic, a role that isn't ``assistant`` changes nothing.
+    """
+    said = plain(text)
+    has = lambda phrases: F.rlike(said, F.lit(phrase_pattern(phrases)))
+    by_assistant = F.coalesce(role == "assistant", F.lit(False)) if role is not None else F.lit(False)
+    return (
+        F.when(F.contains(said, F.lit("?")) | has(QUESTION), "query")
+        .when(by_assistant & has(SUMMARY), F.when(has(DONE), "completed_event").otherwise("generic"))
+        .when(has(COMPLETED) | (by_assistant & has(ALREADY) & has(DONE)), "completed_event")
+        .when(has(PAST), "past_event")
+        .when(has(FUTURE), F.when(by_assistant, "generic").otherwise("future_intent"))
+        .when(has(CURRENT), "current_state").otherwise("generic")
+    )
 
 
 def validity(intent: Column, age_hours: Column) -> Column:
-    """Whether what was said still holds, by intent and age."""
+    """Whether what was said still holds, by intent and age; an unknown age is none of the old ones."""
     return (
-        F.when(intent == "completed", "settled").when((intent == "current") & (age_hours > 24), "stale")
-        .when((intent == "future") & (age_hours > 36), "expired").when(age_hours > 72, "old").otherwise("valid")
+        F.when(intent == "query", "query").when(intent == "past_event", "historical").when(intent == "completed_event", "completed")
+        .when(intent == "current_state", F.when(age_hours > 24, "stale").otherwise("current"))
+        .when(intent == "future_intent", F.when(age_hours > 36, "expired_future").otherwise("future_pending"))
+        .when(age_hours > 72, "stale").otherwise("recent")
     )
 
 
+def temporal_state(intent: Column, age_hours: Column) -> Column:
+    """The state that a statement stands for: one without intent is past after a day."""
+    named = F.when(intent == "completed_event", "completed").when(intent == "current_state", "current").when(intent == "past_event", "past").when(intent.isin("query", "future_intent"), intent)
+    return F.coalesce(named, F.when(age_hours >= 24, "past").otherwise("current"))
+
+
 def parse_instant(raw: Column) -> Column:
     """Epoch milliseconds, as a number or digits, or an ISO instant; null for anything else."""
     number = F.regexp_extract(raw, r"^(-?\d{1,18})$", 1).try_cast("bigint")

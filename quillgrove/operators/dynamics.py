@@ -133,18 +133,55 @@ def echo_states(events: DataFrame) -> DataFrame:
     )
 
 
-def echo_plan(states: DataFrame, cap: int = 50) -> DataFrame:
-    """Reinforcements that the folded log calls for, capped by rule with the strongest first."""
+def echo_memory_updates(states: DataFrame, rows: DataFrame, idle_days: float = 30) -> DataFrame:
+    """``memory_id, step, action, delta``: what the folded log calls for, and the decay of records that it has nothing of.
+
+    Steps 1 to 3 are of records with a state, 4 of records without one that have been
+    idle so long or since an unknown time.  A null id gets no update.
+    """
     ratio = F.col("promoted") / F.greatest(F.col("echoes"), F.lit(1))
     rules = [
-        ("latent", (F.col("echoes") >= 5) & (ratio <= 0.2), 0.02),
-        ("lift", (F.col("promoted") >= 3) & (ratio >= 0.5), 0.015),
-        ("inhibit", F.col("suppressed") >= 3, -0.08),
+        (1, "increase_latent_presence", (F.col("echoes") >= 5) & (ratio <= 0.2), 0.02),
+        (2, "allow_orbit_lift", (F.col("promoted") >= 3) & (ratio >= 0.5), 0.015),
+        (3, "temporary_inhibition", F.col("suppressed") >= 3, -0.08),
     ]
-    entries = F.filter(F.array(*[F.when(c, F.struct(F.lit(n).alias("rule"), F.lit(d).alias("delta"))) for n, c, d in rules]), lambda x: x.isNotNull())
-    rows = states.select("memory_id", "energy", F.explode(entries).alias("e")).select("memory_id", "energy", "e.*")
-    nth = F.row_number().over(Window.partitionBy("rule").orderBy(F.desc("energy"), "memory_id"))
-    return rows.withColumn("nth", nth).where(F.col("nth") <= cap).select("rule", "memory_id", "delta")
+    made = [F.when(c, F.struct(F.lit(k).alias("step"), F.lit(n).alias("action"), F.lit(d).alias("delta"))) for k, n, c, d in rules]
+    echoed = states.where("memory_id IS NOT NULL").select("memory_id", F.explode(F.filter(F.array(*made), lambda x: x.isNotNull())).alias("e")).select("memory_id", "e.*")
+    idle = rows.where(F.col("id").isNotNull() & (F.coalesce(F.col("idle_days"), F.lit(idle_days)) >= idle_days)).select(F.col("id").alias("memory_id"))
+    dormant = idle.join(states.select("memory_id"), "memory_id", "left_anti")
+    return echoed.union(dormant.select("memory_id", F.lit(4), F.lit("slow_dormant_decay"), F.lit(-0.01)))
+
+
+def echo_link_updates(states: DataFrame, links: DataFrame, least: int = 3) -> DataFrame:
+    """``source_id, target_id, concepts``: semantic links whose ends both echo often and share a concept.
+
+    Only linked pairs can be reinforced, so the links are joined with both ends' states:
+    no pairs of a concept are listed.  A pair with several semantic links counts once.
+    """
+    often = states.where((F.col("echoes") >= least) & (F.size("concepts") > 0)).select("memory_id", "concepts")
+    semantic = links.where("link_type = 'semantic' AND source_id <> target_id").groupBy(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b"))
+    pairs = semantic.agg(F.min(F.struct("source_id", "target_id")).alias("link"))
+    ends = pairs.join(often.select(F.col("memory_id").alias("a"), F.col("concepts").alias("mine")), "a").join(often.select(F.col("memory_id").alias("b"), F.col("concepts").alias("theirs")), "b")
+    return ends.select("link.*", F.array_sort(F.array_intersect("mine", "theirs")).alias("concepts")).where(F.size("concepts") > 0)
+
+
+def echo_plan(states: DataFrame, rows: DataFrame, links: DataFrame, memory_cap: int = 50, link_cap: int = 25) -> DataFrame:
+    """``part, action, memory_id, target_id, delta``: the first updates by id, those of the log before dormant ones.
+
+    The caps are the policy's own: ``echo_plan_counts`` says how many updates wait.
+    """
+    records = echo_memory_updates(states, rows).orderBy(F.col("step") == 4, "memory_id", "step").limit(memory_cap)
+    joined = echo_link_updates(states, links).orderBy(F.least("source_id", "target_id"), F.greatest("source_id", "target_id")).limit(link_cap)
+    return records.select(F.lit("memory").alias("part"), "action", "memory_id", F.lit(None).cast("long").alias("target_id"), "delta").union(
+        joined.select(F.lit("link"), F.lit("reinforce_semantic_link"), "source_id", "target_id", F.lit(0.02))
+    )
+
+
+def echo_plan_counts(states: DataFrame, rows: DataFrame, links: DataFrame, memory_cap: int = 50, link_cap: int = 25) -> DataFrame:
+    """``part, planned, skipped``: how many updates of the plan the caps take and leave."""
+    parts = [("memory", echo_memory_updates(states, rows), memory_cap), ("link", echo_link_updates(states, links), link_cap)]
+    counted = [df.agg(F.lit(p).alias("part"), F.least(F.count("*"), F.lit(c)).alias("planned"), F.greatest(F.count("*") - c, F.lit(0)).alias("skipped")) for p, df, c in parts]
+    return counted[0].union(counted[1])
 
 
 def co_echo_pairs(states: DataFrame, least: int = 3) -> DataFrame:

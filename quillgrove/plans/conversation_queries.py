@@ -54,15 +54,32 @@ def sequence_links(spark: SparkSession, sf: str) -> DataFrame:
     return C.sequence_links(turns(spark, sf))
 
 
+SAID = ["ti ricordi di me", "ho finito tutto", "ieri  era bello", "domani parto", "adesso piove", "sei già tornato, fatto", "non devi più andare", "niente", "è già fatto", "vero?"]
+_SAID = "CASE (conv_id + turn) % 10 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(SAID)) + " END"
+
+
+def _has(phrases: list[str]) -> str:
+    return f"regexp_matches(s, '{T.phrase_pattern(phrases)}')"
+
+
+INTENT = f"""said AS (SELECT *, conv_id % 100 AS hours, strip_accents(lower({_SAID} || ' ' || text)) AS s FROM trn),
+i AS (SELECT *, CASE WHEN contains(s, '?') OR {_has(T.QUESTION)} THEN 'query' WHEN role = 'assistant' AND {_has(T.SUMMARY)} THEN CASE WHEN {_has(T.DONE)} THEN 'completed_event' ELSE 'generic' END
+ WHEN {_has(T.COMPLETED)} OR (role = 'assistant' AND {_has(T.ALREADY)} AND {_has(T.DONE)}) THEN 'completed_event' WHEN {_has(T.PAST)} THEN 'past_event'
+ WHEN {_has(T.FUTURE)} THEN CASE WHEN role = 'assistant' THEN 'generic' ELSE 'future_intent' END WHEN {_has(T.CURRENT)} THEN 'current_state' ELSE 'generic' END AS intent FROM said)"""
+
+
 @query(
-    f"""WITH {TRN}, i AS (SELECT conv_id, turn, conv_id % 100 AS hours, CASE WHEN regexp_matches(lower(text), '\\?\\s*$') THEN 'question' WHEN regexp_matches(lower(text), '\\b(done|finished|completed|arrived)\\b') THEN 'completed'
- WHEN regexp_matches(lower(text), '\\b(yesterday|ago|was|were|last)\\b') THEN 'past' WHEN regexp_matches(lower(text), '\\b(tomorrow|will|next|going to)\\b') THEN 'future'
- WHEN regexp_matches(lower(text), '\\b(now|today|is|are|currently)\\b') THEN 'current' ELSE 'generic' END AS intent FROM trn)
-SELECT conv_id, turn, intent, CASE WHEN intent = 'completed' THEN 'settled' WHEN intent = 'current' AND hours > 24 THEN 'stale' WHEN intent = 'future' AND hours > 36 THEN 'expired' WHEN hours > 72 THEN 'old' ELSE 'valid' END AS validity FROM i"""
+    f"""WITH {TRN}, {INTENT} SELECT conv_id, turn, intent, CASE intent WHEN 'query' THEN 'query' WHEN 'past_event' THEN 'historical' WHEN 'completed_event' THEN 'completed'
+ WHEN 'current_state' THEN CASE WHEN hours > 24 THEN 'stale' ELSE 'current' END WHEN 'future_intent' THEN CASE WHEN hours > 36 THEN 'expired_future' ELSE 'future_pending' END
+ ELSE CASE WHEN hours > 72 THEN 'stale' ELSE 'recent' END END AS validity,
+CASE intent WHEN 'completed_event' THEN 'completed' WHEN 'current_state' THEN 'current' WHEN 'past_event' THEN 'past' WHEN 'query' THEN 'query' WHEN 'future_intent' THEN 'future_intent'
+ ELSE CASE WHEN hours >= 24 THEN 'past' ELSE 'current' END END AS state FROM i"""
 )
 def temporal_intent(spark: SparkSession, sf: str) -> DataFrame:
-    rows = turns(spark, sf).select("conv_id", "turn", T.temporal_intent(F.col("text")).alias("intent"), (F.col("conv_id") % 100).alias("hours"))
-    return rows.select("conv_id", "turn", "intent", T.validity(F.col("intent"), F.col("hours")).alias("validity"))
+    """Every turn behind one of ten openings: its intent, and what that means at its age."""
+    rows = turns(spark, sf).select("conv_id", "turn", T.temporal_intent(F.concat(F.expr(_SAID), F.lit(" "), F.col("text")), F.col("role")).alias("intent"), (F.col("conv_id") % 100).alias("hours"))
+    intent, hours = F.col("intent"), F.col("hours")
+    return rows.select("conv_id", "turn", "intent", T.validity(intent, hours).alias("validity"), T.temporal_state(intent, hours).alias("state"))
 
 
 RULES = [("travel", "the", 1.0), ("travel", "ation", 2.0), ("health", "er", 1.5), ("health", "inthe", 3.0), ("work", "que", 2.5), ("work", "ung", 2.5)]

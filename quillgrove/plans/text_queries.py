@@ -283,11 +283,13 @@ def text_names(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {MEM}, i AS (SELECT id, CASE id % 4 WHEN 0 THEN 'completed' WHEN 1 THEN 'current' WHEN 2 THEN 'future' ELSE 'past' END AS intent, idle_days AS age FROM mem)
-SELECT id, CASE WHEN intent = 'completed' THEN 'settled' WHEN intent = 'current' AND age > 24 THEN 'stale' WHEN intent = 'future' AND age > 36 THEN 'expired' WHEN age > 72 THEN 'old' ELSE 'valid' END AS validity FROM i"""
+    f"""WITH {MEM}, i AS (SELECT id, CASE id % 5 WHEN 0 THEN 'completed_event' WHEN 1 THEN 'current_state' WHEN 2 THEN 'future_intent' WHEN 3 THEN 'past_event' ELSE 'generic' END AS intent, idle_days AS age FROM mem)
+SELECT id, CASE WHEN intent = 'completed_event' THEN 'completed' WHEN intent = 'past_event' THEN 'historical' WHEN intent = 'current_state' AND age > 24 THEN 'stale' WHEN intent = 'current_state' THEN 'current'
+ WHEN intent = 'future_intent' AND age > 36 THEN 'expired_future' WHEN intent = 'future_intent' THEN 'future_pending' WHEN age > 72 THEN 'stale' ELSE 'recent' END AS validity FROM i"""
 )
 def validities(spark: SparkSession, sf: str) -> DataFrame:
-    intent = F.when(F.col("id") % 4 == 0, "completed").when(F.col("id") % 4 == 1, "current").when(F.col("id") % 4 == 2, "future").otherwise("past")
+    names = F.array(*map(F.lit, ["completed_event", "current_state", "future_intent", "past_event", "generic"]))
+    intent = F.element_at(names, (F.col("id") % 5 + 1).cast("int"))
     return memories(spark, sf).select("id", T.validity(intent, F.col("idle_days")).alias("validity"))
 
 

@@ -193,3 +193,36 @@ def test_layouts_keep_null_zero_and_absent_apart(spark):
     assert out["b"].activation is None and out["b"].has_activation and out["b"].tags is None
     assert (out["c"].layout, out["c"].text, out["c"].activation) == ("nested", "t", 0.5)
     assert (out["d"].layout, out["d"].text) == ("unknown", "plain") and out[None].layout == "unknown"
+
+
+def test_temporal_intent_and_what_follows_from_it(spark):
+    cases = [
+        ("Domani devo chiamare", "user", 1, "future_intent", "future_pending", "future_intent"), ("Domani devo chiamare", "assistant", 1, "generic", "recent", "current"),
+        ("domani partiremo", "user", 40, "future_intent", "expired_future", "future_intent"), ("Ho  finito il lavoro", "user", 90, "completed_event", "completed", "completed"),
+        ("Sei già tornato a casa", "assistant", 1, "completed_event", "completed", "completed"), ("Non devi più andare", "assistant", 1, "generic", "recent", "current"),
+        ("Ieri pioveva", "user", 30, "past_event", "historical", "past"), ("Adesso piove", None, 30, "current_state", "stale", "current"),
+        ("Quando parti", "user", 1, "query", "query", "query"), ("ok?", "user", 1, "query", "query", "query"), (None, None, 80, "generic", "stale", "past"), ("", "user", None, "generic", "recent", "current"),
+        ("coral", "user", 30, "generic", "recent", "past"),
+    ]
+    rows = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(cases)], "i int, text string, role string, age int")
+    intent = T.temporal_intent(F.col("text"), F.col("role"))
+    got = rows.select("i", intent.alias("n"), T.validity(intent, F.col("age")).alias("v"), T.temporal_state(intent, F.col("age")).alias("s")).orderBy("i").collect()
+    assert [(r.n, r.v, r.s) for r in got] == [c[3:] for c in cases]
+
+
+def test_echo_plan_joins_only_linked_pairs_and_counts_what_waits(spark):
+    states = spark.createDataFrame([(1, 6, 0, 0, ["a", "b"]), (2, 4, 3, 3, ["b"]), (3, 9, 5, 0, ["c"]), (4, 2, 0, 0, ["b"]), (None, 9, 0, 9, ["a"])], "memory_id long, echoes long, promoted long, suppressed long, concepts array<string>")
+    rows = spark.createDataFrame([(1, 90.0), (7, 90.0), (8, 3.0), (9, None), (None, 90.0)], "id long, idle_days double")
+    links = spark.createDataFrame([(2, 1, "semantic"), (1, 2, "semantic"), (1, 3, "semantic"), (1, 4, "semantic"), (2, 2, "semantic"), (1, 2, "continuation")], "source_id long, target_id long, link_type string")
+    got = [(r.part, r.action, r.memory_id, r.target_id) for r in dynamics.echo_plan(states, rows, links).collect()]
+    assert sorted(got, key=str) == sorted(
+        [
+            ("memory", "increase_latent_presence", 1, None), ("memory", "allow_orbit_lift", 2, None), ("memory", "temporary_inhibition", 2, None), ("memory", "allow_orbit_lift", 3, None),
+            ("memory", "slow_dormant_decay", 7, None), ("memory", "slow_dormant_decay", 9, None), ("link", "reinforce_semantic_link", 1, 2),
+        ],
+        key=str,
+    )
+    capped = dynamics.echo_plan(states, rows, links, 2, 0).collect()
+    assert [(r.action, r.memory_id) for r in capped] == [("increase_latent_presence", 1), ("allow_orbit_lift", 2)]
+    assert [tuple(r) for r in dynamics.echo_plan_counts(states, rows, links, 2, 0).collect()] == [("memory", 2, 4), ("link", 0, 1)]
+    assert dynamics.echo_plan(states.limit(0), rows.limit(0), links.limit(0)).count() == 0
