@@ -55,6 +55,39 @@ def related(new: DataFrame, rows: DataFrame, least: float = 0.25, k: int = 3) ->
     return scored.withColumn("nth", nth).where(F.col("nth") <= k).select("new_id", "id", "score")
 
 
+def related_by_signals(new: DataFrame, rows: DataFrame, k: int = 3, near: float = 0.25, near_long: float = 0.18, long_tokens: int = 12) -> DataFrame:
+    """``new_id, id, score``: the k rows most related to each new row by entities, strong tags and tokens.
+
+    ``id, ts, temporary, tokens, entities, tags``: a shared entity counts 3, two shared
+    tags count 2, and the Jaccard similarity of the tokens is added; a row with none of
+    these (the similarity counts from ``near`` on, from ``near_long`` where one text has
+    many tokens) isn't related.  Where either row is temporary, only a shared entity
+    relates them.  Of equal scores the latest counts first, then the smallest id.
+
+    One inverted index of all three kinds: overlaps are counted by aggregation.  Null
+    lists are empty, a null id is left out, repeated entries of a list count once.
+    """
+    kinds = {"token": "tokens", "entity": "entities", "tag": "tags"}
+
+    def side(df: DataFrame, end: str) -> DataFrame:
+        lists = {c: F.coalesce(F.col(c), F.array().cast("array<string>")) for c in kinds.values()}
+        named = lambda kind, c: F.transform(F.array_distinct(lists[c]), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("key")))
+        keys = F.concat(*(named(kind, c) for kind, c in kinds.items()))
+        sizes = F.struct(F.size(lists["tokens"]).alias("n"), F.size(F.array_distinct(lists["tokens"])).alias("distinct"), F.coalesce("temporary", F.lit(False)).alias("temporary"), "ts")
+        return df.where("id IS NOT NULL").select(F.col("id").alias(f"id_{end}"), sizes.alias(end), F.explode(keys).alias("k")).select(f"id_{end}", end, "k.*")
+
+    count = lambda kind: F.count_if(F.col("kind") == kind).alias(kind)
+    pairs = side(new, "x").join(side(rows, "y"), ["kind", "key"]).where("id_x <> id_y").groupBy("id_x", "id_y", "x", "y").agg(*map(count, kinds))
+    alike = F.col("token") / F.greatest(F.lit(1), F.col("x.distinct") + F.col("y.distinct") - F.col("token"))
+    entity, tags = F.col("entity") > 0, F.col("tag") >= 2
+    similar = alike >= F.when(F.greatest("x.n", "y.n") >= long_tokens, near_long).otherwise(near)
+    kept = pairs.where((entity | tags | similar) & (entity | ~(F.col("x.temporary") | F.col("y.temporary"))))
+    score = F.round(F.when(entity, 3).otherwise(0) + F.when(tags, 2).otherwise(0) + alike, 6)
+    scored = kept.select(F.col("id_x").alias("new_id"), F.col("id_y").alias("id"), F.col("y.ts").alias("ts"), score.alias("score"))
+    nth = F.row_number().over(Window.partitionBy("new_id").orderBy(F.desc("score"), F.desc_nulls_last("ts"), "id"))
+    return scored.withColumn("nth", nth).where(F.col("nth") <= k).select("new_id", "id", "score")
+
+
 def repeated_groups(rows: DataFrame, pairs: DataFrame, least: int = 3, days: int = 30) -> DataFrame:
     """Groups of a row and its later similar rows, large enough and within the span (``id, day`` rows)."""
     later = pairs.select("a", "b").join(rows.select(F.col("id").alias("b"), F.col("day").alias("day_b")), "b")

@@ -50,6 +50,26 @@ def related_records(spark: SparkSession, sf: str) -> DataFrame:
     return S.related(rows.where("id % 50 = 0"), rows, 0.1, 3)
 
 
+@query(
+    f"""WITH {MEM}, s AS (SELECT id, id % 97 AS ts, type = 'working' OR memory_depth = 'temporary' AS temporary, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) >= 3) AS tokens,
+['entity_' || id % 151] AS entities, ['entity_' || id % 151, 'group_' || id % 40, 'team_' || id % 60] AS tags FROM mem),
+k AS (SELECT id, 'token' AS kind, unnest(list_distinct(tokens)) AS key FROM s UNION ALL SELECT id, 'entity', unnest(entities) FROM s UNION ALL SELECT id, 'tag', unnest(tags) FROM s),
+p AS (SELECT x.id AS new_id, y.id, count(*) FILTER (x.kind = 'token') AS t, count(*) FILTER (x.kind = 'entity') AS e, count(*) FILTER (x.kind = 'tag') AS g FROM k x JOIN k y ON x.kind = y.kind AND x.key = y.key WHERE x.id % 50 = 0 AND x.id <> y.id GROUP BY 1, 2),
+j AS (SELECT new_id, p.id, e, g, b.ts, a.temporary OR b.temporary AS temporary, t / greatest(1, len(list_distinct(a.tokens)) + len(list_distinct(b.tokens)) - t) AS alike, greatest(len(a.tokens), len(b.tokens)) AS n FROM p JOIN s a ON a.id = new_id JOIN s b ON b.id = p.id),
+o AS (SELECT new_id, id, ts, round(CASE WHEN e > 0 THEN 3 ELSE 0 END + CASE WHEN g >= 2 THEN 2 ELSE 0 END + alike, 6) AS score FROM j WHERE (e > 0 OR g >= 2 OR alike >= CASE WHEN n >= 12 THEN 0.18 ELSE 0.25 END) AND (e > 0 OR NOT temporary))
+SELECT new_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY score DESC, ts DESC, id) AS nth FROM o) WHERE nth <= 3"""
+)
+def related_by_signals(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of entities, groups and teams by id: the three most related to each fiftieth."""
+    name = lambda kind, n: F.concat(F.lit(f"{kind}_"), (F.col("id") % n).cast("string"))
+    tokens = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: F.length(x) >= 3)
+    temporary = (F.col("type") == "working") | (F.col("memory_depth") == "temporary")
+    rows = memories(spark, sf).select(
+        "id", (F.col("id") % 97).alias("ts"), temporary.alias("temporary"), tokens.alias("tokens"), F.array(name("entity", 151)).alias("entities"), F.array(name("entity", 151), name("group", 40), name("team", 60)).alias("tags")
+    )
+    return S.related_by_signals(rows.where("id % 50 = 0"), rows)
+
+
 @query(
     f"""WITH {VEC}, {PAIRS.replace('>= 0.4', '>= 0.3')}, d AS (SELECT id, id % 40 AS day FROM vec), g AS (SELECT a, count(*) + 1 AS n, min(db.day) AS lo, max(db.day) AS hi, any_value(da.day) AS day FROM pairs JOIN d db ON db.id = b JOIN d da ON da.id = a GROUP BY a)
 SELECT a, n::BIGINT AS n, greatest(hi, day) - least(lo, day) AS span FROM g WHERE n >= 3 AND greatest(hi, day) - least(lo, day) < 30"""

@@ -226,3 +226,22 @@ def test_echo_plan_joins_only_linked_pairs_and_counts_what_waits(spark):
     assert [(r.action, r.memory_id) for r in capped] == [("increase_latent_presence", 1), ("allow_orbit_lift", 2)]
     assert [tuple(r) for r in dynamics.echo_plan_counts(states, rows, links, 2, 0).collect()] == [("memory", 2, 4), ("link", 0, 1)]
     assert dynamics.echo_plan(states.limit(0), rows.limit(0), links.limit(0)).count() == 0
+
+
+def test_related_by_signals(spark):
+    from quillgrove.operators.signals import related_by_signals
+
+    kinds = "id long, ts long, temporary boolean, tokens array<string>, entities array<string>, tags array<string>"
+    few, many = ["a", "b", "c"], [f"w{i}" for i in range(12)]
+    new = spark.createDataFrame([(1, 0, False, few, ["e"], ["e", "x", "y"]), (2, 0, True, few, ["e"], []), (3, 0, False, many, None, None), (4, 0, None, None, None, None)], kinds)
+    rows = spark.createDataFrame(
+        [
+            (10, 5, False, [], ["e"], ["e", "x"]), (11, 5, False, ["a", "b", "q", "q"], [], []), (12, 9, False, ["a", "b", "q"], [], []), (13, 1, True, few, [], ["x", "y"]),
+            (14, 1, False, many[:4] + ["z0", "z1", "z2"], [], []), (15, 1, False, many[:2], [], []), (None, 1, False, few, ["e"], []), (1, 1, False, few, ["e"], []),
+        ],
+        kinds,
+    )
+    got = [(r.new_id, r.id, r.score) for r in related_by_signals(new, rows).orderBy("new_id", F.desc("score"), "id").collect()]
+    assert got == [(1, 10, 5.0), (1, 11, 0.5), (1, 12, 0.5), (2, 1, 4.0), (2, 10, 3.0), (3, 14, round(4 / 15, 6))]
+    assert related_by_signals(new, rows, 2).where("new_id = 1").select("id").collect() == [(10,), (12,)]
+    assert related_by_signals(new.limit(0), rows).count() == 0
