@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrove.llm import chat_format, decontamination, html_template, line_dedup, packing, quality_ledger, simhash_vptree, token_io, toxicity, url_trust
+from quillgrove.llm import chat_format, conversation_repair, decontamination, html_template, line_dedup, packing, quality_ledger, simhash_vptree, token_io, toxicity, url_trust
 from quillgrove.session import read_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -81,6 +81,10 @@ def op10_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_digests(read_table(spark, sf_dir, "conversations"), damage=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_template": op1_html_template,
     "op2_url_trust": op2_url_trust,
@@ -92,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_quality_ledger": op9_quality_ledger,
     "op10_template_windows": op10_template_windows,
+    "op11_conversation_repair": op11_conversation_repair,
     "quality_ablations": quality_ablations,
 }
 
@@ -99,5 +104,6 @@ SQL: dict[str, str] = {
     "op2_url_trust": url_trust.oracle(URL_RULES),
     "op4_chat_format": chat_format.SQL,
     "op9_quality_ledger": quality_ledger.SQL,
+    "op11_conversation_repair": conversation_repair.oracle(),
     "quality_ablations": quality_ledger.ABLATION_SQL,
 }
