@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrove.llm import chat_format, conversation_repair, decontamination, html_template, line_dedup, packing, quality_ledger, simhash_vptree, token_io, toxicity, url_trust
+from quillgrove.llm import chat_format, conversation_repair, decontamination, html_template, line_dedup, packing, quality_ledger, simhash_vptree, token_alignment, token_io, toxicity, url_trust
 from quillgrove.session import read_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +86,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_digests(read_table(spark, sf_dir, "conversations"), damage=True)
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.link_scores(read_table(spark, sf_dir, "documents"), TOKENIZER, PIECE_MODEL)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_template": op1_html_template,
     "op2_url_trust": op2_url_trust,
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_ledger": op9_quality_ledger,
     "op10_template_windows": op10_template_windows,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_token_alignment": op12_token_alignment,
     "quality_ablations": quality_ablations,
 }
 
