@@ -23,18 +23,19 @@ gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from quillgrove.llm.token_cache import CACHE_PIECES, PieceEncoder
 from quillgrove.llm.worker import held, small_batches
 from quillgrove.session import materialize
 
@@ -43,6 +44,10 @@ BROADCAST_PAIRS = 2_000_000
 #: Bits of a pair's number that hold the B id.
 B_BITS = 20
 SPACE_MARK = "▁"
+#: Distinct pieces that a worker remembers; beyond this it starts afresh.
+CACHE_PIECES = 800_000
+#: A space before white space, before a control or format character, or at the end begins no word of its own.
+UNSAFE_SPACE = re.compile(r" (?:[\s\x00-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]|$)")
 
 
 def _byte_of_letter() -> dict[str, int]:
@@ -52,96 +57,126 @@ def _byte_of_letter() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(other)}
 
 
-class _Side:
-    """What both encoders know of their ids: bytes of a token, and its number as text with what may follow it."""
+class _Ids:
+    """Ids of numbered pieces, end to end."""
 
-    def learn_ids(self, spelled: list[bytes], last: bytes) -> None:
-        self.spelled = np.array(spelled, object)
-        self.lengths = np.fromiter(map(len, spelled), np.int64, len(spelled))
-        #: an id followed by a comma, or by what ends its side of a group
-        self.written = np.array([b"%d%s" % (i, end) for end in (b",", last) for i in range(len(spelled))], object)
+    def __init__(self) -> None:
+        self.flat, self.used = np.zeros(1 << 20, np.int32), 0
+        self.start, self.size, self.known = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0
 
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, self.flat * 0])
+        while self.known + len(sizes) > len(self.start):
+            self.start, self.size = np.concatenate([self.start, self.start * 0]), np.concatenate([self.size, self.size * 0])
+        here = slice(self.known, self.known + len(sizes))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[here], self.size[here] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.used, self.known = self.used + len(ids), here.stop
+
+    def take(self, numbers: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the pieces' ids end to end, how many there are between the edges)."""
+        sizes = self.size[numbers]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        where = np.repeat(self.start[numbers] - ends[:-1], sizes)
+        where += np.arange(len(where))
+        return self.flat[where], np.diff(ends[edges])
 
-class ByteSide(PieceEncoder, _Side):
-    """Tokens of a byte-level BPE file; added tokens' strings are plain text."""
 
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.tokenizer.encode_special_tokens = True
-        self.added, self.cut_added, self.joins = {}, None, True
-        letters, names = _byte_of_letter(), self.tokenizer.get_vocab(with_added_tokens=False)
-        spelled = [b""] * len(self.id_bytes)
-        for name, number in names.items():
-            spelled[number] = bytes(letters[x] for x in name)
-        self.learn_ids(spelled, b"|")
+class _Vocabulary:
+    """Per id: the bytes of its token, and its number as text with what may follow it in a group."""
 
-    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids end to end, tokens per text, whether they spell the text); ``texts`` begin with a space."""
-        ids, counts = self.encode_all(texts)
-        return ids, counts, np.ones(len(texts), bool)  # every byte has a token
+    def __init__(self, spelled: list[bytes], last: bytes) -> None:
+        self.spelled = np.array(spelled, object)
+        self.lengths = np.fromiter(map(len, spelled), np.int64, len(spelled))
+        #: an id followed by a comma, or by what ends its side of a group
+        self.written = np.array([b"%d%s" % (i, end) for end in (b",", last) for i in range(len(spelled))], object)
 
 
-class PieceSide(PieceEncoder, _Side):
-    """Tokens of a sentencepiece model.
+class Encoders(dict):
+    """Both tokenizers, with the ids of each distinct piece of the texts: piece -> its number.
 
-    No piece has a space after another character, so no merge reaches over the place
-    before a run of spaces: texts are cut there (if a word follows), and each distinct
-    piece is encoded once.  A model with such pieces is given whole texts.
+    Texts are cut before single spaces that a character other than a space precedes and one
+    other than white space follows.  There the byte-level BPE begins a new word, and no piece
+    of the other model has a space behind another character (else texts aren't cut).
     """
 
-    _cut_at = re.compile(r"(?<=[^ ])(?= +[^ ])")
-
-    def __init__(self, path: str):
-        dict.__init__(self)
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
-        self.cuts = not any(SPACE_MARK in x.lstrip(SPACE_MARK) for x in names)
+    def __init__(self, path_a: str, path_b: str):
+        super().__init__()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
+        self.bytewise, self.piecewise = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
+        self.bytewise.encode_special_tokens = True
+        letters, names = _byte_of_letter(), self.bytewise.get_vocab(with_added_tokens=False)
+        spelled = [b""] * (max(names.values()) + 1)
+        for name, number in names.items():
+            spelled[number] = bytes(letters[x] for x in name)
+        self.a = _Vocabulary(spelled, b"|")
+        names = [self.piecewise.id_to_piece(i) for i in range(self.piecewise.get_piece_size())]
         as_byte = re.compile(r"<0x([0-9A-F]{2})>")
-        self.learn_ids([bytes([int(m[1], 16)]) if (m := as_byte.fullmatch(x)) else x.replace(SPACE_MARK, " ").encode() for x in names], b";")
+        self.b = _Vocabulary([bytes([int(m[1], 16)]) if (m := as_byte.fullmatch(x)) else x.replace(SPACE_MARK, " ").encode() for x in names], b";")
+        self.cuts = not any(SPACE_MARK in x.lstrip(SPACE_MARK) for x in names)
         self._reset()
 
     def _reset(self) -> None:
-        super()._reset()
-        self.is_spelled = np.zeros(1 << 16, bool)
+        self.clear()
+        self.fresh: list[str] = []
+        self.a_ids, self.b_ids, self.is_spelled = _Ids(), _Ids(), np.zeros(0, bool)
+
+    def __missing__(self, piece: str) -> int:
+        number = self[piece] = len(self)
+        self.fresh.append(piece)
+        return number
 
     def _cut(self, text: str) -> list[str]:
-        return self._cut_at.split(text) if self.cuts else [text]
+        """Pieces of a space and ``text``."""
+        if not self.cuts:
+            return [" " + text]
+        parts = text.split(" ")
+        if parts[0] and not UNSAFE_SPACE.search(text):
+            return [" " + x for x in parts]
+        out, now = [], " " + parts[0]
+        for before, x in pairwise(parts):
+            if not before or not x or UNSAFE_SPACE.match(" " + x[0]):
+                now += " " + x
+            else:
+                out.append(now)
+                now = " " + x
+        return [*out, now]
 
     def _learn(self) -> None:
-        if not self.fresh:
-            return
-        first, total = len(self) - len(self.fresh), len(self)
-        while total > len(self.start):
-            self.start, self.size = np.concatenate([self.start, self.start * 0]), np.concatenate([self.size, self.size * 0])
-        while total > len(self.is_spelled):
-            self.is_spelled = np.concatenate([self.is_spelled, ~self.is_spelled & False])
         for at in range(0, len(self.fresh), 8192):
             part = self.fresh[at : at + 8192]
-            # the model puts the space that each of them begins with there by itself
-            ids = self.model.encode([x[1:] for x in part], num_threads=1)
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            new = np.fromiter((x for row in ids for x in row), np.int32, int(sizes.sum()))
-            while self.used + len(new) > len(self.flat):
-                self.flat = np.concatenate([self.flat, self.flat * 0])
-            self.flat[self.used : self.used + len(new)] = new
-            where = slice(first + at, first + at + len(part))
-            self.size[where], self.start[where] = sizes, self.used + np.cumsum(sizes) - sizes
-            self.is_spelled[where] = [b"".join(self.spelled[row]) == x.encode() for row, x in zip(ids, part, strict=True)]
-            self.used += len(new)
+            raw = [x.encode() for x in part]
+            # pieces follow each other in one string where they may
+            heads = [i for i, x in enumerate(part) if not i or UNSAFE_SPACE.match(x)]
+            strings = ["".join(part[i:j]) for i, j in pairwise([*heads, len(part)])]
+            rows = [e.ids for e in self.bytewise.encode_batch_fast(strings, add_special_tokens=False)]
+            ids = np.fromiter(chain.from_iterable(rows), np.int32, sum(map(len, rows)))
+            ends = np.searchsorted(np.cumsum(self.a.lengths[ids]), np.cumsum(list(map(len, raw)))) + 1
+            self.a_ids.add(ids, np.diff(ends, prepend=0))
+            # the model puts the space that a piece begins with there by itself
+            rows = self.piecewise.encode([x[1:] for x in part], num_threads=1)
+            sizes = np.fromiter(map(len, rows), np.int32, len(rows))
+            ids = np.fromiter(chain.from_iterable(rows), np.int32, int(sizes.sum()))
+            self.b_ids.add(ids, sizes)
+            spells = np.concatenate([[0], np.cumsum(self.b.lengths[ids])])[np.cumsum(sizes)]
+            if np.array_equal(spells, np.cumsum(list(map(len, raw)))) and b"".join(self.b.spelled[ids].tolist()) == b"".join(raw):
+                good = np.ones(len(part), bool)
+            else:
+                good = [b"".join(self.b.spelled[row]) == x for row, x in zip(rows, raw, strict=True)]
+            self.is_spelled = np.concatenate([self.is_spelled, good])
         self.fresh = []
 
-    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids end to end, tokens per text, whether they spell the text); ``texts`` begin with a space."""
+    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(A's ids end to end, how many per text, B's, how many, whether both spell the text)."""
         if len(self) > CACHE_PIECES:
             self._reset()
-        cut = [self._cut(x) for x in texts]
-        numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(cut)), np.int64, sum(map(len, cut)))
+        cut = list(map(self._cut, texts))
+        edges = np.cumsum([0, *map(len, cut)])
+        numbers = np.fromiter(map(self.__getitem__, chain.from_iterable(cut)), np.int64, int(edges[-1]))
         self._learn()
-        edges, sizes = np.cumsum([0, *map(len, cut)]), self.size[numbers]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        where = np.repeat(self.start[numbers] - ends[:-1], sizes) + np.arange(ends[-1])
-        unspelled = np.concatenate([[0], np.cumsum(~self.is_spelled[numbers])])
-        return self.flat[where], np.diff(ends[edges]), np.diff(unspelled[edges]) == 0
+        unspelled = np.concatenate([[0], np.cumsum(~self.is_spelled[numbers])])  # bytes have tokens of A always
+        return *self.a_ids.take(numbers, edges), *self.b_ids.take(numbers, edges), np.diff(unspelled[edges]) == 0
 
 
 @dataclass
@@ -169,13 +204,11 @@ def _only(ids: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> tuple[np.n
     return (ids, counts) if wanted.all() else (ids[np.repeat(wanted, counts)], counts[wanted])
 
 
-def align_batch(texts: list[str | None], a: ByteSide, b: PieceSide) -> Alignment:
+def align_batch(texts: list[str | None], of: Encoders) -> Alignment:
     docs = np.array([i for i, x in enumerate(texts) if x], np.int64)
-    spaced = [" " + texts[i] for i in docs]
-    (a_ids, a_counts, a_ok), (b_ids, b_counts, b_ok) = a.tokens(spaced), b.tokens(spaced)
-    ok = a_ok & b_ok
+    a_ids, a_counts, b_ids, b_counts, ok = of.tokens([texts[i] for i in docs])
     (a_ids, a_counts), (b_ids, b_counts), docs = _only(a_ids, a_counts, ok), _only(b_ids, b_counts, ok), docs[ok]
-    a_end, b_end = np.cumsum(a.lengths[a_ids]), np.cumsum(b.lengths[b_ids])
+    a_end, b_end = np.cumsum(of.a.lengths[a_ids]), np.cumsum(of.b.lengths[b_ids])
     total = int(a_end[-1]) if len(a_end) else 0
     ends = np.bincount(a_end, minlength=total + 1).astype(np.int8) + 2 * np.bincount(b_end, minlength=total + 1).astype(np.int8)
     a_from, b_from = (np.concatenate([[0], np.cumsum(c)]) for c in (a_counts, b_counts))
@@ -190,20 +223,20 @@ def align_batch(texts: list[str | None], a: ByteSide, b: PieceSide) -> Alignment
     )
 
 
-def written_groups(x: Alignment, a: ByteSide, b: PieceSide) -> list[bytes]:
+def written_groups(x: Alignment, of: Encoders) -> list[bytes]:
     """Per document ``a1,a2|b1;a3|b2,b3``."""
     last_a = np.diff(x.a_group, append=-1) != 0
     last_b = np.diff(x.b_group, append=-1) != 0
     pieces = np.empty(len(x.a_ids) + len(x.b_ids), object)
     # a token's place: those of its own side before it, and the other's in groups before it (for B: up to its own)
-    pieces[np.arange(len(x.a_ids)) + np.searchsorted(x.b_group, x.a_group, "left")] = a.written[x.a_ids + last_a * len(a.spelled)]
-    pieces[np.arange(len(x.b_ids)) + np.searchsorted(x.a_group, x.b_group, "right")] = b.written[x.b_ids + last_b * len(b.spelled)]
+    pieces[np.arange(len(x.a_ids)) + np.searchsorted(x.b_group, x.a_group, "left")] = of.a.written[x.a_ids + last_a * len(of.a.spelled)]
+    pieces[np.arange(len(x.b_ids)) + np.searchsorted(x.a_group, x.b_group, "right")] = of.b.written[x.b_ids + last_b * len(of.b.spelled)]
     edges = x.a_from + x.b_from
     return [b"".join(pieces[s:e].tolist())[:-1] for s, e in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def _sides(path_a: str, path_b: str) -> tuple[ByteSide, PieceSide]:
-    return held(f"sides {path_a} {path_b}", lambda: (ByteSide(path_a), PieceSide(path_b)))
+def _encoders(path_a: str, path_b: str) -> Encoders:
+    return held(f"encoders {path_a} {path_b}", lambda: Encoders(path_a, path_b))
 
 
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
@@ -213,14 +246,14 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """One row per row of ``docs``; ``pairs`` are its distinct linked pairs (A id << 20 | B id), ``times`` how often each is linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = _sides(path_a, path_b)
+        of = _encoders(path_a, path_b)
         for batch in batches:
-            x = align_batch(batch.column(1).to_pylist(), a, b)
+            x = align_batch(batch.column(1).to_pylist(), of)
             n, rows = np.zeros((4, len(batch)), np.int64), np.zeros(len(batch), np.int64)
             for out, edges in zip(n, (x.a_from, x.b_from, x.group_from, x.link_from), strict=True):
                 out[x.docs] = np.diff(edges)
             digests = [""] * len(batch)
-            for i, written in zip(x.docs, written_groups(x, a, b), strict=True):
+            for i, written in zip(x.docs, written_groups(x, of), strict=True):
                 digests[i] = hashlib.sha256(written).hexdigest()
             linked = x.a_ids[x.a_of_link].astype(np.int64) << B_BITS | x.b_ids[x.b_of_link]
             pairs, times = [], []
@@ -243,9 +276,9 @@ def group_rows(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """``doc_id, number, start, stop, a_ids, b_ids``: the groups, with the bytes of a space and the text that they cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = _sides(path_a, path_b)
+        of = _encoders(path_a, path_b)
         for batch in batches:
-            x = align_batch(batch.column(1).to_pylist(), a, b)
+            x = align_batch(batch.column(1).to_pylist(), of)
             sizes = np.diff(x.group_from)
             first, doc_start = np.repeat(x.group_from[:-1], sizes), np.repeat(np.concatenate([[0], x.a_end])[x.a_from[:-1]], sizes)
             start = np.concatenate([[0], x.group_end[:-1]])[: len(x.group_end)]
