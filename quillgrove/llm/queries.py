@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgrove.llm import chat_format, conversation_repair, decontamination, html_template, line_dedup, packing, quality_ledger, simhash_vptree, token_alignment, token_io, toxicity, url_trust
+from quillgrove.llm import chat_format, conversation_repair, decontamination, html_template, hyper_minhash, line_dedup, packing, quality_ledger, simhash_vptree, token_alignment, token_io, toxicity, url_trust
 from quillgrove.session import read_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -90,6 +90,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.link_scores(read_table(spark, sf_dir, "documents"), TOKENIZER, PIECE_MODEL)
 
 
+def op13_hyper_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyper_minhash.near_duplicates(read_table(spark, sf_dir, "documents"), shingle=5, similarity=0.85)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_template": op1_html_template,
     "op2_url_trust": op2_url_trust,
@@ -103,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_template_windows": op10_template_windows,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_token_alignment": op12_token_alignment,
+    "op13_hyper_minhash": op13_hyper_minhash,
     "quality_ablations": quality_ablations,
 }
 

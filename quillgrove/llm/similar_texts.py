@@ -160,7 +160,7 @@ def near_buckets(texts: DataFrame, shingle: int, tables: int, rows: int) -> Data
     return materialize(_shared(materialize(texts.select("key", "text").mapInArrow(run, "bucket long, key binary"), "dup-near")), "dup-near-shared")
 
 
-def _with_head(rows: DataFrame, order: Column) -> DataFrame:
+def rows_with_head(rows: DataFrame, order: Column) -> DataFrame:
     """``rows`` with ``head`` (and its class), their bucket's key that is first in ``order``; the head's own row is left out.
 
     A hot bucket is dealt to several keys for the join; its first row is a partial aggregate.
@@ -178,14 +178,14 @@ def _star_round(left: DataFrame, texts: DataFrame, shingle: int, similarity: flo
     The head is the member whose prints most texts have, which is closest to what they
     have in common; buckets of one group of copies so agree on it.
     """
-    stars = materialize(_with_head(left, -F.col("weight")), "dup-stars")
+    stars = materialize(rows_with_head(left, -F.col("weight")), "dup-stars")
     pairs = stars.select(F.col("head").alias("a"), F.col("key").alias("b")).distinct()
     links = materialize(confirm_pairs(pairs, texts, shingle, similarity), "dup-links")
     found = links.select(F.col("a").alias("head"), F.col("b").alias("key"))
     return links, materialize(stars.join(found, ["head", "key"], "left_anti").drop("head"), "dup-left")
 
 
-def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+def merged_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
     """``key, class`` after these links: only classes that they connect are looked at."""
     ends = links.join(classes.select(F.col("key").alias("a"), F.col("class").alias("class_a")), "a")
     ends = ends.join(classes.select(F.col("key").alias("b"), F.col("class").alias("class_b")), "b")
@@ -203,7 +203,7 @@ def _open_rows(rows: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _vantage_round(rows: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """One head for each bucket of several classes: (links found near it, rows of its far side)."""
-    sides = _with_head(rows, -F.col("weight")).join(texts.select("key", "text"), "key")
+    sides = rows_with_head(rows, -F.col("weight")).join(texts.select("key", "text"), "key")
     sides = sides.join(texts.select(F.col("key").alias("head"), F.col("text").alias("head_text")), "head")
     far_below = MIDDLE + 1 - similarity
     carried = ["bucket", "key", "class", "weight", "head", "head_class"]
@@ -281,19 +281,19 @@ def _star_rounds(rows: DataFrame, classes: DataFrame, texts: DataFrame, shingle:
     for _ in range(2):
         found, left = _star_round(left, texts, shingle, similarity)
         links.append(found)
-    classes = _merged(classes, links[0].union(links[1]))
+    classes = merged_classes(classes, links[0].union(links[1]))
     return classes, _open_rows(rows, classes)
 
 
-def _vantage_rounds(rows: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+def vantage_rounds(rows: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The classes after all links inside the buckets."""
     for _ in range(HEADS):
         if rows.isEmpty():
             return classes
         found, far = _vantage_round(rows, texts, shingle, similarity)
-        classes = _merged(classes, found)
+        classes = merged_classes(classes, found)
         rows = _open_rows(far, classes)
-    return _merged(classes, materialize(confirm_pairs(_open_pairs(rows), texts, shingle, similarity), "dup-links"))
+    return merged_classes(classes, materialize(confirm_pairs(_open_pairs(rows), texts, shingle, similarity), "dup-links"))
 
 
 def text_classes(
@@ -326,7 +326,7 @@ def text_classes(
         asked = rest.select("key", "weight").distinct()
         narrow = near_buckets(texts.join(asked, "key", "left_semi"), shingle, tables, rows).join(asked, "key")
         classes, rest = _star_rounds(narrow, classes, texts, shingle, similarity)
-        classes = _vantage_rounds(rest, classes, texts, shingle, similarity)
+        classes = vantage_rounds(rest, classes, texts, shingle, similarity)
     rooted = nodes.join(classes, "key", "left").withColumn("root", F.coalesce("class", "key"))
     first = F.struct(F.col("first_id").isNull().alias("none"), "first_id", "key")
     names = rooted.groupBy("root").agg(F.min(first).alias("first"))
