@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgrove.llm.similar_texts import confirm_pairs, merged_classes, rows_with_head, shingle_set, vantage_rounds
+from quillgrove.llm.similar_texts import confirm_pairs, merged_classes, rows_with_head, shingle_set, vantage_round
 from quillgrove.llm.worker import release, small_batches
 from quillgrove.session import discard, materialize
 
@@ -44,6 +44,10 @@ BAND_ROWS = 6
 BANDS = BUCKETS // BAND_ROWS
 #: Standard errors that an estimate may lie below the limit.
 SLACK = 6.0
+#: Vantage points that a bucket gets, one after the other.
+HEADS = 3
+#: Keys of wanted texts up to this many (some 40 bytes each) are broadcast, so that texts stay where they are; more are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
 
 
 # ---------------------------------------------------------------- sketches
@@ -174,49 +178,81 @@ def shared_buckets(nodes: DataFrame) -> DataFrame:
     return members
 
 
+def narrowed(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+    """``rows`` whose ``column`` is in ``wanted``, without a shuffle of theirs where that is small."""
+    wanted = materialize(wanted.select(column).distinct(), "hyper-wanted")
+    return rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted, column, "left_semi")
+
+
 def _head_round(rows: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(links with the buckets' heads, rows that their head doesn't confirm)."""
     stars = materialize(rows_with_head(rows, -F.col("weight")), "hyper-stars")
     pairs = stars.select(F.col("head").alias("a"), F.col("key").alias("b")).distinct()
     likely = materialize(likely_pairs(pairs, nodes, similarity), "hyper-likely")
-    links = materialize(confirm_pairs(likely, texts, shingle, similarity), "hyper-links")
+    ends = likely.select(F.explode(F.array("a", "b")).alias("key"))
+    links = materialize(confirm_pairs(likely, narrowed(texts, ends, "key"), shingle, similarity), "hyper-links")
     found = links.select(F.col("a").alias("head"), F.col("b").alias("key"))
     return links, materialize(stars.join(found, ["head", "key"], "left_anti").drop("head"), "hyper-left")
 
 
-def unexplained(members: DataFrame, left: DataFrame, classes: DataFrame) -> DataFrame:
-    """``members`` of buckets with several classes in which two heads haven't met every pair, with their class.
+def unexplained(members: DataFrame, left: DataFrame) -> DataFrame:
+    """``bucket, key, weight``: buckets in which two heads haven't met every pair.
 
     Two members need one head; three need two, and only if the first confirms neither.
     """
     once = left.groupBy("bucket").agg(F.count("*").alias("rest"))
-    wide = members.where("size > 2").join(once, "bucket").where("size > 3 or rest < 2")
-    named = wide.drop("rest").join(classes, "key")
-    several = named.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("bucket")
-    return materialize(named.join(several, "bucket").drop("size"), "hyper-open")
+    return members.where("size > 2").join(once, "bucket").where("size > 3 or rest < 2").select("bucket", "key", "weight")
 
 
-def set_classes(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``key, class`` of the sets that share a band: what links connect has one class."""
-    members = shared_buckets(nodes)
+def open_buckets(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``rows`` of buckets that hold several classes, with ``class`` and the bucket's ``head``."""
+    named = rows.join(classes, "key")
+    head = F.min_by("key", F.struct(-F.col("weight"), "key")).alias("head")
+    several = named.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high"), head).where("low < high")
+    return materialize(named.join(several.select("bucket", "head"), "bucket"), "hyper-open")
+
+
+def set_classes(members: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``key, class`` of the sets that share a band: what links connect has one class.
+
+    An open bucket's head is its vantage point; buckets of one head are searched as one, so
+    that a set comes once for each head and not for each band.  What is far from it goes on
+    in its own bands; what is far from ``HEADS`` heads is compared there by sizes and registers.
+    """
     first, left = _head_round(members, nodes, texts, shingle, similarity)
     second, _ = _head_round(left, nodes, texts, shingle, similarity)
     classes = members.select("key", F.col("key").alias("class")).distinct()
     classes = merged_classes(materialize(classes, "hyper-classes"), first.union(second))
-    return vantage_rounds(unexplained(members, left, classes), classes, texts, shingle, similarity)
+    rows, one = unexplained(members, left), F.xxhash64("head")
+    for _ in range(HEADS):
+        opened = open_buckets(rows, classes)
+        if opened.isEmpty():
+            return classes
+        found, far = vantage_round(opened.select(one.alias("bucket"), "key", "weight", "class").distinct(), narrowed(texts, opened, "key"), shingle, similarity)
+        classes = merged_classes(classes, found)
+        far = far.select(F.col("bucket").alias("far"), "key")
+        rows = opened.withColumn("far", F.xxhash64(one, "head")).join(far, ["far", "key"], "left_semi").select("bucket", "key", "weight")
+    sized = open_buckets(rows, classes).join(nodes.select("key", "n_shingles"), "key")
+    ours, theirs = (sized.select("bucket", F.col("key").alias(k), F.col("class").alias(f"class_{k}"), F.col("n_shingles").alias(f"n_{k}")) for k in "ab")
+    fit = (F.col("n_a") >= similarity * F.col("n_b") - 1e-9) & (F.col("n_b") >= similarity * F.col("n_a") - 1e-9)
+    pairs = ours.join(theirs, "bucket").where((F.col("class_a") < F.col("class_b")) & fit).select("a", "b").distinct()
+    likely = materialize(likely_pairs(materialize(pairs, "hyper-rest"), nodes, similarity), "hyper-likely")
+    ends = likely.select(F.explode(F.array("a", "b")).alias("key"))
+    return merged_classes(classes, materialize(confirm_pairs(likely, narrowed(texts, ends, "key"), shingle, similarity), "hyper-links"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.85) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``: a class is named by its smallest doc_id, whose row is kept."""
     small_batches(docs.sparkSession)
-    sketched = materialize(sketches(docs, shingle), "hyper-sketches")
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
-    nodes = sketched.where("key is not null").groupBy("key").agg(F.min(first)["doc_id"].alias("first_id"), F.first(F.struct("n_shingles", "registers", "bands")).alias("sketch"))
-    nodes = materialize(nodes.select("key", "first_id", "sketch.*"), "hyper-nodes")
-    texts = sketched.where("key is not null").select("key", "doc_id", "text")
-    shared = nodes.select(F.col("key").alias("wanted"), "first_id")
-    texts = texts.join(shared, (F.col("key") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").dropDuplicates(["key"])
-    classes = set_classes(nodes.drop("first_id"), materialize(texts.select("key", "text"), "hyper-texts"), shingle, similarity)
+    sketched = materialize(sketches(docs, shingle).withColumn("row", F.monotonically_increasing_id()), "hyper-sketches")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    nodes = sketched.where("key is not null").groupBy("key").agg(first, F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"), F.first("bands").alias("bands"))
+    nodes = materialize(nodes.select("key", F.col("first.doc_id").alias("first_id"), F.col("first.row").alias("row"), "n_shingles", "registers", "bands"), "hyper-nodes")
+    members = shared_buckets(nodes)
+    asked = narrowed(nodes.select("key", "row", "n_shingles", "registers"), members, "key")
+    asked = materialize(asked, "hyper-asked")
+    texts = materialize(narrowed(sketched.select("row", "key", "text"), asked, "row").drop("row"), "hyper-texts")
+    classes = set_classes(members, asked, texts, shingle, similarity)
     rooted = nodes.select("key", "first_id").join(classes, "key", "left").withColumn("root", F.coalesce("class", "key"))
     names = rooted.groupBy("root").agg(F.min("first_id").alias("component"))
     named = rooted.join(names, "root").select("key", "component")

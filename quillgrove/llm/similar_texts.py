@@ -201,7 +201,7 @@ def _open_rows(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return materialize(named.join(several, "bucket"), "dup-open")
 
 
-def _vantage_round(rows: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+def vantage_round(rows: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """One head for each bucket of several classes: (links found near it, rows of its far side)."""
     sides = rows_with_head(rows, -F.col("weight")).join(texts.select("key", "text"), "key")
     sides = sides.join(texts.select(F.col("key").alias("head"), F.col("text").alias("head_text")), "head")
@@ -290,7 +290,7 @@ def vantage_rounds(rows: DataFrame, classes: DataFrame, texts: DataFrame, shingl
     for _ in range(HEADS):
         if rows.isEmpty():
             return classes
-        found, far = _vantage_round(rows, texts, shingle, similarity)
+        found, far = vantage_round(rows, texts, shingle, similarity)
         classes = merged_classes(classes, found)
         rows = _open_rows(far, classes)
     return merged_classes(classes, materialize(confirm_pairs(_open_pairs(rows), texts, shingle, similarity), "dup-links"))
