@@ -1,4 +1,4 @@
-"""What newer statements do to older ones, due dates in text, and world state per place."""
+"""Due dates in text, and world state per place."""
 
 from __future__ import annotations
 
@@ -10,30 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: (kind, pattern of the older statement, pattern of the newer one, confidence).
-RELATIONS = [
-    ("completes", r"\b(will|plan|going to)\b", r"\b(done|finished|arrived|completed)\b", 0.9),
-    ("contradicts", r"\b(is|are|likes?)\b", r"\b(not|no longer|never)\b", 0.72),
-    ("updates", r"\b(is|are|was)\b", r"\b(now|today|currently)\b", 0.68),
-]
-
-
-def supersede(rows: DataFrame, least: float = 0.65) -> DataFrame:
-    """Adds ``superseded_by`` and ``relation``: the first newer statement on the same topic that replaces it.
-
-    The pairs come from an equi-join on user and topic with a time order; only newer
-    statements that carry a replacing pattern enter it.
-    """
-    low = F.lower("text")
-    newer_kind = F.array(*[F.when(F.rlike(low, F.lit(new)), F.struct(F.lit(k).alias("kind"), F.lit(c).alias("confidence"))) for k, _, new, c in RELATIONS])
-    newer = rows.select("user_id", "topic", F.col("id").alias("new_id"), F.col("ts").alias("new_ts"), F.explode(F.filter(newer_kind, lambda x: x.isNotNull())).alias("r"))
-    older_kind = F.array(*[F.when(F.rlike(low, F.lit(old)), F.lit(k)) for k, old, _, _ in RELATIONS])
-    older = rows.select("user_id", "topic", "id", "ts", F.explode(F.filter(older_kind, lambda x: x.isNotNull())).alias("kind"))
-    pairs = older.join(newer.select("user_id", "topic", "new_id", "new_ts", "r.*"), ["user_id", "topic", "kind"]).where((F.col("new_ts") > F.col("ts")) & (F.col("confidence") >= least))
-    first = pairs.groupBy("id").agg(F.min(F.struct("new_ts", "new_id", "kind")).alias("f"))
-    return rows.join(first, "id", "left").select(rows["*"], F.col("f.new_id").alias("superseded_by"), F.col("f.kind").alias("relation"))
-
-
 def place_states(events: DataFrame, now: Column) -> DataFrame:
     """The last event of each user and place, how many there were, and whether it is stale after a day."""
     last = events.groupBy("user_id", "place").agg(F.max_by("state", F.struct("ts", "id")).alias("state"), F.max("ts").alias("ts"), F.count("*").alias("n"))

@@ -62,10 +62,10 @@ def _has(phrases: list[str]) -> str:
     return f"regexp_matches(s, '{T.phrase_pattern(phrases)}')"
 
 
-INTENT = f"""said AS (SELECT *, conv_id % 100 AS hours, strip_accents(lower({_SAID} || ' ' || text)) AS s FROM trn),
-i AS (SELECT *, CASE WHEN contains(s, '?') OR {_has(T.QUESTION)} THEN 'query' WHEN role = 'assistant' AND {_has(T.SUMMARY)} THEN CASE WHEN {_has(T.DONE)} THEN 'completed_event' ELSE 'generic' END
+INTENT_CASE = f"""CASE WHEN contains(s, '?') OR {_has(T.QUESTION)} THEN 'query' WHEN role = 'assistant' AND {_has(T.SUMMARY)} THEN CASE WHEN {_has(T.DONE)} THEN 'completed_event' ELSE 'generic' END
  WHEN {_has(T.COMPLETED)} OR (role = 'assistant' AND {_has(T.ALREADY)} AND {_has(T.DONE)}) THEN 'completed_event' WHEN {_has(T.PAST)} THEN 'past_event'
- WHEN {_has(T.FUTURE)} THEN CASE WHEN role = 'assistant' THEN 'generic' ELSE 'future_intent' END WHEN {_has(T.CURRENT)} THEN 'current_state' ELSE 'generic' END AS intent FROM said)"""
+ WHEN {_has(T.FUTURE)} THEN CASE WHEN role = 'assistant' THEN 'generic' ELSE 'future_intent' END WHEN {_has(T.CURRENT)} THEN 'current_state' ELSE 'generic' END"""
+INTENT = f"""said AS (SELECT *, conv_id % 100 AS hours, strip_accents(lower({_SAID} || ' ' || text)) AS s FROM trn), i AS (SELECT *, {INTENT_CASE} AS intent FROM said)"""
 
 
 @query(

@@ -103,16 +103,6 @@ def system_status(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("event_id", F.array_join("alerts", ",").alias("alerts"), "status")
 
 
-@query(
-    f"""WITH {MEM}, s AS (SELECT id, user_id, id % 5 AS topic, id AS ts, id % 3 = 0 AS plan, id % 7 = 0 AS done FROM mem)
-SELECT o.id, coalesce(min(n.id), -1) AS superseded_by, CASE WHEN min(n.id) IS NOT NULL THEN 'completes' END AS relation FROM s o LEFT JOIN s n ON o.plan AND n.done AND n.user_id = o.user_id AND n.topic = o.topic AND n.ts > o.ts GROUP BY o.id"""
-)
-def supersession(spark: SparkSession, sf: str) -> DataFrame:
-    said = F.concat(F.when(F.col("id") % 3 == 0, "I will go ").otherwise("x "), F.when(F.col("id") % 7 == 0, "it got done").otherwise("y"))
-    rows = memories(spark, sf).select("id", "user_id", (F.col("id") % 5).alias("topic"), F.col("id").alias("ts"), said.alias("text"))
-    return P.supersede(rows).select("id", F.coalesce("superseded_by", F.lit(-1)).alias("superseded_by"), "relation")
-
-
 @query(
     f"""WITH p AS (SELECT user_id, event_type AS place, arg_max(props, (ts, event_id)) AS state, max(ts) AS ts, count(*)::BIGINT AS n FROM events GROUP BY 1, 2)
 SELECT user_id, place, state, n, ts < TIMESTAMP '{NOW}' - INTERVAL 24 HOURS AS stale FROM p"""
