@@ -44,8 +44,8 @@ BAND_ROWS = 6
 BANDS = BUCKETS // BAND_ROWS
 #: Standard errors that an estimate may lie below the limit.
 SLACK = 6.0
-#: Vantage points that a bucket gets, one after the other.
-HEADS = 3
+#: Vantage points that a bucket gets, one after the other; what the first leaves is little (see README).
+HEADS = 1
 #: Keys of wanted texts up to this many (some 40 bytes each) are broadcast, so that texts stay where they are; more are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
 
