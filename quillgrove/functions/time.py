@@ -55,6 +55,12 @@ def plain(text: Column) -> Column:
     return F.translate(F.lower(F.coalesce(text, F.lit(""))), "àáâãäåèéêëìíîïòóôõöùúûüýÿçñ", "aaaaaaeeeeiiiiooooouuuuyycn")
 
 
+def ascii_bounds(pattern: str) -> str:
+    """``pattern`` with word boundaries between ASCII word characters and all others, whatever Java's are."""
+    edge = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+    return pattern.replace(r"\b", edge)
+
+
 def phrase_pattern(phrases: list[str]) -> str:
     """A pattern of whole words that finds any of the phrases, whatever white space stands inside."""
     return r"\b(" + "|".join(x.replace(" ", r"\s+") for x in phrases) + r")\b"
@@ -67,7 +73,7 @@ def temporal_intent(text: Column, role: Column | None = None) -> Column:
     null and empty texts are generic, a role that isn't ``assistant`` changes nothing.
     """
     said = plain(text)
-    has = lambda phrases: F.rlike(said, F.lit(phrase_pattern(phrases)))
+    has = lambda phrases: F.rlike(said, F.lit(ascii_bounds(phrase_pattern(phrases))))
     by_assistant = F.coalesce(role == "assistant", F.lit(False)) if role is not None else F.lit(False)
     return (
         F.when(F.contains(said, F.lit("?")) | has(QUESTION), "query")

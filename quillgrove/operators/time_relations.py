@@ -20,7 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillgrove.functions.time import plain, temporal_intent
+from quillgrove.functions.time import ascii_bounds, plain, temporal_intent
+from quillgrove.session import materialize
 
 #: Below this confidence nothing is replaced.
 LEAST = 0.65
@@ -55,12 +56,6 @@ KIND = {CALL: "completes", SUBJECT_FEVER: "updates", NAMED_FEVER: "updates", PLA
 LESS_FOR_ASSISTANT, MORE_FOR_USER = 0.25, 0.05
 
 
-def ascii_bounds(pattern: str) -> str:
-    """``pattern`` with word boundaries between ASCII word characters and all others, whatever Java's are."""
-    edge = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
-    return pattern.replace(r"\b", edge)
-
-
 def _has(text: Column, pattern: str) -> Column:
     return F.rlike(text, F.lit(ascii_bounds(pattern)))
 
@@ -80,8 +75,9 @@ def entities(text: Column) -> Column:
     return _names(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ascii_bounds(ENTITY)), F.lit(0)))
 
 
-def salient_words(text: Column) -> Column:
-    words = F.split(plain(text), r"\s+")
+def salient_words(said: Column) -> Column:
+    """Words of four characters or more of a plain text."""
+    words = F.split(said, r"\s+")
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 4) & ~w.isin(STOPWORDS)))
 
 
@@ -91,9 +87,10 @@ def places(text: Column) -> Column:
 
 
 def statements(rows: DataFrame) -> DataFrame:
-    """Rows ``id, user_id, ts`` (ms)``, role, text, tags, domains`` with what relations look at."""
-    said, intent = plain(F.col("text")), temporal_intent(F.col("text"), role_of(F.col("role")))
-    named, words, tags = entities(F.col("text")), salient_words(F.col("text")), _names(F.col("tags"))
+    """Rows ``id, user_id, ts`` (ms)``, role, text, tags, domains`` with what relations look at, written once."""
+    rows = rows.withColumn("_said", plain(F.col("text")))  # a column of its own: many patterns read it
+    said, intent = F.col("_said"), temporal_intent(F.col("text"), role_of(F.col("role")))
+    named, words, tags = entities(F.col("text")), salient_words(said), _names(F.col("tags"))
 
     def kept(prefix: str, names: Column) -> Column:
         return F.transform(names, lambda x: F.concat(F.lit(prefix), x))
@@ -106,7 +103,8 @@ def statements(rows: DataFrame) -> DataFrame:
         "call": _has(said, CALL_INTENT), "called": _has(said, CALL_DONE), "fever": _has(said, FEVER), "recovered": _has(said, FEVER_DONE), "fever_named": _has(said, FEVER_NAMED),
         "leaving": _has(said, TOMORROW) & _has(said, LEAVING), "returned": _has(said, JOURNEY_DONE), "journey_closed": _has(said, JOURNEY_CLOSED),
     }
-    return rows.select("id", "user_id", F.coalesce("ts", F.lit(0)).cast("long").alias("ts"), "text", *(c.alias(name) for name, c in signals.items()))
+    out = rows.select("id", "user_id", F.coalesce("ts", F.lit(0)).cast("long").alias("ts"), "text", *(c.alias(name) for name, c in signals.items()))
+    return materialize(out, "statements")
 
 
 # ---------------------------------------------------------------- relations of pairs

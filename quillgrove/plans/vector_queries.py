@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillgrove.operators import pivot_join as P
 from quillgrove.operators import vector as V
 from quillgrove.plans.registry import Registry
 from quillgrove.session import read_table
@@ -42,7 +43,26 @@ def neighbours(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {VEC}, {PAIRS} SELECT a, b, round(score, 6) AS score FROM pairs")
 def threshold_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return V.similar_pairs(vectors(spark, sf), THRESHOLD).withColumn("score", F.round("score", 6))
+    return P.pivot_pairs(vectors(spark, sf), THRESHOLD).withColumn("score", F.round("score", 6))
+
+
+def _observed(spark: SparkSession, sf: str) -> DataFrame:
+    """Every pair as both of its ends see it, one of them a little lower."""
+    pairs = P.pivot_pairs(vectors(spark, sf), THRESHOLD)
+    return pairs.selectExpr("a AS id", "b AS other", "score").union(pairs.selectExpr("b", "a", "score - 0.01"))
+
+
+@query(f"WITH {VEC}, {PAIRS} SELECT a, b, round(score, 6) AS score, 2::BIGINT AS observed FROM pairs")
+def candidate_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return P.candidate_edges(_observed(spark, sf)).withColumn("score", F.round("score", 6))
+
+
+@query(
+    f"""WITH {VEC}, {PAIRS}, n AS (SELECT count(*)::BIGINT AS n FROM pairs), b AS (SELECT unnest([50, 100000000])::BIGINT AS budget)
+SELECT budget, CASE WHEN n > budget THEN 0 ELSE n END AS edges, n AS duplicates, CASE WHEN n > budget THEN 'DEFERRED_EDGE_BUDGET' ELSE 'COMPLETE' END AS status FROM b, n"""
+)
+def edge_budgets(spark: SparkSession, sf: str) -> DataFrame:
+    return P.edge_budgets(P.candidate_edges(_observed(spark, sf)), [50, 100_000_000])
 
 
 @query(
