@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillgrove.functions import activation as A
 from quillgrove.functions import text as X
-from quillgrove.session import materialize
+from quillgrove.session import discard, materialize
 
 
 def concept_echo(rows: DataFrame, query: str, concepts: list[str], noise: list[str] = ()) -> DataFrame:
@@ -178,6 +178,36 @@ def prune_cold_links(links: DataFrame, cold: DataFrame, keep: int = 3) -> DataFr
     return links.join(ends.withColumn("nth", nth).where(F.col("nth") > keep).select(*key).distinct(), key, "left_anti")
 
 
+def prune_cold_links_in_order(links: DataFrame, cold: DataFrame, keep: int = 3) -> DataFrame:
+    """Links left after each cold row in turn, by id, has dropped all but its strongest ``keep`` of those left then.
+
+    Rounds instead of a loop over the rows.  A row with at most ``keep`` links left will drop none, whenever its turn is, as links
+    only go; so of the others a row may take its turn as soon as no smaller one of them shares a link with it, and no two
+    rows that take theirs in one round share a link.  Equal weights go by source and target, null weights are weakest; repeated links
+    are one, of their greatest weight, and stay or go together.  Links with a null end, or between rows that aren't cold, stay.
+    """
+    key = ["source_id", "target_id"]
+    whole = links.where(F.col("source_id").isNotNull() & F.col("target_id").isNotNull())
+    left = materialize(whole.groupBy(*key).agg(F.max("weight").alias("weight")), "cold-links")
+    turn, before = cold.select("id").where("id IS NOT NULL").distinct(), []
+    while True:
+        ends = left.select(*key, "weight", F.explode(F.array_distinct(F.array(*key))).alias("id"))
+        turn = materialize(ends.join(turn, "id").groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") > keep).select("id"), "turns")
+        if turn.isEmpty():
+            break
+        shared = left.where("source_id <> target_id").join(turn.toDF("source_id"), "source_id").join(turn.toDF("target_id"), "target_id")
+        ready = turn.join(shared.select(F.greatest(*key).alias("id")).distinct(), "id", "left_anti")
+        own = materialize(ends.join(ready, "id"), "turn-links")
+        nth = F.row_number().over(Window.partitionBy("id").orderBy(F.desc_nulls_last("weight"), *key))
+        lost = own.join(own.withColumn("nth", nth).where(F.col("nth") <= keep).select(*key), key, "left_anti").select(*key)
+        after = materialize(left.join(lost, key, "left_anti"), "cold-links")
+        for table in (*before, left, own):
+            discard(table)
+        left, before = after, [turn]
+    gone = whole.select(*key).distinct().join(left, key, "left_anti")
+    return links.join(gone, key, "left_anti")
+
+
 def certificates(found: DataFrame, cap: int, model: str) -> DataFrame:
     """Discovery certificates (``id, hits, model, expected``) as valid or not, with the first reason against."""
     reason = (

@@ -9,11 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgrove.operators.complete_link import complete_link_clusters  # noqa: F401
 from quillgrove.operators.components import connected_components
 from quillgrove.session import materialize
 
@@ -149,60 +149,6 @@ def isolation(rows: DataFrame, key: str) -> DataFrame:
     return other.select(key, F.when(F.col("n") < 2, 1.0).otherwise(1 - (F.col("s") - 1) / (F.col("n") - 1)).alias("isolation"))
 
 
-#: A component of more links than this is deferred whole: what one task compares is bounded.
-MOST_LINKS = 4_000_000
-
-
-def _complete_link(a: np.ndarray, b: np.ndarray) -> dict[int, int]:
-    """id -> first member of its cluster, from the links of a component, greedy in order of id.
-
-    A row joins the first cluster all of whose members it is linked to.
-    """
-    both, other = np.concatenate([a, b]), np.concatenate([b, a])
-    order = np.lexsort((other, both))
-    both, other = both[order], other[order]
-    ids, start = np.unique(both, return_index=True)
-    linked = dict(zip(ids.tolist(), np.split(other, start[1:]), strict=True))
-    name: dict[int, int] = {}
-    for i in ids.tolist():
-        if i in name:
-            continue
-        name[i] = i
-        fits = linked[i][linked[i] > i]
-        while len(fits):
-            j, fits = int(fits[0]), fits[1:]
-            if j not in name:
-                name[j] = i
-                fits = np.intersect1d(fits, linked[j], assume_unique=True)
-    return name
-
-
-def complete_link_clusters(rows: DataFrame, pairs: DataFrame, threshold: float, least: int = 3, most_links: int = MOST_LINKS, largest: int | None = None) -> DataFrame:
-    """``id, component, cluster, status``: complete-link clusters within each component.
-
-    A cluster never spans components, so each is solved from its own links at or above
-    the threshold; components over ``most_links`` (or over ``largest`` rows, if
-    given) are deferred whole, never cut.
-    """
-    similar = pairs.where(F.col("score") >= threshold - 1e-12).select("a", "b")
-    placed = materialize(components(rows, similar), "placed")
-    edges = similar.join(placed.withColumnRenamed("id", "a"), "a")
-    sizes = edges.groupBy("component").agg(F.count("*").alias("links"))
-    if largest is not None:
-        sizes = sizes.join(placed.groupBy("component").agg(F.count("*").alias("rows")), "component").withColumn("links", F.when(F.col("rows") > largest, most_links + 1).otherwise(F.col("links")))
-    dense = sizes.where(F.col("links") > most_links).select("component", F.lit(True).alias("dense"))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = _complete_link(pdf["a"].to_numpy(), pdf["b"].to_numpy())
-        return pd.DataFrame({"id": list(name), "cluster": list(name.values())})
-
-    fit = edges.join(sizes.where(F.col("links") <= most_links).select("component"), "component")
-    solved = materialize(fit.groupBy("component").applyInPandas(solve, "id long, cluster long"), "complete-link")
-    good = solved.join(solved.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("cluster"), "cluster")
-    status = F.when(F.col("dense"), "DEFERRED_DENSE_COMPONENT").when(F.col("cluster").isNotNull(), "CLUSTERED").otherwise("UNCLUSTERED")
-    return placed.join(dense, "component", "left").join(good, "id", "left").select("id", "component", "cluster", status.alias("status"))
-
-
 def leader_clusters(rows: DataFrame, pairs: DataFrame, threshold: float, least: int = 3) -> DataFrame:
     """``id, leader``: in order of id, the first row not taken leads and takes its similar rows (strictly above).
 

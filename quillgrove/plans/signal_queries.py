@@ -114,6 +114,12 @@ def cold_link_pruning(spark: SparkSession, sf: str) -> DataFrame:
     return S.prune_cold_links(links(spark, sf), cold, 1).select("source_id", "target_id")
 
 
+@query()
+def cold_link_pruning_in_order(spark: SparkSession, sf: str) -> DataFrame:
+    cold = memories(spark, sf).where("activation < 0.3 AND idle_days > 30")
+    return S.prune_cold_links_in_order(links(spark, sf), cold, 1).select("source_id", "target_id")
+
+
 @query(
     f"""WITH {MEM}, c AS (SELECT id, CASE WHEN id % 10 <> 0 THEN id % 8 - 1 END AS hits, CASE WHEN id % 9 = 0 THEN 'old' ELSE 'new' END AS model, CASE WHEN id % 6 = 0 THEN 0 ELSE id % 8 - 1 END AS expected FROM mem),
 r AS (SELECT id, CASE WHEN hits IS NULL THEN 'ABSENT' WHEN model <> 'new' THEN 'OTHER_MODEL' WHEN hits < 0 THEN 'NEGATIVE_COUNT' WHEN hits > 5 THEN 'TRUNCATED' WHEN hits <> expected THEN 'COUNT_MISMATCH' ELSE 'OK' END AS reason FROM c)

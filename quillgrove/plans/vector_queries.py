@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from quillgrove.operators import pivot_join as P
 from quillgrove.operators import vector as V
+from quillgrove.operators.complete_link import BLOCK, Budgets, cohesion, complete_link_clusters
 from quillgrove.plans.registry import Registry
-from quillgrove.session import read_table
+from quillgrove.session import materialize, read_table
 from quillgrove.sources.adapters import VEC, vectors
 
 query = Registry()
@@ -124,6 +125,28 @@ def clusters_complete_link(spark: SparkSession, sf: str) -> DataFrame:
     return V.complete_link_clusters(rows, V.similar_pairs(rows, 0.3), 0.3, 3)
 
 
+@query()
+def clusters_budgeted(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows by status under each budget alone, and with the components cut into small blocks."""
+    rows = vectors(spark, sf)
+    pairs = materialize(V.similar_pairs(rows, 0.3), "pairs")
+    runs = {"blocks": None, "rows": Budgets(rows=100), "comparisons": Budgets(comparisons=100), "row_links": Budgets(row_links=20), "cluster": Budgets(cluster=3), "seconds": Budgets(seconds=0)}
+    out = None
+    for name, budgets in runs.items():
+        found = complete_link_clusters(rows, pairs, 0.3, budgets=budgets, block=4096 if name == "blocks" else 200 if name == "seconds" else BLOCK)
+        counts = found.groupBy("status").agg(F.count("*").alias("n")).select(F.lit(name).alias("budget"), "status", "n")
+        out = counts if out is None else out.union(counts)
+    return out
+
+
+@query()
+def cluster_cohesion(spark: SparkSession, sf: str) -> DataFrame:
+    """Per complete-link cluster its size, its least similarity, and whether every pair was found."""
+    rows = vectors(spark, sf)
+    pairs = materialize(V.similar_pairs(rows, 0.3), "pairs")
+    return cohesion(complete_link_clusters(rows, pairs, 0.3), pairs)
+
+
 @query()
 def clusters_leader(spark: SparkSession, sf: str) -> DataFrame:
     rows = vectors(spark, sf)
