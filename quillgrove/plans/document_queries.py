@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgrove.functions import text as X
+from quillgrove.operators import chunkers as K
 from quillgrove.operators import documents as O
 from quillgrove.operators import recall as R
 from quillgrove.plans.registry import Registry
@@ -31,6 +32,58 @@ def chunk_overlap(spark: SparkSession, sf: str) -> DataFrame:
     return O.chunks(_docs(spark, sf), 700, 180).select("id", "chunk", F.md5("text").alias("digest"))
 
 
+_BLANK = "' ' || chr(9) || chr(10) || chr(13)"
+_TIDY = f"trim(regexp_replace(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g'), {_BLANK})"
+
+
+def _mark(mark: str) -> str:
+    return " || ".join("chr(10)" if c == "\n" else f"'{c}'" for c in mark)
+
+
+def _last(window: str, mark: str) -> str:
+    """Where a mark begins for the last time, from 0; -1 if nowhere."""
+    at = f"instr(reverse({window}), reverse({_mark(mark)}))"
+    return f"CASE WHEN {at} > 0 THEN length({window}) - {at} - {len(mark) - 1} ELSE -1 END"
+
+
+def _chunks_sql(cut: K.Cut) -> str:
+    """The walk as a recursion from one chunk's start to the next."""
+    if cut.in_order:
+        far = [(f"({_last(f'substring(t, begun + 1, {cut.size + len(m)})', m)})", int(cut.size * cut.least)) for m in cut.marks]
+        end = f"CASE {' '.join(f'WHEN {i} >= {least} THEN begun + {i}' for i, least in far)} ELSE begun + {cut.size} END"
+        after = f"stop + length(substring(t, stop + 1)) - length(ltrim(substring(t, stop + 1), {_BLANK}))"
+    else:
+        last = f"greatest({', '.join(_last(f'substring(t, begun + 1, {cut.size})', m) for m in cut.marks)})"
+        end = f"CASE WHEN {last} > {cut.size * cut.least}::DOUBLE THEN begun + {last} + 1 ELSE begun + {cut.size} END"
+        after = f"greatest(stop - {cut.overlap}, begun + 1)"
+    goes_on = f"length(t) - begun > CASE WHEN begun > 0 OR length(t) > {cut.whole} THEN {cut.size} ELSE {cut.whole} END"
+    step = f"CASE WHEN {goes_on} THEN {end} ELSE length(t) END"
+    return f"""WITH RECURSIVE d AS (SELECT doc_id AS id, {_TIDY if cut.clean else "text"} AS t FROM documents WHERE text IS NOT NULL),
+r AS (SELECT id, begun, ({step})::BIGINT AS stop FROM (SELECT *, 0::BIGINT AS begun FROM d) WHERE length(t) > 0
+ UNION ALL SELECT id, begun, ({step})::BIGINT FROM (SELECT r.id, t, ({after})::BIGINT AS begun FROM r JOIN d USING (id) WHERE stop < length(t))),
+c AS (SELECT id, begun, trim(substring(t, begun + 1, stop - begun), {_BLANK}) AS x FROM r JOIN d USING (id))
+SELECT id, (row_number() OVER (PARTITION BY id ORDER BY begun) - 1)::INT AS chunk, md5(x) AS digest FROM c WHERE x <> ''"""
+
+
+def _chunked(spark: SparkSession, sf: str, cut: K.Cut) -> DataFrame:
+    return K.break_chunks(_docs(spark, sf), cut).select("id", "chunk", F.md5("text").alias("digest"))
+
+
+@query(_chunks_sql(K.SENTENCES))
+def chunk_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    return _chunked(spark, sf, K.SENTENCES)
+
+
+@query(_chunks_sql(K.TECHNICAL))
+def chunk_technical(spark: SparkSession, sf: str) -> DataFrame:
+    return _chunked(spark, sf, K.TECHNICAL)
+
+
+@query(_chunks_sql(K.PARAGRAPHS))
+def chunk_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    return _chunked(spark, sf, K.PARAGRAPHS)
+
+
 def _lex(column: str) -> str:
     parts = [f"CASE WHEN contains({column}, '{PHRASE}') THEN 120 ELSE 0 END"]
     for i, t in enumerate(TERMS):
