@@ -69,7 +69,8 @@ LEAST = 0.75
 
 
 def _any(said: Column, patterns: list[str]) -> Column:
-    return F.rlike(said, F.lit(ascii_bounds("|".join(patterns))))
+    # every pattern begins at a word's edge: looked for once, not once a pattern at every character
+    return F.rlike(said, F.lit(ascii_bounds(r"\b(?:" + "|".join(p.removeprefix(r"\b") for p in patterns) + ")")))
 
 
 def travel_state(text: Column, said: Column) -> Column:
