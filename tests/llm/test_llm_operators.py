@@ -532,16 +532,59 @@ def test_op7_removes_shared_passages_and_nothing_else(spark):
         assert out[i].text == texts[i]
 
 
+def plain_line_dedup(rows: list[tuple[int, str]], long_words: int = 50) -> dict[int, str]:
+    """Lines go that stand beside the same neighbour at an earlier place, or are long and stand at an earlier place."""
+    seen, out = set(), {}
+    for doc_id, text in rows:
+        lines = (text or "").split("\n")
+        full = [i for i, x in enumerate(lines) if x.encode().strip()]
+        gone = set()
+        for i, j in zip(full, full[1:], strict=False):
+            gone |= {i, j} if (lines[i], lines[j]) in seen else set()
+            seen.add((lines[i], lines[j]))
+        for i in full:
+            if len(lines[i].encode().split()) >= long_words:
+                gone |= {i} if lines[i] in seen else set()
+                seen.add(lines[i])
+        for i, j in zip(full, full[1:], strict=False):
+            gone |= set(range(i, j)) if {i, j} <= gone else set()
+        out[doc_id] = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+    return out
+
+
 def test_op7_equals_brute_force(spark, small):
     rows = connect(small).execute("SELECT doc_id, text FROM documents ORDER BY doc_id").fetchall()
-    seen, want = set(), {}
-    for doc_id, text in rows:
-        lines, drop = (text or "").split("\n"), set()
-        for _, raw, _, a, n in line_dedup.chunks_of(text, line_dedup.DIVISOR, line_dedup.LONG_WORDS):
-            drop |= set(range(a, a + n)) if raw in seen else set()
-            seen.add(raw)
-        want[doc_id] = "\n".join(x for i, x in enumerate(lines) if i not in drop)
-    assert {r.doc_id: r.text for r in QUERIES["op7_line_chunks"](spark, small).collect()} == want
+    assert {r.doc_id: r.text for r in QUERIES["op7_line_chunks"](spark, small).collect()} == plain_line_dedup(rows)
+
+
+def test_op7_finds_passages_of_any_number_of_lines(spark):
+    rng = random.Random(3)
+    line = lambda n=6: " ".join(f"w{rng.randint(0, 999999)}" for _ in range(n))
+    texts, shared = [], set()
+    for n in range(2, 21):
+        for _ in range(8):
+            passage = [line() for _ in range(n)]
+            shared.update(passage)
+            for _ in range(2):
+                before, after = ([line() for _ in range(rng.randint(0, 7))] for _ in range(2))
+                texts.append("\n".join([*before, *passage, *rng.choice([[], [""], [" "]]), *after]))
+    common = line()  # a single line that many documents have is no passage
+    texts += [f"{line()}\n{common}\n\n{line()}" for _ in range(40)]
+    texts += ["again\nagain\nagain\nend", "one\n\n\ntwo\nthree", "zero\none\ntwo\n\nthree", "\n\n\n", " \n\n"]
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(spark, texts)).collect()}
+    assert out == plain_line_dedup(list(enumerate(texts)))
+    kept = [x for i in range(len(texts)) for x in out[i].split("\n")]
+    assert all(kept.count(x) == 1 for x in shared) and kept.count(common) == 40
+    assert [out[i] for i in range(len(texts) - 5, len(texts))] == ["again\nend", texts[-4], "zero", "\n\n\n", " \n\n"]
+
+
+def test_op7_seams_go_beyond_repeated_chunks_alone():
+    rng = random.Random(4)
+    passage = [b"line %d" % rng.randint(0, 10**9) for _ in range(5)]
+    one, two = ([b"own %d" % rng.randint(0, 10**9) for _ in range(4)] + passage + [b"own %d" % rng.randint(0, 10**9)] for _ in range(2))
+    found = [{u.hash: u for u in line_dedup.units_of(x)} for x in (one, two)]
+    both = [found[0][h] for h in found[0].keys() & found[1].keys()]
+    assert {i for u in both if u.number % 2 for i in u.lines} == {4, 5, 6, 7, 8}
 
 
 def test_op7_odd_rows(spark):
