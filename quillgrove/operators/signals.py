@@ -232,7 +232,10 @@ def entities_of(text: str | None) -> dict[str, int]:
     """Runs of up to three capitalised words with counts; a lone word that opens a sentence isn't one."""
     out: dict[str, int] = {}
     for m in _NAME.finditer(text or ""):
-        opens = not text[: m.start()].rstrip() or text[: m.start()].rstrip()[-1] in ".!?\n"
+        before = m.start()
+        while before and text[before - 1].isspace():
+            before -= 1
+        opens = before == 0 or text[before - 1] in ".!?\n"
         name = m[0]
         if opens:
             name = " ".join(name.split()[1:])

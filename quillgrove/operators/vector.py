@@ -36,12 +36,14 @@ def nearest(rows: DataFrame, query: list[float], k: int) -> DataFrame:
     return rows.select("id", dot("unit", literal).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """The rows' ids and vectors in blocks of about ``BLOCK`` rows, one row each."""
+def _blocks(rows: DataFrame, of: str | None = None) -> DataFrame:
+    """The rows' ids and vectors in blocks of about ``BLOCK`` rows, one row each; with ``groups`` if a column names them."""
     n = max(1, -(-rows.count() // BLOCK))
-    numbered = rows.select("id", "unit", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"))
-    packed = numbered.groupBy("block").agg(F.collect_list(F.struct("id", "unit")).alias("rows"))
-    return packed.select("block", F.transform("rows", lambda r: r["id"]).alias("ids"), F.flatten(F.transform("rows", lambda r: r["unit"])).alias("flat"))
+    group = [F.xxhash64(of).alias("group")] if of else []
+    numbered = rows.select("id", "unit", *group, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"))
+    packed = numbered.groupBy("block").agg(F.collect_list(F.struct("id", "unit", *(["group"] if of else []))).alias("rows"))
+    groups = [F.transform("rows", lambda r: r["group"]).alias("groups")] if of else []
+    return packed.select("block", F.transform("rows", lambda r: r["id"]).alias("ids"), F.flatten(F.transform("rows", lambda r: r["unit"])).alias("flat"), *groups)
 
 
 def similar_pairs(rows: DataFrame, threshold: float) -> DataFrame:
@@ -72,16 +74,18 @@ def similar_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     return left.join(right, "j").mapInArrow(compare, "a long, b long, score double")
 
 
-def neighbours(rows: DataFrame, queries: DataFrame, k: int, least: float = -1.0) -> DataFrame:
+def neighbours(rows: DataFrame, queries: DataFrame, k: int, least: float = -1.0, of: str | None = None) -> DataFrame:
     """The k nearest rows of each query row (itself left out): blocks of queries against blocks of rows.
 
+    With ``of``, only rows that equal the query there.
     A task holds two blocks; each pair of blocks gives at most k rows a query, which are merged by query.
     """
-    ask, against = materialize(_blocks(queries), "query-blocks"), materialize(_blocks(rows), "vector-blocks")
+    ask, against = materialize(_blocks(queries, of), "query-blocks"), materialize(_blocks(rows, of), "vector-blocks")
     n = against.agg(F.max("block")).first()[0]
     if n is None:
         return rows.sparkSession.createDataFrame([], "id long, other long, score double, nth int")
-    left = ask.select(F.col("ids").alias("qids"), F.col("flat").alias("qflat"), F.explode(F.sequence(F.lit(0), F.lit(n))).alias("block"))
+    groups = ["groups"] if of else []
+    left = ask.select(F.col("ids").alias("qids"), F.col("flat").alias("qflat"), *(F.col(g).alias("qgroups") for g in groups), F.explode(F.sequence(F.lit(0), F.lit(n))).alias("block"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,12 +93,14 @@ def neighbours(rows: DataFrame, queries: DataFrame, k: int, least: float = -1.0)
                 a, q = np.array(row["ids"]), np.array(row["qids"])
                 scores = np.array(row["qflat"]).reshape(len(q), -1) @ np.array(row["flat"]).reshape(len(a), -1).T
                 scores[(q[:, None] == a[None, :]) | (scores < least)] = -np.inf
+                if of:
+                    scores[np.array(row["qgroups"])[:, None] != np.array(row["groups"])] = -np.inf
                 order = np.lexsort((np.broadcast_to(a, scores.shape), -scores), axis=1)[:, :k]
                 best = np.take_along_axis(scores, order, axis=1)
                 i, j = np.nonzero(best > -np.inf)
                 yield pa.RecordBatch.from_arrays([pa.array(q[i]), pa.array(a[order[i, j]]), pa.array(best[i, j])], ["id", "other", "score"])
 
-    found = left.join(against, "block").select("ids", "flat", "qids", "qflat").mapInArrow(search, "id long, other long, score double")
+    found = left.join(against, "block").select("ids", "flat", "qids", "qflat", *groups, *(f"q{g}" for g in groups)).mapInArrow(search, "id long, other long, score double")
     nth = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))
     return found.withColumn("nth", nth).where(F.col("nth") <= k)
 
