@@ -46,13 +46,17 @@ def sections(text: Column) -> Column:
     return F.filter(F.array(*(F.when(F.contains(low, F.lit(phrase)), name) for name, phrase in SECTIONS.items())), lambda x: x.isNotNull())
 
 
+#: The edge of an ASCII word, on whatever runtime.
+EDGE = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+
 def query_signals(q: Column) -> list[Column]:
     """Error code, numbers, wishes and technical terms of a query."""
     low = F.lower(F.trim(q))
     code = F.coalesce(
-        *(F.nullif(F.regexp_extract(low, p, 1), F.lit("")) for p in (r"\b(?:errore|codice|code|fault|warning|avviso)\s*[:#-]?\s*0?([0-9]{1,3})\b", r"\bf\s*0?([0-9]{1,3})\b"))
+        *(F.nullif(F.regexp_extract(low, p, 1), F.lit("")) for p in (rf"{EDGE}(?:errore|codice|code|fault|warning|avviso)\s*[:#-]?\s*0?([0-9]{{1,3}}){EDGE}", rf"{EDGE}f\s*0?([0-9]{{1,3}}){EDGE}"))
     )
-    numbers = F.array_distinct(F.transform(F.regexp_extract_all(low, F.lit(r"\b([0-9]{1,3})\b"), 1), lambda x: x.cast("int").cast("string")))
+    numbers = F.array_distinct(F.transform(F.regexp_extract_all(low, F.lit(rf"{EDGE}([0-9]{{1,3}}){EDGE}"), 1), lambda x: x.cast("int").cast("string")))
     wants = {"table": "tabella|table|riga|colonna|manuale|pdf", "troubleshooting": "risoluzione|troubleshooting|causa|perché|motivo|guasto", "warnings": "warning|avviso|allarme"}
     terms = F.filter(F.array(*(F.when(F.contains(low, F.lit(t)), t) for t in TERMS)), lambda x: x.isNotNull())
     return [
@@ -66,15 +70,15 @@ def invariants(text: Column) -> list[Column]:
     whole = lambda p: F.regexp_extract_all(text, F.lit(p), 0)
     phrases = F.slice(F.filter(F.split(text, "[.!?]+", -1), lambda s: F.size(F.split(s, " ", -1)).between(4, 9)), 1, 3)
     return [
-        F.array_join(whole(r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}"), ",").alias("dates"), F.size(whole(r"\b[A-Z][a-z]+(?:[ \t\n\r\f]+[A-Z][a-z]+)*\b")).cast("long").alias("n_names"),
-        F.size(whole(r"\b[0-9]+\b")).cast("long").alias("n_numbers"), F.array_join(phrases, "|").alias("key_phrases"),
+        F.array_join(whole(r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{2,4}"), ",").alias("dates"), F.size(whole(rf"{EDGE}[A-Z][a-z]+(?:[ \t\n\r\f]+[A-Z][a-z]+)*{EDGE}")).cast("long").alias("n_names"),
+        F.size(whole(rf"{EDGE}[0-9]+{EDGE}")).cast("long").alias("n_numbers"), F.array_join(phrases, "|").alias("key_phrases"),
     ]
 
 
 def news_query(text: Column, names: tuple[str, ...] = ()) -> Column:
     """A request for news without the words that only ask for it; ``names``: what the assistant is called."""
     out = F.coalesce(text, F.lit(""))
-    for pattern in ("|".join(("ciao", *names)), "news|notizie|aggiornami", "ricerca|cerca|trova", r"\b(sul|sulla|su|del|della|dei|delle)\b"):
+    for pattern in ("|".join(("ciao", *names)), "news|notizie|aggiornami", "ricerca|cerca|trova", rf"{EDGE}(sul|sulla|su|del|della|dei|delle){EDGE}"):
         out = F.regexp_replace(out, f"(?i){pattern}" if "(" in pattern else f"(?i)(?:{pattern})", "")
     return F.trim(F.regexp_replace(out, "[ \\t\\n\\r\\f]+", " "))
 

@@ -112,14 +112,19 @@ def world_state(spark: SparkSession, sf: str) -> DataFrame:
     return P.place_states(events, F.lit(NOW).cast("timestamp")).select("user_id", "place", "state", "n", "stale")
 
 
+_DUE = ["domani alle 11", "chiamare venerdì", "ogni giorno alle 11", "ogni 3 ore", "niente", ""]
+
+
 @query(
-    """SELECT * FROM (VALUES (1, 1704279600, 0, NULL), (2, 1704445200, 0, NULL), (3, 1704279600, 1, 'days'), (4, 1704204000, 3, 'hours')) t(id, due_s, every, unit)"""
+    """SELECT conv_id, turn, due_s, every, unit FROM conversations JOIN (VALUES (0, 1704279600, 0, NULL), (1, 1704445200, 0, NULL), (2, 1704279600, 1, 'days'), (3, 1704204000, 3, 'hours')) t(k, due_s, every, unit) ON k = (conv_id + turn) % 6"""
 )
 def due_dates(spark: SparkSession, sf: str) -> DataFrame:
-    texts = [(1, "domani alle 11"), (2, "chiamare venerdì"), (3, "ogni giorno alle 11"), (4, "ogni 3 ore"), (5, "niente"), (6, None)]
-    rows = spark.createDataFrame(texts, "id int, text string")
-    found = P.due_dates(rows.withColumn("id", F.col("id").cast("long")), datetime(2024, 1, 2, 11, 0))
-    return found.select(F.col("id").cast("int").alias("id"), F.unix_timestamp("due").cast("int").alias("due_s"), F.coalesce(F.col("every"), F.lit(0)).cast("int").alias("every"), "unit")
+    """Reminders said before the turns' texts; two of six say no time."""
+    said = F.element_at(F.array(*map(F.lit, _DUE)), ((F.col("conv_id") + F.col("turn")) % 6 + 1).cast("int"))
+    rows = read_table(spark, sf, "conversations").select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("id"), F.concat(said, F.lit(" "), F.coalesce("text", F.lit(""))).alias("text"))
+    found = P.due_dates(rows, datetime(2024, 1, 2, 11, 0))
+    key = [F.floor(F.col("id") / 1_000_000).alias("conv_id"), (F.col("id") % 1_000_000).alias("turn")]
+    return found.select(*key, F.unix_timestamp("due").cast("int").alias("due_s"), F.coalesce(F.col("every"), F.lit(0)).cast("int").alias("every"), "unit")
 
 
 @query(

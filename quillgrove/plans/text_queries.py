@@ -161,16 +161,16 @@ _PHRASES = "['Codice di riferimento GUASTI', 'tabella e appendice', 'display lcd
 
 
 @query(
-    f"""WITH s AS (SELECT doc_id AS id, lower({_PHRASES}[doc_id % 5 + 1] || ' ' || substring(text, 1, 100)) AS t FROM documents)
+    f"""WITH s AS (SELECT doc_id AS id, lower({_PHRASES}[doc_id % 5 + 1] || ' ' || coalesce(text, '')) AS t FROM documents)
 SELECT id, coalesce(list_aggregate(list_filter([{', '.join(f"CASE WHEN contains(t, '{p}') THEN '{n}' END" for n, p in M.SECTIONS.items())}], lambda x: x IS NOT NULL), 'string_agg', ','), '') AS sections FROM s"""
 )
 def manual_sections(spark: SparkSession, sf: str) -> DataFrame:
     phrases = "array" + _PHRASES.replace("[", "(").replace("]", ")")
-    rows = read_table(spark, sf, "documents").selectExpr("doc_id AS id", f"element_at({phrases}, cast(doc_id % 5 + 1 AS int)) || ' ' || substring(text, 1, 100) AS t")
+    rows = read_table(spark, sf, "documents").selectExpr("doc_id AS id", f"element_at({phrases}, cast(doc_id % 5 + 1 AS int)) || ' ' || coalesce(text, '') AS t")
     return rows.select("id", F.array_join(M.sections(F.col("t")), ",").alias("sections"))
 
 
-#: Requests that stand for what users write; the conversations hold invented words only.
+#: Requests put before the turns' texts, which hold invented words only.
 REQUESTS = [
     "Errore: 07 sul bms, tensione 230 e 24", "che significa il codice F 31?", "mostra la tabella del manuale", "perché scatta l'allarme warning 12", "ciao notizie sul clima",
     "Cerca news della partita di oggi, quando inizia", "articoli pubmed sulla memoria di lavoro?", "fammi una ricerca scientifica su sonno e umore.", "cerca su pubmed caffeina", "pubmed",
@@ -178,22 +178,25 @@ REQUESTS = [
 ]
 
 
-def _request_rows(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(REQUESTS)), "id long, q string")
+_REQUEST = f"element_at(array({', '.join(repr(x) if chr(39) not in x else chr(34) + x + chr(34) for x in REQUESTS)}), CAST((conv_id + turn) % {len(REQUESTS)} + 1 AS int)) || ' ' || coalesce(text, '')"
 
 
-REQ = "req AS (SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, '" + x.replace("'", "''") + "')" for i, x in enumerate(REQUESTS)) + ") r(id, q))"
+def _request_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return read_table(spark, sf, "conversations").selectExpr("conv_id", "turn", f"{_REQUEST} AS q")
+
+
+REQ = "req AS (SELECT conv_id, turn, [" + ", ".join("'" + x.replace("'", "''") + "'" for x in REQUESTS) + f"][(conv_id + turn) % {len(REQUESTS)} + 1] || ' ' || coalesce(text, '') AS q FROM conversations)"
 
 
 @query(
-    rf"""WITH {REQ}, l AS (SELECT id, lower(trim(q)) AS q FROM req)
-SELECT id, coalesce(nullif(regexp_extract(q, '\b(?:errore|codice|code|fault|warning|avviso)\s*[:#-]?\s*0?([0-9]{{1,3}})\b', 1), ''), nullif(regexp_extract(q, '\bf\s*0?([0-9]{{1,3}})\b', 1), ''))::INT AS error_code,
+    rf"""WITH {REQ}, l AS (SELECT conv_id, turn, lower(trim(q)) AS q FROM req)
+SELECT conv_id, turn, coalesce(nullif(regexp_extract(q, '\b(?:errore|codice|code|fault|warning|avviso)\s*[:#-]?\s*0?([0-9]{{1,3}})\b', 1), ''), nullif(regexp_extract(q, '\bf\s*0?([0-9]{{1,3}})\b', 1), ''))::INT AS error_code,
 coalesce(list_aggregate((SELECT list(x ORDER BY i) FROM (SELECT x, min(i) AS i FROM (SELECT unnest(list_transform(regexp_extract_all(q, '\b([0-9]{{1,3}})\b', 1), lambda x: x::INT::VARCHAR)) AS x, generate_subscripts(regexp_extract_all(q, '\b([0-9]{{1,3}})\b', 1), 1) AS i) GROUP BY x)), 'string_agg', ','), '') AS numbers,
 regexp_matches(q, 'tabella|table|riga|colonna|manuale|pdf') AS wants_table, regexp_matches(q, 'risoluzione|troubleshooting|causa|perché|motivo|guasto') AS wants_troubleshooting, regexp_matches(q, 'warning|avviso|allarme') AS wants_warnings,
 coalesce(list_aggregate(list_filter([{', '.join(f"CASE WHEN contains(q, '{t}') THEN '{t}' END" for t in M.TERMS)}], lambda x: x IS NOT NULL), 'string_agg', ','), '') AS terms FROM l"""
 )
 def query_signals(spark: SparkSession, sf: str) -> DataFrame:
-    return _request_rows(spark).select("id", *M.query_signals(F.col("q")))
+    return _request_rows(spark, sf).select("conv_id", "turn", *M.query_signals(F.col("q")))
 
 
 _WORDS = r"'[ \t\n\r\f]+'"
@@ -202,23 +205,22 @@ _WORDS = r"'[ \t\n\r\f]+'"
 @query(
     rf"""WITH s AS (SELECT doc_id AS id, '3/4/2021 Anna Maria. ' || text AS t FROM documents), k AS (SELECT *, list_slice(list_filter(regexp_split_to_array(t, '[.!?]+'), lambda x: len(string_split(x, ' ')) BETWEEN 4 AND 9), 1, 3) AS p FROM s)
 SELECT id, coalesce(list_aggregate(regexp_extract_all(t, '[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{2,4}}'), 'string_agg', ','), '') AS dates,
-len(regexp_extract_all(t, '\b[A-Z][a-z]+(?:[ \t\n\r\f]+[A-Z][a-z]+)*\b')) AS n_names, len(regexp_extract_all(t, '\b[0-9]+\b')) AS n_numbers, coalesce(list_aggregate(p, 'string_agg', '|'), '') AS key_phrases FROM k WHERE id % 2 = 0 AND regexp_full_match(t, '[\x00-\x7f]*')"""
+len(regexp_extract_all(t, '\b[A-Z][a-z]+(?:[ \t\n\r\f]+[A-Z][a-z]+)*\b')) AS n_names, len(regexp_extract_all(t, '\b[0-9]+\b')) AS n_numbers, coalesce(list_aggregate(p, 'string_agg', '|'), '') AS key_phrases FROM k"""
 )
 def text_invariants(spark: SparkSession, sf: str) -> DataFrame:
-    """Over texts of ASCII letters: what ends a word beside other letters differs between engines."""
-    rows = read_table(spark, sf, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.concat(F.lit("3/4/2021 Anna Maria. "), "text").alias("t"))
-    return rows.where(F.rlike("t", F.lit(r"^[\x00-\x7f]*\z"))).select("id", *M.invariants(F.col("t")))
+    rows = read_table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("3/4/2021 Anna Maria. "), "text").alias("t"))
+    return rows.select("id", *M.invariants(F.col("t")))
 
 
 @query(
-    rf"""WITH {REQ}, c AS (SELECT id, q, regexp_replace(regexp_replace(regexp_replace(regexp_replace(q, '(?i)(?:ciao|helper)', '', 'g'), '(?i)(?:news|notizie|aggiornami)', '', 'g'), '(?i)(?:ricerca|cerca|trova)', '', 'g'), '(?i)\b(sul|sulla|su|del|della|dei|delle)\b', '', 'g') AS x FROM req)
-SELECT id, trim(regexp_replace(x, {_WORDS}, ' ', 'g')) AS query, regexp_matches(q, '(?i)prossima|quando|orario|calendario|partita|match|fixture|schedule|dove vedere|a che ora') AS event FROM c"""
+    rf"""WITH {REQ}, c AS (SELECT conv_id, turn, q, regexp_replace(regexp_replace(regexp_replace(regexp_replace(q, '(?i)(?:ciao|helper)', '', 'g'), '(?i)(?:news|notizie|aggiornami)', '', 'g'), '(?i)(?:ricerca|cerca|trova)', '', 'g'), '(?i)\b(sul|sulla|su|del|della|dei|delle)\b', '', 'g') AS x FROM req)
+SELECT conv_id, turn, trim(regexp_replace(x, {_WORDS}, ' ', 'g')) AS query, regexp_matches(q, '(?i)prossima|quando|orario|calendario|partita|match|fixture|schedule|dove vedere|a che ora') AS event FROM c"""
 )
 def news_queries(spark: SparkSession, sf: str) -> DataFrame:
-    return _request_rows(spark).select("id", M.news_query(F.col("q"), ("helper",)).alias("query"), M.asks_for_event(F.col("q")).alias("event"))
+    return _request_rows(spark, sf).select("conv_id", "turn", M.news_query(F.col("q"), ("helper",)).alias("query"), M.asks_for_event(F.col("q")).alias("event"))
 
 
-_OPENING = "CASE doc_id % 4 WHEN 0 THEN 'Here is **all**:' || chr(10) || chr(10) WHEN 1 THEN 'ecco qui: ' WHEN 2 THEN 'I identified two.' || chr(10) ELSE '' END || substring(text, 1, 300) || '  ' || chr(10) || chr(10) || chr(10) || chr(10) || 'end **now** '"
+_OPENING = "CASE doc_id % 4 WHEN 0 THEN 'Here is **all**:' || chr(10) || chr(10) WHEN 1 THEN 'ecco qui: ' WHEN 2 THEN 'I identified two.' || chr(10) ELSE '' END || coalesce(text, '') || '  ' || chr(10) || chr(10) || chr(10) || chr(10) || 'end **now** '"
 
 
 @query(
@@ -234,17 +236,17 @@ def cleaned_answers(spark: SparkSession, sf: str) -> DataFrame:
 _TOPICS = ", ".join(f"nullif(regexp_replace(regexp_extract(trim(q), '{p}', 1), '[?.!,;:]+$', ''), '')" for p in M.TOPIC)
 
 
-@query(f"WITH {REQ}, t AS (SELECT id, q, trim(coalesce({_TOPICS})) AS t FROM req) SELECT id, CASE WHEN (contains(lower(q), 'pubmed') OR contains(lower(q), 'ricerca scientifica')) AND length(t) >= 2 THEN t END AS topic FROM t")
+@query(f"WITH {REQ}, t AS (SELECT conv_id, turn, q, trim(coalesce({_TOPICS})) AS t FROM req) SELECT conv_id, turn, CASE WHEN (contains(lower(q), 'pubmed') OR contains(lower(q), 'ricerca scientifica')) AND length(t) >= 2 THEN t END AS topic FROM t")
 def topic_queries(spark: SparkSession, sf: str) -> DataFrame:
-    return _request_rows(spark).select("id", M.topic_query(F.col("q")).alias("topic"))
+    return _request_rows(spark, sf).select("conv_id", "turn", M.topic_query(F.col("q")).alias("topic"))
 
 
 @query(
-    rf"""WITH {REQ}, r AS (SELECT id, q, trim(regexp_extract(q, '(?is)^\s*(?:{'|'.join(M.FULL_HISTORY)})(?:\s*[:,-]?\s+)(.*)$', 1)) AS r FROM req)
-SELECT id, CASE WHEN r <> '' THEN r ELSE q END AS query, CASE WHEN r <> '' THEN 'full-history' ELSE 'default' END AS mode FROM r"""
+    rf"""WITH {REQ}, r AS (SELECT conv_id, turn, q, trim(regexp_extract(q, '(?is)^\s*(?:{'|'.join(M.FULL_HISTORY)})(?:\s*[:,-]?\s+)(.*)$', 1)) AS r FROM req)
+SELECT conv_id, turn, CASE WHEN r <> '' THEN r ELSE q END AS query, CASE WHEN r <> '' THEN 'full-history' ELSE 'default' END AS mode FROM r"""
 )
 def recall_requests(spark: SparkSession, sf: str) -> DataFrame:
-    return _request_rows(spark).select("id", *M.recall_request(F.col("q")))
+    return _request_rows(spark, sf).select("conv_id", "turn", *M.recall_request(F.col("q")))
 
 
 @query(
@@ -273,12 +275,12 @@ def source_imports(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT doc_id AS id, coalesce(substring(text, 1, 120), '') AS t, source || ' ' || doc_id || '@x' AS u FROM documents)
+    """WITH s AS (SELECT doc_id AS id, coalesce(text, '') AS t, source || ' ' || doc_id || '@x' AS u FROM documents)
 SELECT id, regexp_replace(regexp_replace(lower(t), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug, regexp_replace(u, '[^A-Za-z0-9_-]', '_', 'g') AS safe_user, CASE WHEN length(t) > 60 THEN substring(t, 1, 57) || '...' ELSE t END AS short FROM s"""
 )
 def text_names(spark: SparkSession, sf: str) -> DataFrame:
     """Slugs, names of users that are safe in paths, and texts cut with an ellipsis."""
-    rows = read_table(spark, sf, "documents").selectExpr("doc_id AS id", "coalesce(substring(text, 1, 120), '') AS t", "source || ' ' || doc_id || '@x' AS u")
+    rows = read_table(spark, sf, "documents").selectExpr("doc_id AS id", "coalesce(text, '') AS t", "source || ' ' || doc_id || '@x' AS u")
     return rows.select("id", X.slug(F.col("t")).alias("slug"), X.safe_user(F.col("u")).alias("safe_user"), X.shortened(F.col("t")).alias("short"))
 
 
