@@ -5,6 +5,8 @@ Fingerprints of whole tables are sums of row hashes: partial aggregates, whateve
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,19 +33,23 @@ def classify_hits(hits: DataFrame, identities: DataFrame, threshold: float) -> D
 
 
 def row_hash(*columns: str) -> Column:
-    """48 bits of the columns' SHA-256: sums of over a billion fit a long."""
+    """48 bits of the columns' SHA-256; a long holds sums of 32,768 of them, so :func:`identity_snapshot` adds decimals."""
     text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
     return F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("long")
 
 
 def identity_snapshot(identities: DataFrame) -> DataFrame:
-    """One row: counts, whether points and records are unique and of one model, and the fingerprint of all rows."""
+    """One row: counts, whether points and records are unique and of one model, and the fingerprint of all rows.
+
+    The fingerprint is the sum of the rows' hashes modulo 2^63, whatever their number.
+    """
+    total = F.sum(row_hash("point_id", "memory_id", "content_hash", "model", "revision").cast("decimal(18,0)"))
     return identities.agg(
         F.count("*").alias("n"),
         (F.count("*") == F.count_distinct("point_id")).alias("unique_points"),
         (F.count("*") == F.count_distinct("memory_id")).alias("unique_records"),
         (F.count_distinct("model", "revision") <= 1).alias("one_model"),
-        F.sum(row_hash("point_id", "memory_id", "content_hash", "model", "revision")).alias("fingerprint"),
+        (total % F.lit(Decimal(2**63))).cast("long").alias("fingerprint"),
     )
 
 

@@ -1,10 +1,11 @@
 """Steps that must not grow faster than what they read, against plain forms of the same results."""
 
+import hashlib
 import itertools
 import random
 import re
 
-from quillgrove.operators import dynamics
+from quillgrove.operators import dynamics, identities
 
 
 def plan_of(df):
@@ -26,3 +27,12 @@ def test_co_echo_pairs_meet_as_blocks(spark):
     physical = plan_of(pairs).split("== Physical Plan ==")[1]
     assert not re.search("Aggregate|Exchange|Join", physical[: physical.index("Generate")])
     assert dynamics.co_echo_pairs(states.limit(0), 2).count() == 0
+
+
+def test_identity_snapshot_of_many_rows(spark):
+    rows = spark.range(100_000).selectExpr("'p' || id AS point_id", "id AS memory_id", "'h' || id AS content_hash", "'m' AS model", "'r' AS revision")
+    got = identities.identity_snapshot(rows).first()
+    texts = (f"p{i}|{i}|h{i}|m|r" for i in range(100_000))
+    total = sum(int(hashlib.sha256(t.encode()).hexdigest()[:12], 16) for t in texts)
+    assert total >= 2**63  # more than a long holds
+    assert tuple(got) == (100_000, True, True, True, total % 2**63)
