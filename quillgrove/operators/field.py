@@ -23,8 +23,14 @@ def temperature(rows: DataFrame, limit: float = 0.3) -> DataFrame:
 
 
 def frozen_decay(rows: DataFrame, gamma: float, threshold: float, factor: float) -> DataFrame:
-    """Per user the decay: reduced where the mean activation lies below the threshold."""
-    out = rows.groupBy("user_id").agg(F.avg("activation").alias("mean"))
+    """Per user the decay: reduced where the mean activation lies below the threshold.
+
+    The sum is taken in decimals, so that a mean at the threshold doesn't hang on the order of the rows (values
+    that no decimal of 18 places holds, such as NaN, are averaged as they are).
+    """
+    exact = F.expr("try_cast(activation AS decimal(28, 18))")
+    mean = F.when(F.count(exact) == F.count("activation"), F.sum(exact).cast("double") / F.nullif(F.count(exact), F.lit(0))).otherwise(F.avg("activation"))
+    out = rows.groupBy("user_id").agg(mean.alias("mean"))
     return out.withColumn("gamma", F.when(F.col("mean") < threshold, gamma * factor).otherwise(gamma))
 
 

@@ -5,7 +5,7 @@ import itertools
 import random
 import re
 
-from quillgrove.operators import dynamics, identities
+from quillgrove.operators import dynamics, field, identities
 
 
 def plan_of(df):
@@ -36,3 +36,9 @@ def test_identity_snapshot_of_many_rows(spark):
     total = sum(int(hashlib.sha256(t.encode()).hexdigest()[:12], 16) for t in texts)
     assert total >= 2**63  # more than a long holds
     assert tuple(got) == (100_000, True, True, True, total % 2**63)
+
+
+def test_frozen_decay_at_the_threshold(spark):
+    rows = spark.createDataFrame([(1, 0.1)] * 10 + [(2, 0.1)] * 9 + [(2, 0.09), (3, float("nan")), (4, None)], "user_id long, activation double").coalesce(1)
+    got = {r.user_id: r.gamma for r in field.frozen_decay(rows, 0.98, 0.1, 0.5).collect()}  # ten times 0.1 adds up to 0.9999999999999999
+    assert got == {1: 0.98, 2: 0.49, 3: 0.98, 4: 0.98}
