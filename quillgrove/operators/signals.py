@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillgrove.functions import activation as A
 from quillgrove.functions import text as X
+from quillgrove.operators.overlap_search import best_overlaps, millionths
 from quillgrove.session import discard, materialize
 
 
@@ -42,17 +43,22 @@ def search_articles(rows: DataFrame, words: list[str], least_year: int, limit: i
 def related(new: DataFrame, rows: DataFrame, least: float = 0.25, k: int = 3) -> DataFrame:
     """The k rows most related to each new row by Jaccard similarity of their tokens.
 
-    Candidates come from an inverted index restricted to the new rows' tokens; the
-    overlap is counted by aggregation, so no pair of rows is compared in full.
+    Overlaps are counted for blocks of new rows and rows (:mod:`overlap_search`), so nothing is made per pair and token.
     """
-    token_set = lambda df: df.select("id", X.index_tokens(F.col("text")).alias("tokens"))
-    ours, theirs = token_set(new), token_set(rows)
-    left = ours.select(F.col("id").alias("new_id"), F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    right = theirs.select("id", F.size("tokens").alias("m"), F.explode("tokens").alias("token"))
-    shared = left.join(right, "token").where("new_id <> id").groupBy("new_id", "id", "n", "m").agg(F.count("*").alias("shared"))
-    scored = shared.withColumn("score", F.round(F.col("shared") / (F.col("n") + F.col("m") - F.col("shared")), 6)).where(F.col("score") >= least)
-    nth = F.row_number().over(Window.partitionBy("new_id").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("nth", nth).where(F.col("nth") <= k).select("new_id", "id", "score")
+
+    def token_set(df: DataFrame) -> DataFrame:
+        tokens = F.coalesce(X.index_tokens(F.col("text")), F.array().cast("array<string>"))
+        return df.select("id", F.lit(0).alias("order"), tokens.alias("tokens")).withColumn("n", F.size("tokens"))
+
+    def rough(c: dict, r: dict, q: dict) -> np.ndarray:
+        about = c["tokens"] / np.maximum(1, r["n"] + q["n"] - c["tokens"]) * 1e6
+        return np.where((c["tokens"] > 0) & (about >= least * 1e6 - 4), about, -1)
+
+    def exact(c: dict, r: dict, q: dict) -> np.ndarray:
+        score = millionths(c["tokens"], r["n"] + q["n"] - c["tokens"])
+        return np.where(score / 1e6 >= least, score, -1)
+
+    return best_overlaps(token_set(new), token_set(rows), ["tokens"], ["n"], rough, exact, k)
 
 
 def related_by_signals(new: DataFrame, rows: DataFrame, k: int = 3, near: float = 0.25, near_long: float = 0.18, long_tokens: int = 12) -> DataFrame:
@@ -64,28 +70,32 @@ def related_by_signals(new: DataFrame, rows: DataFrame, k: int = 3, near: float
     many tokens) isn't related.  Where either row is temporary, only a shared entity
     relates them.  Of equal scores the latest counts first, then the smallest id.
 
-    One inverted index of all three kinds: overlaps are counted by aggregation.  Null
+    Overlaps of all three kinds are counted for blocks of new rows and rows (:mod:`overlap_search`).  Null
     lists are empty, a null id is left out, repeated entries of a list count once.
     """
-    kinds = {"token": "tokens", "entity": "entities", "tag": "tags"}
-
-    def side(df: DataFrame, end: str) -> DataFrame:
-        lists = {c: F.coalesce(F.col(c), F.array().cast("array<string>")) for c in kinds.values()}
-        named = lambda kind, c: F.transform(F.array_distinct(lists[c]), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("key")))
-        keys = F.concat(*(named(kind, c) for kind, c in kinds.items()))
-        sizes = F.struct(F.size(lists["tokens"]).alias("n"), F.size(F.array_distinct(lists["tokens"])).alias("distinct"), F.coalesce("temporary", F.lit(False)).alias("temporary"), "ts")
-        return df.where("id IS NOT NULL").select(F.col("id").alias(f"id_{end}"), sizes.alias(end), F.explode(keys).alias("k")).select(f"id_{end}", end, "k.*")
-
-    count = lambda kind: F.count_if(F.col("kind") == kind).alias(kind)
-    pairs = side(new, "x").join(side(rows, "y"), ["kind", "key"]).where("id_x <> id_y").groupBy("id_x", "id_y", "x", "y").agg(*map(count, kinds))
-    alike = F.col("token") / F.greatest(F.lit(1), F.col("x.distinct") + F.col("y.distinct") - F.col("token"))
-    entity, tags = F.col("entity") > 0, F.col("tag") >= 2
-    similar = alike >= F.when(F.greatest("x.n", "y.n") >= long_tokens, near_long).otherwise(near)
-    kept = pairs.where((entity | tags | similar) & (entity | ~(F.col("x.temporary") | F.col("y.temporary"))))
-    score = F.round(F.when(entity, 3).otherwise(0) + F.when(tags, 2).otherwise(0) + alike, 6)
-    scored = kept.select(F.col("id_x").alias("new_id"), F.col("id_y").alias("id"), F.col("y.ts").alias("ts"), score.alias("score"))
-    nth = F.row_number().over(Window.partitionBy("new_id").orderBy(F.desc("score"), F.desc_nulls_last("ts"), "id"))
-    return scored.withColumn("nth", nth).where(F.col("nth") <= k).select("new_id", "id", "score")
+
+    def side(df: DataFrame) -> DataFrame:
+        lists = {c: F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("tokens", "entities", "tags")}
+        sets = {c: F.array_distinct(x) for c, x in lists.items()}
+        order = F.unix_micros(F.col("ts").cast("timestamp")) if dict(df.dtypes)["ts"].startswith(("timestamp", "date")) else F.col("ts")
+        facts = {"n": F.size(lists["tokens"]), "distinct": F.size(sets["tokens"]), "temporary": F.coalesce("temporary", F.lit(False)).cast("int")}
+        return df.select("id", order.alias("order"), *(x.alias(c) for c, x in (sets | facts).items()))
+
+    def parts(c: dict, r: dict, q: dict) -> tuple[np.ndarray, ...]:
+        union = np.maximum(1, r["distinct"] + q["distinct"] - c["tokens"])
+        return union, c["entities"] > 0, c["tags"] >= 2, np.where(np.maximum(r["n"], q["n"]) >= long_tokens, near_long, near), (r["temporary"] | q["temporary"]) == 0
+
+    def rough(c: dict, r: dict, q: dict) -> np.ndarray:
+        union, entity, tags, limit, lasting = parts(c, r, q)
+        alike = c["tokens"] / union
+        return np.where(entity | ((tags | (alike >= limit - 4e-6)) & lasting), entity * 3e6 + tags * 2e6 + alike * 1e6, -1)
+
+    def exact(c: dict, r: dict, q: dict) -> np.ndarray:
+        union, entity, tags, limit, lasting = parts(c, r, q)
+        kept = entity | ((tags | (c["tokens"] / union >= limit)) & lasting)
+        return np.where(kept & ((c["tokens"] > 0) | entity | (c["tags"] > 0)), entity * 3_000_000 + tags * 2_000_000 + millionths(c["tokens"], union), -1)
+
+    return best_overlaps(side(new), side(rows), ["tokens", "entities", "tags"], ["n", "distinct", "temporary"], rough, exact, k)
 
 
 def repeated_groups(rows: DataFrame, pairs: DataFrame, least: int = 3, days: int = 30) -> DataFrame:

@@ -1,11 +1,14 @@
 """Steps that must not grow faster than what they read, against plain forms of the same results."""
 
+import functools
 import hashlib
 import itertools
 import random
 import re
 
-from quillgrove.operators import dynamics, field, identities
+import pytest
+
+from quillgrove.operators import dynamics, field, identities, overlap_search, signals
 
 
 def plan_of(df):
@@ -42,3 +45,22 @@ def test_frozen_decay_at_the_threshold(spark):
     rows = spark.createDataFrame([(1, 0.1)] * 10 + [(2, 0.1)] * 9 + [(2, 0.09), (3, float("nan")), (4, None)], "user_id long, activation double").coalesce(1)
     got = {r.user_id: r.gamma for r in field.frozen_decay(rows, 0.98, 0.1, 0.5).collect()}  # ten times 0.1 adds up to 0.9999999999999999
     assert got == {1: 0.98, 2: 0.49, 3: 0.98, 4: 0.98}
+
+
+@pytest.mark.parametrize("chunk", [3, 100])
+def test_overlaps_are_counted_in_blocks(spark, chunk, monkeypatch):
+    monkeypatch.setattr(overlap_search, "CELLS", 40)
+    rng = random.Random(5)
+    words = [f"word{i}" for i in range(40)]
+    texts = {i: " ".join(rng.choices(words, [1 / (k + 1) for k in range(40)], k=rng.randrange(12))) for i in range(120)}
+    rows = spark.createDataFrame([*texts.items(), (None, "word1"), (900, None)], "id long, text string")
+    sets = {i: set(t.split()) for i, t in texts.items()}
+    wanted = set()
+    for q in range(0, 120, 10):
+        scored = [(-round(len(sets[q] & s) / len(sets[q] | s), 6), i) for i, s in sets.items() if i != q and sets[q] & s]
+        wanted |= {(q, i, -x) for x, i in sorted((x, i) for x, i in scored if -x >= 0.2)[:4]}
+    monkeypatch.setattr(signals, "best_overlaps", functools.partial(overlap_search.best_overlaps, chunk=chunk))
+    found = signals.related(rows.where("id % 10 = 0"), rows, 0.2, 4)
+    assert {tuple(r) for r in found.collect()} == wanted
+    # before: an inverted index joined by token, a row per pair and common token
+    assert "Join" not in plan_of(found)
