@@ -10,8 +10,8 @@ a shard's radius is the widest angle of its members.  A vector can only be simil
 member of a shard if its angle to the pivot is at most the radius and the threshold's
 angle together, so it asks those shards alone (of two shards the later asks the
 earlier).  Inside a shard, members whose own angle differs by more than the threshold's
-angle from all that ask are left out.  Shards are held in blocks, so a hot one is many
-tasks; no task holds more than two blocks.
+angle from all that ask are left out.  Shards are dealt in groups, and a vector moves once for each
+group that it asks (:mod:`pair_grid`); a task holds one group and a batch of those that ask.
 
 At most ``MOST_PIVOTS`` vectors come to the driver.  In spaces of many dimensions
 unrelated vectors lie at right angles of everything: bounds then spare nothing, and the
@@ -30,19 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgrove.operators.pair_grid import Arrays, compare_cells, groups_for, matrix, paired, tiles
 from quillgrove.session import materialize
 
 MOST_PIVOTS = 256
-#: Vectors aimed at per shard, and held in one block of it.
+#: Vectors aimed at per shard, and compared with those that ask at a time.
 SHARD_ROWS, BLOCK = 1024, 2048
 #: Angles may be off by rounding: arccos near 1 loses half of the digits.
 SLACK = 1e-6
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.array(column.to_pylist(), float).reshape(len(column), -1)
-
-
 def _angles(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(x @ y.T, -1.0, 1.0))
 
@@ -63,48 +60,43 @@ def _sharded(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            angles = _angles(_matrix(batch.column(1)), pivots)
+            angles = _angles(matrix(batch.column(1)), pivots)
             shard = angles.argmin(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard.astype(np.int32)), pa.array(angles[np.arange(len(shard)), shard])], ["id", "unit", "shard", "angle"])
 
     return materialize(rows.select("id", "unit").mapInArrow(assign, "id long, unit array<double>, shard int, angle double"), "pivot-shards")
 
 
-def _asking(members: DataFrame, pivots: np.ndarray, radius: np.ndarray, alpha: float) -> DataFrame:
-    """``id, unit, source, block, shard, angle``: members with every shard up to their own that may hold similar ones."""
+def _asking(members: DataFrame, pivots: np.ndarray, radius: np.ndarray, alpha: float, group: np.ndarray) -> DataFrame:
+    """``id, unit, shard, target``: members with every group that has a shard, up to their own, that may hold similar ones."""
+    groups = int(group.max()) + 1
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, angles = batch.column(2).to_numpy(), _angles(_matrix(batch.column(1)), pivots)
-            reach = (angles <= radius + alpha + SLACK) & (np.arange(len(pivots)) <= own[:, None])
-            who, shard = np.nonzero(reach)
-            kept = batch.select(["id", "unit", "source", "block"]).take(pa.array(who))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(shard.astype(np.int32)), pa.array(angles[who, shard])], ["id", "unit", "source", "block", "shard", "angle"])
+            own, angles = batch["shard"].to_numpy(), _angles(matrix(batch["unit"]), pivots)
+            reach = _reach(angles, radius, alpha, own)
+            who, target = np.nonzero(np.stack([reach[:, group == g].any(axis=1) for g in range(groups)], axis=1))
+            kept = batch.take(pa.array(who))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(target.astype(np.int32))], ["id", "unit", "shard", "target"])
 
-    wanted = members.select("id", "unit", F.col("shard").alias("source"), "block")
-    return wanted.mapInArrow(ask, "id long, unit array<double>, source int, block int, shard int, angle double")
+    return members.select("id", "unit", "shard").mapInArrow(ask, "id long, unit array<double>, shard int, target int")
 
 
-def _packed(rows: DataFrame, *keys: str) -> DataFrame:
-    """One row per key: ids, vectors end to end and angles."""
-    packed = rows.groupBy(*keys).agg(F.collect_list(F.struct("id", "unit", "angle")).alias("rows"))
-    parts = (F.transform("rows", lambda r: r["id"]).alias("ids"), F.flatten(F.transform("rows", lambda r: r["unit"])).alias("flat"), F.transform("rows", lambda r: r["angle"]).alias("angles"))
-    return packed.select(*keys, *parts)
+def _reach(angles: np.ndarray, radius: np.ndarray, alpha: float, own: np.ndarray) -> np.ndarray:
+    return (angles <= radius + alpha + SLACK) & (np.arange(len(radius)) <= own[:, None])
 
 
-def _prepared(rows: DataFrame, threshold: float, shard_rows: int) -> tuple[DataFrame, DataFrame] | None:
-    """(members, asking rows) of all shards; None without rows."""
+def _prepared(rows: DataFrame, threshold: float, shard_rows: int) -> tuple[DataFrame, np.ndarray, np.ndarray, float, int] | None:
+    """(members, pivots, radii, the threshold's angle, number of rows); None for fewer than two rows."""
     n = rows.count()
     if n < 2:
         return None
     pivots = choose_pivots(rows, min(MOST_PIVOTS, -(-n // shard_rows)))
     members = _sharded(rows, pivots)
-    found = {r.shard: (r.radius, r.n) for r in members.groupBy("shard").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect()}
+    found = {r.shard: r.radius for r in members.groupBy("shard").agg(F.max("angle").alias("radius")).collect()}
     # an empty shard (a pivot that equals another) is asked by none
-    radius = np.array([found.get(i, (-10.0, 0))[0] for i in range(len(pivots))])
-    blocks = F.array(*[F.lit(max(1, -(-found.get(i, (0, 0))[1] // BLOCK))) for i in range(len(pivots))])
-    members = members.withColumn("block", F.pmod(F.xxhash64("id"), F.element_at(blocks, F.col("shard") + 1)).cast("int"))
-    return members, _asking(members, pivots, radius, float(np.arccos(np.clip(threshold, -1.0, 1.0))))
+    radius = np.array([found.get(i, -10.0) for i in range(len(pivots))])
+    return members, pivots, radius, float(np.arccos(np.clip(threshold, -1.0, 1.0))), n
 
 
 def pivot_pairs(rows: DataFrame, threshold: float, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -112,25 +104,30 @@ def pivot_pairs(rows: DataFrame, threshold: float, shard_rows: int = SHARD_ROWS)
     prepared = _prepared(rows, threshold, shard_rows)
     if prepared is None:
         return rows.sparkSession.createDataFrame([], "a long, b long, score double")
-    members, asking = prepared
-    held = _packed(members, "shard", "block").select("shard", "ids", "flat", "angles")
-    asks = _packed(asking, "shard", "source", "block").select("shard", "source", *(F.col(c).alias(f"ask_{c}") for c in ("ids", "flat", "angles")))
-    alpha = float(np.arccos(np.clip(threshold, -1.0, 1.0))) + SLACK
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, asked_by = np.array(row["ids"]), np.array(row["ask_ids"])
-                x, y = np.array(row["ask_flat"]).reshape(len(asked_by), -1), np.array(row["flat"]).reshape(len(ids), -1)
-                ring, angles = np.array(row["ask_angles"]), np.array(row["angles"])
-                near = (angles >= ring.min() - alpha) & (angles <= ring.max() + alpha)
-                ids, scores = ids[near], x @ y[near].T
-                p, q = np.nonzero(scores >= threshold - 1e-12)
-                keep = asked_by[p] < ids[q] if row["shard"] == row["source"] else asked_by[p] != ids[q]
-                p, q = p[keep], q[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(asked_by[p], ids[q])), pa.array(np.maximum(asked_by[p], ids[q])), pa.array(scores[p, q])], ["a", "b", "score"])
-
-    return asks.join(held, "shard").mapInArrow(compare, "a long, b long, score double")
+    members, pivots, radius, alpha, n = prepared
+    # shards go by groups of a fixed number, so that a row moves once a group and not once a shard
+    groups = min(groups_for(n), len(pivots))
+    group = np.arange(len(pivots)) * groups // len(pivots)
+    of = F.array(*[F.lit(int(g)) for g in group])[F.col("shard")]
+    held = members.withColumns({"source": F.explode(F.sequence(of, F.lit(groups - 1))), "target": of}).select(F.lit(0).alias("side"), "id", "unit", "shard", "angle", "source", "target")
+    asks = _asking(members, pivots, radius, alpha, group).select(F.lit(1).alias("side"), "id", "unit", "shard", F.lit(0.0).alias("angle"), of.alias("source"), "target")
+    stream = held.union(asks).select((F.col("target") * groups + F.col("source")).alias("cell"), "side", "id", "unit", "shard", "angle")
+
+    def compare(held: Arrays, asks: Arrays) -> Iterator[pa.RecordBatch]:
+        angles = _angles(asks["unit"], pivots)
+        reach = _reach(angles, radius, alpha, asks["shard"])
+        for shard in np.unique(held["shard"]):
+            who = np.flatnonzero(reach[:, shard])
+            if not len(who):
+                continue
+            ring = angles[who, shard]
+            near = np.flatnonzero((held["shard"] == shard) & (held["angle"] >= ring.min() - alpha - SLACK) & (held["angle"] <= ring.max() + alpha + SLACK))
+            a, b, own = asks["id"][who], held["id"][near], asks["shard"][who] == shard
+            for p, q, score in tiles(asks["unit"][who], held["unit"][near], threshold, BLOCK):
+                keep = np.where(own[p], a[p] < b[q], a[p] != b[q])
+                yield paired(a[p][keep], b[q][keep], score[keep])
+
+    return compare_cells(stream, groups * (groups + 1) // 2, compare)
 
 
 def shard_report(rows: DataFrame, threshold: float, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -138,9 +135,10 @@ def shard_report(rows: DataFrame, threshold: float, shard_rows: int = SHARD_ROWS
     prepared = _prepared(rows, threshold, shard_rows)
     if prepared is None:
         return rows.sparkSession.createDataFrame([], "shard int, members long, asks long, compared long, all_pairs long")
-    members, asking = prepared
+    members, pivots, radius, alpha, n = prepared
+    # every shard a group of its own: one row for each that a member asks
+    asking = _asking(members, pivots, radius, alpha, np.arange(len(pivots))).toDF("id", "unit", "source", "shard")
     counted = asking.groupBy("shard").agg(F.count(F.when(F.col("source") != F.col("shard"), 1)).alias("asks"))
-    n = members.count()
     own = F.col("members") * (F.col("members") - 1) / 2
     joined = members.groupBy("shard").agg(F.count("*").alias("members")).join(counted, "shard")
     return joined.select("shard", "members", "asks", (F.col("asks") * F.col("members") + own).cast("long").alias("compared"), F.lit(n * (n - 1) // 2).alias("all_pairs"))

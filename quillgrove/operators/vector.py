@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quillgrove.operators.complete_link import complete_link_clusters  # noqa: F401
 from quillgrove.operators.components import connected_components
+from quillgrove.operators.pair_grid import all_pairs
 from quillgrove.session import materialize
 
 #: Vectors compared with a block at a time.
@@ -49,29 +50,10 @@ def _blocks(rows: DataFrame, of: str | None = None) -> DataFrame:
 def similar_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     """``a, b, score`` of all pairs at or above the threshold, ``a < b``.
 
-    Exact: pairs of blocks are joined on the pair's number, so each task holds two
-    blocks whatever the table's size, and each pair of rows is compared once.
+    Exact, by a grid of groups (:mod:`pair_grid`): what is moved grows with the rows, and a task
+    holds one group and a tile of scores.
     """
-    blocks = materialize(_blocks(rows), "vector-blocks")
-    n = blocks.agg(F.max("block")).first()[0]
-    if n is None:
-        return rows.sparkSession.createDataFrame([], "a long, b long, score double")
-    left = blocks.select(F.col("block").alias("i"), F.explode(F.sequence(F.col("block"), F.lit(n))).alias("j"), "ids", "flat")
-    right = blocks.select(F.col("block").alias("j"), F.col("ids").alias("ids2"), F.col("flat").alias("flat2"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                a, b = np.array(row["ids"]), np.array(row["ids2"])
-                x, y = np.array(row["flat"]).reshape(len(a), -1), np.array(row["flat2"]).reshape(len(b), -1)
-                scores = x @ y.T
-                p, q = np.nonzero(scores >= threshold - 1e-12)
-                keep = a[p] < b[q] if row["i"] == row["j"] else a[p] != b[q]
-                p, q = p[keep], q[keep]
-                low, high = np.minimum(a[p], b[q]), np.maximum(a[p], b[q])
-                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.array(scores[p, q])], ["a", "b", "score"])
-
-    return left.join(right, "j").mapInArrow(compare, "a long, b long, score double")
+    return all_pairs(rows, threshold)
 
 
 def neighbours(rows: DataFrame, queries: DataFrame, k: int, least: float = -1.0, of: str | None = None) -> DataFrame:
@@ -89,12 +71,13 @@ def neighbours(rows: DataFrame, queries: DataFrame, k: int, least: float = -1.0,
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                a, q = np.array(row["ids"]), np.array(row["qids"])
-                scores = np.array(row["qflat"]).reshape(len(q), -1) @ np.array(row["flat"]).reshape(len(a), -1).T
+            for i in range(batch.num_rows):
+                row = {name: batch[name][i].values.to_numpy(zero_copy_only=False) for name in batch.schema.names}
+                a, q = row["ids"], row["qids"]
+                scores = row["qflat"].reshape(len(q), -1) @ row["flat"].reshape(len(a), -1).T
                 scores[(q[:, None] == a[None, :]) | (scores < least)] = -np.inf
                 if of:
-                    scores[np.array(row["qgroups"])[:, None] != np.array(row["groups"])] = -np.inf
+                    scores[row["qgroups"][:, None] != row["groups"]] = -np.inf
                 order = np.lexsort((np.broadcast_to(a, scores.shape), -scores), axis=1)[:, :k]
                 best = np.take_along_axis(scores, order, axis=1)
                 i, j = np.nonzero(best > -np.inf)

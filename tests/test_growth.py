@@ -6,9 +6,10 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
-from quillgrove.operators import dynamics, field, identities, overlap_search, signals
+from quillgrove.operators import dynamics, field, identities, overlap_search, pair_grid, pivot_join, signals, vector
 
 
 def plan_of(df):
@@ -64,3 +65,20 @@ def test_overlaps_are_counted_in_blocks(spark, chunk, monkeypatch):
     assert {tuple(r) for r in found.collect()} == wanted
     # before: an inverted index joined by token, a row per pair and common token
     assert "Join" not in plan_of(found)
+
+
+@pytest.mark.parametrize("join", [vector.similar_pairs, functools.partial(pivot_join.pivot_pairs, shard_rows=40)])
+def test_pairs_by_groups(spark, monkeypatch, join):
+    monkeypatch.setattr(pair_grid, "LEAST_ROWS", 50)
+    monkeypatch.setattr(pair_grid, "TILE", 7)
+    x = np.random.default_rng(1).normal(size=(700, 6))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[5] = x[1]
+    scores = x @ x.T
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, unit array<double>")
+    pairs = join(rows, 0.9)
+    got = [(r.a, r.b) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(int(a), int(b)) for a, b in np.argwhere(scores >= 0.9) if a < b}
+    # before: a join of blocks, each moved for every other block or shard
+    assert "Join" not in plan_of(pairs)
+    assert pair_grid.groups_for(700) == 12 == pair_grid.groups_for(10**5 * 6)
