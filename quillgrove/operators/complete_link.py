@@ -126,6 +126,27 @@ def _beyond(sizes: DataFrame, most: int) -> DataFrame:
     return dealt.withColumn("running", running).join(F.broadcast(before), "part").where(F.col("running") + F.col("before") > most).select("component")
 
 
+@dataclass(frozen=True)
+class Linked:
+    """What clusters under any budgets are made from: links, members and sizes of components, each a table written once."""
+
+    rows: DataFrame
+    similar: DataFrame
+    member: DataFrame
+    sizes: DataFrame
+
+
+def linked(rows: DataFrame, pairs: DataFrame, threshold: float) -> Linked:
+    """The links (``lo, hi``) of pairs at or above the threshold, with the rows of their components."""
+    similar = pairs.where((F.col("score") >= threshold - 1e-12) & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
+    similar = materialize(similar, "links")
+    member = connected_components(similar, "lo", "hi").select(F.col("node").alias("id"), "component")
+    lower = similar.groupBy(F.col("hi").alias("id")).agg(F.count("*").alias("links"))
+    member = materialize(member.join(lower, "id", "left").selectExpr("component", "id", "coalesce(links, 0) AS links", "coalesce(links, 0) + 1 AS cost"), "members")
+    sizes = materialize(member.groupBy("component").agg(F.count("*").alias("rows"), F.sum("links").alias("links"), F.max("links").alias("most"), F.sum("cost").alias("cost")), "sizes")
+    return Linked(rows, similar, member, sizes)
+
+
 def complete_link_clusters(
     rows: DataFrame, pairs: DataFrame, threshold: float, least: int = 3, most_links: int | None = None, largest: int | None = None,
     budgets: Budgets | None = None, block: int = BLOCK,
@@ -135,14 +156,14 @@ def complete_link_clusters(
     Repeated pairs count once; pairs of a row with itself and with nulls are left out; an empty table of
     pairs leaves every row unclustered.  ``most_links`` and ``largest`` are short for the budgets of a component's links and rows.
     """
+    return clusters_of(linked(rows, pairs, threshold), least, budgets or Budgets(rows=largest, links=most_links), block)
+
+
+def clusters_of(graph: Linked, least: int = 3, budgets: Budgets | None = None, block: int = BLOCK) -> DataFrame:
+    """:func:`complete_link_clusters` of a graph that several budgets share."""
     started = time.monotonic()
-    limits = budgets or Budgets(rows=largest, links=most_links)
-    similar = pairs.where((F.col("score") >= threshold - 1e-12) & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
-    similar = materialize(similar, "links")
-    member = connected_components(similar, "lo", "hi").select(F.col("node").alias("id"), "component")
-    lower = similar.groupBy(F.col("hi").alias("id")).agg(F.count("*").alias("links"))
-    member = materialize(member.join(lower, "id", "left").selectExpr("component", "id", "coalesce(links, 0) AS links", "coalesce(links, 0) + 1 AS cost"), "members")
-    sizes = materialize(member.groupBy("component").agg(F.count("*").alias("rows"), F.sum("links").alias("links"), F.max("links").alias("most"), F.sum("cost").alias("cost")), "sizes")
+    limits = budgets or Budgets()
+    rows, similar, member, sizes = graph.rows, graph.similar, graph.member, graph.sizes
 
     over = lambda column, limit: F.lit(False) if limit is None else F.col(column) > limit
     reason = F.when(over("rows", limits.rows) | over("links", limits.links), "DEFERRED_DENSE_COMPONENT").when(over("most", limits.row_links), "DEFERRED_RSS_BUDGET")

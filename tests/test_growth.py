@@ -9,7 +9,8 @@ import re
 import numpy as np
 import pytest
 
-from quillgrove.operators import dynamics, field, identities, overlap_search, pair_grid, pivot_join, signals, vector
+from quillgrove.operators import complete_link, dynamics, field, identities, overlap_search, pair_grid, pivot_join, signals, vector
+from quillgrove.plans import catalogue
 
 
 def plan_of(df):
@@ -82,3 +83,10 @@ def test_pairs_by_groups(spark, monkeypatch, join):
     # before: a join of blocks, each moved for every other block or shard
     assert "Join" not in plan_of(pairs)
     assert pair_grid.groups_for(700) == 12 == pair_grid.groups_for(10**5 * 6)
+
+
+def test_budgets_share_one_graph(spark, small, monkeypatch):
+    calls, inner = [], complete_link.connected_components
+    monkeypatch.setattr(complete_link, "connected_components", lambda *a: calls.append(1) or inner(*a))
+    catalogue.QUERIES["clusters_budgeted"](spark, small)
+    assert len(calls) == 1
