@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,8 +58,14 @@ def plain(text: Column) -> Column:
 
 
 def ascii_bounds(pattern: str) -> str:
-    """``pattern`` with word boundaries between ASCII word characters and all others, whatever Java's are."""
-    edge = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+    """``pattern`` with word boundaries between ASCII word characters and all others, whatever Java's are.
+
+    Beside a plain letter, or a plain group of which every word begins or ends with one, a boundary needs one look only.
+    """
+    starts, ends, edge = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])", r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+    group = r"\((?:[a-z](?:[a-z]|\\s\+)*[a-z]\|)*[a-z](?:[a-z]|\\s\+)*[a-z]\)"
+    pattern = re.sub(rf"\\b(?={group}(?![*+?{{])|[a-z](?![*+?{{]))", lambda _: starts, pattern)
+    pattern = re.sub(rf"({group}|(?<![a-z\\])[a-z]|[a-z][a-z])\\b", lambda m: m[1] + ends, pattern)
     return pattern.replace(r"\b", edge)
 
 

@@ -166,7 +166,8 @@ def _keyed(rule: int, signals: Column) -> Column:
 def _entries(holds: dict[int, Column], signals: dict[int, Column]) -> Column:
     """Index entries (rule, signal) of a statement."""
     lists = [F.when(holds[rule], _keyed(rule, signals[rule])) for rule in sorted(holds)]
-    return F.array_distinct(F.flatten(F.filter(F.array(*lists), lambda x: x.isNotNull())))
+    # a repeated entry changes no minimum, and to find it among structs would compare all with all
+    return F.flatten(F.filter(F.array(*lists), lambda x: x.isNotNull()))
 
 
 def index_entries(said: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -202,10 +203,11 @@ def next_closing(announcing: DataFrame, closing: DataFrame, slice_ms: int = SLIC
     both = F.when(F.col("role") == "assistant", F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
     answers = closing.select("*", F.explode(both).alias("strict"), found.alias("found"))
     rows = asks.withColumn("asks", F.lit(True)).unionByName(answers.withColumn("asks", F.lit(False))).withColumn("slice", F.floor(F.col("ts") / slice_ms))
-    ahead = Window.partitionBy(*key, "slice").orderBy("ts").rangeBetween(1, Window.unboundedFollowing)
+    # latest first, so that a frame grows by its new rows; one that reaches ahead would be read anew for every row
+    ahead = Window.partitionBy(*key, "slice").orderBy(-F.col("ts")).rangeBetween(Window.unboundedPreceding, -1)
     near = rows.withColumn("near", F.min("found").over(ahead)).where("asks")
     slices = rows.groupBy(*key, "slice").agg(F.min("found").alias("found"))
-    later = Window.partitionBy(*key).orderBy("slice").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(*key).orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
     # null structs sort last in min, so the nearest slice that has a closing entry gives it
     slices = slices.withColumn("far", F.min("found").over(later)).select(*key, "slice", "far")
     each = near.join(slices, [*key, "slice"]).select("id", F.coalesce("near", "far").alias("first"))

@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillgrove.operators import complete_link, dynamics, field, identities, overlap_search, pair_grid, pivot_join, signals, vector
 from quillgrove.plans import catalogue
@@ -90,3 +91,27 @@ def test_budgets_share_one_graph(spark, small, monkeypatch):
     monkeypatch.setattr(complete_link, "connected_components", lambda *a: calls.append(1) or inner(*a))
     catalogue.QUERIES["clusters_budgeted"](spark, small)
     assert len(calls) == 1
+
+
+def test_next_closing_frames_grow_from_one_side(spark):
+    from quillgrove.operators import time_relations
+
+    announcing = spark.createDataFrame([(1, 0, "w:x", 10, 1, "user"), (1, 0, "w:x", 30, 2, "user"), (1, 0, "w:x", 95, 3, "user")], "user_id long, rule int, signal string, ts long, id long, role string")
+    closing = spark.createDataFrame([(1, 0, "w:x", 10, 5, "user"), (1, 0, "w:x", 20, 6, "user"), (1, 0, "w:x", 95, 7, "user"), (1, 0, "w:x", 95, 8, "user")], announcing.schema)
+    out = time_relations.next_closing(announcing, closing, 50)
+    assert {r.id: r.first.id for r in out.collect()} == {1: 6, 2: 7}
+    assert "unboundedfollowing" not in plan_of(out).lower()  # such a frame is read anew for every row
+
+
+@pytest.mark.parametrize("name", ["CALL_INTENT", "CALL_DONE", "FEVER_DONE", "LEAVING", "JOURNEY_DONE", "ENTITY"])
+def test_boundaries_beside_letters_equal_those_in_full(spark, name):
+    from quillgrove.functions.time import ascii_bounds
+    from quillgrove.operators import time_relations
+
+    full = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+    pattern, rng = getattr(time_relations, name), np.random.default_rng(3)
+    parts = np.array(["devo", "dobbiamo", " ", " ", "chiamare", "ho", "chiamato", "sentito", "sta", "meglio", "sfebbrata", "sono", "andato", "è", "Èva", "Ada", "_", "-", "1", "partire", "à"])
+    rows = spark.createDataFrame([("".join(rng.choice(parts, rng.integers(0, 9))),) for _ in range(3000)], "s string")
+    found = lambda p: F.regexp_extract_all("s", F.lit(p), F.lit(0))
+    assert rows.where(found(ascii_bounds(pattern)) != found(pattern.replace(r"\b", full))).count() == 0
+    assert name == "ENTITY" or full not in ascii_bounds(pattern.replace("[oa]", "o"))
