@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from quillgrove.functions import text as X
 from quillgrove.functions.activation import clamp
 from quillgrove.operators import recall as R
+from quillgrove.session import materialize
 
 
 def expanded_concepts(query: str, aliases: Mapping[str, list[str]], stopwords: tuple[str, ...] = X.STOPWORDS) -> list[str]:
@@ -30,14 +32,14 @@ def echo_score(rows: DataFrame, query: str, concepts: list[str], generic: list[s
     ``generic``: phrases of polite filler; ``hints``: tags that speak for a record by themselves.
     """
     normal = X.normalised(F.coalesce("text", F.lit("")))
-    rows = rows.withColumn("_n", normal).withColumn("_s", X.concept_text(F.col("_n"))).withColumn("_t", X.concept_text(F.replace(F.array_join("tags", " "), F.lit("_"), F.lit(" "))))
-    count = lambda column, words: sum((F.contains(F.col(column), F.lit(f" {w} ")).cast("int") for w in words), F.lit(0))
-    n, matched = max(1, len(concepts)), count("_s", concepts)
+    rows = rows.withColumns({"_n": normal, "_t": F.lower(F.replace(F.array_join("tags", " "), F.lit("_"), F.lit(" ")))})
+    count = lambda column, words: sum((X.mentions(F.col(column), w).cast("int") for w in words), F.lit(0))
+    n, matched = max(1, len(concepts)), count("_n", concepts)
     boost = F.lit(0.0)
     if acronym and acronym in concepts:
-        boost = boost + count("_s", [acronym]) * 0.28
-    boost = boost + count("_s", [p for p in phrases if p in concepts]) * 0.12
-    density = F.least(F.lit(0.25), matched / F.greatest(F.lit(8), F.size(F.split("_n", " "))) * 4)
+        boost = boost + count("_n", [acronym]) * 0.28
+    boost = boost + count("_n", [p for p in phrases if p in concepts]) * 0.12
+    density = F.least(F.lit(0.25), matched / F.greatest(F.lit(8), F.length("_n") - F.length(F.replace("_n", F.lit(" "))) + 1) * 4)
     hinted = F.size(F.filter("tags", lambda t: F.lower(t).isin(*hints))) if hints else F.lit(0)
     tags = F.least(F.lit(1.0), count("_t", concepts) / n + hinted * 0.08)
     says = sum((F.contains("_n", F.lit(p)).cast("int") for p in generic), F.lit(0))
@@ -50,12 +52,13 @@ def echo_score(rows: DataFrame, query: str, concepts: list[str], generic: list[s
         (F.length(said) <= len(asked) + 30) & F.contains(said, F.lit(asked)), F.when(few, 0.25).otherwise(0.1)
     ).otherwise(0.0)
     score = clamp(boost + matched / n * 0.35 + density + tags * 0.2 - filler - copied)
-    return rows.withColumn("echo", F.when(F.col("_n") == "", 0.0).otherwise(score)).drop("_n", "_s", "_t")
+    return rows.withColumn("echo", F.when(F.col("_n") == "", 0.0).otherwise(score)).drop("_n", "_t")
 
 
 def final_scores(rows: DataFrame, links: DataFrame, query: str, concepts: list[str], **echo) -> DataFrame:
     """``id, base, echo, boost, score``: .65 base, .25 echo and .10 of the capped boosts of typed links."""
     scored = R.score_texts(echo_score(rows, query, concepts, **echo), query).select("id", "activation", "text_match", "base", "echo")
+    scored = materialize(scored, "scored")  # both sides of the links' join read it: texts are scored once
     boosted = R.typed_link_boost(scored, links)
     boost = F.coalesce("boost", F.lit(0.0))
     return boosted.select("id", "base", "echo", boost.alias("boost"), (F.col("base") * 0.65 + F.col("echo") * 0.25 + boost * 0.10).alias("score"))
@@ -64,13 +67,13 @@ def final_scores(rows: DataFrame, links: DataFrame, query: str, concepts: list[s
 def warm_prefilter(rows: DataFrame, concepts: list[str]) -> DataFrame:
     """Rows that mention any concept in text or tags; all rows if none does.
 
-    Whether any does is one row, so its join is a broadcast of a proven size.
+    Whether any does is asked first, up to the first that does: so texts are read once where none
+    does, and little more where many do.
     """
-    said = X.concept_text(F.concat_ws(" ", "text", F.replace(F.array_join("tags", " "), F.lit("_"), F.lit(" "))))
-    hit = F.rlike(said, F.lit(" (?:" + "|".join(map(re.escape, concepts)) + ") ")) if concepts else F.lit(False)
-    marked = rows.withColumn("_hit", F.coalesce(hit, F.lit(False)))
-    some = marked.agg(F.coalesce(F.max("_hit"), F.lit(False)).alias("_some"))
-    return marked.join(F.broadcast(some), F.col("_hit") | ~F.col("_some")).drop("_hit", "_some")
+    said = F.lower(F.concat_ws(" ", "text", F.replace(F.array_join("tags", " "), F.lit("_"), F.lit(" "))))
+    marked = rows.withColumn("_said", said)  # a column of its own: every concept reads it
+    hits = marked.where(reduce(lambda a, b: a | b, (X.mentions(F.col("_said"), c) for c in concepts), F.lit(False))).drop("_said")
+    return rows if hits.select(F.lit(1)).isEmpty() else hits
 
 
 def by_type(rows: DataFrame, structural: bool = True, episodic: bool = True, max_age: float | None = None, stability: float = 0.5) -> DataFrame:

@@ -115,3 +115,27 @@ def test_boundaries_beside_letters_equal_those_in_full(spark, name):
     found = lambda p: F.regexp_extract_all("s", F.lit(p), F.lit(0))
     assert rows.where(found(ascii_bounds(pattern)) != found(pattern.replace(r"\b", full))).count() == 0
     assert name == "ENTITY" or full not in ascii_bounds(pattern.replace("[oa]", "o"))
+
+
+def test_concepts_are_found_without_rewriting_texts(spark):
+    from quillgrove.functions import text as X
+    from quillgrove.operators import ranking
+
+    said = ["ation", "a-ation, b", "xation", "ationé", "deep  memory", "deep-memory.", "deep memories", "the deep\nmemory", "ation÷", "ATION", "", None, "one deep memory's", "\U0001f600ation\U0001f600", "no"]
+    rows = spark.createDataFrame([(i, t, ["x_y"]) for i, t in enumerate(said)], "id long, text string, tags array<string>")
+    for concept in ("ation", "deep memory", "", "a.b", "Ation", "memory ", "é"):
+        assert rows.where(~X.mentions(F.lower("text"), concept).eqNullSafe(F.contains(X.concept_text(F.col("text")), F.lit(f" {concept} ")))).count() == 0
+    for concepts, want in ((["ation", "x y"], range(15)), (["deep memory"], [4, 5, 7, 12]), (["nowhere"], range(15)), ([], range(15))):
+        out = ranking.warm_prefilter(rows, concepts)
+        assert sorted(r.id for r in out.collect()) == list(want)
+        assert "regexp_replace" not in plan_of(out).lower()
+
+
+def test_texts_are_scored_once_for_links(spark):
+    from quillgrove.operators import ranking
+
+    rows = spark.createDataFrame([(1, "about ation", 0.5, ["en"], "normal"), (2, "none", 0.1, [], "normal")], "id long, text string, activation double, tags array<string>, memory_depth string")
+    links = spark.createDataFrame([(1, 2, 0.4, "semantic")], "source_id long, target_id long, weight double, link_type string")
+    out = ranking.final_scores(rows, links, "ation", ["ation"])
+    assert "regexp_replace" not in plan_of(out).lower()  # scores are read back, by both sides of the join
+    assert {r.id: round(r.boost, 4) for r in out.collect()} == {1: 0.0, 2: round((0.6 + 0.4 * 0.5) * 0.4 * 0.2, 4)}
