@@ -6,19 +6,15 @@ Threshold joins go through blocks: a stated query set against all rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrove.operators.complete_link import complete_link_clusters  # noqa: F401
 from quillgrove.operators.components import connected_components
-from quillgrove.operators.pair_grid import all_pairs
+from quillgrove.operators.pair_grid import DIGITS, all_pairs, link_counts, nearest_rows  # noqa: F401
 from quillgrove.session import materialize
 
-#: Vectors compared with a block at a time.
+#: Vectors that a tile of queries is compared with at a time.
 BLOCK = 2048
 
 
@@ -37,16 +33,6 @@ def nearest(rows: DataFrame, query: list[float], k: int) -> DataFrame:
     return rows.select("id", dot("unit", literal).alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
-def _blocks(rows: DataFrame, of: str | None = None) -> DataFrame:
-    """The rows' ids and vectors in blocks of about ``BLOCK`` rows, one row each; with ``groups`` if a column names them."""
-    n = max(1, -(-rows.count() // BLOCK))
-    group = [F.xxhash64(of).alias("group")] if of else []
-    numbered = rows.select("id", "unit", *group, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"))
-    packed = numbered.groupBy("block").agg(F.collect_list(F.struct("id", "unit", *(["group"] if of else []))).alias("rows"))
-    groups = [F.transform("rows", lambda r: r["group"]).alias("groups")] if of else []
-    return packed.select("block", F.transform("rows", lambda r: r["id"]).alias("ids"), F.flatten(F.transform("rows", lambda r: r["unit"])).alias("flat"), *groups)
-
-
 def similar_pairs(rows: DataFrame, threshold: float) -> DataFrame:
     """``a, b, score`` of all pairs at or above the threshold, ``a < b``.
 
@@ -57,41 +43,23 @@ def similar_pairs(rows: DataFrame, threshold: float) -> DataFrame:
 
 
 def neighbours(rows: DataFrame, queries: DataFrame, k: int, least: float = -1.0, of: str | None = None) -> DataFrame:
-    """The k nearest rows of each query row (itself left out): blocks of queries against blocks of rows.
+    """The k nearest rows of each query row (itself left out), by a grid of queries and rows (:mod:`pair_grid`).
 
-    With ``of``, only rows that equal the query there.
-    A task holds two blocks; each pair of blocks gives at most k rows a query, which are merged by query.
+    With ``of``, only rows that equal the query there.  Scores that agree in nine digits are equal, and go by ``other``.
     """
-    ask, against = materialize(_blocks(queries, of), "query-blocks"), materialize(_blocks(rows, of), "vector-blocks")
-    n = against.agg(F.max("block")).first()[0]
-    if n is None:
-        return rows.sparkSession.createDataFrame([], "id long, other long, score double, nth int")
-    groups = ["groups"] if of else []
-    left = ask.select(F.col("ids").alias("qids"), F.col("flat").alias("qflat"), *(F.col(g).alias("qgroups") for g in groups), F.explode(F.sequence(F.lit(0), F.lit(n))).alias("block"))
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {name: batch[name][i].values.to_numpy(zero_copy_only=False) for name in batch.schema.names}
-                a, q = row["ids"], row["qids"]
-                scores = row["qflat"].reshape(len(q), -1) @ row["flat"].reshape(len(a), -1).T
-                scores[(q[:, None] == a[None, :]) | (scores < least)] = -np.inf
-                if of:
-                    scores[row["qgroups"][:, None] != row["groups"]] = -np.inf
-                order = np.lexsort((np.broadcast_to(a, scores.shape), -scores), axis=1)[:, :k]
-                best = np.take_along_axis(scores, order, axis=1)
-                i, j = np.nonzero(best > -np.inf)
-                yield pa.RecordBatch.from_arrays([pa.array(q[i]), pa.array(a[order[i, j]]), pa.array(best[i, j])], ["id", "other", "score"])
-
-    found = left.join(against, "block").select("ids", "flat", "qids", "qflat", *groups, *(f"q{g}" for g in groups)).mapInArrow(search, "id long, other long, score double")
-    nth = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))
+    found = nearest_rows(rows, queries, k, least, of, BLOCK)
+    nth = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.round("score", DIGITS)), "other"))
     return found.withColumn("nth", nth).where(F.col("nth") <= k)
 
 
 def completeness(pairs: DataFrame, cap: int) -> DataFrame:
     """Per row, whether its links stay within the cap that a bounded search would apply."""
     ends = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-    counted = ends.groupBy("id").agg(F.count("*").alias("hits"))
+    return completeness_of(ends.groupBy("id").agg(F.count("*").alias("hits")), cap)
+
+
+def completeness_of(counted: DataFrame, cap: int) -> DataFrame:
+    """The same of ``id, hits``, such as :func:`pair_grid.link_counts` gives."""
     return counted.withColumn("status", F.when(F.col("hits") > cap, "INCOMPLETE_TRUNCATED").otherwise("COMPLETE"))
 
 

@@ -71,7 +71,7 @@ def edge_budgets(spark: SparkSession, sf: str) -> DataFrame:
 CASE WHEN count(*) > 1 THEN 'INCOMPLETE_TRUNCATED' ELSE 'COMPLETE' END AS status FROM e GROUP BY id"""
 )
 def discovery_completeness(spark: SparkSession, sf: str) -> DataFrame:
-    return V.completeness(V.similar_pairs(vectors(spark, sf), THRESHOLD), 1)
+    return V.completeness_of(V.link_counts(vectors(spark, sf), THRESHOLD), 1)
 
 
 @query(

@@ -139,3 +139,33 @@ def test_texts_are_scored_once_for_links(spark):
     out = ranking.final_scores(rows, links, "ation", ["ation"])
     assert "regexp_replace" not in plan_of(out).lower()  # scores are read back, by both sides of the join
     assert {r.id: round(r.boost, 4) for r in out.collect()} == {1: 0.0, 2: round((0.6 + 0.4 * 0.5) * 0.4 * 0.2, 4)}
+
+
+def test_nearest_rows_equal_a_plain_search(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    unit = np.concatenate([rng.normal(size=(150, 8)), np.repeat(rng.normal(size=(3, 8)), 30, axis=0)])  # many equal scores
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, i % 3, u.tolist()) for i, u in enumerate(unit)], "id long, label long, unit array<double>")
+    score = np.round(unit @ unit.T, 9)
+    for limits in ({"LEAST_ROWS": 20, "TILE": 7, "TILE_HELD": 11, "KEPT": 5}, {}):
+        for name, value in limits.items():
+            monkeypatch.setattr(pair_grid, name, value)
+        for step, k, least, of in ((1, 5, 0.2, None), (9, 4, -1.0, "label"), (9, 300, -1.0, None), (1, 1, -1.0, None)):
+            want = {}
+            for i in range(0, len(unit), step):
+                fits = [j for j in range(len(unit)) if j != i and score[i, j] >= least and (of is None or i % 3 == j % 3)]
+                want |= {(i, n + 1): j for n, j in enumerate(sorted(fits, key=lambda j: (-score[i, j], j))[:k])}
+            found = vector.neighbours(rows, rows.where(f"id % {step} = 0"), k, least, of)
+            assert {(r.id, r.nth): r.other for r in found.collect()} == want
+        monkeypatch.undo()
+
+
+def test_link_counts_equal_those_of_pairs(spark):
+    rng = np.random.default_rng(6)
+    unit = rng.normal(size=(3000, 6))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, u.tolist()) for i, u in enumerate(unit)], "id long, unit array<double>")
+    similar = unit @ unit.T >= 0.9
+    want = {i: int(n) for i, n in enumerate(similar.sum(axis=1) - 1) if n}
+    assert {r.id: r.hits for r in vector.link_counts(rows, 0.9).collect()} == want
+    assert {r.id: r.hits for r in vector.completeness(vector.similar_pairs(rows, 0.9), 1).collect()} == want
