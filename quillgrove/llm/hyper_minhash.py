@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrove.llm.similar_texts import confirm_pairs, merged_classes, rows_with_head, shingle_set, vantage_round
@@ -96,11 +96,19 @@ def band_keys(own: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-SKETCHED = "doc_id long, n_shingles long, key binary, registers binary, bands array<long>, text string"
+#: A text is known by two hashes of 64 bits, so that sketches needn't carry it.
+TEXT_HASHES = ["text_hash", "text_hash_2"]
+SKETCHED = "doc_id long, n_shingles long, key binary, registers binary, bands array<long>, text_hash long, text_hash_2 long"
+
+
+def hashed_texts(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` and the text's hashes."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return texts.withColumns(dict(zip(TEXT_HASHES, (F.xxhash64("text"), F.xxhash64(F.lit("second"), "text")), strict=True)))
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """``doc_id, n_shingles, key, registers, bands, text``; equal sets have one key, empty ones none."""
+    """``doc_id, n_shingles, key, registers, bands`` and the text's hashes; equal sets have one key, empty ones none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -114,9 +122,10 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
                 kept.append(own.tobytes() if len(hashes) else None)
                 bands.append(band_keys(own) if len(hashes) else None)
             made = [pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(kept, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made, batch.column(1)], ["doc_id", "n_shingles", "key", "registers", "bands", "text"])
+            names = ["doc_id", "n_shingles", "key", "registers", "bands", *TEXT_HASHES]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made, batch.column(2), batch.column(3)], names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SKETCHED)
+    return hashed_texts(docs).mapInArrow(run, SKETCHED)
 
 
 # ---------------------------------------------------------------- estimates
@@ -161,27 +170,41 @@ def likely_pairs(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataF
             n, m = (batch.column(c).to_numpy() for c in (2, 3))
             yield batch.select(["a", "b"]).filter(pa.array(may_be_similar(x, y, n, m, similarity)))
 
-    return sides.select("a", "b", "n_a", "n_b", "registers_a", "registers_b").mapInArrow(run, "a binary, b binary")
+    return sides.select("a", "b", "n_a", "n_b", "registers_a", "registers_b").mapInArrow(run, "a long, b long")
 
 
 # ---------------------------------------------------------------- classes
 
 
-def shared_buckets(nodes: DataFrame) -> DataFrame:
-    """``bucket, size, key, weight``: band buckets of several sets; a set's weight is how many its buckets hold in all."""
-    banded = materialize(nodes.select("key", F.explode("bands").alias("bucket")), "hyper-bands")
-    several = banded.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    shared = materialize(banded.join(several, "bucket"), "hyper-shared")
+def shared_buckets(banded: DataFrame) -> DataFrame:
+    """``bucket, size, key, weight`` of ``key, bands``: buckets of several sets; a set's weight is how many its buckets hold in all.
+
+    Bands are moved once, as two numbers each; what shares no bucket goes where they are counted.
+    """
+    each = banded.select("key", F.explode("bands").alias("bucket"))
+    sized = each.withColumn("size", F.count("*").over(Window.partitionBy("bucket")))
+    shared = materialize(sized.where("size > 1").select("bucket", "size", "key"), "hyper-shared")
     weights = shared.groupBy("key").agg(F.sum("size").alias("weight"))
     members = materialize(shared.join(weights, "key"), "hyper-members")
-    discard(banded), discard(shared)
+    discard(shared)
     return members
 
 
-def narrowed(rows: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
-    """``rows`` whose ``column`` is in ``wanted``, without a shuffle of theirs where that is small."""
+def narrowed(rows: DataFrame, wanted: DataFrame, column: str, how: str = "left_semi") -> DataFrame:
+    """``rows`` whose ``column`` is in ``wanted`` (or isn't), without a shuffle of theirs where that is small."""
     wanted = materialize(wanted.select(column).distinct(), "hyper-wanted")
-    return rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted, column, "left_semi")
+    return rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted, column, how)
+
+
+def texts_of(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """``key, text`` of the rows ``key, doc_id`` and text hashes, read from the documents again."""
+    wanted = materialize(asked.select("key", F.col("doc_id").alias("id"), *(F.col(c).alias(f"{c}_of") for c in TEXT_HASHES)), "hyper-wanted")
+    n = wanted.count()
+    same = F.col("doc_id").eqNullSafe(F.col("id"))
+    for c in TEXT_HASHES:
+        same = same & (F.col(c) == F.col(f"{c}_of"))
+    found = materialize(hashed_texts(docs).join(F.broadcast(wanted) if n <= BROADCAST_KEYS else wanted, same).select("key", "text"), "hyper-texts")
+    return found if found.count() == n else materialize(found.dropDuplicates(["key"]), "hyper-texts")  # repeated rows
 
 
 def _head_round(rows: DataFrame, nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -244,18 +267,20 @@ def set_classes(members: DataFrame, nodes: DataFrame, texts: DataFrame, shingle:
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.85) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``: a class is named by its smallest doc_id, whose row is kept."""
     small_batches(docs.sparkSession)
-    sketched = materialize(sketches(docs, shingle).withColumn("row", F.monotonically_increasing_id()), "hyper-sketches")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
-    nodes = sketched.where("key is not null").groupBy("key").agg(first, F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"), F.first("bands").alias("bands"))
-    nodes = materialize(nodes.select("key", F.col("first.doc_id").alias("first_id"), F.col("first.row").alias("row"), "n_shingles", "registers", "bands"), "hyper-nodes")
-    members = shared_buckets(nodes)
-    asked = narrowed(nodes.select("key", "row", "n_shingles", "registers"), members, "key")
+    sketched = materialize(sketches(docs, shingle).withColumnRenamed("key", "set").withColumn("key", F.monotonically_increasing_id()), "hyper-sketches")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first")
+    # one row of each set, by its number, has the set's bands and registers; they stay where they are
+    nodes = sketched.where("set is not null").groupBy("set").agg(first, F.min("key").alias("key"), F.count("*").alias("n"))
+    nodes = materialize(nodes.select("set", "key", F.col("first.doc_id").alias("first_id"), "n"), "hyper-nodes")
+    sets = sketched.where("set is not null")
+    copied = sets.select("set", "key").join(nodes.where("n > 1").select("set", F.col("key").alias("own")), "set").where("key <> own")
+    members = shared_buckets(narrowed(sets.select("key", "bands"), copied, "key", "left_anti"))
+    asked = narrowed(sketched.select("key", "doc_id", "n_shingles", "registers", *TEXT_HASHES), members, "key")
     asked = materialize(asked, "hyper-asked")
-    texts = materialize(narrowed(sketched.select("row", "key", "text"), asked, "row").drop("row"), "hyper-texts")
-    classes = set_classes(members, asked, texts, shingle, similarity)
-    rooted = nodes.select("key", "first_id").join(classes, "key", "left").withColumn("root", F.coalesce("class", "key"))
+    classes = set_classes(members, asked, texts_of(docs, asked), shingle, similarity)
+    rooted = nodes.select("set", "key", "first_id").join(classes, "key", "left").withColumn("root", F.coalesce("class", "key"))
     names = rooted.groupBy("root").agg(F.min("first_id").alias("component"))
-    named = rooted.join(names, "root").select("key", "component")
-    out = sketched.select("doc_id", "n_shingles", "key").join(named, "key", "left")
-    component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id")
+    named = rooted.join(names, "root").select("set", "component")
+    out = sketched.select("doc_id", "n_shingles", "set").join(named, "set", "left")
+    component = F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id")
     return out.select("doc_id", "n_shingles", component).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))

@@ -17,9 +17,9 @@ vantage point of an exact search by Jaccard distance:
   and y is similar to x, the triangle bound makes x and y share a part of their
   differences, so only members that share one of the first elements of theirs (as
   many as the bound demands; those that the head lacks, which are rare, come first) are
-  compared, only those in different classes, and only where what follows the element in
-  both differences leaves room for all that they would share; a pair is made once, in its
-  first common bucket at the first element that it shares.
+  compared, and only those that the links found so far leave in different classes.  The
+  differences tell their similarity too, so a bucket's members meet in a task with them
+  and neither pairs nor texts of pairs are moved; a large bucket is a grid of such tasks.
 * Members at similarity below ``MIDDLE`` can only be similar to members below
   ``MIDDLE + 1 - similarity``: those form the far side, which gets a head of its own.
 
@@ -48,8 +48,8 @@ from quillgrove.session import discard, materialize
 MIDDLE = 0.5
 #: Vantage points that a narrow bucket gets, one after the other.
 HEADS = 3
-#: First shared elements that a row carries to make a pair once; beyond them a pair may be made at several elements.
-SEEN = 64
+#: Parts of a bucket of many members, members beyond which there are more, and below which there are fewer.
+PARTS, PART_ROWS, LEAST_PART = 12, 16_384, 2048
 #: A bucket's rows are dealt to so many keys where they meet its head.
 SALTS = 16
 #: Shingle sets of heads that a task remembers.
@@ -105,7 +105,7 @@ def confirm_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, similarity:
     sides = sides.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads: dict[bytes, np.ndarray] = {}
+        heads: dict[object, np.ndarray] = {}
         for batch in batches:
             keep = []
             for a, x, y in zip(batch.column(0), batch.column(2), batch.column(3), strict=True):
@@ -113,10 +113,11 @@ def confirm_pairs(pairs: DataFrame, texts: DataFrame, shingle: int, similarity:
                 keep.append(is_similar(shared_count(p, q), len(p), len(q), similarity))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return sides.select("a", "b", "text_a", "text_b").mapInArrow(check, "a binary, b binary")
+    kind = texts.schema["key"].dataType.simpleString()
+    return sides.select("a", "b", "text_a", "text_b").mapInArrow(check, f"a {kind}, b {kind}")
 
 
-def _head_set(heads: dict[bytes, np.ndarray], key: bytes, text: str | None, shingle: int) -> np.ndarray:
+def _head_set(heads: dict[object, np.ndarray], key: object, text: str | None, shingle: int) -> np.ndarray:
     if key not in heads:
         if len(heads) >= KEPT_HEADS:
             heads.clear()
@@ -201,6 +202,99 @@ def _open_rows(rows: DataFrame, classes: DataFrame) -> DataFrame:
     return materialize(named.join(several, "bucket"), "dup-open")
 
 
+def _slices(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers of the runs ``start, start + 1, ...`` of these lengths, end to end."""
+    ends = np.cumsum(length)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - length), length)
+
+
+def linked_members(size: np.ndarray, gone: np.ndarray, head_size: int, linked: np.ndarray, classes: np.ndarray, side: np.ndarray,
+                   before: np.ndarray, asks: np.ndarray, at: np.ndarray, elements: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what all pairs of members in different classes connect, as positions; exact.
+
+    A member's difference from the head is ``elements[at[i]:at[i + 1]]``, found by its first ``before[i]`` and
+    asking with its first ``asks[i]``.  As x and y share what the head has and neither lacks, and what both
+    have beyond it, the shared elements of two differences tell their similarity, without the texts.
+    Members of one side only are compared if there is one, else those of side 0 with those of side 1.
+    """
+    n, (_, ids) = len(size), np.unique(elements, return_inverse=True)
+    length, across = np.diff(at), side.any()
+    places = _slices(at[:-1], before)
+    order = np.argsort(ids[places], kind="stable")
+    posted = np.repeat(np.arange(n), before)[order]
+    words = int(ids.max(initial=-1)) + 1
+    first = np.searchsorted(ids[places][order], np.arange(words + 1))
+    group, mark, found = np.unique(classes, return_inverse=True)[1], np.zeros(words, bool), ([], [])
+    for x in np.flatnonzero(~linked):
+        asked = ids[at[x] : at[x] + asks[x]]
+        others = posted[_slices(first[asked], first[asked + 1] - first[asked])]
+        others = others[group[others] != group[x]]
+        if not len(others):
+            continue
+        others = np.unique(others)
+        # two that aren't linked to the head ask each other: one of them is enough
+        others = others[(linked[others] | (others > x)) & ((side[others] != side[x]) if across else True)]
+        others = others[np.minimum(size[others], size[x]) >= similarity * np.maximum(size[others], size[x]) - 1e-9]
+        if not len(others):
+            continue
+        own = ids[at[x] : at[x + 1]]
+        mark[own] = True
+        hits = np.r_[0, np.cumsum(mark[ids[_slices(at[others], length[others])]])]
+        mark[own] = False
+        ends = np.cumsum(length[others])
+        shared = head_size - gone[x] - gone[others] + hits[ends] - hits[ends - length[others]]
+        for y in others[shared >= similarity * (size[x] + size[others] - shared)]:
+            if group[y] != group[x]:
+                found[0].append(x), found[1].append(y)
+                group[group == group[y]] = group[x]
+    return np.array(found[0], np.int64), np.array(found[1], np.int64)
+
+
+def bucket_links(near: DataFrame, similarity: float) -> DataFrame:
+    """``a, b``: links between members of buckets that hold several classes.
+
+    Members are read end to end, a bucket at a time.  A bucket of many is cut into parts, and two parts meet in a task:
+    a member moves once for each part, of which there are at most ``PARTS`` up to ``PARTS * PART_ROWS`` members.
+    """
+    sizes = near.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
+    parts = F.greatest(F.ceil(F.col("n") / PART_ROWS), F.least(F.lit(PARTS), F.ceil(F.col("n") / LEAST_PART))).cast("int")
+    dealt = near.join(sizes.select("bucket", parts.alias("parts")), "bucket").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = dealt.withColumn("low", F.least("part", "other")).withColumn("high", F.greatest("part", "other")).withColumn("side", (F.col("part") > F.col("other")).cast("int"))
+    kind = near.schema["key"].dataType.simpleString()
+    columns = ["key", "class", "size", "gone", "head_size", "linked", "before", "asks", "side", "difference"]
+
+    def links(cell: pa.Table) -> pa.RecordBatch:
+        cell = cell.combine_chunks()
+        column = lambda name: cell[name].to_numpy()
+        lists = cell["difference"].chunk(0)
+        at = np.r_[0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))].astype(np.int64)
+        classes = cell["class"].chunk(0).dictionary_encode().indices.to_numpy()
+        x, y = linked_members(
+            column("size"), column("gone"), int(column("head_size")[0]), column("linked"), classes, column("side"),
+            column("before"), column("asks"), at, lists.flatten().to_numpy(zero_copy_only=False), similarity,
+        )
+        keys = cell["key"].chunk(0)
+        return pa.RecordBatch.from_arrays([keys.take(pa.array(x)), keys.take(pa.array(y))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            names = np.stack([batch.column(c).to_numpy() for c in ("bucket", "low", "high")])
+            starts = np.flatnonzero(np.r_[True, (np.diff(names) != 0).any(axis=0)]) if len(batch) else []
+            for start, end in zip(starts, [*starts[1:], len(batch)], strict=True):
+                if held and tuple(names[:, start]) != now:
+                    yield links(pa.Table.from_batches(held))
+                    held = []
+                now = tuple(names[:, start])
+                held.append(batch.slice(start, end - start).select(columns))
+        if held:
+            yield links(pa.Table.from_batches(held))
+
+    by = ["bucket", "low", "high"]
+    return cells.select(*by, *columns).repartition(*by).sortWithinPartitions(*by).mapInArrow(run, f"a {kind}, b {kind}")
+
+
 def vantage_round(rows: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """One head for each bucket of several classes: (links found near it, rows of its far side)."""
     sides = rows_with_head(rows, -F.col("weight")).join(texts.select("key", "text"), "key")
@@ -209,61 +303,29 @@ def vantage_round(rows: DataFrame, texts: DataFrame, shingle: int, similarity: f
     carried = ["bucket", "key", "class", "weight", "head", "head_class"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads: dict[bytes, np.ndarray] = {}
+        heads: dict[object, np.ndarray] = {}
         for batch in batches:
-            linked, near, far, first, more, sizes, differing = [], [], [], [], [], [], []
+            linked, near, far, differences, figures = [], [], [], [], []
             for h, x, y in zip(batch.column("head"), batch.column("text"), batch.column("head_text"), strict=True):
                 x_set, h_set = shingle_set(x.as_py(), shingle), _head_set(heads, h.as_py(), y.as_py(), shingle)
                 is_linked, alike, found_by, asks = first_differences(x_set, h_set, similarity)
-                sizes.append(len(x_set)), differing.append(len(x_set) + len(h_set) - 2 * shared_count(x_set, h_set))
+                new, gone = np.setdiff1d(x_set, h_set, assume_unique=True), np.setdiff1d(h_set, x_set, assume_unique=True)
                 linked.append(is_linked), near.append(alike >= MIDDLE), far.append(alike <= far_below + 1e-9)
-                for out, elements in ((first, found_by), (more, asks)):
-                    out.append(elements.view(np.int64) if alike >= MIDDLE else elements[:0].view(np.int64))
-            made = [*(pa.array(x, pa.bool_()) for x in (linked, near, far)), *(pa.array(x, pa.list_(pa.int64())) for x in (first, more)), *(pa.array(x, pa.int64()) for x in (sizes, differing))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *made], [*carried, "linked", "near", "far", "first", "more", "size", "differing"])
-
-    wanted = sides.select("bucket", "key", "class", "weight", "head", "head_class", "text", "head_text")
-    kinds = "bucket long, key binary, class binary, weight long, head binary, head_class binary, linked boolean, near boolean, far boolean, first array<long>, more array<long>, size long, differing long"
-    read = materialize(wanted.mapInArrow(run, kinds), "dup-differences")
+                figures.append((len(x_set), len(gone), len(h_set), len(found_by), len(found_by) + len(asks)))
+                difference = np.concatenate([new, gone]).view(np.int64)
+                differences.append(difference if alike >= MIDDLE else difference[:0])
+            made = [*(pa.array(x, pa.bool_()) for x in (linked, near, far)), *(pa.array(x, pa.int64()) for x in np.array(figures, np.int64).reshape(-1, 5).T)]
+            made.append(pa.array(differences, pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *made], [*carried, "linked", "near", "far", *numbers, "difference"])
+
+    numbers = ["size", "gone", "head_size", "before", "asks"]
+    wanted = sides.select(*carried, "text", "head_text")
+    kinds = [f"{c} {wanted.schema[c].dataType.simpleString()}" for c in carried] + [f"{c} boolean" for c in ("linked", "near", "far")] + [f"{c} long" for c in numbers]
+    read = materialize(wanted.mapInArrow(run, ", ".join([*kinds, "difference array<long>"])), "dup-differences")
     links = read.where("linked").select(F.col("head").alias("a"), F.col("key").alias("b"))
     # whatever the head confirms is of its class
     is_of = F.when(F.col("linked"), F.col("head_class")).otherwise(F.col("class")).alias("class")
-    kept = ["bucket", "key", "class", "linked", "size", "differing"]
-    near = read.where("near").select("bucket", "key", is_of, "linked", "size", "differing", "first", "more")
-    parts = near.select(*kept, F.posexplode("first").alias("at", "element"))
-    several = parts.groupBy("bucket", "element").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max("linked").alias("has_linked"))
-    # of an element's classes the commonest is asked by the others
-    mixed = parts.join(several.where("low < high").select("bucket", "element"), ["bucket", "element"])
-    counts = mixed.groupBy("bucket", "element", "class").agg(F.count("*").alias("n"))
-    common = counts.groupBy("bucket", "element").agg(F.max_by("class", F.struct("n", "class")).alias("common"))
-    # a pair is made in the first bucket it shares (at most one a table): the search is exact in each
-    buckets = read.groupBy("key").agg(F.collect_set("bucket").alias("buckets"))
-    ordered = F.sort_array(F.collect_list(F.struct("at", "element")))
-    seen = mixed.groupBy("bucket", "key").agg(F.slice(ordered, 1, SEEN)["element"].alias("seen"))
-    shared = mixed.join(common, ["bucket", "element"]).join(seen, ["bucket", "key"]).join(buckets, "key")
-    shared = materialize(shared, "dup-elements")
-
-    def asking(rows: DataFrame, *more: str) -> DataFrame:
-        return rows.select("bucket", "element", F.col("key").alias("x"), *(F.col(c).alias(f"{c}_x") for c in ("class", "size", "differing", "at", *more)))
-
-    further = near.select(*kept, F.size("first").alias("before"), F.posexplode("more").alias("at", "element")).withColumn("at", F.col("at") + F.col("before"))
-    found_by = parts.where("linked").join(several.where("has_linked").select("bucket", "element"), ["bucket", "element"])
-    # what is left of both differences from the first shared element on must hold all that similar sets share
-    needed = (F.col("differing_x") + F.col("differing") - (1 - similarity) / (1 + similarity) * (F.col("size_x") + F.col("size"))) / 2
-    room = F.least(F.col("differing_x") - F.col("at_x"), F.col("differing") - F.col("at"))
-    possible = (F.col("class_x") != F.col("class")) & (room >= needed - 1e-9)
-    # both differences have one order, so the first element that both lists hold is the first that they share
-    first_shared = F.coalesce(F.get(F.array_intersect("seen_x", "seen"), F.lit(0)), F.col("element")) == F.col("element")
-    first_bucket = F.array_min(F.array_intersect("buckets_x", "buckets")) == F.col("bucket")
-    asked_once = (F.col("class") == F.col("common")) | (F.col("x") < F.col("key"))
-    pairs = [
-        a.join(b, ["bucket", "element"]).where(once).select(F.least("x", "key").alias("a"), F.greatest("x", "key").alias("b"))
-        for a, b, once in (
-            (asking(shared.where("class <> common"), "seen", "buckets"), shared, possible & asked_once & first_bucket & first_shared),
-            (asking(further), found_by, possible),
-        )
-    ]
-    found = confirm_pairs(materialize(pairs[0].union(pairs[1]).distinct(), "dup-pairs"), texts, shingle, similarity)
+    found = bucket_links(read.where("near").select("bucket", "key", is_of, "linked", *numbers, "difference"), similarity)
     far = read.where("far").select(F.xxhash64("bucket", "head").alias("bucket"), "key", "class", "weight", "near")
     apart = far.where("not near").select("bucket").distinct()
     return materialize(links.union(found), "dup-links"), materialize(far.join(apart, "bucket", "left_semi").drop("near"), "dup-far")
