@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillgrove.operators import pivot_join as P
 from quillgrove.operators import vector as V
 from quillgrove.operators.complete_link import BLOCK, Budgets, clusters_of, cohesion, complete_link_clusters, linked
+from quillgrove.operators.vector_clusters import leader_clusters_of
 from quillgrove.plans.registry import Registry
 from quillgrove.session import materialize, read_table
 from quillgrove.sources.adapters import VEC, vectors
@@ -149,5 +150,4 @@ def cluster_cohesion(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def clusters_leader(spark: SparkSession, sf: str) -> DataFrame:
-    rows = vectors(spark, sf)
-    return V.leader_clusters(rows, V.similar_pairs(rows, 0.3), 0.3, 3)
+    return leader_clusters_of(vectors(spark, sf), 0.3, 3)
