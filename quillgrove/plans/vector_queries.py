@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillgrove.operators import pivot_join as P
 from quillgrove.operators import vector as V
 from quillgrove.operators.complete_link import BLOCK, Budgets, clusters_of, cohesion, complete_link_clusters, linked
-from quillgrove.operators.vector_clusters import leader_clusters_of
+from quillgrove.operators.vector_clusters import complete_link_of, forest, leader_clusters_of
 from quillgrove.plans.registry import Registry
 from quillgrove.session import materialize, read_table
 from quillgrove.sources.adapters import VEC, vectors
@@ -81,7 +81,7 @@ SELECT id, min(root) AS component FROM r GROUP BY id"""
 )
 def components(spark: SparkSession, sf: str) -> DataFrame:
     rows = vectors(spark, sf)
-    return V.components(rows, V.similar_pairs(rows, THRESHOLD))
+    return V.components(rows, forest(rows, THRESHOLD))  # links enough to connect what all pairs connect
 
 
 _CENT = """dims AS (SELECT id, label, unnest(unit) AS x, generate_subscripts(unit, 1) AS p FROM vec), cent AS (SELECT label, p, avg(x) AS c FROM dims GROUP BY 1, 2),
@@ -122,8 +122,7 @@ def valid_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def clusters_complete_link(spark: SparkSession, sf: str) -> DataFrame:
-    rows = vectors(spark, sf)
-    return V.complete_link_clusters(rows, V.similar_pairs(rows, 0.3), 0.3, 3)
+    return complete_link_of(vectors(spark, sf), 0.3, 3)
 
 
 @query()
