@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillgrove.operators.components import connected_components
@@ -140,11 +140,15 @@ def linked(rows: DataFrame, pairs: DataFrame, threshold: float) -> Linked:
     """The links (``lo, hi``) of pairs at or above the threshold, with the rows of their components."""
     similar = pairs.where((F.col("score") >= threshold - 1e-12) & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct()
     similar = materialize(similar, "links")
-    member = connected_components(similar, "lo", "hi").select(F.col("node").alias("id"), "component")
-    lower = similar.groupBy(F.col("hi").alias("id")).agg(F.count("*").alias("links"))
+    return Linked(rows, similar, *members(similar, "lo", "hi", similar.groupBy(F.col("hi").alias("id")).agg(F.count("*").alias("links"))))
+
+
+def members(links: DataFrame, a: str, b: str, lower: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of components (``component, id, links, cost``) and the components' sizes, from links that connect them and each row's number of smaller linked rows."""
+    member = connected_components(links, a, b).select(F.col("node").alias("id"), "component")
     member = materialize(member.join(lower, "id", "left").selectExpr("component", "id", "coalesce(links, 0) AS links", "coalesce(links, 0) + 1 AS cost"), "members")
     sizes = materialize(member.groupBy("component").agg(F.count("*").alias("rows"), F.sum("links").alias("links"), F.max("links").alias("most"), F.sum("cost").alias("cost")), "sizes")
-    return Linked(rows, similar, member, sizes)
+    return member, sizes
 
 
 def complete_link_clusters(
@@ -165,13 +169,7 @@ def clusters_of(graph: Linked, least: int = 3, budgets: Budgets | None = None, b
     limits = budgets or Budgets()
     rows, similar, member, sizes = graph.rows, graph.similar, graph.member, graph.sizes
 
-    over = lambda column, limit: F.lit(False) if limit is None else F.col(column) > limit
-    reason = F.when(over("rows", limits.rows) | over("links", limits.links), "DEFERRED_DENSE_COMPONENT").when(over("most", limits.row_links), "DEFERRED_RSS_BUDGET")
-    judged = sizes.withColumn("reason", reason)
-    if limits.comparisons is not None:
-        late = _beyond(judged.where("reason IS NULL"), limits.comparisons).withColumn("late", F.lit(True))
-        judged = judged.join(late, "component", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("late"), "DEFERRED_PAIRWISE_BUDGET")))
-    judged = materialize(judged.select("component", "cost", "reason"), "judged")
+    judged = judge(sizes, limits)
     deferred = judged.where("reason IS NOT NULL").select("component", "reason")
 
     links = similar.join(member.select(F.col("id").alias("hi"), "component"), "hi")
@@ -200,10 +198,29 @@ def clusters_of(graph: Linked, least: int = 3, budgets: Budgets | None = None, b
         if done is not None:
             settled = settled.union(done)
 
+    return statuses(rows, member, settled, deferred, least, limits)
+
+
+def _over(column: str, limit: int | None) -> Column:
+    return F.lit(False) if limit is None else F.col(column) > limit
+
+
+def judge(sizes: DataFrame, limits: Budgets) -> DataFrame:
+    """``component, cost, reason``: why the budgets for rows, links and comparisons defer a component, or null."""
+    reason = F.when(_over("rows", limits.rows) | _over("links", limits.links), "DEFERRED_DENSE_COMPONENT").when(_over("most", limits.row_links), "DEFERRED_RSS_BUDGET")
+    judged = sizes.withColumn("reason", reason)
+    if limits.comparisons is not None:
+        late = _beyond(judged.where("reason IS NULL"), limits.comparisons).withColumn("late", F.lit(True))
+        judged = judged.join(late, "component", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("late"), "DEFERRED_PAIRWISE_BUDGET")))
+    return materialize(judged.select("component", "cost", "reason"), "judged")
+
+
+def statuses(rows: DataFrame, member: DataFrame, settled: DataFrame, deferred: DataFrame, least: int, limits: Budgets) -> DataFrame:
+    """``id, component, cluster, status`` from settled rows (``id, cluster``) and deferred components (``component, reason``)."""
     sized = settled.join(settled.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") >= least), "cluster")
     named = rows.select("id").join(member.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     named = named.join(deferred, "component", "left").join(sized, "id", "left")
-    status = F.coalesce("reason", F.when(over("n", limits.cluster), "DEFERRED_OVERSIZED_CLUSTER"), F.when(F.col("cluster").isNotNull(), "CLUSTERED"), F.lit("UNCLUSTERED"))
+    status = F.coalesce("reason", F.when(_over("n", limits.cluster), "DEFERRED_OVERSIZED_CLUSTER"), F.when(F.col("cluster").isNotNull(), "CLUSTERED"), F.lit("UNCLUSTERED"))
     return named.select("id", "component", "cluster", status.alias("status")).withColumn("cluster", F.when(F.col("status") == "CLUSTERED", F.col("cluster")))
 
 

@@ -68,17 +68,21 @@ def paired(a: np.ndarray, b: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(score)], ["a", "b", "score"])
 
 
-def compare_cells(stream: DataFrame, cells: int, compare: Callable[[Arrays, Arrays], Iterator[pa.RecordBatch]], out: str = PAIRS) -> DataFrame:
-    """What ``compare(held, asking)`` gives for each cell of rows (``cell, side, ...``): side 0 is held, side 1 asks."""
+def compare_cells(stream: DataFrame, cells: int, compare: Callable[[Arrays, Arrays], Iterator[pa.RecordBatch]], out: str = PAIRS, by: tuple[str, ...] = ("cell",)) -> DataFrame:
+    """What ``compare(held, asking)`` gives for each cell of rows (``cell, side, ...``): side 0 is held, side 1 asks.
+
+    Several columns may name a cell (``by``), then ``cells`` is the number of partitions they are dealt to.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, pieces, held = None, [], None
         for batch in batches:
-            cell, side = batch["cell"].to_numpy(), batch["side"].to_numpy()
-            starts = np.flatnonzero(np.r_[True, (np.diff(cell) != 0) | (np.diff(side) != 0)]) if len(cell) else []
-            for start, end in zip(starts, [*starts[1:], len(cell)], strict=True):
-                if cell[start] != now:
-                    now, pieces, held = cell[start], [], None
+            side = batch["side"].to_numpy()
+            cell = np.stack([batch[name].to_numpy() for name in by])
+            starts = np.flatnonzero(np.r_[True, (np.diff(cell) != 0).any(axis=0) | (np.diff(side) != 0)]) if len(side) else []
+            for start, end in zip(starts, [*starts[1:], len(side)], strict=True):
+                if now is None or (cell[:, start] != now).any():
+                    now, pieces, held = cell[:, start], [], None
                 part = _arrays(batch.slice(start, end - start))
                 if side[start] == 0:
                     pieces.append(part)
@@ -86,7 +90,7 @@ def compare_cells(stream: DataFrame, cells: int, compare: Callable[[Arrays, Arra
                     held = held or {name: np.concatenate([p[name] for p in pieces]) for name in part}
                     yield from compare(held, part)
 
-    return stream.repartition(cells, "cell").sortWithinPartitions("cell", "side").mapInArrow(run, out)
+    return stream.repartition(cells, *by).sortWithinPartitions(*by, "side").mapInArrow(run, out)
 
 
 def _square(rows: DataFrame) -> tuple[DataFrame, int]:

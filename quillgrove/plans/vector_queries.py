@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quillgrove.operators import pivot_join as P
 from quillgrove.operators import vector as V
-from quillgrove.operators.complete_link import BLOCK, Budgets, clusters_of, cohesion, complete_link_clusters, linked
-from quillgrove.operators.vector_clusters import complete_link_of, forest, leader_clusters_of
+from quillgrove.operators.complete_link import BLOCK, Budgets, cohesion, complete_link_clusters
+from quillgrove.operators.vector_clusters import clusters_under, complete_link_of, forest, leader_clusters_of, settled_of
 from quillgrove.plans.registry import Registry
 from quillgrove.session import materialize, read_table
 from quillgrove.sources.adapters import VEC, vectors
@@ -128,12 +128,11 @@ def clusters_complete_link(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def clusters_budgeted(spark: SparkSession, sf: str) -> DataFrame:
     """Rows by status under each budget alone, and with the components cut into small blocks."""
-    rows = vectors(spark, sf)
-    graph = linked(rows, V.similar_pairs(rows, 0.3), 0.3)  # links and components once, for all budgets
+    graph = settled_of(vectors(spark, sf), 0.3)  # components, counts of links and clusters once, for all budgets
     runs = {"blocks": None, "rows": Budgets(rows=100), "comparisons": Budgets(comparisons=100), "row_links": Budgets(row_links=20), "cluster": Budgets(cluster=3), "seconds": Budgets(seconds=0)}
     out = None
     for name, budgets in runs.items():
-        found = clusters_of(graph, budgets=budgets, block=4096 if name == "blocks" else 200 if name == "seconds" else BLOCK)
+        found = clusters_under(graph, budgets=budgets, block=4096 if name == "blocks" else 200 if name == "seconds" else BLOCK)
         counts = found.groupBy("status").agg(F.count("*").alias("n")).select(F.lit(name).alias("budget"), "status", "n")
         out = counts if out is None else out.union(counts)
     return out

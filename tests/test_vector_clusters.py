@@ -3,7 +3,9 @@
 import numpy as np
 import pytest
 
-from quillgrove.operators import vector, vector_clusters
+from quillgrove.operators import complete_link, vector, vector_clusters
+from quillgrove.operators.complete_link import Budgets
+from quillgrove.plans import catalogue
 
 
 def unit_rows(spark, points):
@@ -40,3 +42,23 @@ def test_a_dense_table_gives_few_links(spark):
     rows = unit_rows(spark, np.random.default_rng(1).normal(size=(300, 5)) * 0.05 + np.ones(5))
     assert vector.similar_pairs(rows, 0.3).count() == 44_850
     assert vector_clusters.forest(rows, 0.3).count() < 2 * 300
+
+
+@pytest.mark.parametrize("budgets", [None, Budgets(rows=15), Budgets(links=60), Budgets(comparisons=90), Budgets(row_links=8), Budgets(cluster=4), Budgets(seconds=0), Budgets(seconds=900)])
+def test_budgets_on_vectors_equal_those_on_pairs(spark, cloud, budgets):
+    graph = vector_clusters.settled_of(cloud, 0.9, 25)
+    pairs = complete_link.linked(cloud, vector.similar_pairs(cloud, 0.9), 0.9)
+    lower = {r.component: (r.rows, r.links, r.most, r.cost) for r in pairs.sizes.collect()}
+    assert {r.component: (r.rows, r.links, r.most, r.cost) for r in graph.sizes.collect()} == lower and len(lower) > 3
+    want = {tuple(r) for r in complete_link.clusters_of(pairs, budgets=budgets, block=40).collect()}
+    assert {tuple(r) for r in vector_clusters.clusters_under(graph, budgets=budgets, block=40).collect()} == want
+    reasons = {r[3] for r in want} - {"CLUSTERED", "UNCLUSTERED"}
+    assert bool(reasons) == (budgets is not None and budgets.seconds != 900)
+
+
+def test_budgets_make_no_table_of_links(spark, small, monkeypatch):
+    def fail(*_):
+        raise AssertionError("pairs were made, whose number grows with the square of the rows")
+
+    monkeypatch.setattr(vector, "similar_pairs", fail)
+    assert {r.budget for r in catalogue.QUERIES["clusters_budgeted"](spark, small).collect()} == {"blocks", "rows", "comparisons", "row_links", "cluster", "seconds"}
