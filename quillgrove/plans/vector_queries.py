@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from quillgrove.operators import pivot_join as P
 from quillgrove.operators import vector as V
-from quillgrove.operators.complete_link import BLOCK, Budgets, cohesion, complete_link_clusters
-from quillgrove.operators.vector_clusters import clusters_under, complete_link_of, forest, leader_clusters_of, settled_of
+from quillgrove.operators.complete_link import BLOCK, Budgets
+from quillgrove.operators.vector_clusters import clusters_under, cohesion_of, complete_link_of, forest, leader_clusters_of, settled_of
 from quillgrove.plans.registry import Registry
-from quillgrove.session import materialize, read_table
+from quillgrove.session import read_table
 from quillgrove.sources.adapters import VEC, vectors
 
 query = Registry()
@@ -142,8 +142,7 @@ def clusters_budgeted(spark: SparkSession, sf: str) -> DataFrame:
 def cluster_cohesion(spark: SparkSession, sf: str) -> DataFrame:
     """Per complete-link cluster its size, its least similarity, and whether every pair was found."""
     rows = vectors(spark, sf)
-    pairs = materialize(V.similar_pairs(rows, 0.3), "pairs")
-    return cohesion(complete_link_clusters(rows, pairs, 0.3), pairs)
+    return cohesion_of(rows, complete_link_of(rows, 0.3), 0.3)
 
 
 @query()

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillgrove.operators import complete_link, vector, vector_clusters
 from quillgrove.operators.complete_link import Budgets
@@ -62,3 +63,22 @@ def test_budgets_make_no_table_of_links(spark, small, monkeypatch):
 
     monkeypatch.setattr(vector, "similar_pairs", fail)
     assert {r.budget for r in catalogue.QUERIES["clusters_budgeted"](spark, small).collect()} == {"blocks", "rows", "comparisons", "row_links", "cluster", "seconds"}
+
+
+@pytest.mark.parametrize("block", [3, 2048])
+def test_cohesion_on_vectors_equals_that_on_pairs(spark, cloud, block):
+    pairs = vector.similar_pairs(cloud, 0.6)
+    clusters = vector_clusters.complete_link_of(cloud, 0.6, 3)
+    for named in (clusters, clusters.withColumn("cluster", F.col("component"))):  # components lack some pairs
+        want = {tuple(r) for r in complete_link.cohesion(named, pairs).collect()}
+        assert {tuple(r) for r in vector_clusters.cohesion_of(cloud, named, 0.6, block).collect()} == want and want
+    assert not next(iter(want))[3]
+
+
+def test_cohesion_makes_no_table_of_pairs(spark, small, monkeypatch):
+    def fail(*_):
+        raise AssertionError("pairs were made, whose number grows with the square of the rows")
+
+    monkeypatch.setattr(vector, "similar_pairs", fail)
+    found = catalogue.QUERIES["cluster_cohesion"](spark, small).collect()
+    assert found and all(r.complete for r in found)
