@@ -56,7 +56,7 @@ def has_concept(text: Column, concept: str) -> Column:
 
 def index_tokens(text: Column) -> Column:
     """Distinct ASCII tokens of over three letters, for the inverted index."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), "[^0-9A-Za-z_]+"), lambda t: F.length(t) > 3))
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[0-9a-z_]{4,}"), F.lit(0)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -51,8 +51,10 @@ def related(new: DataFrame, rows: DataFrame, least: float = 0.25, k: int = 3) ->
         return df.select("id", F.lit(0).alias("order"), tokens.alias("tokens")).withColumn("n", F.size("tokens"))
 
     def rough(c: dict, r: dict, q: dict) -> np.ndarray:
-        about = c["tokens"] / np.maximum(1, r["n"] + q["n"] - c["tokens"]) * 1e6
-        return np.where((c["tokens"] > 0) & (about >= least * 1e6 - 4), about, -1)
+        about = r["n"] + q["n"] - c["tokens"]
+        np.divide(c["tokens"], np.maximum(about, 1, out=about), out=about)
+        about *= 1e6
+        return np.where((c["tokens"] > 0) & (about >= least * 1e6 - 4), about, np.float32(-1))
 
     def exact(c: dict, r: dict, q: dict) -> np.ndarray:
         score = millionths(c["tokens"], r["n"] + q["n"] - c["tokens"])
@@ -81,17 +83,22 @@ def related_by_signals(new: DataFrame, rows: DataFrame, k: int = 3, near: float
         facts = {"n": F.size(lists["tokens"]), "distinct": F.size(sets["tokens"]), "temporary": F.coalesce("temporary", F.lit(False)).cast("int")}
         return df.select("id", order.alias("order"), *(x.alias(c) for c, x in (sets | facts).items()))
 
-    def parts(c: dict, r: dict, q: dict) -> tuple[np.ndarray, ...]:
+    def parts(c: dict, r: dict, q: dict, number: type) -> tuple[np.ndarray, ...]:
         union = np.maximum(1, r["distinct"] + q["distinct"] - c["tokens"])
-        return union, c["entities"] > 0, c["tags"] >= 2, np.where(np.maximum(r["n"], q["n"]) >= long_tokens, near_long, near), (r["temporary"] | q["temporary"]) == 0
+        limit = np.where(np.maximum(r["n"], q["n"]) >= long_tokens, number(near_long), number(near))
+        return union, c["entities"] > 0, c["tags"] >= 2, limit, (r["temporary"] + q["temporary"]) == 0
 
     def rough(c: dict, r: dict, q: dict) -> np.ndarray:
-        union, entity, tags, limit, lasting = parts(c, r, q)
+        union, entity, tags, limit, lasting = parts(c, r, q, np.float32)
         alike = c["tokens"] / union
-        return np.where(entity | ((tags | (alike >= limit - 4e-6)) & lasting), entity * 3e6 + tags * 2e6 + alike * 1e6, -1)
+        kept = entity | ((tags | (alike >= limit - 4e-6)) & lasting)
+        alike *= 1e6
+        alike += np.where(entity, np.float32(3e6), np.float32(0))
+        alike += np.where(tags, np.float32(2e6), np.float32(0))
+        return np.where(kept, alike, np.float32(-1))
 
     def exact(c: dict, r: dict, q: dict) -> np.ndarray:
-        union, entity, tags, limit, lasting = parts(c, r, q)
+        union, entity, tags, limit, lasting = parts(c, r, q, float)
         kept = entity | ((tags | (c["tokens"] / union >= limit)) & lasting)
         return np.where(kept & ((c["tokens"] > 0) | entity | (c["tags"] > 0)), entity * 3_000_000 + tags * 2_000_000 + millionths(c["tokens"], union), -1)
 

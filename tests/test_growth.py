@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +70,55 @@ def test_overlaps_are_counted_in_blocks(spark, chunk, monkeypatch):
     assert "Join" not in plan_of(found)
 
 
+@pytest.mark.parametrize("often", [0.0, 0.03, 2.0])
+def test_overlaps_by_lines_by_lists_and_by_pairs(often, monkeypatch):
+    """More common keys than a byte counts, keys that no query has, nulls and empty lists."""
+    monkeypatch.setattr(overlap_search, "OFTEN", often)
+    rng = np.random.default_rng(4)
+    draw = lambda n, most: [[None, *(f"k{x}" for x in rng.permutation(900)[: rng.integers(0, most)])] for _ in range(n)]
+    asked, rows = [*draw(30, 900), []], [*draw(8, 950), [], None, [f"k{x}" for x in range(2000)]]
+    index = overlap_search._Index(pa.array(asked, pa.list_(pa.string())))
+    held = pa.array(rows, pa.list_(pa.string()))
+    owner, codes = overlap_search._owners(held), overlap_search._codes(held, index.keys)
+    owner, codes = owner[codes >= 0], codes[codes >= 0]
+    want = np.array([[len((set(r or []) & set(q)) - {None}) for q in asked] for r in rows])
+    assert want.max() > 510
+    np.testing.assert_array_equal(index.counts(owner, codes, len(rows)), want)
+    r, q = np.nonzero(rng.random(want.shape) < 0.4)
+    np.testing.assert_array_equal(index.common(owner, codes, r, q), want[r, q])
+    np.testing.assert_array_equal(index.common(owner, codes, r, q), want[r, q])  # nothing of the rows stays in the index
+
+
+@pytest.mark.parametrize("few", [0, 10**9])
+def test_related_by_signals_whichever_way_pairs_are_counted(spark, few, monkeypatch):
+    monkeypatch.setattr(overlap_search, "FEW", few)  # the tokens of every pair in reach one by one, or of no pair
+    monkeypatch.setattr(overlap_search, "CELLS", 300)
+    rng = random.Random(8)
+    made = [(i, i % 7, rng.random() < 0.2, rng.choices("abcdefghijklmnop", k=rng.randrange(16)), [f"e{i % 11}"], rng.sample("uvwxyz", 2)) for i in range(160)]
+    rows = spark.createDataFrame(made, "id long, ts long, temporary boolean, tokens array<string>, entities array<string>, tags array<string>")
+    wanted = set()
+    for q in made[::8]:
+        found = []
+        for r in made:
+            alike = len(set(q[3]) & set(r[3])) / max(1, len(set(q[3]) | set(r[3])))
+            entity, tags = q[4] == r[4], len(set(q[5]) & set(r[5])) >= 2
+            if r[0] != q[0] and (entity or ((tags or alike >= (0.18 if max(len(q[3]), len(r[3])) >= 12 else 0.25)) and not (q[2] or r[2]))):
+                found.append((-round(3 * entity + 2 * tags + alike, 6), -r[1], r[0]))
+        wanted |= {(q[0], i, -score) for score, _, i in sorted(found)[:3]}
+    assert {tuple(r) for r in signals.related_by_signals(rows.where("id % 8 = 0"), rows).collect()} == wanted
+
+
+def test_tokens_are_cut_out_without_splitting_texts(spark):
+    from quillgrove.functions import text as X
+
+    said = ["The quick_brown fox, 2024 ÄÖ über K\u212akelvin", "", None, "abc abcd abcd ABCD -- __x_", "naïveté\nzzzz", "\u0130stanbul"]
+    rows = spark.createDataFrame([(t,) for t in said], "text string")
+    plain = F.array_distinct(F.filter(F.split(F.lower("text"), "[^0-9A-Za-z_]+"), lambda t: F.length(t) > 3))
+    tokens = X.index_tokens(F.col("text"))
+    assert rows.where(~tokens.eqNullSafe(plain)).count() == 0
+    assert "split(" not in plan_of(rows.select(tokens)).lower()  # took five times as long
+
+
 @pytest.mark.parametrize("join", [vector.similar_pairs, functools.partial(pivot_join.pivot_pairs, shard_rows=40)])
 def test_pairs_by_groups(spark, monkeypatch, join):
     monkeypatch.setattr(pair_grid, "LEAST_ROWS", 50)
