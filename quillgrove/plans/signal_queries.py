@@ -62,7 +62,7 @@ SELECT new_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY new_id
 def related_by_signals(spark: SparkSession, sf: str) -> DataFrame:
     """Records of entities, groups and teams by id: the three most related to each fiftieth."""
     name = lambda kind, n: F.concat(F.lit(f"{kind}_"), (F.col("id") % n).cast("string"))
-    tokens = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: F.length(x) >= 3)
+    tokens = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]{3,}"), F.lit(0))
     temporary = (F.col("type") == "working") | (F.col("memory_depth") == "temporary")
     rows = memories(spark, sf).select(
         "id", (F.col("id") % 97).alias("ts"), temporary.alias("temporary"), tokens.alias("tokens"), F.array(name("entity", 151)).alias("entities"), F.array(name("entity", 151), name("group", 40), name("team", 60)).alias("tags")
