@@ -36,6 +36,17 @@ def test_co_echo_pairs_meet_as_blocks(spark):
     assert dynamics.co_echo_pairs(states.limit(0), 2).count() == 0
 
 
+def test_co_echo_pairs_hold_one_record_and_block_at_a_time(spark):
+    states = spark.range(300).selectExpr("id AS memory_id", "5L AS echoes", "array('a') AS concepts")
+    pairs = dynamics.co_echo_pairs(states, 2, 100)
+    pairs.collect()
+    lines = [x for x in pairs._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines() if re.search(r"Generate explode|CollectMetrics", x)][:3]
+    # the two explodes aren't in one piece of generated code, which keeps all its rows until the input row is done
+    assert [bool(re.search("CollectMetrics", x)) for x in lines] == [False, True, False]
+    ids = [re.search(r"\*\((\d+)\)", x).group(1) for x in lines if "Generate" in x]
+    assert len(set(ids)) == 2
+
+
 def test_identity_snapshot_of_many_rows(spark):
     rows = spark.range(100_000).selectExpr("'p' || id AS point_id", "id AS memory_id", "'h' || id AS content_hash", "'m' AS model", "'r' AS revision")
     got = identities.identity_snapshot(rows).first()
